@@ -74,9 +74,7 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "__row__")
     )
     low = F.greatest(F.col("__start"), F.col("__block") * ROWS_PER_BLOCK)
     high = F.least(F.col("__end"), (F.col("__block") + 1) * ROWS_PER_BLOCK) - 1
-    return blocks.select(
-        (F.explode(F.sequence(low, high)) + 1).alias(name), *keys
-    )
+    return blocks.select(F.explode(F.sequence(low + 1, high + 1)).alias(name), *keys)
 
 
 def exact_percentiles(
