@@ -277,12 +277,14 @@ class Comparison:
         )
 
     def match_percent(self) -> DataFrame:
-        """Match rate per column, worst first, the row pseudo-column last."""
+        """Match rate per column, most differences first; the row pseudo-column loses ties."""
         rate = F.round(100 * (1 - F.try_divide(F.col("mismatch_count"), F.col("compared_rows"))), 4)
         return (
             self.by_column()
-            .withColumn("match_pct", F.greatest(F.coalesce(rate, F.lit(100.0)), F.lit(0.0)))
-            .orderBy(F.col("column_name") == ROW_COLUMN, F.col("mismatch_count").desc(), "ordinal")
+            .withColumn("match_pct", F.when(rate < 0, F.lit(0.0)).otherwise(rate))
+            .orderBy(
+                F.col("mismatch_count").desc(), F.col("column_name") == ROW_COLUMN, F.lower("column_name")
+            )
             .drop("ordinal")
         )
 
