@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 # The textual shape of a UUID.
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
+# The textual shape of a number.
+NUMBER_PATTERN = r"(?i)^\s*[+-]?(inf|infinity|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)\s*$"
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -37,17 +40,17 @@ def is_temporal(t: T.DataType) -> bool:
 
 def number(c: Column, t: T.DataType) -> Column:
     """Numeric reading of a column: NULL for text that is no number, and for NaN."""
+    if isinstance(t, T.DecimalType):
+        return c.cast("double")
     if is_fractional(t):
-        x = c.cast("double")
-        return F.when(~F.isnan(x), x)
+        return F.when(~F.isnan(c), c.cast("double"))
     if is_integral(t):
         return c.cast("double")
     if isinstance(t, T.BooleanType):
         return c.cast("int").cast("double")
     if isinstance(t, T.StringType):
-        x = c.try_cast("double")
-        # 'Infinity' stays a number, 'NaN' does not; 'd'/'f' suffixes are no digits.
-        return F.when(~F.isnan(x) & ~c.rlike("[dDfF]\\s*$"), x)
+        # Casting text that is no number throws inside Spark, so the shape is tested first.
+        return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
     return F.lit(None).cast("double")
 
 

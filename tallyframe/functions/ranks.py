@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,82 +77,125 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "__row__")
 
 
 def exact_percentiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], accuracy: int = 100_000
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], accuracy: int = 10_000,
+    rows_per_bracket: int = 2_000_000,
 ) -> dict[str, dict[float, float | None]]:
     """Exact linearly interpolated percentiles of numeric columns.
 
-    Pass one brackets each percentile with the mergeable sketch behind
-    ``percentile_approx``; pass two counts what lies below every bracket and the
-    distinct values within it. Nothing but the narrow brackets is shuffled. A
-    bracket that turns out not to hold its rank (the sketch gives an error bound,
-    not a promise per merge tree) is settled by a full running total.
+    The mergeable sketch behind ``percentile_approx`` brackets every percentile;
+    while a bracket may still hold too many rows it is sketched again from the
+    inside. The last pass counts what lies below each bracket and the distinct
+    values within it, so only narrow brackets are shuffled. A bracket that turns
+    out not to hold its rank (the sketch bounds its error, but not for every
+    merge tree) is settled by a full running total.
     """
     cols = list(wanted)
+    result: dict[str, dict[float, float | None]] = {c: {q: None for q in wanted[c]} for c in cols}
     if not cols:
-        return {}
+        return result
     slack = 4.0 / accuracy
-    probes = {
-        c: [(max(q - slack, 0.0), min(q + slack, 1.0)) for q in wanted[c]] for c in cols
-    }
+    probes = [
+        p for q in sorted({q for qs in wanted.values() for q in qs})
+        for p in (max(q - slack, 0.0), min(q + slack, 1.0))
+    ]
     aggs = []
     for i, c in enumerate(cols):
-        flat = [p for pair in probes[c] for p in pair]
         x = F.col(f"`{c}`").cast("double")
         aggs.append(F.count(x).alias(f"n{i}"))
         aggs.append(
-            F.percentile_approx(x, F.array(*[F.lit(p) for p in flat]), F.lit(accuracy)).alias(f"p{i}")
+            F.percentile_approx(x, F.array(*[F.lit(p) for p in probes]), F.lit(accuracy)).alias(f"p{i}")
         )
     first = df.agg(*aggs).first()
     brackets = []
     for i, c in enumerate(cols):
-        if not first[f"n{i}"]:
+        n = first[f"n{i}"]
+        if not n:
             continue
+        bounds = dict(zip(probes, first[f"p{i}"]))
         for j, q in enumerate(wanted[c]):
-            low, high = first[f"p{i}"][2 * j], first[f"p{i}"][2 * j + 1]
-            brackets.append((i, j, c, q, first[f"n{i}"], low, high))
-    result: dict[str, dict[float, float | None]] = {c: {q: None for q in wanted[c]} for c in cols}
+            target = (n - 1) * q
+            low, high = bounds[max(q - slack, 0.0)], bounds[min(q + slack, 1.0)]
+            brackets.append((i, j, low, high, math.floor(target), math.ceil(target)))
     if not brackets:
         return result
-    inside = [
-        (i, j, F.col(f"`{c}`").cast("double"), low, high) for i, j, c, _, _, low, high in brackets
-    ]
-    below = df.agg(*[F.count_if(x < low).alias(f"b_{i}_{j}") for i, j, x, low, _ in inside]).first()
-    hits = [
-        F.when(
-            x.between(low, high), F.struct(F.lit(i).alias("col"), F.lit(j).alias("q"), x.alias("v"))
+    tall = df.select(
+        F.inline(
+            F.array(*[
+                F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v"))
+                for i, c in enumerate(cols)
+            ])
         )
-        for i, j, x, low, high in inside
-    ]
-    in_any = reduce(lambda a, b: a | b, [x.between(low, high) for _, _, x, low, high in inside])
+    ).where("v is not null")
+    inside = 2 * slack * max(first[f"n{i}"] for i in range(len(cols)))
+    while inside > rows_per_bracket:
+        brackets = _narrowed(tall, brackets, slack, accuracy)
+        inside *= 2 * slack
+    found = _picked(tall, brackets)
+    for i, j, _, _, lo_rank, hi_rank in brackets:
+        c, q = cols[i], wanted[cols[i]][j]
+        low, high = found.get((i, j, lo_rank)), found.get((i, j, hi_rank))
+        if low is None or high is None:
+            low, high = _ranks_by_total(df, c, lo_rank, hi_rank)
+        target = (first[f"n{i}"] - 1) * q
+        result[c][q] = low + (high - low) * (target - lo_rank)
+    return result
+
+
+def _bracket_table(df: DataFrame, brackets: list[tuple]) -> DataFrame:
+    """One row per column and percentile, small enough to broadcast whatever the data."""
+    table = df.sparkSession.createDataFrame(
+        brackets, "bi int, j int, low double, high double, lo_rank bigint, hi_rank bigint"
+    )
+    return F.broadcast(table)
+
+
+def _narrowed(tall: DataFrame, brackets: list[tuple], slack: float, accuracy: int) -> list[tuple]:
+    joined = tall.join(_bracket_table(tall, brackets), (F.col("i") == F.col("bi")) & (F.col("v") <= F.col("high")))
+    counts = {
+        (r["i"], r["j"]): (r["below"], r["within"])
+        for r in joined.groupBy("i", "j").agg(
+            F.count_if(F.col("v") < F.col("low")).alias("below"),
+            F.count_if(F.col("v") >= F.col("low")).alias("within"),
+        ).collect()
+    }
+    aggs = []
+    for i, j, _, _, lo_rank, hi_rank in brackets:
+        below, within = counts[(i, j)]
+        ends = (
+            min(max((lo_rank - below) / within - slack, 0.0), 1.0),
+            min(max((hi_rank - below) / within + slack, 0.0), 1.0),
+        )
+        here = (F.col("i") == i) & (F.col("j") == j) & (F.col("v") >= F.col("low"))
+        aggs.append(
+            F.percentile_approx(
+                F.when(here, F.col("v")), F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)
+            ).alias(f"p_{i}_{j}")
+        )
+    row = joined.agg(*aggs).first()
+    return [(i, j, *row[f"p_{i}_{j}"], lo_rank, hi_rank) for i, j, _, _, lo_rank, hi_rank in brackets]
+
+
+def _picked(tall: DataFrame, brackets: list[tuple]) -> dict[tuple[int, int, int], float]:
+    # Rows below a bracket collapse into one NULL-valued group while still in the map task.
     counted = (
-        df.where(in_any)
-        .select(F.inline(F.array_compact(F.array(*hits))))
-        .groupBy("col", "q", "v")
+        tall.join(_bracket_table(tall, brackets), (F.col("i") == F.col("bi")) & (F.col("v") <= F.col("high")))
+        .groupBy("i", "j", "lo_rank", "hi_rank", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_bracket = Window.partitionBy("col", "q").orderBy("v")
-    ranked = counted.withColumn("upto", F.sum("n").over(per_bracket))
-    picks = []
-    for i, j, _, q, n, _, _ in brackets:
-        target = (n - 1) * q
-        for side, place in (("lo", math.floor(target)), ("hi", math.ceil(target))):
-            rank = place - below[f"b_{i}_{j}"]
-            picks.append(
-                F.max(
-                    F.when(
-                        (F.col("col") == i) & (F.col("q") == j) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank),
-                        F.col("v"),
-                    )
-                ).alias(f"{side}_{i}_{j}")
-            )
-    found = ranked.agg(*picks).first()
-    for i, j, c, q, n, _, _ in brackets:
-        low, high = found[f"lo_{i}_{j}"], found[f"hi_{i}_{j}"]
-        target = (n - 1) * q
-        if low is None or high is None:
-            low, high = _ranks_by_total(df, c, math.floor(target), math.ceil(target))
-        result[c][q] = low + (high - low) * (target - math.floor(target))
-    return result
+    upto = F.sum("n").over(Window.partitionBy("i", "j").orderBy(F.col("v").asc_nulls_first()))
+    ranked = counted.withColumn("upto", upto)
+
+    def holds(rank: str) -> Column:
+        return (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank))
+
+    # At most two rows per column and percentile.
+    rows = ranked.where(F.col("v").isNotNull() & (holds("lo_rank") | holds("hi_rank"))).collect()
+    out = {}
+    for r in rows:
+        for rank in (r["lo_rank"], r["hi_rank"]):
+            if r["upto"] - r["n"] <= rank < r["upto"]:
+                out[(r["i"], r["j"], rank)] = r["v"]
+    return out
 
 
 def _ranks_by_total(df: DataFrame, column: str, low: int, high: int) -> tuple[float, float]:

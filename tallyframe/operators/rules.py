@@ -558,13 +558,26 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[in
     entries = []
     for i, name in enumerate(columns):
         t = df.schema[name].dataType
+        slots = {"whole": F.lit(None).cast("bigint"), "real": F.lit(None).cast("double"), "txt": F.lit(None).cast("string")}
         c = cells.q(name)
-        if isinstance(t, (T.FloatType, T.DoubleType)):
-            c = c + F.lit(0.0).cast(t)  # -0.0 and 0.0 are one value
-        entries.append(F.struct(F.lit(i).alias("i"), cells.text(c, t).alias("v")))
+        if isinstance(t, T.TimestampType):
+            slots["whole"] = F.unix_micros(c)
+        elif isinstance(t, T.DateType):
+            slots["whole"] = F.unix_date(c).cast("bigint")
+        elif cells.is_integral(t) or isinstance(t, T.BooleanType):
+            slots["whole"] = c.cast("bigint")
+        elif isinstance(t, (T.FloatType, T.DoubleType)):
+            slots["real"] = c.cast("double")
+        else:
+            slots["txt"] = cells.text(c, t)
+        entries.append(F.struct(F.lit(i).alias("i"), *[v.alias(k) for k, v in slots.items()]))
+    present = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("txt").isNotNull(), F.lit(False))
     counted = (
-        df.select(F.inline(F.array(*entries))).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("i").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("all"), F.count("v").alias("values"))
+        df.select(F.inline(F.array(*entries))).groupBy("i", "whole", "real", "txt")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("i").agg(
+            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("all"), F.count_if(present).alias("values")
+        )
     )
     found = {r["i"]: (r["rows"], r["all"], r["values"]) for r in counted.collect()}
     return {name: found.get(i, (0, 0, 0)) for i, name in enumerate(columns)}
