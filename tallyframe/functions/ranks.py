@@ -76,9 +76,33 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "__row__")
     return blocks.select(F.explode(F.sequence(low + 1, high + 1)).alias(name), *keys)
 
 
+def in_blocks(df: DataFrame, order: Sequence[str], before: int) -> DataFrame:
+    """Number the rows in a total order and lay them out in overlapping blocks.
+
+    Adds ``r`` (row number), ``block`` and ``home``. Each block also holds the
+    ``before`` rows ahead of it, so a window over that many preceding rows can be
+    partitioned by block; keep the rows with ``block = home`` afterwards.
+    """
+    rows = df.withColumn("__one", F.lit(1))
+    numbered = running_total(rows, [F.col(f"`{c}`").asc_nulls_first() for c in order], "__one", "r", "bigint")
+    size = max(ROWS_PER_BLOCK, 4 * before)
+    home = F.floor((F.col("r") - 1) / size)
+    homes = F.when((F.col("r") - 1) % size >= size - before, F.array(home, home + 1)).otherwise(F.array(home))
+    return numbered.drop("__one").withColumn("home", home).withColumn("block", F.explode(homes))
+
+
+def with_previous(df: DataFrame, partition: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Add ``previous_<column>`` from the row before, within ``partition``; any partition size."""
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in partition], "block").orderBy("r")
+    laid = in_blocks(df, [*partition, *order], 1)
+    for c in columns:
+        laid = laid.withColumn(f"previous_{c}", F.lag(F.col(f"`{c}`")).over(w))
+    return laid.where("block = home").drop("r", "block", "home")
+
+
 def exact_percentiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], accuracy: int = 10_000,
-    rows_per_bracket: int = 2_000_000,
+    rows_per_bracket: int = 2_000_000, interpolate: bool = True,
 ) -> dict[str, dict[float, float | None]]:
     """Exact linearly interpolated percentiles of numeric columns.
 
@@ -87,7 +111,8 @@ def exact_percentiles(
     inside. The last pass counts what lies below each bracket and the distinct
     values within it, so only narrow brackets are shuffled. A bracket that turns
     out not to hold its rank (the sketch bounds its error, but not for every
-    merge tree) is settled by a full running total.
+    merge tree) is settled by a full running total. Without ``interpolate`` the
+    value at the lower rank is returned.
     """
     cols = list(wanted)
     result: dict[str, dict[float, float | None]] = {c: {q: None for q in wanted[c]} for c in cols}
@@ -137,7 +162,7 @@ def exact_percentiles(
         if low is None or high is None:
             low, high = _ranks_by_total(df, c, lo_rank, hi_rank)
         target = (first[f"n{i}"] - 1) * q
-        result[c][q] = low + (high - low) * (target - lo_rank)
+        result[c][q] = low + (high - low) * (target - lo_rank) if interpolate else low
     return result
 
 

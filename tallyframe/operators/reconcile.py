@@ -68,8 +68,15 @@ def since_filter(df: DataFrame, column: str | None, since: str | None) -> DataFr
     """Rows changed at or after ``since``; rows without a readable time stay in."""
     if not column or not since or column not in df.columns:
         return df
-    at = cells.moment(cells.q(column), df.schema[column].dataType)
-    return df.where(at.isNull() | (at >= F.lit(since).cast("timestamp")))
+    kind = df.schema[column].dataType
+    if cells.is_temporal(kind):
+        # Compared in the column's own type, so that the filter reaches the scan.
+        at = cells.q(column)
+        bound = F.lit(since).cast("timestamp_ntz").cast(kind) if kind.typeName() != "timestamp" else F.lit(since).cast(kind)
+    else:
+        at = cells.moment(cells.q(column), kind)
+        bound = F.lit(since).cast("timestamp")
+    return df.where(at.isNull() | (at >= bound))
 
 
 def sample_by_key(df: DataFrame, keys: Sequence[str], fraction: float, seed: int) -> DataFrame:

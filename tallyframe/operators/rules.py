@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import cells, stats
-from tallyframe.functions.ranks import exact_percentiles, running_total
-
-ROWS_PER_BLOCK = 65_536
+from tallyframe.functions.ranks import exact_percentiles, in_blocks, running_total
 
 
 @dataclass(frozen=True)
@@ -605,13 +603,7 @@ def rolling_zscore(df: DataFrame, value: Column, size: int, order_by: Sequence[s
     order rows completely.
     """
     names = [*partition_by, *order_by]
-    rows = df.select(*[cells.q(c) for c in names], value.alias("x"), F.lit(1).alias("one"))
-    order = [cells.q(c).asc_nulls_first() for c in names]
-    block = max(ROWS_PER_BLOCK, 4 * size)
-    numbered = running_total(rows, order, "one", "r", "bigint")
-    own = F.floor((F.col("r") - 1) / block)
-    homes = F.when((F.col("r") - 1) % block >= block - size, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.withColumn("home", own).withColumn("block", F.explode(homes))
+    spread = in_blocks(df.select(*[cells.q(c) for c in names], value.alias("x")), names, size)
     w = Window.partitionBy(*[cells.q(c) for c in partition_by], "block").orderBy("r").rowsBetween(-size, -1)
     mean, std = F.avg("x").over(w), F.stddev_samp("x").over(w)
     gap = F.abs(F.col("x") - F.col("mean"))
