@@ -1,0 +1,664 @@
+"""Queries over files: each writes files derived from the given tables to scratch and reads them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.catalog import query
+from tallyframe.catalog.fixtures import ORDERS_SQL, differs_sql, orders_source, orders_target, table
+from tallyframe.catalog.history import RESULTS_SQL, _results
+from tallyframe.catalog.reconciling import COUNTS, _counts_sql, _differences, _records_sql
+from tallyframe.operators import pairing as P
+from tallyframe.operators import schemas as S
+from tallyframe.operators.reconcile import Comparison, CompareOptions
+from tallyframe.operators.rules import Rule, evaluate
+from tallyframe.plans import jobs as J
+from tallyframe.session import scratch_path
+from tallyframe.sources import discovery as D
+from tallyframe.sources import logs as L
+from tallyframe.sources import readers as R
+from tallyframe.sources import sinks as K
+
+PAGE = 2000
+
+
+def _pages(df: DataFrame, key: str, line: Column, head: str, tail: str, glue: str, label: str) -> str:
+    """Text files of at most ``PAGE`` rows each, in key order, with a head and a tail."""
+    page = F.floor(F.col(key) / PAGE)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("v")))), lambda x: x["v"])
+    text = df.groupBy(page.alias("page")).agg(
+        F.concat(F.lit(head), F.array_join(lines, glue), F.lit(tail)).alias("value")
+    )
+    path = scratch_path(df.sparkSession, label)
+    text.repartition("page").write.partitionBy("page").text(path)
+    return f"{path}/*"
+
+
+def _named_files(df: DataFrame, name: Column, label: str) -> str:
+    """One header CSV per name; Spark chooses part names, so each is renamed by the file system."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.withColumn("__file", name).repartition("__file").sortWithinPartitions("__file").write.partitionBy("__file").option(
+        "header", True
+    ).csv(f"{path}-parts")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}-parts")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = jvm.org.apache.hadoop.fs.Path(path)
+    fs.mkdirs(out)
+    for folder in fs.listStatus(root):
+        part = folder.getPath().getName()
+        if not part.startswith("__file="):
+            continue
+        for f in fs.listStatus(folder.getPath()):
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(out, part[len("__file="):]))
+    return path
+
+
+# -- Scans -----------------------------------------------------------------
+
+_CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+
+def _customers(df: DataFrame) -> DataFrame:
+    return df.select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+
+
+@query("csv_scan", _CUSTOMER_SQL)
+def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    path = K.write_table(table(spark, folder, "customer"), scratch_path(spark, "csv"), "csv")
+    return _customers(R.read_files(spark, path, "csv"))
+
+
+@query("tsv_scan", _CUSTOMER_SQL)
+def tsv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "tsv")
+    table(spark, folder, "customer").write.option("header", True).option("sep", "\t").csv(path)
+    return _customers(R.read_files(spark, path, "tsv"))
+
+
+@query("csv_sniffed_scan", _CUSTOMER_SQL)
+def csv_sniffed_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Pipe-separated exports under a preamble and a ruler."""
+    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in names])
+    head = "Customer export\nprepared for audit, all regions\n\n" + "|".join(names) + "\n-----\n"
+    path = _pages(table(spark, folder, "customer"), "c_custkey", line, head, "\n-----", "\n", "sniff")
+    return _customers(R.read_files(spark, path, "csv"))
+
+
+@query("json_lines_scan", _CUSTOMER_SQL)
+def json_lines_scan(spark: SparkSession, folder: str) -> DataFrame:
+    path = K.write_table(table(spark, folder, "customer"), scratch_path(spark, "jsonl"), "json")
+    return _customers(R.read_files(spark, path, "jsonl"))
+
+
+@query("columnar_scan", f"{_CUSTOMER_SQL} UNION ALL {_CUSTOMER_SQL}")
+def columnar_scan(spark: SparkSession, folder: str) -> DataFrame:
+    customer = table(spark, folder, "customer")
+    parquet, orc = scratch_path(spark, "parquet"), scratch_path(spark, "orc")
+    customer.write.parquet(parquet)
+    customer.write.orc(orc)
+    return R.union_all([_customers(R.read_files(spark, parquet, "parquet")), _customers(R.read_files(spark, orc, "orc"))])
+
+
+_NESTED_SQL = """SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS "customer.key", o_orderpriority AS "customer.tag.priority",
+  o_totalprice AS price FROM orders"""
+
+
+def _nested_pages(spark: SparkSession, folder: str) -> str:
+    order = F.to_json(F.struct(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"),
+        F.struct(F.col("o_custkey").alias("key"), F.struct(F.col("o_orderpriority").alias("priority")).alias("tag")).alias("customer"),
+        F.col("o_totalprice").alias("price"),
+    ))
+    head, tail = '{"meta": {"source": "orders", "pages": 1},\n "data": {"items": [', ']}, "after": [{"x": 1}]}'
+    return _pages(table(spark, folder, "orders"), "o_orderkey", order, head, tail, ",\n", "nested")
+
+
+@query("json_flatten_scan", _NESTED_SQL)
+def json_flatten_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return R.read_files(spark, _nested_pages(spark, folder), "json").select(
+        "id", "status", "`customer.key`", "`customer.tag.priority`", "price"
+    )
+
+
+@query("landed_pages_scan", _NESTED_SQL)
+def landed_pages_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return R.read_pages(spark, _nested_pages(spark, folder), "data.items").select(
+        "id", "status", "`customer.key`", "`customer.tag.priority`", "price"
+    )
+
+
+@query(
+    "xml_scan",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS "customer.key",
+  o_orderpriority AS customer, o_orderpriority AS "Priority Code", CAST(o_custkey AS VARCHAR) AS "Customer Code",
+  'a' AS note, CASE WHEN o_orderkey % 3 = 0 THEN 'b' END AS note_2 FROM orders""",
+)
+def xml_scan(spark: SparkSession, folder: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    record = F.concat(
+        F.lit('<x:record id="'), text("o_orderkey"), F.lit('"><status>'), text("o_orderstatus"),
+        F.lit('</status><customer key="'), text("o_custkey"), F.lit('">'), text("o_orderpriority"),
+        F.lit('</customer><field name="Priority Code">'), text("o_orderpriority"),
+        F.lit('</field><field name="Customer Code">'), text("o_custkey"), F.lit("</field><note>a</note>"),
+        F.when(F.col("o_orderkey") % 3 == 0, "<note>b</note>").otherwise(""), F.lit("</x:record>"),
+    )
+    head = '<?xml version="1.0"?>\n<x:export xmlns:x="urn:x"><x:meta><source>orders</source></x:meta><x:list>'
+    path = _pages(table(spark, folder, "orders"), "o_orderkey", record, head, "</x:list></x:export>", "\n", "xml")
+    return R.read_files(spark, path, "xml").select(
+        "id", "status", "`customer.key`", "customer", "`Priority Code`", "`Customer Code`", "note", "note_2"
+    )
+
+
+@query(
+    "union_scan",
+    """SELECT c_nationkey AS nation, c_acctbal AS acctbal, c_mktsegment AS segment, NULL AS supplier FROM customer
+UNION ALL SELECT s_nationkey, s_acctbal, NULL, s_name FROM supplier""",
+)
+def union_scan(spark: SparkSession, folder: str) -> DataFrame:
+    sheets = [
+        table(spark, folder, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment")),
+        table(spark, folder, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("acctbal"), F.col("s_name").alias("supplier")),
+    ]
+    return R.union_all(sheets)
+
+
+@query(
+    "bound_query",
+    """SELECT o_orderpriority, count(*) AS orders FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'O' GROUP BY 1""",
+)
+def bound_query(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "orders").createOrReplaceTempView("tf_bound_orders")
+    return R.read_query(
+        spark, "SELECT o_orderpriority, count(*) AS orders FROM tf_bound_orders WHERE o_totalprice > :least AND o_orderstatus = :status GROUP BY 1",
+        {"least": 250000, "status": "O"},
+    )
+
+
+@query(
+    "catalog_listing",
+    """SELECT 'tf_listing_customer' AS table_name, column_name, lower(CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE column_type END) AS data_type
+FROM (DESCRIBE SELECT * FROM customer)""",
+)
+def catalog_listing(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "customer").createOrReplaceTempView("tf_listing_customer")
+    return S.catalog_tables(spark).where("table_name = 'tf_listing_customer'")
+
+
+@query("preview_rows", "SELECT least(count(*), 200) AS rows FROM orders")
+def preview_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return R.preview(table(spark, folder, "orders"), 500).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# -- Listings --------------------------------------------------------------
+
+
+def _partitioned(spark: SparkSession, folder: str) -> str:
+    path = scratch_path(spark, "hive")
+    orders = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    orders.repartition("o_orderstatus", "year").write.partitionBy("o_orderstatus", "year").parquet(path)
+    return path
+
+
+_PARTITIONS_SQL = """SELECT 'o_orderstatus=' || o_orderstatus || '/year=' || year(o_orderdate) AS partition, CAST(1 AS BIGINT) AS object_count,
+  count(*) AS row_count FROM orders GROUP BY 1"""
+
+
+@query("partition_discovery", _PARTITIONS_SQL)
+def partition_discovery(spark: SparkSession, folder: str) -> DataFrame:
+    found = D.discover_partitions(spark, _partitioned(spark, folder), "parquet")
+    shown = F.array_join(F.transform("partition", lambda p: F.concat_ws("=", p["column"], p["value"])), "/")
+    return found.select(shown.alias("partition"), "object_count", "row_count")
+
+
+@query(
+    "partition_check",
+    """SELECT 'partition_columns' AS column_name, 'year' AS source_value, 'o_orderstatus,year' AS target_value, 'partition_columns_mismatch' AS mismatch_type
+UNION ALL SELECT 'partition_count', '5000', CAST(count(DISTINCT o_orderstatus || year(o_orderdate)) AS VARCHAR), 'partition_count_below_min' FROM orders""",
+)
+def partition_check(spark: SparkSession, folder: str) -> DataFrame:
+    return D.partition_check(D.discover_partitions(spark, _partitioned(spark, folder)), ["year"], 5000)
+
+
+@query("file_row_counts", "SELECT count(*) AS row_count FROM orders GROUP BY o_orderstatus, year(o_orderdate)")
+def file_row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return D.file_row_counts(spark, _partitioned(spark, folder), "parquet").select("row_count")
+
+
+@query("row_count_bounds", "SELECT 'row_count' AS column_name, '10' AS source_value, CAST(count(*) AS VARCHAR) AS target_value, 'row_count_above_max' AS mismatch_type FROM orders")
+def row_count_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    rows = D.row_count_check(table(spark, folder, "orders").count(), 1, 10)
+    return spark.createDataFrame(rows, "column_name string, source_value string, target_value string, mismatch_type string")
+
+
+@query("object_metadata", "SELECT count(DISTINCT o_orderstatus || year(o_orderdate)) AS files, true AS all_sized, true AS all_dated FROM orders")
+def object_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    files = D.list_files(spark, _partitioned(spark, folder), recursive=True).where(F.col("file_name").endswith(".parquet"))
+    return files.agg(
+        F.count(F.lit(1)).alias("files"), F.bool_and(F.col("length") > 0).alias("all_sized"),
+        F.bool_and(F.col("modified").isNotNull()).alias("all_dated"),
+    )
+
+
+# -- Logs and artifacts ----------------------------------------------------
+
+
+def _log_path(spark: SparkSession, folder: str) -> str:
+    level = F.create_map(*[F.lit(x) for x in (
+        "error", "| ERROR | ", "click", "| INFO | ", "view", "| DEBUG | ", "signup", "| WARNING | ", "purchase", "")])
+    line = F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss "), level[F.col("event_type")], F.lit("run-"), F.col("user_id").cast("string"),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\n  at step "), F.col("event_id").cast("string"), F.lit("\n  caused by value"))).otherwise(""),
+    )
+    return _pages(table(spark, folder, "events"), "event_id", line, "service started\nready\n", "\n", "\n", "logs")
+
+
+_LOG_SQL = """
+ev AS (SELECT event_id // 2000 AS page, event_id, event_type,
+   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'DEBUG' WHEN 'signup' THEN 'WARNING' ELSE 'TRACE' END AS level,
+   strftime(ts, '%Y-%m-%d %H:%M:%S ') || CASE event_type WHEN 'error' THEN '| ERROR | ' WHEN 'click' THEN '| INFO | ' WHEN 'view' THEN '| DEBUG | '
+     WHEN 'signup' THEN '| WARNING | ' ELSE '' END || 'run-' || user_id ||
+     CASE WHEN event_id % 4 = 0 THEN chr(10) || '  at step ' || event_id || chr(10) || '  caused by value' ELSE '' END AS text,
+   3 + sum(CASE WHEN event_id % 4 = 0 THEN 3 ELSE 1 END) OVER (PARTITION BY event_id // 2000 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
+   FROM events)"""
+
+
+@query(
+    "log_events",
+    f"""WITH {_LOG_SQL} SELECT CAST(coalesce(n, 3) AS BIGINT) AS number, level, text FROM ev
+UNION ALL SELECT 1, 'TRACE', 'service started' || chr(10) || 'ready' FROM (SELECT DISTINCT page FROM ev)""",
+)
+def log_events(spark: SparkSession, folder: str) -> DataFrame:
+    return L.log_events(spark, _log_path(spark, folder)).select(F.col("number").cast("bigint").alias("number"), "level", "text")
+
+
+@query(
+    "log_search",
+    f"""WITH {_LOG_SQL} SELECT level, text FROM ev WHERE level = 'WARNING' AND contains(text, 'run-7') AND contains(text, 'caused by')
+ORDER BY page DESC, event_id DESC LIMIT 25""",
+)
+def log_search(spark: SparkSession, folder: str) -> DataFrame:
+    events = L.log_events(spark, _log_path(spark, folder))
+    paged = events.withColumn("file", F.lpad(F.regexp_extract("file", r"page=(\d+)", 1), 12, "0"))
+    return L.filter_log_events(paged, "RUN-7", "Caused By", "warn", 25).select("level", "text")
+
+
+@query(
+    "artifact_results",
+    """WITH r AS (SELECT 'test.shop.check_' || s_suppkey AS unique_id, CASE WHEN s_suppkey % 4 = 0 THEN 'Named ' || s_name ELSE 'check_' || s_suppkey END AS name,
+  ['pass', 'fail', 'error', 'skipped', 'pass'][s_suppkey % 5 + 1] AS status, s_acctbal AS execution_time,
+  CASE WHEN s_suppkey % 5 = 1 THEN '3' WHEN s_suppkey % 5 = 2 THEN 'broke' ELSE '' END AS message FROM supplier)
+SELECT *, status IN ('fail', 'error') AS mismatch FROM r""",
+)
+def artifact_results(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    unique = F.concat(F.lit("test.shop.check_"), s.cast("string"))
+    statuses = F.array(*[F.lit(x) for x in ("pass", "Fail", "error", "skipped", "pass")])
+    result = F.to_json(F.struct(
+        unique.alias("unique_id"), F.element_at(statuses, (s % 5 + 1).cast("int")).alias("status"),
+        F.col("s_acctbal").alias("execution_time"), F.when(s % 5 == 2, "broke").alias("message"),
+        F.when(s % 5 == 1, 3).alias("failures"),
+    ))
+    node = F.concat(F.lit('"'), unique, F.lit('": '), F.to_json(F.struct(F.concat(F.lit("Named "), "s_name").alias("name"))))
+    supplier = table(spark, folder, "supplier")
+    runs = _pages(supplier, "s_suppkey", result, '{"metadata": {"generated_at": "2024-01-01"}, "results": [', "]}", ",", "artifact")
+    manifest = _pages(supplier.where(s % 4 == 0), "s_suppkey", node, '{"nodes": {', "}}", ",", "manifest")
+    results = L.artifact_results(spark, runs, manifest)
+    bad = L.artifact_mismatches(results).select(F.col("key_values")["unique_id"].alias("unique_id"), F.lit(True).alias("mismatch"))
+    return results.join(bad, "unique_id", "left").select(
+        "unique_id", "name", "status", "execution_time", "message", F.coalesce("mismatch", F.lit(False)).alias("mismatch")
+    )
+
+
+# -- Pairs of files --------------------------------------------------------
+
+def _file_orders(spark: SparkSession, folder: str, target: bool) -> str:
+    """Orders split to one file per priority and year; the target drops one year and drifts one priority."""
+    k = F.col("o_orderkey")
+    orders = table(spark, folder, "orders").select(
+        k.alias("id"), F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("amount"),
+        F.substring("o_orderpriority", 1, 1).alias("p"), F.year("o_orderdate").cast("string").alias("y"),
+    )
+    columns = ["id", "custkey", "amount", "name"]
+    if not target:
+        name = F.concat(F.lit("sales_"), "p", F.lit("_"), "y", F.lit("0101.csv"))
+        return _named_files(orders.withColumn("name", name).select(*columns[:3], "name"), F.col("name"), "sales")
+    drifted = orders.where("y <> '1997'").withColumn(
+        "amount", F.when((F.col("p") == "2") & (F.col("id") % 5 == 0), F.col("amount") + 5).otherwise(F.col("amount"))
+    ).withColumn("id", F.when((F.col("p") == "3") & (F.col("y") == "1999") & (F.col("id") % 50 == 0), F.col("id") + 9000000).otherwise(F.col("id")))
+    name = F.concat(F.lit("fin-"), "p", F.lit("-"), "y", F.lit("0101.csv"))
+    return _named_files(drifted.withColumn("name", name).select(*columns[:3], "name"), F.col("name"), "fin")
+
+
+_FILES_SQL = """
+so AS (SELECT o_orderkey AS id, o_custkey AS custkey, o_totalprice AS amount, o_orderpriority[1:1] AS p, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
+fi AS (SELECT CASE WHEN p = '3' AND y = '1999' AND id % 50 = 0 THEN id + 9000000 ELSE id END AS id, custkey,
+         CASE WHEN p = '2' AND id % 5 = 0 THEN amount + 5 ELSE amount END AS amount, p, y FROM so WHERE y <> '1997'),
+pairs AS (SELECT coalesce(a.p, b.p) AS p, coalesce(a.y, b.y) AS y, a.p AS ap, b.p AS bp
+          FROM (SELECT DISTINCT p, y FROM so) a FULL OUTER JOIN (SELECT DISTINCT p, y FROM fi) b ON a.p = b.p AND a.y = b.y)
+"""
+_PAIR_JSON = """'{"p":"' || p || '","day":"' || y || '0101"}'"""
+_SOURCE_PATTERN, _TARGET_PATTERN = "sales_{p:num}_{day:%Y%m%d}.csv", "fin-{p:regex([0-9]{1,2})}-{day}.*"
+
+
+def _mapping(spark: SparkSession, folder: str) -> DataFrame:
+    return P.pair_by_tokens(
+        D.discover(spark, _file_orders(spark, folder, False), _SOURCE_PATTERN, "source"),
+        D.discover(spark, _file_orders(spark, folder, True), _TARGET_PATTERN, "target"), ["p", "day"],
+    )
+
+
+@query(
+    "pair_files_explicit",
+    f"""WITH {_FILES_SQL} SELECT {_PAIR_JSON} AS pair, CASE WHEN bp IS NULL THEN 'unmatched_source' ELSE 'paired' END AS status,
+  'sales_' || p || '_' || y || '0101.csv' AS source_file, CASE WHEN bp IS NOT NULL THEN 'fin-' || p || '-' || y || '0101.csv' END AS target_file FROM pairs""",
+)
+def pair_files_explicit(spark: SparkSession, folder: str) -> DataFrame:
+    return _mapping(spark, folder).select(
+        "pair", "status", F.col("source_files")[0]["file_name"].alias("source_file"), F.col("target_files")[0]["file_name"].alias("target_file")
+    )
+
+
+@query(
+    "file_readiness",
+    f"""WITH {_FILES_SQL} SELECT count(DISTINCT p || y) AS found, 3 AS expected, count(DISTINCT p || y) >= 3 AS ready FROM so""",
+)
+def file_readiness(spark: SparkSession, folder: str) -> DataFrame:
+    return D.readiness(D.discover(spark, _file_orders(spark, folder, False), _SOURCE_PATTERN), 3)
+
+
+_PAIR_RESULTS_SQL = f"""{_FILES_SQL},
+ j AS (SELECT coalesce(s.p, t.p) AS p, coalesce(s.y, t.y) AS y, s.id AS sid, t.id AS tid,
+   CASE WHEN s.id IS NOT NULL AND t.id IS NOT NULL AND s.custkey <> t.custkey THEN 1 ELSE 0 END
+   + CASE WHEN s.id IS NOT NULL AND t.id IS NOT NULL AND abs(s.amount - t.amount) > 1e-9 THEN 1 ELSE 0 END AS bad
+   FROM (SELECT * FROM so WHERE y <> '1997') s FULL OUTER JOIN fi t ON s.p = t.p AND s.y = t.y AND s.id = t.id),
+ pr AS (SELECT p, y, count(sid) AS source_row_count, count(tid) AS target_row_count, count(*) FILTER (WHERE sid IS NOT NULL AND tid IS NOT NULL) AS matched_count,
+   count(*) FILTER (WHERE tid IS NULL) AS missing_in_target_count, count(*) FILTER (WHERE sid IS NULL) AS missing_in_source_count,
+   CAST(sum(bad) AS BIGINT) AS value_mismatch_count FROM j GROUP BY 1, 2),
+ st AS (SELECT *, CASE WHEN missing_in_target_count + missing_in_source_count + value_mismatch_count = 0 THEN 'PASSED' ELSE 'FAILED' END AS status FROM pr)"""
+
+
+def _many(spark: SparkSession, folder: str) -> tuple[DataFrame, Comparison]:
+    return J.compare_many_files(
+        spark, _file_orders(spark, folder, False), _SOURCE_PATTERN, _file_orders(spark, folder, True), _TARGET_PATTERN,
+        ["p", "day"], CompareOptions(key_columns=["id"]), "csv",
+    )
+
+
+@query(
+    "multi_file_pairs",
+    f"""WITH {_PAIR_RESULTS_SQL} SELECT {_PAIR_JSON} AS pair, source_row_count, target_row_count, matched_count, missing_in_target_count,
+  missing_in_source_count, value_mismatch_count, status FROM st""",
+)
+def multi_file_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    mapping, comparison = _many(spark, folder)
+    return P.pair_results(comparison, mapping).withColumnRenamed(P.PAIR_KEY, "pair").drop("source_files", "target_files")
+
+
+@query(
+    "multi_file_rollup",
+    f"""WITH {_PAIR_RESULTS_SQL} SELECT count(*) AS pairs_total, count(*) FILTER (WHERE status = 'PASSED') AS pairs_passed,
+  count(*) FILTER (WHERE status = 'FAILED') AS pairs_failed, CAST(0 AS BIGINT) AS pairs_errored,
+  {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('source_row_count', 'target_row_count', 'matched_count', 'missing_in_target_count', 'missing_in_source_count', 'value_mismatch_count'))},
+  CASE WHEN bool_and(status = 'PASSED') THEN 'PASSED' ELSE 'FAILED' END AS status FROM st""",
+)
+def multi_file_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    mapping, comparison = _many(spark, folder)
+    return P.rolled_up(P.pair_results(comparison, mapping))
+
+
+@query(
+    "multi_file_records",
+    f"""WITH {_PAIR_RESULTS_SQL} SELECT {_PAIR_JSON} AS pair, coalesce(sid, tid) AS id, CASE WHEN tid IS NULL THEN 'missing_in_target'
+  WHEN sid IS NULL THEN 'missing_in_source' ELSE 'value_diff' END AS mismatch_type FROM j WHERE sid IS NULL OR tid IS NULL OR bad > 0""",
+)
+def multi_file_records(spark: SparkSession, folder: str) -> DataFrame:
+    _, comparison = _many(spark, folder)
+    key = F.col("key_values")
+    return comparison.records().select(key[P.PAIR_KEY].alias("pair"), key["id"].cast("bigint").alias("id"), "mismatch_type")
+
+
+@query(
+    "pair_files_similarity",
+    f"""WITH {_FILES_SQL} SELECT 'sales_' || p || '_' || y || '0101.csv' AS source_file, 'fin-' || p || '-' || y || '0101.csv' AS target_file,
+  CAST(1 AS DOUBLE) AS column_signature, CAST(1 AS DOUBLE) AS row_count_ratio FROM pairs WHERE bp IS NOT NULL""",
+)
+def pair_files_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    source = D.list_files(spark, _file_orders(spark, folder, False)).where("file_name not like '%_19970101.csv'")
+    target = D.list_files(spark, _file_orders(spark, folder, True))
+    pairs = P.pair_by_likeness(
+        D.describe_delimited(spark, source.select("path", "file_name")), D.describe_delimited(spark, target.select("path", "file_name")), 0.7
+    )
+    return pairs.select("source_file", "target_file", "column_signature", "row_count_ratio")
+
+
+# -- Exports ---------------------------------------------------------------
+
+
+def _comparison(spark: SparkSession, folder: str) -> Comparison:
+    return Comparison(orders_source(spark, folder), orders_target(spark, folder), CompareOptions(key_columns=["o_orderkey"]))
+
+
+@query(
+    "difference_export",
+    f"""WITH {ORDERS_SQL}, r AS ({_records_sql()}), f AS (SELECT unnest(['csv', 'json', 'parquet']) AS format)
+SELECT format, column_name, mismatch_type, count(*) AS n, count(*) FILTER (WHERE coalesce(target_value, '') = '') AS blank_targets,
+  round(sum(delta), 2) AS delta FROM r, f GROUP BY 1, 2, 3""",
+)
+def difference_export(spark: SparkSession, folder: str) -> DataFrame:
+    records = _comparison(spark, folder).records()
+    schema = ", ".join(f"{n} {'double' if n.endswith('delta') else 'string'}" for n in K.DIFFERENCE_FIELDS)
+    parts = []
+    for fmt in ("csv", "json", "parquet"):
+        path = K.export_differences(records, "orders", scratch_path(spark, "export"), fmt)
+        reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+        parts.append(reader.format(fmt).load(path).withColumn("format", F.lit(fmt)))
+    return R.union_all(parts).groupBy("format", "column_name", "mismatch_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.coalesce("target_value", F.lit("")) == "").alias("blank_targets"), F.round(F.sum("delta"), 2).alias("delta"),
+    )
+
+
+@query(
+    "stored_difference_export",
+    f"""WITH {ORDERS_SQL}, r AS ({_records_sql()}) SELECT column_name, count(*) AS n FROM r WHERE o_orderkey % 2 = 1 GROUP BY 1""",
+)
+def stored_difference_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of two runs appended to a history table, one of them exported again."""
+    records = _comparison(spark, folder).records().withColumn("test_name", F.lit("orders"))
+    key = F.col("key_values")["o_orderkey"].cast("bigint")
+    store = scratch_path(spark, "records")
+    K.append_history(records.where(key % 2 == 0), store, "r1")
+    K.append_history(records.where(key % 2 == 1), store, "r2")
+    path = K.export_stored_differences(spark.read.parquet(store), "r2", scratch_path(spark, "export"), "parquet")
+    return spark.read.parquet(path).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "capped_export",
+    f"""WITH {ORDERS_SQL}, r AS ({_records_sql()}) SELECT least(count(*), 50) AS rows, 6 AS fields FROM r""",
+)
+def capped_export(spark: SparkSession, folder: str) -> DataFrame:
+    path = K.export_capped(_comparison(spark, folder).records(), "orders", scratch_path(spark, "capped"), limit=50)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(back.columns)).alias("fields"))
+
+
+@query(
+    "results_export",
+    f"""WITH {RESULTS_SQL} SELECT run_id, job_name AS query_name, status, effective AS effective_status, source_row_count, value_mismatch_count FROM eff""",
+)
+def results_export(spark: SparkSession, folder: str) -> DataFrame:
+    results = _results(spark, folder).withColumn("target_row_count", F.col("source_row_count"))
+    path = K.export_results(results, scratch_path(spark, "results"))
+    back = R.read_delimited(spark, path)
+    return back.select("run_id", "query_name", "status", "effective_status", "source_row_count", "value_mismatch_count")
+
+
+@query(
+    "metrics_export",
+    f"""WITH {RESULTS_SQL} SELECT run_id, count(*) AS total_tests, count(*) FILTER (WHERE status = 'FAILED') AS failed FROM eff GROUP BY 1""",
+)
+def metrics_export(spark: SparkSession, folder: str) -> DataFrame:
+    path = K.write_metrics(_results(spark, folder), scratch_path(spark, "metrics"))
+    return R.read_json_lines(spark, path).select("run_id", "total_tests", "failed")
+
+
+@query(
+    "manifest_export",
+    f"""WITH {_FILES_SQL} SELECT 'r1' AS run_id, 'explicit' AS strategy, CASE WHEN bp IS NULL THEN 'unmatched_source' ELSE 'paired' END AS status, count(*) AS groups
+FROM pairs GROUP BY 3""",
+)
+def manifest_export(spark: SparkSession, folder: str) -> DataFrame:
+    path = K.write_manifest(_mapping(spark, folder), "r1", "orders by file", "explicit", scratch_path(spark, "manifest"))
+    return R.read_json_lines(spark, path).groupBy("run_id", "strategy", "status").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query(
+    "artifact_reload",
+    f"""WITH {_FILES_SQL} SELECT count(*) AS rows, count(DISTINCT p || y) AS pairs, round(sum(amount), 2) AS amount FROM so WHERE y <> '1997'""",
+)
+def artifact_reload(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all pairs kept by one run and loaded again through its results."""
+    rows = P.pair_rows(spark, _mapping(spark, folder), "source", "csv")
+    place = K.persist_pairs(rows, scratch_path(spark, "pairs"), "r1", "orders", "source")
+    results = spark.createDataFrame([("r1", "orders", place)], "run_id string, job_name string, source_artifact_path string")
+    return K.load_artifact(results, "r1", "orders").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(P.PAIR_KEY).alias("pairs"), F.round(F.sum("amount"), 2).alias("amount")
+    )
+
+
+# -- Jobs ------------------------------------------------------------------
+
+
+@query(
+    "transform_case",
+    """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS revenue FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+ e AS (SELECT day, CASE WHEN day(day) = 13 THEN revenue + 1 ELSE revenue END AS revenue FROM o WHERE month(day) <> 2)
+SELECT CASE WHEN e.day IS NULL THEN 'missing_in_target' ELSE 'value_diff' END AS mismatch_type, CAST(o.day AS VARCHAR) AS day
+FROM o LEFT JOIN e ON o.day = e.day WHERE e.day IS NULL OR abs(o.revenue - e.revenue) > 0.5""",
+)
+def transform_case(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders")
+    expected = orders.where("o_orderstatus <> 'P'").groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.sum("o_totalprice").alias("revenue")
+    ).where(F.month("day") != 2).withColumn(
+        "revenue", F.when(F.dayofmonth("day") == 13, F.col("revenue") + 1).otherwise(F.col("revenue"))
+    )
+    case = J.TransformCase(
+        "SELECT to_date(o_orderdate) AS day, sum(o_totalprice) AS revenue FROM sales WHERE o_orderstatus <> 'P' GROUP BY 1",
+        {"sales": orders}, expected, ["day"], 0.5,
+    )
+    return case.run().records().select("mismatch_type", F.to_date(F.col("key_values")["day"]).cast("string").alias("day"))
+
+
+@query(
+    "query_against_query",
+    _counts_sql(
+        """
+src AS (SELECT o_custkey AS k, count(*) AS orders, max(o_totalprice) AS top FROM orders GROUP BY 1),
+tgt AS (SELECT o_custkey AS k, count(*) AS orders, max(o_totalprice) AS top FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1)
+""",
+        "s.k = t.k", {"orders": differs_sql("orders"), "top": differs_sql("top", 1e-9)},
+    ),
+)
+def query_against_query(spark: SparkSession, folder: str) -> DataFrame:
+    sql = "SELECT o_custkey AS customer_id, count(*) AS orders, max(o_totalprice) AS top FROM o{} GROUP BY 1"
+    found = J.compare_queries(
+        spark, sql.format(""), sql.format(" WHERE o_orderkey % 50 <> 0"), CompareOptions(), {"o": table(spark, folder, "orders")}
+    )
+    return found.summary().select(*COUNTS)
+
+
+@query(
+    "file_against_file",
+    _counts_sql(ORDERS_SQL, "s.o_orderkey = t.o_orderkey", _differences(skip=("o_orderdate", "o_orderpriority"))),
+)
+def file_against_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV export against a JSON-lines export."""
+    drop = ("o_orderdate", "o_orderpriority")
+    a = K.write_table(orders_source(spark, folder).drop(*drop), scratch_path(spark, "file-a"), "csv")
+    b = K.write_table(orders_target(spark, folder).drop(*drop), scratch_path(spark, "file-b"), "json")
+    found = J.compare_files(spark, a, b, CompareOptions(key_columns=["o_orderkey"]), "csv", "jsonl")
+    return found.summary().select(*COUNTS)
+
+
+@query(
+    "pages_against_pages",
+    """SELECT count(*) AS matched_count, CAST(0 AS BIGINT) AS value_mismatch_count, 'PASSED' AS status FROM orders""",
+)
+def pages_against_pages(spark: SparkSession, folder: str) -> DataFrame:
+    found = J.compare_pages(
+        spark, _nested_pages(spark, folder), _nested_pages(spark, folder), CompareOptions(), "data.items"
+    )
+    return found.summary().select("matched_count", "value_mismatch_count", "status")
+
+
+@query(
+    "pass_condition",
+    f"""WITH {RESULTS_SQL}, c AS (SELECT *, [x for x in [CASE WHEN source_row_count < 50 THEN 1 END, CASE WHEN value_mismatch_count > 8 THEN 1 END,
+   CASE WHEN missing_in_target_count > 2 THEN 1 END, CASE WHEN status NOT IN ('PASSED', 'SLOW') THEN 1 END, 1] if x IS NOT NULL] AS v FROM hist)
+SELECT run_id, job_name, CAST(len(v) AS INTEGER) AS violations, value_mismatch_count + len(v) AS value_mismatch_count, 'FAILED' AS status FROM c""",
+)
+def pass_condition(spark: SparkSession, folder: str) -> DataFrame:
+    condition = J.PassCondition(
+        min_row_count=50, max_value_mismatches=8, max_missing_in_target=2, require_status=("PASSED", "SLOW"),
+        pass_sql="SELECT * FROM customer WHERE c_acctbal < 0", pass_sql_mode="rows_mean_fail",
+        views={"customer": table(spark, folder, "customer")},
+    )
+    return J.apply_pass_condition(_results(spark, folder), condition).select(
+        "run_id", "job_name", F.size("violations").alias("violations"), "value_mismatch_count", "status"
+    )
+
+
+@query(
+    "violations_folded",
+    """WITH r AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS bad FROM customer)
+SELECT 'c_acctbal' AS column_name, 1 AS mismatch_count, n AS compared_rows, 'FAILED' AS status, CAST(2 AS BIGINT) AS total FROM r
+UNION ALL SELECT '(none)', 1, n, 'FAILED', 2 FROM r
+UNION ALL SELECT c, 0, n, 'FAILED', 2 FROM r, (SELECT unnest(['c_name', 'c_nationkey', 'c_mktsegment']) AS c)""",
+)
+def violations_folded(spark: SparkSession, folder: str) -> DataFrame:
+    customer = table(spark, folder, "customer")
+    comparison = Comparison(customer, customer, CompareOptions(key_columns=["c_custkey"]))
+    found = evaluate(customer, [
+        Rule("column_value_between", "c_acctbal", min_value=0), Rule("row_count_max", max_value=10, severity="warn"),
+    ])
+    result = J.fold_violations(comparison.summary(), found)
+    summary = J.summary_with_violations(comparison.by_column(), found, comparison.census.source_rows)
+    # The folded result is one row.
+    return summary.join(result.select("status", F.col("value_mismatch_count").alias("total"))).select(
+        "column_name", F.col("mismatch_count").cast("int").alias("mismatch_count"), "compared_rows", "status", "total"
+    )
+
+
+@query(
+    "two_environments",
+    f"""WITH {RESULTS_SQL}, b AS (SELECT *, CASE WHEN job_name = 'click' THEN 'PASSED' WHEN job_name = 'view' THEN 'FAILED' ELSE effective END AS other FROM eff WHERE run_id = '2024-01-06')
+SELECT job_name AS test_name, effective AS status_a, other AS status_b, CASE WHEN effective = 'PASSED' AND other <> 'PASSED' THEN 'regressed'
+  WHEN effective <> 'PASSED' AND other = 'PASSED' THEN 'improved' ELSE 'unchanged' END AS change FROM b""",
+)
+def two_environments(spark: SparkSession, folder: str) -> DataFrame:
+    a = _results(spark, folder).where("run_id = '2024-01-06'")
+    b = a.withColumn(
+        "override_status",
+        F.when(F.col("job_name") == "click", "PASSED").when(F.col("job_name") == "view", "FAILED").otherwise(F.col("override_status")),
+    )
+    return J.compare_environments(a, b).select("test_name", "status_a", "status_b", "change")
+
+
+@query(
+    "format_validation",
+    """SELECT 'c_acctbal' AS column_name, 'type_mismatch' AS problem, 'int64' AS expected_type, 'float64' AS actual_type FROM (SELECT count(*) FROM customer)""",
+)
+def format_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """A written file read strictly and held against an expected schema."""
+    path = K.write_table(table(spark, folder, "customer"), scratch_path(spark, "validate"), "parquet")
+    return S.expected_schema_diff(
+        R.read_files(spark, path, "parquet"),
+        {"c_custkey": "int64", "c_name": "string", "c_nationkey": "int", "c_acctbal": "bigint", "c_mktsegment": "string"},
+    )

@@ -326,6 +326,36 @@ class Comparison:
             F.lit(slow).alias("slow"),
         )
 
+    def summary_by(self, key: str) -> DataFrame:
+        """One result row per value of one key column, all from the same census and join."""
+        i = self.keys.index(key)
+        m, n = F.col("m"), F.col("n")
+        wide = "bigint" if self.census.matched < _BIGINT_MAX else "decimal(38,0)"
+        counts = self.key_counts.groupBy(F.col(f"k{i}").alias("g")).agg(
+            F.sum("m").alias("source_row_count"), F.sum("n").alias("target_row_count"),
+            F.sum(m.cast(wide) * n.cast(wide)).cast(wide).alias("matched_count"),
+            F.coalesce(F.sum(F.when(n == 0, m)), F.lit(0)).alias("missing_in_target_count"),
+            F.coalesce(F.sum(F.when(m == 0, n)), F.lit(0)).alias("missing_in_source_count"),
+        )
+        out = counts.withColumn("value_mismatch_count", F.lit(0).cast(self._count_type()))
+        if self.columns:
+            on = same_key("sk", "tk", len(self.keys), self.census.null_keys > 0)
+            joined = self._part(self.source, "s", "left_anti").join(
+                self._part(self.target, "t", "left_anti"), on, "inner"
+            )
+            cellwise = sum(
+                (self._differs(j).cast("int") for j in range(1, len(self.columns))), self._differs(0).cast("int")
+            )
+            found = joined.groupBy(F.col(f"sk{i}").alias("h")).agg(F.sum(cellwise).cast(self._count_type()).alias("c"))
+            if self.census.heavy_keys:
+                heavy = self._heavy_values.groupBy(F.col(f"k{i}").alias("h")).agg(F.sum("pairs").cast(self._count_type()).alias("c"))
+                found = found.unionAll(heavy).groupBy("h").agg(F.sum("c").cast(self._count_type()).alias("c"))
+            out = counts.join(found, F.col("g").eqNullSafe(F.col("h")), "left").withColumn(
+                "value_mismatch_count", F.coalesce("c", F.lit(0).cast(self._count_type()))
+            ).drop("h", "c")
+        issues = F.col("missing_in_target_count") + F.col("missing_in_source_count") + F.col("value_mismatch_count")
+        return out.withColumn("status", F.when(issues == 0, PASSED).otherwise(FAILED)).withColumnRenamed("g", key)
+
     # -- records -----------------------------------------------------------
 
     def _record(self, category: int, ordinal: int, column: str, s: Column, t: Column, kind: str,
