@@ -35,11 +35,11 @@ def _pages(df: DataFrame, key: str, line: Column, head: str, tail: str, glue: st
     return f"{path}/*"
 
 
-def _named_files(df: DataFrame, name: Column, label: str) -> str:
-    """One header CSV per name; Spark chooses part names, so each is renamed by the file system."""
+def _named_files(df: DataFrame, name: str, label: str) -> str:
+    """One header CSV per value of the name column; Spark chooses part names, so each is renamed by the file system."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.withColumn("__file", name).repartition("__file").sortWithinPartitions("__file").write.partitionBy("__file").option(
+    df.withColumnRenamed(name, "__file").repartition("__file").sortWithinPartitions("__file").write.partitionBy("__file").option(
         "header", True
     ).csv(f"{path}-parts")
     jvm = spark.sparkContext._jvm
@@ -254,7 +254,7 @@ def _log_path(spark: SparkSession, folder: str) -> str:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss "), level[F.col("event_type")], F.lit("run-"), F.col("user_id").cast("string"),
         F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\n  at step "), F.col("event_id").cast("string"), F.lit("\n  caused by value"))).otherwise(""),
     )
-    return _pages(table(spark, folder, "events"), "event_id", line, "service started\nready\n", "\n", "\n", "logs")
+    return _pages(table(spark, folder, "events"), "event_id", line, "service started\nready\n", "", "\n", "logs")
 
 
 _LOG_SQL = """
@@ -323,15 +323,14 @@ def _file_orders(spark: SparkSession, folder: str, target: bool) -> str:
         k.alias("id"), F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("amount"),
         F.substring("o_orderpriority", 1, 1).alias("p"), F.year("o_orderdate").cast("string").alias("y"),
     )
-    columns = ["id", "custkey", "amount", "name"]
     if not target:
         name = F.concat(F.lit("sales_"), "p", F.lit("_"), "y", F.lit("0101.csv"))
-        return _named_files(orders.withColumn("name", name).select(*columns[:3], "name"), F.col("name"), "sales")
+        return _named_files(orders.withColumn("name", name).select("id", "custkey", "amount", "name"), "name", "sales")
     drifted = orders.where("y <> '1997'").withColumn(
         "amount", F.when((F.col("p") == "2") & (F.col("id") % 5 == 0), F.col("amount") + 5).otherwise(F.col("amount"))
     ).withColumn("id", F.when((F.col("p") == "3") & (F.col("y") == "1999") & (F.col("id") % 50 == 0), F.col("id") + 9000000).otherwise(F.col("id")))
     name = F.concat(F.lit("fin-"), "p", F.lit("-"), "y", F.lit("0101.csv"))
-    return _named_files(drifted.withColumn("name", name).select(*columns[:3], "name"), F.col("name"), "fin")
+    return _named_files(drifted.withColumn("name", name).select("id", "custkey", "amount", "name"), "name", "fin")
 
 
 _FILES_SQL = """

@@ -236,39 +236,67 @@ def read_pages(spark: SparkSession, path: str, root: str = "", fmt: str = "json"
 def record_tag(pieces: Sequence[str]) -> str:
     """The element that stands for a row, judged by the tags at the head of a file.
 
-    ``pieces`` is the text cut behind every ``>``. Below the root, and further
-    down through single wrappers, a preferred name wins, then a repeated one.
+    ``pieces`` is the text cut behind every ``>``. An element that repeats below
+    the root is a row; a single one is looked into for rows of its own. Of all
+    that is found a preferred name wins, then one that repeats.
     """
+    paths = _element_paths(pieces)
+    if not paths:
+        raise ValueError("no XML elements found")
+    root = paths[0]
+    below = Counter(_children(paths, root))
+    found: Counter[str] = Counter()
+    for name, n in below.items():
+        inner = _row_group(paths, (*root, name)) if n == 1 else None
+        found.update({inner[0]: inner[1]} if inner else {name: n})
+    for name in RECORD_TAGS:
+        for tag in found:
+            if tag.lower() == name:
+                return tag
+    repeated = [tag for tag, n in found.items() if n > 1]
+    if repeated:
+        return repeated[0]
+    whole = _row_group(paths, root)
+    return whole[0] if whole else root[-1]
+
+
+def _element_paths(pieces: Sequence[str]) -> list[tuple[str, ...]]:
+    """The path from the root of every element that starts within the pieces."""
     paths: list[tuple[str, ...]] = []
     stack: list[str] = []
     for piece in pieces:
         tag = piece[piece.rfind("<") + 1:] if "<" in piece else ""
         if not tag or tag[0] in "?!":
             continue
-        name = re.split(r"[\s/]", tag.lstrip("/"), maxsplit=1)[0].split(":")[-1]
         if tag.startswith("/"):
             if stack:
                 stack.pop()
             continue
+        name = re.split(r"[\s/]", tag, maxsplit=1)[0].split(":")[-1]
         paths.append((*stack, name))
         if not tag.endswith("/"):
             stack.append(name)
-    if not paths:
-        raise ValueError("no XML elements found")
-    at = paths[0]
-    while True:
-        children = [p[-1] for p in paths if len(p) == len(at) + 1 and p[: len(at)] == at]
-        for name in RECORD_TAGS:
-            for child in children:
-                if child.lower() == name:
-                    return child
-        repeated = [c for c, n in Counter(children).items() if n > 1]
-        if repeated:
-            return repeated[0]
-        parents = [c for c in dict.fromkeys(children) if any(p[: len(at) + 1] == (*at, c) and len(p) > len(at) + 1 for p in paths)]
-        if len(parents) != 1:
-            return paths[0][-1]
-        at = (*at, parents[0])
+    return paths
+
+
+def _children(paths: Sequence[tuple[str, ...]], at: tuple[str, ...]) -> list[str]:
+    return [p[-1] for p in paths if len(p) == len(at) + 1 and p[: len(at)] == at]
+
+
+def _row_group(paths: Sequence[tuple[str, ...]], at: tuple[str, ...], levels: int = 8) -> tuple[str, int] | None:
+    """The preferred or repeated children of an element, found through single wrappers."""
+    children = Counter(_children(paths, at))
+    for name in RECORD_TAGS:
+        for tag, n in children.items():
+            if tag.lower() == name:
+                return tag, n
+    for tag, n in children.items():
+        if n > 1:
+            return tag, n
+    wrappers = [tag for tag in children if _children(paths, (*at, tag))]
+    if len(wrappers) == 1 and levels > 1:
+        return _row_group(paths, (*at, wrappers[0]), levels - 1)
+    return None
 
 
 def read_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = None) -> DataFrame:
@@ -305,7 +333,7 @@ def _spread(df: DataFrame) -> DataFrame:
         for i, f in enumerate(arrays):
             checks.append(F.max(F.size(q(f.name))).alias(f"n{i}"))
             if keyed[f.name]:
-                names = F.transform(q(f.name), lambda x, k=keyed[f.name]: x.getField(k))
+                names = q(f.name).getField(keyed[f.name])
                 distinct = F.size(F.array_distinct(names)) == F.size(names)
                 checks.append(F.bool_and(F.coalesce(distinct, F.lit(True))).alias(f"d{i}"))
                 checks.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set(names)))).alias(f"k{i}"))
@@ -317,9 +345,7 @@ def _spread(df: DataFrame) -> DataFrame:
                 continue
             i = arrays.index(f)
             if keyed[f.name] and row[f"d{i}"]:
-                pairs = F.map_from_entries(F.transform(
-                    q(f.name), lambda x, k=keyed[f.name]: F.struct(x.getField(k), x.getField("@_VALUE"))
-                ))
+                pairs = F.map_from_arrays(q(f.name).getField(keyed[f.name]), q(f.name).getField("@_VALUE"))
                 prefix = f.name.rsplit(".", 1)[0] + "." if "." in f.name else ""
                 out += [F.try_element_at(pairs, F.lit(k)).alias(f"{prefix}{k}") for k in row[f"k{i}"]]
             else:
