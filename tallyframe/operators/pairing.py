@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.operators.reconcile import Comparison, CompareOptions
 from tallyframe.session import materialise
@@ -45,7 +46,7 @@ def pair_by_tokens(source: DataFrame, target: DataFrame, match_on: Sequence[str]
     return joined.withColumn("status", status)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _stem_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two file names without their last extension."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

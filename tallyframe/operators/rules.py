@@ -537,12 +537,12 @@ def _outside(what: str, value: float | None, low: float, high: float):
     return value, f"{what} is {value}, not in [{low}, {high}]"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: stats.normal_tail(-v))
 
 
-@F.pandas_udf("lower double, upper double")
+@F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
 def log_cdf_pair(z: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({
         "lower": z.map(stats.log_normal_cdf), "upper": (-z).map(stats.log_normal_cdf),
