@@ -32,21 +32,29 @@ def profile(df: DataFrame, columns: Sequence[str] = (), approximate: bool = Fals
     names = [c for c in (columns or df.columns) if c in df.columns]
     df = df.select(*[cells.q(c) for c in names])
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    # Bounds of text need an aggregate without code generation, so they do not
+    # share one with the rest.
+    text_bounds: list[Column] = []
     numeric = []
     for i, name in enumerate(names):
         t = df.schema[name].dataType
         c, x = cells.q(name), cells.number(cells.q(name), t)
         plain = c if not isinstance(t, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(c)
-        aggs += [
-            F.count(c).alias(f"c{i}"), F.min(plain).cast("string").alias(f"lo{i}"),
-            F.max(plain).cast("string").alias(f"hi{i}"),
-        ]
+        bounds = [F.min(plain).cast("string").alias(f"lo{i}"), F.max(plain).cast("string").alias(f"hi{i}")]
+        aggs.append(F.count(c).alias(f"c{i}"))
+        if cells.is_numeric(t) or cells.is_temporal(t) or isinstance(t, T.BooleanType):
+            aggs += bounds
+        else:
+            text_bounds += bounds
         if cells.is_numeric(t) or isinstance(t, (T.StringType, T.BooleanType)):
             numeric.append(i)
             aggs += [F.count(x).alias(f"x{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-        if approximate:
-            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
     row = df.agg(*aggs).first().asDict()
+    if text_bounds:
+        row.update(df.agg(*text_bounds).first().asDict())
+    if approximate:
+        sketches = [F.approx_count_distinct(cells.q(n)).alias(f"d{i}") for i, n in enumerate(names)]
+        row.update(df.agg(*sketches).first().asDict())
     numeric = [i for i in numeric if row[f"x{i}"]]
     numbers = df.select(*[
         cells.number(cells.q(names[i]), df.schema[names[i]].dataType).alias(names[i]) for i in numeric

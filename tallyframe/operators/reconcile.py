@@ -358,12 +358,10 @@ class Comparison:
 
     # -- records -----------------------------------------------------------
 
-    def _record(self, category: int, ordinal: int, column: str, s: Column, t: Column, kind: str,
+    def _record(self, column: str, s: Column, t: Column, kind: str,
                 delta: Column | None = None, relative: Column | None = None) -> Column:
         none = F.lit(None).cast("double")
         return F.struct(
-            F.lit(category).alias("category"),
-            F.lit(ordinal).alias("ordinal"),
             F.lit(column).alias("column_name"),
             s.alias("source_value"),
             t.alias("target_value"),
@@ -376,7 +374,7 @@ class Comparison:
         s, t = F.col(f"s{i}"), F.col(f"t{i}")
         st, tt = self._types[i]
         return self._record(
-            2, i, self.columns[i], cells.text(s, st), cells.text(t, tt), VALUE_DIFF,
+            self.columns[i], cells.text(s, st), cells.text(t, tt), VALUE_DIFF,
             cells.delta(s, st, t, tt), cells.relative_delta(s, st, t, tt),
         )
 
@@ -407,38 +405,46 @@ class Comparison:
         a differing target value, and has no single target value to show.
         """
         n = len(self.keys)
-        o = self.options
         on = same_key("sk", "tk", n, self.census.null_keys > 0)
         joined = (
             self._part(self.source, "s", "left_anti").withColumn("in_s", F.lit(True))
             .join(self._part(self.target, "t", "left_anti").withColumn("in_t", F.lit(True)), on, "full_outer")
         )
-        ks = [
-            F.when(F.col("in_s"), F.col(f"sk{i}")).otherwise(F.col(f"tk{i}")) for i in range(n)
+        both = F.col("in_s").isNotNull() & F.col("in_t").isNotNull()
+        width = len(self.columns)
+        # One small code per finding: a column's ordinal, or which side is missing.
+        codes = [F.when(both & self._differs(i), F.lit(i)) for i in range(width)]
+        codes += [F.when(F.col("in_t").isNull(), F.lit(-2)), F.when(F.col("in_s").isNull(), F.lit(-1))]
+        ks = [F.when(F.col("in_s"), F.col(f"sk{i}")).otherwise(F.col(f"tk{i}")).alias(f"k{i}") for i in range(n)]
+        cell_columns = [F.col(f"{side}{i}") for side in "st" for i in range(width)]
+        found = joined.select(*ks, *cell_columns, F.explode(F.array(*codes)).alias("code")).where("code is not null")
+        names = [f"k{i}" for i in range(n)]
+        key_cols = [F.col(k) for k in names]
+        order = [
+            F.col("category"), F.col("ordinal"), *[k.asc_nulls_first() for k in key_cols], F.col("tie"),
         ]
+        found = found.withColumn("category", F.when(F.col("code") == -2, 0).when(F.col("code") == -1, 1).otherwise(2))
+        found = found.withColumn("ordinal", F.greatest(F.col("code"), F.lit(-1)))
+        if limit is not None:
+            # The first ones are picked before any value is turned into text.
+            found = found.withColumn("tie", F.xxhash64(*cell_columns)).orderBy(*order).limit(limit)
+        else:
+            found = found.withColumn("tie", F.lit(0).cast("bigint"))
         present, missing = F.lit("present"), F.lit("missing")
-        gone = self._record(0, -1, ROW_COLUMN, present, missing, MISSING_IN_TARGET)
-        new = self._record(1, -1, ROW_COLUMN, missing, present, MISSING_IN_SOURCE)
-        cell_diffs = F.array_compact(
-            F.array(*[F.when(self._differs(i), self._cell_record(i)) for i in range(len(self.columns))])
-        ) if self.columns else None
-        found = F.when(F.col("in_t").isNull(), F.array(gone)).when(F.col("in_s").isNull(), F.array(new))
-        if cell_diffs is not None:
-            found = found.otherwise(cell_diffs)
-        light = joined.select(
-            *[k.alias(f"k{i}") for i, k in enumerate(ks)],
-            self._segment_map(ks, "st").alias("segment_values"),
-            F.explode(found).alias("r"),
-        ).select(*[f"k{i}" for i in range(n)], "segment_values", "r.*", F.lit(1).cast("bigint").alias("pair_count"))
-        all_records = light
+        record = F.when(F.col("code") == -2, self._record(ROW_COLUMN, present, missing, MISSING_IN_TARGET)).when(
+            F.col("code") == -1, self._record(ROW_COLUMN, missing, present, MISSING_IN_SOURCE)
+        )
+        for i in range(width):
+            record = record.when(F.col("code") == i, self._cell_record(i))
+        out = found.select(
+            *names, "category", "ordinal", "tie", self._segment_map(key_cols, "st").alias("segment_values"),
+            F.lit(1).cast("bigint").alias("pair_count"), record.alias("r"),
+        ).select(*names, "category", "ordinal", "tie", "segment_values", "pair_count", "r.*")
         if self.census.heavy_keys:
-            all_records = light.unionByName(self._heavy_records())
-        key_cols = [F.col(f"k{i}") for i in range(n)]
-        if limit is not None:
-            order = [F.col("category"), F.col("ordinal")] + [k.asc_nulls_first() for k in key_cols]
-            tail = [F.col("source_value").asc_nulls_first(), F.col("target_value").asc_nulls_first()]
-            all_records = all_records.orderBy(*order, *tail).limit(limit)
-        return all_records.select(
+            out = out.unionByName(self._heavy_records())
+            if limit is not None:
+                out = out.orderBy(*order).limit(limit)
+        return out.select(
             self._key_map(key_cols).alias("key_values"),
             "column_name", "source_value", "target_value", "mismatch_type",
             "delta", "relative_delta", "segment_values", "pair_count",
@@ -568,28 +574,30 @@ class Comparison:
         names = [f"k{i}" for i in range(nk)]
         present, missing = F.lit("present"), F.lit("missing")
 
-        def one_sided(side: DataFrame, tag: str, where: str, record: Column) -> DataFrame:
+        def one_sided(side: DataFrame, tag: str, where: str, category: int, record: Column) -> DataFrame:
             rows = self._part(side, tag, "left_semi", self._heavy.where(where))
             ks = self._keys_of(tag)
             return rows.select(
                 *[c.alias(k) for c, k in zip(ks, names)],
-                self._segment_map(ks, tag).alias("segment_values"), record.alias("r"),
-            ).select(*names, "segment_values", "r.*", F.lit(1).cast("bigint").alias("pair_count"))
+                F.lit(category).alias("category"), F.lit(-1).alias("ordinal"), F.lit(0).cast("bigint").alias("tie"),
+                self._segment_map(ks, tag).alias("segment_values"), F.lit(1).cast("bigint").alias("pair_count"),
+                record.alias("r"),
+            ).select(*names, "category", "ordinal", "tie", "segment_values", "pair_count", "r.*")
 
         gone = one_sided(
-            self.source, "s", "n = 0", self._record(0, -1, ROW_COLUMN, present, missing, MISSING_IN_TARGET)
+            self.source, "s", "n = 0", 0, self._record(ROW_COLUMN, present, missing, MISSING_IN_TARGET)
         )
         new = one_sided(
-            self.target, "t", "m = 0", self._record(1, -1, ROW_COLUMN, missing, present, MISSING_IN_SOURCE)
+            self.target, "t", "m = 0", 1, self._record(ROW_COLUMN, missing, present, MISSING_IN_SOURCE)
         )
         none = F.lit(None)
         label = F.element_at(F.array(*[F.lit(c) for c in self.columns] or [F.lit("")]), F.col("ordinal") + 1)
         cellwise = self._heavy_values.select(
-            *names, none.cast("map<string,string>").alias("segment_values"),
-            F.lit(2).alias("category"), "ordinal", label.alias("column_name"), "source_value",
-            none.cast("string").alias("target_value"), F.lit(VALUE_DIFF).alias("mismatch_type"),
-            none.cast("double").alias("delta"), none.cast("double").alias("relative_delta"),
-            F.col("pairs").cast("bigint").alias("pair_count"),
+            *names, F.lit(2).alias("category"), "ordinal", F.xxhash64("source_value").alias("tie"),
+            none.cast("map<string,string>").alias("segment_values"), F.col("pairs").cast("bigint").alias("pair_count"),
+            label.alias("column_name"), "source_value", none.cast("string").alias("target_value"),
+            F.lit(VALUE_DIFF).alias("mismatch_type"), none.cast("double").alias("delta"),
+            none.cast("double").alias("relative_delta"),
         )
         return gone.unionByName(new).unionByName(cellwise)
 
