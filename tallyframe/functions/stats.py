@@ -17,7 +17,7 @@ def normal_tail(z: float) -> float:
 
 def log_normal_cdf(z: float) -> float:
     if z < -37.0:
-        return -0.5 * z * z - math.log(-z) - 0.5 * math.log(2 * math.pi)
+        return -0.5 * z * z - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-1 / z**2 + 3 / z**4)
     return math.log(normal_tail(-z))
 
 

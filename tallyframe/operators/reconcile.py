@@ -8,6 +8,7 @@ distinct value, so no list of pairs is ever built for them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
@@ -523,23 +524,15 @@ class Comparison:
         running totals at its ends.
         """
         nk = len(self.keys)
-        tol = F.element_at(
-            F.create_map(*[
-                x for i in near for x in (
-                    F.lit(i),
-                    F.lit(
-                        self._tolerance(i) if self._kinds[i] == "tolerant"
-                        else float(round(self.options.datetime_tolerance_seconds * 1_000_000))
-                    ),
-                )
-            ]),
-            F.col("ordinal"),
-        )
+        tolerances = {
+            i: self._tolerance(i) if self._kinds[i] == "tolerant"
+            else float(round(self.options.datetime_tolerance_seconds * 1_000_000))
+            for i in near
+        }
         names = [f"k{i}" for i in range(nk)]
         x = F.col("x")
-        step = 1.12e-16  # adding |x| times this moves a double to its neighbour
-        high = _end(x + tol, lambda c: (c == x) | (c - x <= tol), step, F.array_max)
-        low = _end(x - tol, lambda c: (c == x) | (x - c <= tol), step, F.array_min)
+        high = _interval_end(x, tolerances, 1)
+        low = _interval_end(x, tolerances, -1)
         none = F.lit(0).cast("bigint")
         targets = t.where("x is not null").groupBy(
             *[c.alias(k) for c, k in zip(self._keys_of("t"), names)], "ordinal", F.col("x").alias("at")
@@ -602,11 +595,24 @@ class Comparison:
         return gone.unionByName(new).unionByName(cellwise)
 
 
-def _end(start: Column, inside, step: float, pick) -> Column:
-    """The outermost double near ``start`` that is still within tolerance."""
-    offsets = (-2, -1, 0, 1, 2)
-    near = F.array(*[start + F.abs(start) * F.lit(step * k) for k in offsets])
-    return F.coalesce(pick(F.filter(near, inside)), start)
+def _interval_end(x: Column, tolerances: Mapping[int, float], sign: int) -> Column:
+    """The outermost double whose rounded distance from ``x`` is within tolerance.
+
+    A rounded distance equals the tolerance up to half a step beyond it, so the
+    end lies between ``x + tolerance`` and ``x + next double``; of the doubles
+    around their middle the outermost that passes the comparison itself is it.
+    """
+    def pick(values: Mapping[int, float]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("ordinal"))
+
+    tol = pick(tolerances)
+    beyond = pick({i: math.nextafter(v, math.inf) for i, v in tolerances.items()})
+    near, far = x + tol * sign, x + beyond * sign
+    middle = near + (far - near) / 2
+    step = F.abs(middle) * F.lit(1.12e-16)  # adding this moves a double to its neighbour
+    around = F.array(x, near, *[middle + step * k for k in range(-4, 5)])
+    inside = F.filter(around, lambda c: (c == x) | (F.abs(c - x) <= tol))
+    return F.array_max(inside) if sign > 0 else F.array_min(inside)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

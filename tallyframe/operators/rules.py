@@ -116,7 +116,7 @@ def java_pattern(pattern: str) -> str | None:
     except re.error:
         return None
     out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m.group(1).replace('_', '')}>", pattern)
-    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\\\k<{m.group(1).replace('_', '')}>", out)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m.group(1).replace('_', '')}>", out)
     return r"(?U)\A(?:" + out.replace(r"\Z", r"\z") + ")"
 
 
