@@ -627,11 +627,11 @@ def violations_folded(spark: SparkSession, folder: str) -> DataFrame:
     found = evaluate(customer, [
         Rule("column_value_between", "c_acctbal", min_value=0), Rule("row_count_max", max_value=10, severity="warn"),
     ])
-    result = J.fold_violations(comparison.summary(), found)
+    result = J.fold_violations(comparison.summary(), found).first()
     summary = J.summary_with_violations(comparison.by_column(), found, comparison.census.source_rows)
-    # The folded result is one row.
-    return summary.join(result.select("status", F.col("value_mismatch_count").alias("total"))).select(
-        "column_name", F.col("mismatch_count").cast("int").alias("mismatch_count"), "compared_rows", "status", "total"
+    return summary.select(
+        "column_name", F.col("mismatch_count").cast("int").alias("mismatch_count"), "compared_rows",
+        F.lit(result["status"]).alias("status"), F.lit(result["value_mismatch_count"]).cast("bigint").alias("total"),
     )
 
 

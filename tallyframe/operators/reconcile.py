@@ -115,9 +115,6 @@ class Comparison:
         keep = self.keys + self.columns
         source = self._tidy(source.select(*[cells.q(c) for c in keep]))
         target = self._tidy(target.select(*[cells.q(c) for c in keep]))
-        if o.sample_fraction is not None:
-            source = sample_by_key(source, self.keys, o.sample_fraction, o.sample_seed)
-            target = sample_by_key(target, self.keys, o.sample_fraction, o.sample_seed)
         self._types = [
             (source.schema[c].dataType, target.schema[c].dataType) for c in self.columns
         ]
@@ -139,7 +136,12 @@ class Comparison:
     def _side(self, df: DataFrame, tag: str, key_types: list[str]) -> DataFrame:
         ks = [cells.q(k).cast(t).alias(f"{tag}k{i}") for i, (k, t) in enumerate(zip(self.keys, key_types))]
         vs = [cells.q(c).alias(f"{tag}{i}") for i, c in enumerate(self.columns)]
-        return df.select(*ks, *vs)
+        side = df.select(*ks, *vs)
+        o = self.options
+        if o.sample_fraction is None:
+            return side
+        # After the cast to the common key type: equal keys of other types hash differently.
+        return sample_by_key(side, [f"{tag}k{i}" for i in range(len(self.keys))], o.sample_fraction, o.sample_seed)
 
     def _keys_of(self, tag: str) -> list[Column]:
         return [F.col(f"{tag}k{i}") for i in range(len(self.keys))]
@@ -631,13 +633,15 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def same_content(source: DataFrame, target: DataFrame) -> DataFrame:
     """Checksum pre-check: one row saying whether the two tables hold the same rows."""
     shared = K.shared_columns(source, target)
-    a = fingerprint(source.select(*[cells.q(c) for c in shared]))
-    b = fingerprint(target.select(*[cells.q(c) for c in shared]))
-    # Both inputs are single aggregate rows.
-    return a.select(F.struct("*").alias("a")).join(b.select(F.struct("*").alias("b"))).select(
-        F.col("a.row_count").alias("source_row_count"),
-        F.col("b.row_count").alias("target_row_count"),
-        (F.col("a") == F.col("b")).alias("identical"),
+    sides = [
+        fingerprint(side.select(*[cells.q(c) for c in shared])).withColumn("side", F.lit(name))
+        for side, name in ((source, "s"), (target, "t"))
+    ]
+    prints = F.struct("row_count", "hash_xor", "hash_sum")
+    return sides[0].unionAll(sides[1]).agg(
+        F.max(F.when(F.col("side") == "s", F.col("row_count"))).alias("source_row_count"),
+        F.max(F.when(F.col("side") == "t", F.col("row_count"))).alias("target_row_count"),
+        (F.min(prints) == F.max(prints)).alias("identical"),
     )
 
 

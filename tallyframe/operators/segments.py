@@ -32,13 +32,13 @@ def segment_summary(records: DataFrame, segments: Sequence[str], top_n: int = 20
         .groupBy("segment_column", "value")
         .agg(F.sum("pair_count").alias("mismatch_count"), of(MISSING_IN_TARGET), of(MISSING_IN_SOURCE), of(VALUE_DIFF))
     )
-    # The groups of a column add up to the total, so no second pass is needed.
-    total = F.sum("mismatch_count").over(Window.partitionBy("segment_column"))
+    # One row per segment column; a window over all values of a column would sit in one task.
+    totals = counted.groupBy("segment_column").agg(F.sum("mismatch_count").alias("total"))
     first = Window.partitionBy("segment_column").orderBy(F.col("mismatch_count").desc(), "value")
-    return (
-        counted.withColumn("pct_of_total", F.round(100.0 * F.col("mismatch_count") / total, 2))
-        .withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= top_n).drop("rn")
-    )
+    top = counted.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= top_n).drop("rn")
+    return top.join(totals, "segment_column").withColumn(
+        "pct_of_total", F.round(100.0 * F.col("mismatch_count") / F.col("total"), 2)
+    ).drop("total")
 
 
 def segment_drilldown(source: DataFrame, target: DataFrame, column: str) -> DataFrame:

@@ -207,3 +207,11 @@ def test_segments(spark):
     rows = {r.value: r for r in segment_summary(records, ["region"]).collect()}
     assert (rows["EMEA"].mismatch_count, rows["EMEA"].pct_of_total, rows["EMEA"].missing_in_target) == (3, 75.0, 1)
     assert (rows["APAC"].mismatch_count, rows["APAC"].pct_of_total) == (1, 25.0)
+
+
+def test_sample_of_mixed_key_types(spark):
+    s = spark.range(2000).select(F.col("id").cast("int").alias("id"), F.lit(1).alias("v"))
+    t = spark.range(2000).withColumn("v", F.lit(1))
+    c = Comparison(s, t, CompareOptions(sample_fraction=0.1))
+    assert c.census.missing_in_target == c.census.missing_in_source == 0
+    assert 100 < c.census.matched < 320
