@@ -652,12 +652,23 @@ def two_environments(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "format_validation",
-    """SELECT 'c_acctbal' AS column_name, 'type_mismatch' AS problem, 'int64' AS expected_type, 'float64' AS actual_type FROM (SELECT count(*) FROM customer)""",
+    """WITH n AS (SELECT count(*) FROM customer)
+SELECT 'parquet' AS format, 'c_acctbal' AS column_name, 'type_mismatch' AS problem, 'int64' AS expected_type, 'float64' AS actual_type FROM n
+UNION ALL SELECT 'csv', 'c_phone', 'missing_in_target', 'string', NULL FROM n
+UNION ALL SELECT 'csv', 'c_mktsegment', 'extra_in_target', NULL, 'string' FROM n
+UNION ALL SELECT 'json', 'c_custkey', 'type_mismatch', 'int64', 'string' FROM n""",
 )
 def format_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """A written file read strictly and held against an expected schema."""
-    path = K.write_table(table(spark, folder, "customer"), scratch_path(spark, "validate"), "parquet")
-    return S.expected_schema_diff(
-        R.read_files(spark, path, "parquet"),
-        {"c_custkey": "int64", "c_name": "string", "c_nationkey": "int", "c_acctbal": "bigint", "c_mktsegment": "string"},
-    )
+    """Written files parsed strictly and held against an expected schema."""
+    customer = table(spark, folder, "customer")
+    text = {c: "string" for c in customer.columns}
+    expected = {
+        "parquet": {"c_custkey": "int64", "c_name": "string", "c_nationkey": "int", "c_acctbal": "bigint", "c_mktsegment": "string"},
+        "csv": {**{c: t for c, t in text.items() if c != "c_mktsegment"}, "c_phone": "str"},
+        "json": {**text, "c_custkey": "long"},
+    }
+    parts = []
+    for fmt, schema in expected.items():
+        path = K.write_table(customer, scratch_path(spark, "validate"), fmt)
+        parts.append(R.validate_files(spark, path, fmt, schema).withColumn("format", F.lit(fmt)))
+    return R.union_all(parts)

@@ -82,6 +82,8 @@ def normalised(df: DataFrame) -> DataFrame:
             c = F.when((F.length(c) == 36) & c.rlike(UUID_PATTERN), F.upper(c)).otherwise(c)
         elif isinstance(t, T.TimestampNTZType):
             c = c.cast("timestamp")
+        elif isinstance(t, T.NullType):
+            c = c.cast("string")
         out.append(c.alias(field.name))
     return df.select(*out)
 

@@ -30,11 +30,9 @@ def running_total(
     Rows should be distinct under ``order``: equal rows are summed before the
     call, so a value that fills a third of the table is one row here.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a number of partitions AQE may merge neighbouring small ranges.
     ranged = materialise(
-        df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()),
-        "ranged",
+        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged"
     )
     per_part = ranged.groupBy("__part").agg(F.sum(F.col(weight).cast(total_type)).alias("__sum"))
     # One row per shuffle partition, so this ordered window is of bounded size.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.cells import q
+from tallyframe.operators.schemas import expected_schema_diff
 
 # Delimiters tried in order, the words read as missing, preferred record tags.
 DELIMITERS = (",", "\t", ";", "|")
@@ -402,6 +403,31 @@ def read_files(spark: SparkSession, path: str | Sequence[str], fmt: str | None =
     return readers[fmt]()
 
 
+def validate_files(spark: SparkSession, path: str | Sequence[str], fmt: str,
+                   expected: dict[str, str] | None = None) -> DataFrame:
+    """Problems of files that should parse as ``fmt`` and hold the expected columns.
+
+    Text formats are parsed to the end and count as columns of strings; columnar
+    ones answer from their footers.
+    """
+    if fmt not in ("csv", "json", "parquet", "orc"):
+        raise ValueError(f"unsupported file format: {fmt}")
+    text = fmt in ("csv", "json")
+    try:
+        df = spark.read.option("mode", "FAILFAST").option("header", True).format(fmt).load(path)
+        if text:
+            df.write.format("noop").mode("overwrite").save()
+        else:
+            df.count()
+    except Exception as error:
+        return spark.createDataFrame(
+            [("", "parse_error", fmt, type(error).__name__)],
+            "column_name string, problem string, expected_type string, actual_type string",
+        )
+    shape = df.select(*[q(c).cast("string").alias(c) for c in df.columns]) if text else df
+    return expected_schema_diff(shape, expected if expected is not None else {f.name: f.dataType.simpleString() for f in shape.schema})
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Shards, sheets or pages under one set of columns, blank where a part lacks one."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

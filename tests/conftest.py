@@ -13,5 +13,7 @@ def spark():
 
     session = local_session("*", 4)
     session.sparkContext.setLogLevel("ERROR")
+    # The frames are tiny: compiling plans would take longer than running them.
+    session.conf.set("spark.sql.codegen.wholeStage", False)
     yield session
     session.stop()

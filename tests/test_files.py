@@ -157,3 +157,11 @@ def test_empty_match_on(spark):
     assert (row.status, len(row.source_files), len(row.target_files)) == ("paired", 2, 2)
     with pytest.raises(ValueError):
         P.pair_by_tokens(files, files, ["region"])
+
+
+def test_broken_files_do_not_validate(spark, tmp_path):
+    put(tmp_path, "a.json", '{"a": 1}\n{"a": \n')
+    row = R.validate_files(spark, str(tmp_path), "json").first()
+    assert row.problem == "parse_error"
+    with pytest.raises(ValueError):
+        R.validate_files(spark, str(tmp_path), "xlsx")
