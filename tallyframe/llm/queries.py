@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import mixing, quality, sql, url_filter
+from tallyframe.llm import mixing, near_dup, quality, sql, url_filter
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -28,6 +34,8 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_quality, op6_mixing, op8_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op3_near_dup, op5_quality, op6_mixing, op8_url_filter,
+)}
 
 ORACLES: dict[str, str] = {"op5_quality": sql.quality()}
