@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import mixing, near_dup, quality, sql, url_filter
+from tallyframe.llm import mixing, near_dup, quality, secrets, sql, toxicity, url_filter
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(table(spark, folder, "documents"))
+
+
 def op3_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept"
@@ -34,8 +38,12 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_near_dup, op5_quality, op6_mixing, op8_url_filter,
+    op1_secrets, op3_near_dup, op5_quality, op6_mixing, op8_url_filter, op9_toxicity,
 )}
 
 ORACLES: dict[str, str] = {"op5_quality": sql.quality()}
