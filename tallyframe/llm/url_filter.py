@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import fold_ascii
+from tallyframe.session import materialise
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,12 @@ def ruled(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[Column,
 
 
 def _templates(rows: DataFrame, options: TreeOptions) -> DataFrame:
-    """Add ``t1 .. tk`` to rows with ``host`` and ``s1 .. sk``."""
+    """Add ``t1 .. tk`` to rows with ``host`` and ``s1 .. sk``.
+
+    Every level is written once: its rows are read three times by the next one.
+    """
     for level in range(1, options.levels + 1):
+        rows = materialise(rows, "url-level")
         branch = ["host", *[f"t{k}" for k in range(1, level)]]
         here = f"s{level}"
         counts = rows.groupBy(*branch, here).agg(F.count(F.lit(1)).alias("n"))
@@ -76,7 +81,7 @@ def _templates(rows: DataFrame, options: TreeOptions) -> DataFrame:
             f"t{level}",
             F.when(F.col(here) == "", F.lit("")).when(F.col("literal"), F.col(here)).otherwise(F.lit("*")),
         ).drop("literal", here)
-    return rows
+    return materialise(rows, "url-level")
 
 
 def _judged(rows: DataFrame, options: TreeOptions) -> DataFrame:
