@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import mixing, near_dup, quality, secrets, sql, toxicity, url_filter
+from tallyframe.llm import mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -43,7 +47,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secrets, op3_near_dup, op5_quality, op6_mixing, op8_url_filter, op9_toxicity,
+    op1_secrets, op3_near_dup, op4_pii, op5_quality, op6_mixing, op8_url_filter, op9_toxicity,
 )}
 
 ORACLES: dict[str, str] = {"op5_quality": sql.quality()}
