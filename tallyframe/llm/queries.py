@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
+from tallyframe.llm import decontaminate, mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets(table(spark, folder, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept"
@@ -47,7 +51,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secrets, op3_near_dup, op4_pii, op5_quality, op6_mixing, op8_url_filter, op9_toxicity,
+    op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op8_url_filter, op9_toxicity,
 )}
 
 ORACLES: dict[str, str] = {"op5_quality": sql.quality()}
