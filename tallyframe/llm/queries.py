@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import decontaminate, mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
+from tallyframe.llm import decontaminate, lm_score, mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,12 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op8_url_filter, op9_toxicity,
+    op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op8_url_filter, op9_toxicity, op10_lm_score,
 )}
 
 ORACLES: dict[str, str] = {"op5_quality": sql.quality()}
