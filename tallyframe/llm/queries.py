@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, lm_score, mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
-from tallyframe.llm.common import table
+from tallyframe.llm import chat, decontaminate, lm_score, mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
+from tallyframe.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,46 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+#: The one tool of op7's derived calls.
+TOOLS = {
+    "reply": {
+        "type": "object",
+        "properties": {
+            "prompt": {"type": "string"}, "words": {"type": "integer", "minimum": 1}, "after": {"type": "array"},
+        },
+        "required": ["prompt", "words"],
+        "additionalProperties": False,
+    }
+}
+
+
+def as_tool_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations as calls and results: a user's turn calls ``reply``, the next turn is its result.
+
+    From the second question on a call refers to the result of the one before.
+    """
+    turn = F.col("turn")
+    arguments = F.struct(
+        F.col("text").alias("prompt"), word_count(F.col("text")).alias("words"),
+        F.when(turn >= 2, F.array(F.struct(F.concat(F.lit("c"), turn - 2).alias("$ref")))).alias("after"),
+    )
+    call = F.to_json(F.struct(F.array(F.struct(
+        F.concat(F.lit("c"), turn).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments")
+    )).alias("tool_calls")))
+    result = F.to_json(F.struct(F.concat(F.lit("c"), turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    return conversations.select(
+        "conv_id", "turn",
+        F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool")
+        .otherwise(F.col("role")).alias("role"),
+        F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result)
+        .otherwise(F.col("text")).alias("text"),
+    )
+
+
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chat(as_tool_calls(table(spark, folder, "conversations")), TOOLS)
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(table(spark, folder, "pages")).select(
         "page_id", "host", "path", "rule", "verdict"
@@ -55,7 +96,7 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op8_url_filter, op9_toxicity, op10_lm_score,
+    op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op7_chat, op8_url_filter, op9_toxicity, op10_lm_score,
 )}
 
 ORACLES: dict[str, str] = {"op5_quality": sql.quality()}
