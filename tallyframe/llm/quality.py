@@ -50,16 +50,17 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id", "t", words_of(F.col("t")).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    # One hash for each window of five words; equal windows have equal hashes.
+    # One hash for each window of five words; equal windows have equal hashes. The words are bound once, so that
+    # no plan can split a text again for each window.
+    def hashed(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)])
+        )
+
     windows = parts.select(
         "*",
-        F.when(
-            F.size("w") >= 5,
-            F.transform(
-                F.sequence(F.lit(0), F.size("w") - 5),
-                lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")).alias("h"),
+        F.when(F.size("w") >= 5, F.transform(F.array("w"), hashed)[0])
+        .otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
     return windows.select(
         "doc_id",
@@ -156,4 +157,6 @@ def keep_good(docs: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS) ->
     """The rows of ``docs`` that pass, with all their columns."""
     # The whole row travels as one struct, so no column of docs can clash with a count.
     rows = docs.select(F.col("text"), F.struct(F.struct(*docs.columns).alias("row")).alias("doc_id"))
-    return quality(rows, thresholds).where("kept").select("doc_id.row.*")
+    # A row number is no function of the row, so the filter stays above the measures and does not repeat them.
+    judged = quality(rows, thresholds).withColumn("at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("at") >= 0)).select("doc_id.row.*")
