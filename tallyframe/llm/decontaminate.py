@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.hashing import slices, word_hashes
+from tallyframe.llm.hashing import slices, spread, word_hashes
 from tallyframe.session import materialise
 
 PART_WORDS = 64
@@ -113,14 +113,6 @@ def _shard(rows: list, items: dict[int, Item]) -> Shard:
     )
 
 
-def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of the ranges [start, end) and the number of the range of each."""
-    sizes = ends - starts
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.arange(sizes.sum()) - first + starts[owner], owner
-
-
 def retrieve(hashes: np.ndarray, offsets: np.ndarray, index: Shard, score: float = SCORE) -> list[tuple[int, int, float]]:
     """(row, item, best score) of all passages of all rows that score at least ``score`` against a part."""
     n_terms, n_parts = len(index.terms), len(index.item_of)
@@ -144,7 +136,7 @@ def retrieve(hashes: np.ndarray, offsets: np.ndarray, index: Shard, score: float
     before = np.concatenate(([0.0], total))[heads]
     own = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(passage))))
     opens = (total - before[own]) * (1 + 1e-9) >= score
-    at_posting, owner = _spread(index.starts[term[opens]], index.starts[term[opens] + 1])
+    at_posting, owner = spread(index.starts[term[opens]], index.starts[term[opens] + 1])
     pair, inverse = np.unique(own[opens][owner] * n_parts + index.parts[at_posting], return_inverse=True)
     if not len(pair):
         return []
@@ -157,7 +149,7 @@ def retrieve(hashes: np.ndarray, offsets: np.ndarray, index: Shard, score: float
     group, part = group[likely], part[likely]
     # Full scores of what is left.
     ends = np.append(heads, len(passage))
-    place, owner = _spread(heads[group], ends[group + 1])
+    place, owner = spread(heads[group], ends[group + 1])
     posting_key = np.repeat(np.arange(n_terms), np.diff(index.starts)) * n_parts + index.parts
     wanted = term[place] * n_parts + part[owner]
     found = np.minimum(np.searchsorted(posting_key, wanted), len(posting_key) - 1)

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # texts are worked on in slices of about this size; a longer text is a slice of its own
-BLOCK_BYTES = 1 << 20  # bytes hashed at once, cut between words
+SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size; a longer text is a slice of its own
+BLOCK_BYTES = 1 << 18  # bytes hashed at once, cut between words
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, dtype=bool)
@@ -43,6 +43,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges [start, end) and the number of the range of each."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.arange(sizes.sum()) - first + starts[owner], owner
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Rows of a batch in runs whose texts are about ``SLICE_BYTES`` long together."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -3,11 +3,13 @@
 Every distinct shingle set gets 64 minwise tokens. Independent trees branch the
 documents: a node picks one or two of the 64 positions, and its documents go to
 the child of their token there, so a pair of similarity s shares 4s/3 children
-on average. Small nodes are compared exhaustively. A large node is compared
-with two pivots and branches again; documents that links have joined already
-need no comparison, so large groups of copies vanish after a level and what is
-left has similarity below the threshold and thins out from level to level.
-Links are confirmed on full sets, and components are contracted by min labels.
+on average. Small nodes are compared exhaustively: nodes with few open pairs
+as rows of pairs, others, up to a bounded number of documents and shingles, with
+their full sets in one task. A larger node is compared with two pivots and
+branches again; documents that links have joined already need no comparison, so
+large groups of copies vanish after a level and what is left thins out from
+level to level. Links are confirmed on full sets, and components are contracted
+by min labels.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.hashing import shingle_sets, slices
+from tallyframe.llm.hashing import shingle_sets, slices, spread
 from tallyframe.session import materialise
 
 TOKENS = 64
 TREES = 16
-PER_ROW = 16  # a node with at most so many open pairs for each document is compared exhaustively
+PER_ROW = 8  # a node with at most so many open pairs for each document is compared by rows of pairs
+NODE_DOCS, NODE_SHINGLES = 4_096, 2_000_000  # a node up to both sizes (16 MB) is compared in one task
 ALIKE = 32  # of 64 tokens; a pair of similarity 0.75 has fewer with probability 1e-5
 BROADCAST_IDS = 500_000  # at most so many ids (4 MB) are broadcast to a scan; more are joined by shuffle
 
@@ -91,6 +94,42 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _node_links(table: pa.Table) -> pa.Table:
+    """Links that join the components of one node, all of them: every pair is compared unless joined already."""
+    docs, label = table.column("doc").to_numpy(), table.column("comp").to_numpy().copy()
+    order = np.argsort(docs, kind="stable")
+    docs, label = docs[order], label[order]
+    members = table.column("members").to_pylist()
+    sets = [np.frombuffer(members[k], np.uint64) for k in order]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    posting = np.argsort(shingle, kind="stable")
+    holder = np.repeat(np.arange(len(docs)), sizes)[posting]
+    starts = np.searchsorted(shingle[posting], np.arange(shingle.max() + 2))
+    links = []
+
+    def join(x: int) -> None:
+        own = shingle[ends[x] : ends[x + 1]]
+        both = np.bincount(holder[spread(starts[own], starts[own + 1])[0]], minlength=len(docs))
+        for y in np.flatnonzero(100 * both >= 75 * (sizes[x] + sizes - both)):
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                links.append((docs[x], docs[y]))
+
+    # After some pivots the largest component is left out: it only grows, and of two documents in it nothing is asked.
+    pivots = np.linspace(0, len(docs) - 1, 5).astype(int)
+    for x in pivots:
+        join(x)
+    values, counts = np.unique(label, return_counts=True)
+    major = int(np.flatnonzero(label == values[counts.argmax()])[0])
+    for x in range(len(docs)):
+        if label[x] != label[major]:
+            join(x)
+    pairs = np.sort(np.array(links, dtype=np.int64).reshape(-1, 2), axis=1)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def contracted(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for the nodes of an edge list; the root is the smallest node of its component.
 
@@ -150,55 +189,68 @@ def _children() -> Column:
     return F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))
 
 
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Open pairs of the small nodes and pivot pairs of the large ones; the rows of the large ones.
+def _open_nodes(rows: DataFrame) -> DataFrame:
+    """The rows of nodes with more than one component, each with its node's kind, main component and pivots.
 
-    ``rows`` has node, doc, comp. Nodes of one component are left out.
+    ``rows`` has node, doc, size, comp.
     """
-    parts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("pivot"))
+    parts = rows.groupBy("node", "comp").agg(
+        F.count(F.lit(1)).alias("c"), F.min("doc").alias("pivot"), F.sum("size").alias("s")
+    )
     nodes = parts.groupBy("node").agg(
         F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"),
-        F.max(F.struct("c", "comp")).getField("comp").alias("major"),
-        F.max(F.struct("c", "comp", "pivot")).getField("pivot").alias("first_pivot"),
+        F.max(F.struct("c", "comp", "pivot")).alias("main"),
         F.min_by("pivot", F.xxhash64("pivot", "node")).alias("second_pivot"),
-        F.count(F.lit(1)).alias("comps"),
+        F.count(F.lit(1)).alias("comps"), F.sum("s").alias("shingles"),
     ).where("comps > 1")
     open_pairs = (F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2
-    nodes = nodes.withColumn("small", open_pairs <= PER_ROW * F.col("n")).drop("squares", "comps", "n")
-    placed = materialise(rows.join(nodes, "node"), "dedup-nodes")
-    small = placed.where("small").withColumn("light", F.col("comp") != F.col("major"))
+    kind = F.when(open_pairs <= PER_ROW * F.col("n"), "pairs").when(
+        (F.col("n") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES), "task"
+    ).otherwise("large")
+    nodes = nodes.select(
+        "node", kind.alias("kind"), F.col("main.comp").alias("major"), F.col("main.pivot").alias("first_pivot"),
+        "second_pivot",
+    )
+    return materialise(rows.join(nodes, "node"), "dedup-nodes")
+
+
+def _pairs(placed: DataFrame) -> DataFrame:
+    """Open pairs of the small nodes and pivot pairs of the large ones."""
+    small = placed.where("kind = 'pairs'").withColumn("light", F.col("comp") != F.col("major"))
     # Of two documents in the largest component of a node nothing is asked: one side is always outside it.
     one, two = small.where("light").alias("x"), small.alias("y")
+    size_x, size_y = F.col("x.size"), F.col("y.size")
     inner = one.join(
         two,
         (F.col("x.node") == F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-        & (~F.col("y.light") | (F.col("x.doc") < F.col("y.doc"))),
+        & (~F.col("y.light") | (F.col("x.doc") < F.col("y.doc")))
+        & (100 * F.least(size_x, size_y) >= 75 * F.greatest(size_x, size_y)),
     ).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-    large = placed.where("not small")
-    pivots = large.select("doc", F.explode(F.array("first_pivot", "second_pivot")).alias("pivot")).where(
-        "doc <> pivot"
-    ).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-    return inner.unionByName(pivots).distinct(), large.select("node", "doc")
+    pivots = placed.where("kind = 'large'").select(
+        "doc", F.explode(F.array("first_pivot", "second_pivot")).alias("pivot")
+    ).where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+    return inner.unionByName(pivots).distinct()
+
 
+def _links(placed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the components of open nodes, all confirmed on full sets.
 
-def _links(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that full sets confirm. Sketches of the tokens sort out what is far from alike."""
+    For rows of pairs, sketches of the tokens first sort out what is far from alike.
+    """
     def sketch(side: str) -> DataFrame:
-        return signed.select(
-            F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"),
-            F.col("tokens").alias(f"tokens_{side}"),
-        )
+        return signed.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"tokens_{side}"))
 
     equal = F.aggregate(
         F.zip_with("tokens_a", "tokens_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x
     )
-    near = 100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")
     alike = materialise(
-        pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(near).where(equal >= ALIKE).select("a", "b"),
+        _pairs(placed).join(sketch("a"), "a").join(sketch("b"), "b").where(equal >= ALIKE).select("a", "b"),
         "dedup-alike",
     )
+    in_task = placed.where("kind = 'task'").select("node", "doc", "comp")
     ids = materialise(
-        alike.select(F.col("a").alias("doc_id")).unionByName(alike.select(F.col("b").alias("doc_id"))).distinct(),
+        alike.select(F.col("a").alias("doc_id")).unionByName(alike.select(F.col("b").alias("doc_id")))
+        .unionByName(in_task.select(F.col("doc").alias("doc_id"))).distinct(),
         "dedup-ids",
     )
     asked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -212,7 +264,10 @@ def _links(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
         return sets.select(F.col("doc_id").alias(side), F.col("members").alias(f"set_{side}"))
 
     tested = alike.join(members("b"), "b").join(members("a"), "a").select("a", "b", "set_a", "set_b")
-    return materialise(tested.mapInArrow(_confirmed, "a bigint, b bigint"), "dedup-links")
+    in_pairs = tested.mapInArrow(_confirmed, "a bigint, b bigint")
+    whole = in_task.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("node", "doc", "comp", "members")
+    in_nodes = whole.groupBy("node").applyInArrow(_node_links, "a bigint, b bigint")
+    return materialise(in_pairs.unionByName(in_nodes), "dedup-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,7 +298,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     heads = signed.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
     heads = materialise(heads, "dedup-heads")
-    rows = heads.select(F.col("doc_id").alias("doc"), F.explode(_first_level()).alias("node"))
+    rows = heads.select(
+        F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.explode(_first_level()).alias("node")
+    )
     # Most nodes of the first level hold one document.
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     rows = materialise(rows.join(shared, "node", "left_semi"), "dedup-rows")
@@ -253,10 +310,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labelled = rows.withColumn("comp", F.col("doc"))
         else:
             labelled = rows.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
-                "node", "doc", F.coalesce("root", "doc").alias("comp")
+                "node", "doc", "size", F.coalesce("root", "doc").alias("comp")
             )
-        pairs, large = _candidates(labelled)
-        links = _links(pairs, heads, named)
+        placed = _open_nodes(labelled)
+        links = _links(placed, heads, named)
         if roots is None:
             roots = contracted(links)
         else:
@@ -264,7 +321,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             roots = contracted(links.unionByName(known))
         tokens = heads.select(F.col("doc_id").alias("doc"), "tokens")
         rows = materialise(
-            large.join(tokens, "doc").select("doc", F.explode(_children()).alias("node")).distinct(), "dedup-rows"
+            placed.where("kind = 'large'").select("node", "doc", "size").join(tokens, "doc")
+            .select("doc", "size", F.explode(_children()).alias("node")).distinct(),
+            "dedup-rows",
         )
     result = members.withColumn("component_id", F.coalesce("class_id", "doc_id"))
     if roots is not None:
