@@ -7,20 +7,74 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Job types with SQL text, and the shapes of table and CTE names in SQL.
+# Job types with SQL text.
 SQL_JOB_TYPES = ("reconciliation", "freshness", "profile", "schema_snapshot")
-NAME = r"(?:\[[^\]]+\]|\"[^\"]+\"|[A-Za-z_][\w$]*)"
-TABLE_PATTERN = rf"(?i)\b(?:FROM|JOIN)\s+({NAME}(?:\.{NAME})*)"
-CTE_PATTERN = r"(?i)(?:\bWITH\b|,)\s*([A-Za-z_]\w*)\s+AS\s*\("
 LEVELS = ["untested", "observed", "tested"]
 
+# One SQL token: comment, string, bracketed or quoted name, word, or any other sign.
+_TOKEN = "|".join((
+    r"--[^\n]*+", r"/[*][\s\S]*?[*]/", r"'(?:[^']|'')*+'", r"\[[^\]]*+\]", r'"(?:[^"]|"")*+"',
+    r"[\p{L}_][\p{L}\p{N}_$#@]*+", r"\S",
+))
+
+
+def _is_name(token: Column) -> Column:
+    return token.rlike(r'^[\p{L}_\["]')
+
+
+def _bare(token: Column) -> Column:
+    """A name in lower case without its brackets or quotes."""
+    inside = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.lower(F.when(token.rlike(r'^[\["]'), inside).otherwise(token))
+
+
+def _step(seen: Column, token: Column) -> Column:
+    """Read one token. A name is open behind FROM or JOIN and goes on over dots."""
+    opens = F.lower(token).isin("from", "join")
+    begins = (seen["wants"] == "name") & _is_name(token)
+    dotted = (seen["wants"] == "dot") & (token == ".")
+    closed = F.when(
+        seen["open"].isNotNull(), F.array_append(seen["found"], seen["open"])
+    ).otherwise(seen["found"])
+    none = F.lit(None).cast("string")
+
+    def state(wants: Column, name: Column, found: Column) -> Column:
+        return F.struct(wants.alias("wants"), name.alias("open"), found.alias("found"))
+
+    longer = F.when(seen["open"].isNull(), _bare(token)).otherwise(F.concat(seen["open"], _bare(token)))
+    return F.when(begins, state(F.lit("dot"), longer, seen["found"])).when(
+        dotted, state(F.lit("name"), F.concat(seen["open"], F.lit(".")), seen["found"])
+    ).otherwise(state(F.when(opens, "name").otherwise("none"), none, closed))
+
 
 def referenced_tables(sql: Column) -> Column:
-    """Distinct lower-case table names after FROM and JOIN, without the statement's own CTEs."""
-    found = F.regexp_extract_all(sql, F.lit(TABLE_PATTERN), F.lit(1))
-    plain = F.transform(found, lambda n: F.lower(F.regexp_replace(n, r"[\[\]\"]", "")))
-    ctes = F.transform(F.regexp_extract_all(sql, F.lit(CTE_PATTERN), F.lit(1)), F.lower)
-    return F.array_except(F.array_distinct(plain), ctes)
+    """Distinct lower-case table names after FROM and JOIN, without the statement's own CTEs.
+
+    The statement is cut into tokens, so names inside strings and comments do not count.
+    """
+    tokens = F.filter(
+        F.regexp_extract_all(sql, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("--") & ~t.startswith("/*")
+    )
+    start = F.struct(
+        F.lit("none").alias("wants"), F.lit(None).cast("string").alias("open"),
+        F.array().cast("array<string>").alias("found"),
+    )
+
+    def tables(own: Column) -> Column:
+        # A closing sign ends a name that is still open.
+        read = F.aggregate(F.array_append(own, F.lit(";")), start, _step, lambda seen: seen["found"])
+
+        def defines(token: Column, at: Column) -> Column:
+            before = F.lower(F.get(own, at - 1))
+            return (
+                _is_name(token) & before.isin("with", "recursive", ",")
+                & (F.lower(F.get(own, at + 1)) == "as") & (F.get(own, at + 2) == "(")
+            )
+
+        ctes = F.transform(F.filter(own, defines), _bare)
+        return F.array_except(F.array_distinct(read), ctes)
+
+    return F.transform(F.array(tokens), tables)[0]
 
 
 def coverage(jobs: DataFrame, observed: DataFrame) -> DataFrame:

@@ -33,6 +33,9 @@ def test_search(spark):
         assert sorted(r.column_name for r in Q.search(df, query).collect()) == sorted(expected), query
     paired = df.withColumn("key_values", F.map_concat("key_values", F.create_map(F.lit("__pair__"), F.lit("region=west"))))
     assert Q.search(paired, "pair:west").count() == 4 and Q.search(paired, "key:west").count() == 0
+    assert Q.parse("""note:"a b" src:'x y' -"c d" don't "open col:""" + '""') == [
+        Q.Term("any", 'note:"a b"', False), Q.Term("src", "x y", False), Q.Term("any", "c d", True),
+        Q.Term("any", "don't", False), Q.Term("any", "open col:", False), Q.Term("any", '"', False)]
     assert Q.parse("http://host col: -")[0] == Q.Term("any", "http://host", False)
 
 
@@ -42,6 +45,8 @@ def test_tables_in_sql(spark):
         'with a as (select 1 from x), b AS (select 2 from "Y") select * from a join b': ["x", "y"],
         "": [],
         "select * from (select 1) s": [],
+        "select 'from hidden', x -- from gone\nfrom a . b /* join c */ left join \"D d\".[e]]": ["a.b", "d d.e"],
+        "with recursive t as (select 1 union all select 2 from T join u) select * from t, v": ["u"],
     }
     for sql, expected in cases.items():
         got = spark.range(1).select(V.referenced_tables(F.lit(sql)).alias("t")).first().t
