@@ -129,14 +129,13 @@ def report_stats_result(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "mismatch_diff",
-    f"""WITH {ORDERS_SQL}, r AS ({_records_sql()}),
- a AS (SELECT * FROM r WHERE o_orderkey % 5 <> 0), b AS (SELECT * FROM r WHERE o_orderkey % 7 <> 0)
-SELECT '{{"o_orderkey":"' || coalesce(b.o_orderkey, a.o_orderkey) || '"}}' AS key, coalesce(b.column_name, a.column_name) AS column_name,
-  coalesce(b.mismatch_type, a.mismatch_type) AS mismatch_type,
-  CASE WHEN a.o_orderkey IS NULL THEN 'new' WHEN b.o_orderkey IS NULL THEN 'resolved' ELSE 'persistent' END AS change,
-  CASE WHEN b.o_orderkey IS NOT NULL THEN b.source_value ELSE a.source_value END AS source_value,
-  CASE WHEN b.o_orderkey IS NOT NULL THEN b.target_value ELSE a.target_value END AS target_value
-FROM a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey AND a.column_name = b.column_name AND a.mismatch_type = b.mismatch_type""",
+    f"""WITH {ORDERS_SQL}, r AS MATERIALIZED ({_records_sql()}),
+ u AS (SELECT *, 1 AS run FROM r WHERE o_orderkey % 5 <> 0 UNION ALL SELECT *, 2 FROM r WHERE o_orderkey % 7 <> 0),
+ g AS (SELECT o_orderkey, column_name, mismatch_type, min(run) AS first_run, max(run) AS last_run,
+         arg_max(struct_pack(s := source_value, t := target_value), run) AS shown FROM u GROUP BY ALL)
+SELECT '{{"o_orderkey":"' || o_orderkey || '"}}' AS key, column_name, mismatch_type,
+  CASE WHEN first_run = 2 THEN 'new' WHEN last_run = 1 THEN 'resolved' ELSE 'persistent' END AS change,
+  shown.s AS source_value, shown.t AS target_value FROM g""",
 )
 def mismatch_diff(spark: SparkSession, folder: str) -> DataFrame:
     records = _order_records(spark, folder)
