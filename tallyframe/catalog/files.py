@@ -446,11 +446,12 @@ def _comparison(spark: SparkSession, folder: str) -> Comparison:
     "difference_export",
     f"""WITH {ORDERS_SQL}, r AS ({_records_sql()}), f AS (SELECT unnest(['csv', 'json', 'parquet']) AS format)
 SELECT format, column_name, mismatch_type, count(*) AS n, count(*) FILTER (WHERE coalesce(target_value, '') = '') AS blank_targets,
-  round(sum(delta), 2) AS delta FROM r, f GROUP BY 1, 2, 3""",
+  round(sum(delta), 2) AS delta, count(*) AS pairs FROM r, f GROUP BY 1, 2, 3""",
 )
 def difference_export(spark: SparkSession, folder: str) -> DataFrame:
     records = _comparison(spark, folder).records()
-    schema = ", ".join(f"{n} {'double' if n.endswith('delta') else 'string'}" for n in K.DIFFERENCE_FIELDS)
+    kinds = {"delta": "double", "relative_delta": "double", "pair_count": "bigint"}
+    schema = ", ".join(f"{n} {kinds.get(n, 'string')}" for n in K.DIFFERENCE_FIELDS)
     parts = []
     for fmt in ("csv", "json", "parquet"):
         path = K.export_differences(records, "orders", scratch_path(spark, "export"), fmt)
@@ -459,6 +460,7 @@ def difference_export(spark: SparkSession, folder: str) -> DataFrame:
     return R.union_all(parts).groupBy("format", "column_name", "mismatch_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.coalesce("target_value", F.lit("")) == "").alias("blank_targets"), F.round(F.sum("delta"), 2).alias("delta"),
+        F.sum("pair_count").alias("pairs"),
     )
 
 

@@ -9,7 +9,7 @@ from tallyframe.catalog import query
 from tallyframe.catalog.fixtures import (
     ORDER_COLUMNS, ORDERS_SQL, differs_sql, orders_source, orders_target, table,
 )
-from tallyframe.operators.reconcile import Comparison, CompareOptions, same_content
+from tallyframe.operators.reconcile import Comparison, CompareOptions, reconcile, same_content
 
 COUNTS = [
     "source_row_count", "target_row_count", "matched_count", "missing_in_target_count",
@@ -367,6 +367,55 @@ def reconcile_heavy_key_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "reconcile_heavy_key_units",
+    f"""WITH {_HOT_SQL}, j AS (SELECT s.k, s.status, t.status AS other, s.price, t.price AS cost,
+    {_HOT_DIFFS['status']} AS bad_status, {_HOT_DIFFS['price']} AS bad_price FROM src s JOIN tgt t ON s.k = t.k)
+SELECT k, 'status' AS column_name, status AS source_text, min(other) AS target_text, CAST(NULL AS DOUBLE) AS source_number,
+  CAST(NULL AS DOUBLE) AS target_number, CAST(NULL AS DOUBLE) AS delta, count(*) AS pair_count FROM j WHERE bad_status = 1 GROUP BY k, status
+UNION ALL SELECT k, 'price', NULL, NULL, price, min(cost), round(min(cost) - price, 4), count(*) FROM j WHERE bad_price = 1 GROUP BY k, price""",
+)
+def reconcile_heavy_key_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of the heavy and the light keys with its smallest target value, row by row."""
+    units = _hot_pair(spark, folder).records().where("column_name in ('status', 'price')")
+    number = F.col("column_name") == "price"
+    return units.select(
+        F.col("key_values")["k"].cast("bigint").alias("k"), "column_name",
+        F.when(~number, F.col("source_value")).alias("source_text"), F.when(~number, F.col("target_value")).alias("target_text"),
+        F.when(number, F.col("source_value").try_cast("double")).alias("source_number"),
+        F.when(number, F.col("target_value").try_cast("double")).alias("target_number"),
+        F.round("delta", 4).alias("delta"), "pair_count",
+    )
+
+
+@query(
+    "checksum_first",
+    """WITH orders2 AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS a,
+    CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS b FROM orders)
+SELECT 'moved' AS target, count(*) AS matched_count, CAST(2 * count(*) AS BIGINT) AS value_mismatch_count, 'FAILED' AS status FROM orders2
+UNION ALL SELECT 'same', count(*), CAST(0 AS BIGINT), 'PASSED' FROM orders2
+UNION ALL SELECT 'repeated', CAST(count(*) + 3 * count(*) FILTER (WHERE k % 10 = 0) AS BIGINT),
+  CAST(2 * count(*) FILTER (WHERE k % 10 = 0) AS BIGINT), 'FAILED' FROM orders2""",
+)
+def checksum_first(spark: SparkSession, folder: str) -> DataFrame:
+    """Nulls that change columns, equal tables, and repeated keys whose rows differ, under the checksum option."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    orders = table(spark, folder, "orders").select(
+        k.alias("k"), F.when(k % 2 == 0, status).alias("a"), F.when(k % 2 == 1, status).alias("b")
+    )
+    moved = orders.select("k", F.col("b").alias("a"), F.col("a").alias("b"))
+    twice = orders.unionByName(orders.where("k % 10 = 0").withColumn("a", F.lit("other")))
+    options = CompareOptions(key_columns=["k"])
+    parts = [
+        reconcile(orders, moved, options, checksum_first=True).withColumn("target", F.lit("moved")),
+        reconcile(orders, orders.repartition("a"), options, checksum_first=True).withColumn("target", F.lit("same")),
+        reconcile(twice, twice, options, checksum_first=True).withColumn("target", F.lit("repeated")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "target", "matched_count", "value_mismatch_count", "status"
+    )
+
+
 _POSITIONAL_COLUMNS = ["o_orderstatus", "o_orderpriority", "o_totalprice"]
 
 

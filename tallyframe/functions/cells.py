@@ -69,6 +69,15 @@ def text(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
+def read_back(c: Column, t: T.DataType) -> Column:
+    """A cell of type ``t`` from its text, so far as :func:`number` needs it."""
+    if is_numeric(t):
+        return c.try_cast("double").cast(t) if not is_integral(t) else c.try_cast(t)
+    if isinstance(t, T.BooleanType):
+        return c.try_cast("boolean")
+    return c
+
+
 def normalised(df: DataFrame) -> DataFrame:
     """Decimals to double, NaN to NULL, UUID text to upper case, zoneless times to UTC."""
     out = []

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import cells
 from tallyframe.functions.ranks import exact_percentiles
+from tallyframe.operators.segments import pairs_of
 
 FLAKY_FROM = 0.3
 
@@ -150,15 +151,20 @@ def run_metrics(results: DataFrame) -> DataFrame:
 
 
 def run_insights(records: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
-    """Worst columns, totals per type, and decided against open mismatches per test."""
-    accepted, rejected = F.col("decision") == "accepted", F.col("decision") == "rejected"
-    columns = records.groupBy("column_name").agg(F.count(F.lit(1)).alias("mismatches")).orderBy(
+    """Worst columns, totals per type, and decided against open mismatches per test; a record counts its pairs."""
+    pairs = pairs_of(records)
+    columns = records.groupBy("column_name").agg(F.sum(pairs).alias("mismatches")).orderBy(
         F.col("mismatches").desc(), "column_name"
     ).limit(top_n)
-    types = records.groupBy("mismatch_type").agg(F.count(F.lit(1)).alias("mismatches"))
+    types = records.groupBy("mismatch_type").agg(F.sum(pairs).alias("mismatches"))
+
+    def where(condition: Column) -> Column:
+        return F.sum(F.when(condition, pairs).otherwise(0))
+
+    decision = F.col("decision")
     tests = records.groupBy("test_name").agg(
-        F.count_if(accepted).alias("accepted"), F.count_if(rejected).alias("rejected"),
-        F.count_if(F.col("decision").isNull()).alias("open"),
+        where(decision == "accepted").alias("accepted"), where(decision == "rejected").alias("rejected"),
+        where(decision.isNull()).alias("open"),
     )
     return {"columns": columns, "types": types, "tests": tests}
 

@@ -24,7 +24,6 @@ from tallyframe.session import materialise
 PASSED, FAILED, SLOW, ERROR, SKIPPED = "PASSED", "FAILED", "SLOW", "ERROR", "SKIPPED"
 ROW_COLUMN = "<row>"
 MISSING_IN_TARGET, MISSING_IN_SOURCE, VALUE_DIFF = "missing_in_target", "missing_in_source", "value_diff"
-_BIGINT_MAX = 9_000_000_000_000_000_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +42,6 @@ class CompareOptions:
     sample_fraction: float | None = None
     sample_seed: int = 42
     segment_columns: Sequence[str] = ()
-    record_limit: int = 1000
     max_compare_rows: int = 0
     ad_hoc_keys: bool = False
     # A key is heavy when its row pairs, or its rows, exceed these. At most
@@ -209,10 +207,6 @@ class Comparison:
     def _tolerance(self, i: int) -> float:
         return float(self.options.column_tolerances.get(self.columns[i], self.options.float_tolerance))
 
-    def _count_type(self) -> str:
-        cells_compared = self.census.matched * max(len(self.columns), 1)
-        return "bigint" if cells_compared < _BIGINT_MAX else "decimal(38,0)"
-
     @cached_property
     def column_counts(self) -> DataFrame:
         """``ordinal, mismatch_count`` for every compared column."""
@@ -223,7 +217,6 @@ class Comparison:
         joined = self._part(self.source, "s", "left_anti").join(
             self._part(self.target, "t", "left_anti"), on, "inner"
         )
-        ctype = self._count_type()
         wide = joined.agg(
             *[F.count_if(self._differs(i)).alias(f"c{i}") for i in range(len(self.columns))]
         )
@@ -232,7 +225,7 @@ class Comparison:
                 F.array(
                     *[
                         F.struct(
-                            F.lit(i).alias("ordinal"), F.col(f"c{i}").cast(ctype).alias("mismatch_count")
+                            F.lit(i).alias("ordinal"), F.col(f"c{i}").cast("bigint").alias("mismatch_count")
                         )
                         for i in range(len(self.columns))
                     ]
@@ -241,23 +234,22 @@ class Comparison:
         )
         if self.census.heavy_keys:
             extra = self._heavy_values.groupBy("ordinal").agg(
-                F.sum("pairs").cast(ctype).alias("mismatch_count")
+                F.sum("pairs").cast("bigint").alias("mismatch_count")
             )
             tall = tall.unionAll(extra).groupBy("ordinal").agg(
-                F.sum("mismatch_count").cast(ctype).alias("mismatch_count")
+                F.sum("mismatch_count").cast("bigint").alias("mismatch_count")
             )
         return tall
 
     def by_column(self) -> DataFrame:
         """Tall summary ``column_name, mismatch_count, compared_rows``, with the row pseudo-column."""
         c = self.census
-        ctype = self._count_type()
         names = F.array(*[F.lit(n) for n in self.columns]) if self.columns else F.array(F.lit(""))
         per_column = self.column_counts.select(
             "ordinal",
             F.element_at(names, F.col("ordinal") + 1).alias("column_name"),
-            F.col("mismatch_count").cast(ctype).alias("mismatch_count"),
-            F.lit(c.matched).cast(ctype).alias("compared_rows"),
+            F.col("mismatch_count").cast("bigint").alias("mismatch_count"),
+            F.lit(c.matched).cast("bigint").alias("compared_rows"),
         )
         missing = c.missing_in_target + c.missing_in_source
         if not missing:
@@ -265,8 +257,8 @@ class Comparison:
         row = self.source.sparkSession.range(1).select(
             F.lit(len(self.columns)).alias("ordinal"),
             F.lit(ROW_COLUMN).alias("column_name"),
-            F.lit(missing).cast(ctype).alias("mismatch_count"),
-            F.lit(missing).cast(ctype).alias("compared_rows"),
+            F.lit(missing).cast("bigint").alias("mismatch_count"),
+            F.lit(missing).cast("bigint").alias("compared_rows"),
         )
         return per_column.unionAll(row)
 
@@ -302,14 +294,13 @@ class Comparison:
                 max_duration: float | None = None) -> DataFrame:
         """One result row; row counts come from the census, cell counts from the join."""
         c = self.census
-        ctype = self._count_type()
 
         def count(value: int) -> Column:
-            return F.lit(value).cast("bigint" if value < _BIGINT_MAX else "decimal(38,0)")
+            return F.lit(value).cast("bigint")  # a count beyond 64 bits is an error, not another type
 
         slow = bool(max_duration and duration is not None and duration > max_duration)
         cellwise = self.column_counts.agg(
-            F.coalesce(F.sum("mismatch_count"), F.lit(0)).cast(ctype).alias("value_mismatch_count")
+            F.coalesce(F.sum("mismatch_count"), F.lit(0)).cast("bigint").alias("value_mismatch_count")
         )
         clean = (
             (F.col("value_mismatch_count") == 0)
@@ -369,14 +360,13 @@ class Comparison:
         """One result row per value of one key column, all from the same census and join."""
         i = self.keys.index(key)
         m, n = F.col("m"), F.col("n")
-        wide = "bigint" if self.census.matched < _BIGINT_MAX else "decimal(38,0)"
         counts = self.key_counts.groupBy(F.col(f"k{i}").alias("g")).agg(
             F.sum("m").alias("source_row_count"), F.sum("n").alias("target_row_count"),
-            F.sum(m.cast(wide) * n.cast(wide)).cast(wide).alias("matched_count"),
+            F.sum(m * n).alias("matched_count"),
             F.coalesce(F.sum(F.when(n == 0, m)), F.lit(0)).alias("missing_in_target_count"),
             F.coalesce(F.sum(F.when(m == 0, n)), F.lit(0)).alias("missing_in_source_count"),
         )
-        out = counts.withColumn("value_mismatch_count", F.lit(0).cast(self._count_type()))
+        out = counts.withColumn("value_mismatch_count", F.lit(0).cast("bigint"))
         if self.columns:
             on = same_key("sk", "tk", len(self.keys), self.census.null_keys > 0)
             joined = self._part(self.source, "s", "left_anti").join(
@@ -385,72 +375,42 @@ class Comparison:
             cellwise = sum(
                 (self._differs(j).cast("int") for j in range(1, len(self.columns))), self._differs(0).cast("int")
             )
-            found = joined.groupBy(F.col(f"sk{i}").alias("h")).agg(F.sum(cellwise).cast(self._count_type()).alias("c"))
+            found = joined.groupBy(F.col(f"sk{i}").alias("h")).agg(F.sum(cellwise).cast("bigint").alias("c"))
             if self.census.heavy_keys:
-                heavy = self._heavy_values.groupBy(F.col(f"k{i}").alias("h")).agg(F.sum("pairs").cast(self._count_type()).alias("c"))
-                found = found.unionAll(heavy).groupBy("h").agg(F.sum("c").cast(self._count_type()).alias("c"))
+                heavy = self._heavy_values.groupBy(F.col(f"k{i}").alias("h")).agg(F.sum("pairs").cast("bigint").alias("c"))
+                found = found.unionAll(heavy).groupBy("h").agg(F.sum("c").cast("bigint").alias("c"))
             out = counts.join(found, F.col("g").eqNullSafe(F.col("h")), "left").withColumn(
-                "value_mismatch_count", F.coalesce("c", F.lit(0).cast(self._count_type()))
+                "value_mismatch_count", F.coalesce("c", F.lit(0).cast("bigint"))
             ).drop("h", "c")
         issues = F.col("missing_in_target_count") + F.col("missing_in_source_count") + F.col("value_mismatch_count")
         return out.withColumn("status", F.when(issues == 0, PASSED).otherwise(FAILED)).withColumnRenamed("g", key)
 
     # -- records -----------------------------------------------------------
 
-    def _record(self, column: str, s: Column, t: Column, kind: str,
-                delta: Column | None = None, relative: Column | None = None) -> Column:
-        none = F.lit(None).cast("double")
-        return F.struct(
-            F.lit(column).alias("column_name"),
-            s.alias("source_value"),
-            t.alias("target_value"),
-            F.lit(kind).alias("mismatch_type"),
-            (none if delta is None else delta).alias("delta"),
-            (none if relative is None else relative).alias("relative_delta"),
-        )
-
-    def _cell_record(self, i: int) -> Column:
-        s, t = F.col(f"s{i}"), F.col(f"t{i}")
-        st, tt = self._types[i]
-        return self._record(
-            self.columns[i], cells.text(s, st), cells.text(t, tt), VALUE_DIFF,
-            cells.delta(s, st, t, tt), cells.relative_delta(s, st, t, tt),
-        )
-
     def _key_map(self, ks: list[Column]) -> Column:
         return F.map_from_arrays(
             F.array(*[F.lit(k) for k in self.keys]), F.array(*[k.cast("string") for k in ks])
         )
 
-    def _segment_map(self, ks: list[Column], sides: str) -> Column:
-        names = [c for c in self.options.segment_columns if c in self.keys or c in self.columns]
-        if not names:
-            return F.lit(None).cast("map<string,string>")
-        values = []
-        for name in names:
-            if name in self.keys:
-                values.append(ks[self.keys.index(name)].cast("string"))
-            else:
-                i = self.columns.index(name)
-                types = dict(zip("st", self._types[i]))
-                values.append(F.coalesce(*[cells.text(F.col(f"{x}{i}"), types[x]) for x in sides]))
-        return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*values))
-
     def records(self, limit: int | None = None) -> DataFrame:
         """Typed mismatch records; ``limit`` keeps the first ones in the fixed report order.
 
-        Each record stands for ``pair_count`` row pairs. That is 1 except below a
-        heavy key, where one record stands for all pairs of one source value with
-        a differing target value, and has no single target value to show.
+        A record of differing cells is one key, column, source value and segment
+        values of the source row, whatever the number of rows below the key.
+        ``pair_count`` says for how many row pairs it stands, and the target value
+        is the smallest one that differs, null if only nulls do. A segment value
+        that the source row lacks is the smallest of the key's target rows. Every
+        row without a partner is a record.
         """
-        n = len(self.keys)
+        n, width = len(self.keys), len(self.columns)
+        single = not (self.census.duplicate_keys_source or self.census.duplicate_keys_target)
         on = same_key("sk", "tk", n, self.census.null_keys > 0)
+        crossed = None if single else self._crossed
         joined = (
-            self._part(self.source, "s", "left_anti").withColumn("in_s", F.lit(True))
-            .join(self._part(self.target, "t", "left_anti").withColumn("in_t", F.lit(True)), on, "full_outer")
+            self._part(self.source, "s", "left_anti", crossed).withColumn("in_s", F.lit(True))
+            .join(self._part(self.target, "t", "left_anti", crossed).withColumn("in_t", F.lit(True)), on, "full_outer")
         )
         both = F.col("in_s").isNotNull() & F.col("in_t").isNotNull()
-        width = len(self.columns)
         # One small code per finding: a column's ordinal, or which side is missing.
         codes = [F.when(both & self._differs(i), F.lit(i)) for i in range(width)]
         codes += [F.when(F.col("in_t").isNull(), F.lit(-2)), F.when(F.col("in_s").isNull(), F.lit(-1))]
@@ -458,100 +418,204 @@ class Comparison:
         cell_columns = [F.col(f"{side}{i}") for side in "st" for i in range(width)]
         found = joined.select(*ks, *cell_columns, F.explode(F.array(*codes)).alias("code")).where("code is not null")
         names = [f"k{i}" for i in range(n)]
-        key_cols = [F.col(k) for k in names]
-        order = [
-            F.col("category"), F.col("ordinal"), *[k.asc_nulls_first() for k in key_cols], F.col("tie"),
-        ]
+        order = ["category", "ordinal", *[F.col(k).asc_nulls_first() for k in names]]
         found = found.withColumn("category", F.when(F.col("code") == -2, 0).when(F.col("code") == -1, 1).otherwise(2))
         found = found.withColumn("ordinal", F.greatest(F.col("code"), F.lit(-1)))
-        if limit is not None:
-            # The first ones are picked before any value is turned into text.
-            found = found.withColumn("tie", F.xxhash64(*cell_columns)).orderBy(*order).limit(limit)
-        else:
-            found = found.withColumn("tie", F.lit(0).cast("bigint"))
-        present, missing = F.lit("present"), F.lit("missing")
-        record = F.when(F.col("code") == -2, self._record(ROW_COLUMN, present, missing, MISSING_IN_TARGET)).when(
-            F.col("code") == -1, self._record(ROW_COLUMN, missing, present, MISSING_IN_SOURCE)
+        if single and limit is not None:
+            # Keys are unique, so the order is total; the first ones are picked before any value is turned into text.
+            found = found.orderBy(*order).limit(limit)
+        units = found.select(
+            *names, "category", "ordinal", self._by_code("s").alias("source_value"),
+            self._by_code("t").alias("target_value"), self._target_order().alias("target_order"),
+            self._segments("st" if single else "s", found_key=names).alias("segments"),
         )
-        for i in range(width):
-            record = record.when(F.col("code") == i, self._cell_record(i))
-        out = found.select(
-            *names, "category", "ordinal", "tie", self._segment_map(key_cols, "st").alias("segment_values"),
-            F.lit(1).cast("bigint").alias("pair_count"), record.alias("r"),
-        ).select(*names, "category", "ordinal", "tie", "segment_values", "pair_count", "r.*")
-        if self.census.heavy_keys:
-            out = out.unionByName(self._heavy_records())
+        if single:
+            units = units.withColumn("pair_count", F.lit(1).cast("bigint"))
+        else:
+            # Rows without a partner stay records of their own.
+            alone = F.when(F.col("category") < 2, F.monotonically_increasing_id())
+            units = self._with_target_segments(units, names).withColumn("alone", alone)
+            least = F.struct(F.col("target_value").isNull(), "target_order", "target_value")
+            units = units.groupBy(*names, "category", "ordinal", "source_value", "segments", "alone").agg(
+                F.min(least).alias("least"), F.count(F.lit(1)).alias("pair_count")
+            ).select(*names, "category", "ordinal", "source_value", "segments", "pair_count", "least.target_value")
+            if self.census.heavy_keys:
+                units = units.unionByName(self._heavy_records(names))
             if limit is not None:
-                out = out.orderBy(*order).limit(limit)
-        return out.select(
-            self._key_map(key_cols).alias("key_values"),
-            "column_name", "source_value", "target_value", "mismatch_type",
-            "delta", "relative_delta", "segment_values", "pair_count",
+                units = units.orderBy(
+                    *order, F.col("source_value").asc_nulls_first(), F.array_join("segments", ",", "")
+                ).limit(limit)
+        label = F.element_at(F.array(*[F.lit(c) for c in self.columns] or [F.lit("")]), F.col("ordinal") + 1)
+        kinds = F.array(*[F.lit(k) for k in (MISSING_IN_TARGET, MISSING_IN_SOURCE, VALUE_DIFF)])
+        wanted = self._segment_names()
+        segments = F.lit(None).cast("map<string,string>")
+        if wanted:
+            segments = F.map_from_arrays(F.array(*[F.lit(w) for w in wanted]), F.col("segments"))
+        return units.select(
+            self._key_map([F.col(k) for k in names]).alias("key_values"),
+            F.when(F.col("ordinal") < 0, ROW_COLUMN).otherwise(label).alias("column_name"),
+            "source_value", "target_value", F.element_at(kinds, F.col("category") + 1).alias("mismatch_type"),
+            *self._deltas(), segments.alias("segment_values"), "pair_count",
         )
 
+    def _by_code(self, side: str) -> Column:
+        """The text of the found cell, or whether the row is there."""
+        out = F.when(F.col("code") == (-1 if side == "s" else -2), "missing").when(F.col("code") < 0, "present")
+        for i, kinds in enumerate(self._types):
+            out = out.when(F.col("code") == i, cells.text(F.col(f"{side}{i}"), kinds[side == "t"]))
+        return out
+
+    def _place(self, side: str, i: int) -> Column:
+        """Where a cell stands among numbers or times, if it is compared within a tolerance."""
+        c, kind = F.col(f"{side}{i}"), self._kinds[i]
+        if kind == "tolerant":
+            return c.cast("double")
+        if kind == "time":
+            return F.unix_micros(c.cast("timestamp")).cast("double")
+        return F.lit(None).cast("double")
+
+    def _target_order(self) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("double"))
+        for i in range(len(self.columns)):
+            out = out.when(F.col("code") == i, self._place("t", i))
+        return out
+
+    def _deltas(self) -> list[Column]:
+        """Delta and relative delta of a record, read back from its texts."""
+        none = F.lit(None).cast("double")
+        delta, relative = F.when(F.lit(False), none), F.when(F.lit(False), none)
+        for i, (st, tt) in enumerate(self._types):
+            s, t = cells.read_back(F.col("source_value"), st), cells.read_back(F.col("target_value"), tt)
+            own = F.col("ordinal") == i
+            delta = delta.when(own, cells.delta(s, st, t, tt))
+            relative = relative.when(own, cells.relative_delta(s, st, t, tt))
+        return [delta.alias("delta"), relative.alias("relative_delta")]
+
+    def _segment_names(self) -> list[str]:
+        return [c for c in self.options.segment_columns if c in self.keys or c in self.columns]
+
+    def _segments(self, sides: str, found_key: Sequence[str]) -> Column:
+        """Segment values as an array, from the first of ``sides`` that has one; the target's where no source row is."""
+        values = []
+        for name in self._segment_names():
+            if name in self.keys:
+                values.append(F.col(found_key[self.keys.index(name)]).cast("string"))
+                continue
+            i = self.columns.index(name)
+            texts = {x: cells.text(F.col(f"{x}{i}"), self._types[i][x == "t"]) for x in "st"}
+            own = F.coalesce(*[texts[x] for x in sides])
+            values.append(F.when(F.col("code") == -1, texts["t"]).otherwise(own) if sides == "s" else own)
+        return F.array(*values).cast("array<string>")
+
+    def _with_target_segments(self, units: DataFrame, names: list[str]) -> DataFrame:
+        """Fill segment values that differing source rows lack with the smallest of the key's target rows."""
+        other = [c for c in self._segment_names() if c not in self.keys]
+        if not other:
+            return units
+        texts = []
+        for name in self._segment_names():
+            i = self.columns.index(name) if name in other else None
+            texts.append(F.lit(None).cast("string") if i is None else F.min(cells.text(F.col(f"t{i}"), self._types[i][1])))
+        least = self.target.groupBy(*self._keys_of("t")).agg(F.array(*texts).alias("least_segments"))
+        joined = units.join(least, same_key("k", "tk", len(self.keys), self.census.null_keys > 0), "left")
+        filled = F.zip_with("segments", F.coalesce("least_segments", "segments"), lambda a, b: F.coalesce(a, b))
+        segments = F.when(F.col("category") == 2, filled).otherwise(F.col("segments"))
+        return joined.withColumn("segments", segments).drop("least_segments", *[f"tk{i}" for i in range(len(self.keys))])
+
     # -- heavy keys --------------------------------------------------------
 
+    @cached_property
+    def _crossed(self) -> DataFrame:
+        """Heavy keys with rows on both sides; one-sided rows are no pairs and need no counting."""
+        return self._heavy.where("m > 0 and n > 0")
+
     def _cells_of(self, side: DataFrame, tag: str) -> DataFrame:
-        """One row per key, column and distinct value, with its row count.
+        """One row per key, column, distinct value and segment values, with its row count.
 
-        ``v`` is the value as text, ``x`` as a number where a tolerance applies.
+        ``v`` is the value as compared text, ``d`` as shown, ``x`` as a number where a tolerance applies.
         """
         out = []
         for i in range(len(self.columns)):
             t = self._types[i][0 if tag == "s" else 1]
             c, kind = F.col(f"{tag}{i}"), self._kinds[i]
-            x = F.lit(None).cast("double")
-            if kind == "tolerant":
-                x = c.cast("double")
-            elif kind == "time":
-                x = F.unix_micros(c.cast("timestamp")).cast("double")
             v = cells.text(c.cast("timestamp"), t) if kind in ("time", "moment") else cells.text(c, t)
-            out.append(F.struct(F.lit(i).alias("ordinal"), v.alias("v"), x.alias("x")))
+            out.append(F.struct(
+                F.lit(i).alias("ordinal"), v.alias("v"), cells.text(c, t).alias("d"), self._place(tag, i).alias("x")
+            ))
         names = [f"{tag}k{i}" for i in range(len(self.keys))]
+        segments = F.array().cast("array<string>")
+        if tag == "s":
+            segments = self._segments("s", names) if self._segment_names() else segments
+            side = side.withColumn("code", F.lit(0)).withColumns(
+                {f"t{i}": F.lit(None).cast(t) for i, (_, t) in enumerate(self._types)}
+            )
         return (
-            side.select(*names, F.inline(F.array(*out)))
-            .groupBy(*names, "ordinal", "v", "x")
+            side.select(*names, segments.alias("segments"), F.inline(F.array(*out)))
+            .groupBy(*names, "ordinal", "v", "d", "x", "segments")
             .agg(F.count(F.lit(1)).alias("rows"))
         )
 
     @cached_property
     def _heavy_values(self) -> DataFrame:
-        """Per heavy key, column and source value: how many row pairs differ."""
+        """Per heavy key, column, source value and segments: how many row pairs differ, and the smallest target that does."""
         o, nk = self.options, len(self.keys)
         nullable = self.census.null_keys > 0
-        shared = self._heavy.where("m > 0 and n > 0")
+        shared = self._crossed
         s = materialise(self._cells_of(self._part(self.source, "s", "left_semi", shared), "s"), "heavy-source")
         t = materialise(self._cells_of(self._part(self.target, "t", "left_semi", shared), "t"), "heavy-target")
         never = [i for i, kind in enumerate(self._kinds) if kind == "never"]
+        names = [f"k{i}" for i in range(nk)]
+
+        def keyed(df: DataFrame, tag: str, *columns: Column | str) -> DataFrame:
+            return df.select(*[c.alias(k) for c, k in zip(self._keys_of(tag), names)], *columns)
+
+        # The two smallest different target values of a key and column.
+        targets = keyed(t, "t", "ordinal", F.struct("x", "v", "d").alias("z"), "v", "rows")
+        first = targets.where("v is not null").groupBy(*names, "ordinal").agg(F.min("z").alias("first"))
+        first = materialise(first, "heavy-first")
+        on_first = same_key("k", "fk", nk, nullable) & (F.col("ordinal") == F.col("ford"))
+        renamed = first.select(
+            *[F.col(k).alias(f"f{k}") for k in names], F.col("ordinal").alias("ford"), "first"
+        )
+        second = (
+            targets.where("v is not null").join(renamed, on_first).where(F.col("v") != F.col("first.v"))
+            .groupBy(*[f"f{k}" for k in names], "ford").agg(F.min("z").alias("second"))
+        )
+        smallest = renamed.alias("a").join(
+            second.alias("b"),
+            reduce(lambda a, b: a & b, [F.col(f"a.f{k}").eqNullSafe(F.col(f"b.f{k}")) for k in names])
+            & (F.col("a.ford") == F.col("b.ford")), "left",
+        ).select(*[f"a.f{k}" for k in names], "a.ford", "first", "second")
+
+        per_value = targets.groupBy(*[F.col(k).alias(f"t{k}") for k in names], F.col("ordinal").alias("tord"), F.col("v").alias("tv"),
+                                    F.col("z.x").alias("tx")).agg(F.sum("rows").alias("equal_rows"))
         same_value = (
-            F.col("sv").eqNullSafe(F.col("tv")) if o.null_equals_null else F.col("sv") == F.col("tv")
+            F.col("v").eqNullSafe(F.col("tv")) if o.null_equals_null else F.col("v") == F.col("tv")
         )
         if never:
-            same_value = same_value & (~F.col("sord").isin(never) | F.col("sv").isNull())
-        on = same_key("sk", "tk", nk, nullable) & (F.col("sord") == F.col("tord")) & same_value
-        exact = s.where("x is null").select(
-            *self._keys_of("s"), F.col("ordinal").alias("sord"), F.col("v").alias("sv"),
-            F.col("rows").alias("m"),
-        ).join(
-            t.where("x is null").select(
-                *self._keys_of("t"), F.col("ordinal").alias("tord"), F.col("v").alias("tv"),
-                F.col("rows").alias("equal_rows"),
-            ),
-            on, "left",
+            same_value = same_value & (~F.col("ordinal").isin(never) | F.col("v").isNull())
+        on = same_key("k", "tk", nk, nullable) & (F.col("ordinal") == F.col("tord")) & same_value
+        # Rows without a place are those of exact columns and the nulls of the others.
+        exact = keyed(s, "s", "ordinal", "v", "d", "x", "segments", F.col("rows").alias("m")).where("x is null").join(
+            per_value.where("tx is null"), on, "left",
         ).select(
-            *self._keys_of("s"), F.col("sord").alias("ordinal"), F.col("sv").alias("v"), "m",
+            *names, "ordinal", "v", "d", "segments", "m",
             F.coalesce(F.col("equal_rows"), F.lit(0)).cast("decimal(38,0)").alias("equal_rows"),
+            F.lit(None).cast("double").alias("low"), F.lit(None).cast("string").alias("after"),
         )
         values = exact
         near = [i for i, kind in enumerate(self._kinds) if kind in ("tolerant", "time")]
         if near:
             values = values.unionByName(self._near_values(s, t, near))
-        hot = shared.select(*[f"k{i}" for i in range(nk)], F.col("n").alias("partners"))
-        joined = values.join(hot, same_key("sk", "k", nk, nullable))
+        hot = shared.select(*[F.col(k).alias(f"h{k}") for k in names], F.col("n").alias("partners"))
+        joined = values.join(hot, same_key("k", "hk", nk, nullable)).join(smallest, on_first, "left")
         differing = F.col("m").cast("decimal(19,0)") * (F.col("partners") - F.col("equal_rows")).cast("decimal(19,0)")
+        is_first = F.col("v").eqNullSafe(F.col("first.v")) & ~F.col("ordinal").isin(never or [-1])
+        least = F.when(F.col("low").isNotNull(), F.when(F.col("first.x") < F.col("low"), F.col("first.d")).otherwise(
+            F.col("after"))).when(is_first, F.col("second.d")).otherwise(F.col("first.d"))
         return joined.select(
-            *[f"k{i}" for i in range(nk)], "ordinal", F.col("v").alias("source_value"),
-            differing.alias("pairs"),
+            *names, "ordinal", F.col("d").alias("source_value"), "segments", differing.alias("pairs"),
+            least.alias("target_value"),
         ).where("pairs > 0")
 
     def _near_values(self, s: DataFrame, t: DataFrame, near: list[int]) -> DataFrame:
@@ -559,7 +623,8 @@ class Comparison:
 
         Target values and the two ends of every source value's interval are put
         in one global order; the interval's count is the difference of the
-        running totals at its ends.
+        running totals at its ends, and the first target behind it begins where
+        the total at its end stands.
         """
         nk = len(self.keys)
         tolerances = {
@@ -574,16 +639,18 @@ class Comparison:
         none = F.lit(0).cast("bigint")
         targets = t.where("x is not null").groupBy(
             *[c.alias(k) for c, k in zip(self._keys_of("t"), names)], "ordinal", F.col("x").alias("at")
-        ).agg(F.sum("rows").alias("w")).select(*names, "ordinal", "at", F.lit(1).alias("kind"), "w")
+        ).agg(F.sum("rows").alias("w"), F.min(F.struct("v", "d")).getField("d").alias("d")).select(
+            *names, "ordinal", "at", F.lit(1).alias("kind"), "w", "d"
+        )
         sources = s.where("x is not null").select(
-            *[c.alias(k) for c, k in zip(self._keys_of("s"), names)], "ordinal", "v", "x",
+            *[c.alias(k) for c, k in zip(self._keys_of("s"), names)], "ordinal", "v", "d", "x", "segments",
             F.col("rows").alias("m"), low.alias("low"), high.alias("high"),
         )
         ends = sources.select(*names, "ordinal", F.col("low").alias("at"), F.lit(0).alias("kind")).unionAll(
             sources.select(*names, "ordinal", F.col("high").alias("at"), F.lit(2).alias("kind"))
-        ).distinct().withColumn("w", none)
+        ).distinct().withColumn("w", none).withColumn("d", F.lit(None).cast("string"))
         order = [F.col(k).asc_nulls_first() for k in names] + [F.col("ordinal"), F.col("at"), F.col("kind")]
-        totals = running_total(targets.unionByName(ends), order, "w").where("kind <> 1")
+        totals = materialise(running_total(targets.unionByName(ends), order, "w"), "heavy-totals")
         nullable = self.census.null_keys > 0
 
         def at_end(df: DataFrame, end: str, kind: int) -> DataFrame:
@@ -595,42 +662,22 @@ class Comparison:
             return df.join(found, on).drop(*[f"e{k}" for k in names], "eord", "eat")
 
         placed = at_end(at_end(sources, "low", 0), "high", 2)
-        return placed.select(
-            *[F.col(k).alias(f"s{k}") for k in names], "ordinal", "v", "m",
-            (F.col("upto_high") - F.col("upto_low")).cast("decimal(38,0)").alias("equal_rows"),
+        behind = totals.where("kind = 1").select(
+            *[F.col(k).alias(f"b{k}") for k in names], F.col("ordinal").alias("bord"),
+            (F.col("running_total") - F.col("w")).alias("begins"), F.col("d").alias("after"),
         )
-
-    def _heavy_records(self) -> DataFrame:
-        nk = len(self.keys)
-        names = [f"k{i}" for i in range(nk)]
-        present, missing = F.lit("present"), F.lit("missing")
-
-        def one_sided(side: DataFrame, tag: str, where: str, category: int, record: Column) -> DataFrame:
-            rows = self._part(side, tag, "left_semi", self._heavy.where(where))
-            ks = self._keys_of(tag)
-            return rows.select(
-                *[c.alias(k) for c, k in zip(ks, names)],
-                F.lit(category).alias("category"), F.lit(-1).alias("ordinal"), F.lit(0).cast("bigint").alias("tie"),
-                self._segment_map(ks, tag).alias("segment_values"), F.lit(1).cast("bigint").alias("pair_count"),
-                record.alias("r"),
-            ).select(*names, "category", "ordinal", "tie", "segment_values", "pair_count", "r.*")
-
-        gone = one_sided(
-            self.source, "s", "n = 0", 0, self._record(ROW_COLUMN, present, missing, MISSING_IN_TARGET)
+        on = same_key("k", "bk", nk, nullable) & (F.col("ordinal") == F.col("bord")) & (F.col("upto_high") == F.col("begins"))
+        return placed.join(behind, on, "left").select(
+            *names, "ordinal", "v", "d", "segments", "m",
+            (F.col("upto_high") - F.col("upto_low")).cast("decimal(38,0)").alias("equal_rows"), "low", "after",
         )
-        new = one_sided(
-            self.target, "t", "m = 0", 1, self._record(ROW_COLUMN, missing, present, MISSING_IN_SOURCE)
-        )
-        none = F.lit(None)
-        label = F.element_at(F.array(*[F.lit(c) for c in self.columns] or [F.lit("")]), F.col("ordinal") + 1)
-        cellwise = self._heavy_values.select(
-            *names, F.lit(2).alias("category"), "ordinal", F.xxhash64("source_value").alias("tie"),
-            none.cast("map<string,string>").alias("segment_values"), F.col("pairs").cast("bigint").alias("pair_count"),
-            label.alias("column_name"), "source_value", none.cast("string").alias("target_value"),
-            F.lit(VALUE_DIFF).alias("mismatch_type"), none.cast("double").alias("delta"),
-            none.cast("double").alias("relative_delta"),
-        )
-        return gone.unionByName(new).unionByName(cellwise)
+
+    def _heavy_records(self, names: list[str]) -> DataFrame:
+        units = self._heavy_values.withColumn("category", F.lit(2))
+        # Filling may give rows of one source value the same segments; its target is one and the same.
+        return self._with_target_segments(units, names).groupBy(
+            *names, "category", "ordinal", "source_value", "segments"
+        ).agg(F.sum("pairs").cast("bigint").alias("pair_count"), F.min("target_value").alias("target_value"))
 
 
 def _interval_end(x: Column, tolerances: Mapping[int, float], sign: int) -> Column:

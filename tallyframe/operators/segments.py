@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import cells
@@ -13,6 +13,11 @@ from tallyframe.operators.reconcile import MISSING_IN_SOURCE, MISSING_IN_TARGET,
 NULL_BUCKET = "(null)"
 
 
+def pairs_of(records: DataFrame) -> Column:
+    """For how many mismatches a record stands; tables without the column hold single ones."""
+    return (F.col("pair_count") if "pair_count" in records.columns else F.lit(1)).cast("bigint")
+
+
 def segment_summary(records: DataFrame, segments: Sequence[str], top_n: int = 20) -> DataFrame:
     """Mismatch counts per segment value and type, the ``top_n`` values per segment."""
     entries = F.array(*[
@@ -22,7 +27,7 @@ def segment_summary(records: DataFrame, segments: Sequence[str], top_n: int = 20
         )
         for s in segments
     ])
-    pairs = F.col("pair_count") if "pair_count" in records.columns else F.lit(1)
+    pairs = pairs_of(records)
 
     def of(kind: str):
         return F.coalesce(F.sum(F.when(F.col("mismatch_type") == kind, pairs)), F.lit(0)).alias(kind)
@@ -62,6 +67,6 @@ def mismatch_distribution(records: DataFrame, top_n: int = 10) -> DataFrame:
     """The most frequent (column, source value, target value) combinations."""
     return (
         records.groupBy("column_name", "source_value", "target_value")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
+        .agg(F.sum(pairs_of(records)).alias("occurrences"))
         .orderBy(F.col("occurrences").desc(), "column_name", "source_value", "target_value").limit(top_n)
     )

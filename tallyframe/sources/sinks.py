@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.history import canonical_key, effective_status, run_metrics
+from tallyframe.operators.segments import pairs_of
 
 DIFFERENCE_FIELDS = [
     "test_name", "key_values", "column_name", "source_value", "target_value", "mismatch_type", "delta",
-    "relative_delta",
+    "relative_delta", "pair_count",
 ]
 CAPPED_FIELDS = DIFFERENCE_FIELDS[:6]
 # Fixed value: rows read for the capped export.
@@ -25,11 +26,12 @@ def _blank(name: str) -> Column:
 
 
 def difference_rows(records: DataFrame, test_name: str | None = None) -> DataFrame:
-    """The eight export fields; a missing cell is blank."""
+    """The export fields and, last, how many pairs a row stands for; a missing cell is blank."""
     test = F.lit(test_name).alias("test_name") if test_name is not None else F.col("test_name")
     return records.select(
         test, canonical_key(F.col("key_values")).alias("key_values"), _blank("column_name"), _blank("source_value"),
         _blank("target_value"), _blank("mismatch_type"), "delta", "relative_delta",
+        pairs_of(records).alias("pair_count"),
     )
 
 

@@ -235,3 +235,55 @@ def test_checksum_sees_moved_nulls(spark):
     ):
         quick = reconcile(source, target, options, checksum_first=True).first().asDict()
         assert quick == reconcile(source, target, options).first().asDict()
+
+
+def plain_records(source, target, tolerance):
+    """(key, column, source value, segment): pairs and the smallest differing target value, by all pairs."""
+    out = {}
+    for k in {r[0] for r in source} & {r[0] for r in target}:
+        seg = min((r[3] for r in target if r[0] == k and r[3] is not None), default=None)
+        for a in (r for r in source if r[0] == k):
+            for i, column in ((1, "x"), (2, "c"), (3, "g")):
+                for b in (r for r in target if r[0] == k):
+                    s, t = a[i], b[i]
+                    if s is None and t is None:
+                        continue
+                    if s is not None and t is not None and (abs(s - t) <= tolerance if i == 1 else s == t):
+                        continue
+                    unit = out.setdefault((k, column, s, a[3] if a[3] is not None else seg), [0, []])
+                    unit[0] += 1
+                    unit[1].append(t)
+    return {
+        key: (n, min((t for t in values if t is not None), default=None)) for key, (n, values) in out.items()
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_records_do_not_depend_on_size(spark, seed):
+    """Any threshold gives the same records, and they are those of all pairs."""
+    rng = random.Random(seed)
+
+    def rows(n):
+        return [(rng.choice("aaab"), rng.choice([None, 1.0, 1.5, 2.0, 2.5, 7.0]), rng.choice([None, "p", "q", "r"]),
+                 rng.choice([None, "east", "west"])) for _ in range(n)] + [("u", 1.0, "p", None)]
+
+    s, t = rows(40), rows(30)
+    schema = "k string, x double, c string, g string"
+    sdf, tdf = spark.createDataFrame(s, schema), spark.createDataFrame(t, schema)
+    want = plain_records(s, t, 0.5)
+    seen = []
+    for heavy in (1_000_000, 2):
+        c = Comparison(sdf, tdf, CompareOptions(
+            key_columns=["k"], column_tolerances={"x": 0.5}, segment_columns=["g"], heavy_pairs=heavy))
+        found = c.records().collect()
+        seen.append(sorted((tuple(r) for r in found), key=str))
+        assert c.records(5).count() == 5
+        got = {}
+        for r in found:
+            value = float(r.source_value) if r.column_name == "x" and r.source_value else r.source_value
+            target = float(r.target_value) if r.column_name == "x" and r.target_value else r.target_value
+            got[r.key_values["k"], r.column_name, value, r.segment_values["g"]] = (r.pair_count, target)
+            if r.column_name == "x":
+                assert r.delta == (None if None in (value, target) else target - value)
+        assert got == want
+    assert seen[0] == seen[1]
