@@ -191,7 +191,7 @@ def catalog_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("preview_rows", "SELECT least(count(*), 200) AS rows FROM orders")
 def preview_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return R.preview(table(spark, folder, "orders"), 500).agg(F.count(F.lit(1)).alias("rows"))
+    return R.preview(table(spark, folder, "orders"), 200).agg(F.count(F.lit(1)).alias("rows"))
 
 
 # -- Listings --------------------------------------------------------------

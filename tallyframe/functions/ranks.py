@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tallyframe.session import materialise
 
 ROWS_PER_BLOCK = 65_536
+ROWS_PER_RANGE = 1_000_000
+FEW_ROWS = 20_000
 
 
 def running_total(
@@ -27,12 +29,22 @@ def running_total(
 ) -> DataFrame:
     """Add the inclusive running sum of ``weight`` in the given global order.
 
-    Rows should be distinct under ``order``: equal rows are summed before the
-    call, so a value that fills a third of the table is one row here.
+    Rows that are equal under ``order`` come in the order of a hash of all their
+    columns.
     """
-    # Without a number of partitions AQE may merge neighbouring small ranges.
+    # The rows are counted first, so that a range is of bounded size at any scale. Ties of the order, even equal
+    # rows, are broken by a hash and a number, so one value cannot fill a range.
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    numbered = materialise(
+        df.select("*", F.xxhash64(*columns).alias("__tie"), F.monotonically_increasing_id().alias("__id")), "unranged"
+    )
+    rows = numbered.count()
+    wide = min(df.sparkSession.sparkContext.defaultParallelism, rows // FEW_ROWS)
+    total_order = [*order, F.col("__tie"), F.col("__id")]
     ranged = materialise(
-        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged"
+        numbered.repartitionByRange(max(1, wide, -(-rows // ROWS_PER_RANGE)), *total_order)
+        .withColumn("__part", F.spark_partition_id()),
+        "ranged",
     )
     per_part = ranged.groupBy("__part").agg(F.sum(F.col(weight).cast(total_type)).alias("__sum"))
     # One row per shuffle partition, so this ordered window is of bounded size.
@@ -41,13 +53,13 @@ def running_total(
         "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast(total_type).alias("__offset")
     )
     inside = (
-        Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("__part").orderBy(*total_order).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         ranged.withColumn("__inside", F.sum(F.col(weight).cast(total_type)).over(inside))
         .join(F.broadcast(offsets), "__part")
         .withColumn(total, (F.col("__inside") + F.col("__offset")).cast(total_type))
-        .drop("__part", "__inside", "__offset")
+        .drop("__part", "__inside", "__offset", "__tie", "__id")
     )
 
 

@@ -105,19 +105,43 @@ def grubbs_critical(n: int, alpha: float) -> float:
     return (n - 1) / math.sqrt(n) * math.sqrt(t2 / (n - 2 + t2))
 
 
+EXACT_KOLMOGOROV_UP_TO = 10_000  # beyond, the expansion in 1 / sqrt(n) differs from the exact law by less than 1e-7
+
+
 def kolmogorov_tail(d: float, n: int) -> float:
-    """P(D_n > d) two-sided: exact by matrix power for small n, else its series or tail."""
+    """P(D_n > d) two-sided: one law for all n, computed exactly, by its expansion or, far out, by its tail."""
     s = d * d * n
     if s <= 0:
         return 1.0
-    if n <= 10_000:
-        if s > 7.24 or (s > 3.76 and n > 99):
-            return min(1.0, 2.0 * math.exp(-(2.000071 + 0.331 / math.sqrt(n) + 1.409 / n) * s))
-        return max(0.0, 1.0 - _kolmogorov_exact(d, n))
-    if s < 0.04:
-        return 1.0
-    total = sum((-1) ** (k - 1) * math.exp(-2.0 * k * k * s) for k in range(1, 101))
-    return min(1.0, max(0.0, 2.0 * total))
+    if s > 7.24 or (s > 3.76 and n > 99):
+        return min(1.0, 2.0 * math.exp(-(2.000071 + 0.331 / math.sqrt(n) + 1.409 / n) * s))
+    below = _kolmogorov_exact(d, n) if n <= EXACT_KOLMOGOROV_UP_TO else _kolmogorov_expansion(math.sqrt(s), n)
+    return min(1.0, max(0.0, 1.0 - below))
+
+
+def _kolmogorov_expansion(z: float, n: int) -> float:
+    """Pelz and Good (1976): P(sqrt(n) D_n < z) to the order n**-1.5."""
+    if z < 0.05:
+        return 0.0
+    pi2 = math.pi**2
+    terms = math.ceil(6 * z) + 8
+    odd = (np.arange(terms) + 0.5) ** 2  # (k + 1/2)^2
+    whole = np.arange(1, terms + 1) ** 2.0  # k^2
+    odd_power = np.exp(-odd * pi2 / (2 * z * z))
+    whole_power = np.exp(-whole * pi2 / (2 * z * z))
+    root = math.sqrt(math.pi / 2)
+    order0 = 2 * root / z * odd_power.sum()
+    order1 = root / (3 * z**4) * ((pi2 * odd - z**2) * odd_power).sum()
+    order2 = root / (36 * z**7) * (
+        (6 * z**6 + 2 * z**4 + pi2 * (2 * z**4 - 5 * z**2) * odd + pi2**2 * (1 - 2 * z**2) * odd**2) * odd_power
+    ).sum() - root * pi2 / (18 * z**3) * (whole * whole_power).sum()
+    order3 = root / (3240 * z**10) * (
+        (
+            pi2**3 * odd**3 * (5 - 30 * z**2) + pi2**2 * odd**2 * (-60 * z**2 + 212 * z**4)
+            + pi2 * odd * (135 * z**4 - 96 * z**6) - 30 * z**6 - 90 * z**8
+        ) * odd_power
+    ).sum() + root * pi2 / (108 * z**6) * ((3 * z**2 - pi2 * whole) * whole * whole_power).sum()
+    return float(order0 + order1 / math.sqrt(n) + order2 / n + order3 / n**1.5)
 
 
 def _kolmogorov_exact(d: float, n: int) -> float:

@@ -52,8 +52,15 @@ def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ).drop("event")
 
 
-def filter_log_events(events: DataFrame, run_id: str = "", query: str = "", level: str = "", limit: int = 500) -> DataFrame:
-    """The last ``limit`` events that hold all given texts; WARN also finds WARNING."""
+def filter_log_events(
+    events: DataFrame, run_id: str = "", query: str = "", level: str = "", limit: int | None = 500, most: int = 5000
+) -> DataFrame:
+    """The last ``limit`` events that hold all given texts; WARN also finds WARNING.
+
+    A limit above ``most`` is refused, None means all events.
+    """
+    if limit is not None and not 1 <= limit <= most:
+        raise ValueError(f"a search shows 1 to {most} events")
     out, body = events, F.lower("text")
     for needle in (run_id.lower().strip(), query.lower().strip()):
         if needle:
@@ -61,7 +68,8 @@ def filter_log_events(events: DataFrame, run_id: str = "", query: str = "", leve
     wanted = level.upper().strip()
     if wanted:
         out = out.where(F.col("level").isin([wanted, "WARNING"] if wanted == "WARN" else [wanted]))
-    return out.orderBy(F.col("file").desc(), F.col("number").desc()).limit(max(1, min(limit, 5000)))
+    last = out.orderBy(F.col("file").desc(), F.col("number").desc())
+    return last if limit is None else last.limit(limit)
 
 
 def artifact_results(spark: SparkSession, run_results: str, manifest: str | None = None) -> DataFrame:

@@ -459,5 +459,10 @@ def read_query(spark: SparkSession, sql: str, params: dict | None = None) -> Dat
     return spark.sql(sql, args=params or {})
 
 
-def preview(df: DataFrame, limit: int = 20) -> DataFrame:
-    return df.limit(max(1, min(limit, 200)))
+def preview(df: DataFrame, limit: int | None = 20, most: int = 200) -> DataFrame:
+    """The first rows; a limit above ``most`` is refused, None means all rows."""
+    if limit is None:
+        return df
+    if not 1 <= limit <= most:
+        raise ValueError(f"a preview has 1 to {most} rows")
+    return df.limit(limit)

@@ -86,3 +86,33 @@ def test_tail_probabilities():
     assert stats.kolmogorov_tail(1.358 / 1000, 1_000_000) == pytest.approx(0.05, abs=5e-4)
     assert stats.kolmogorov_tail(0.409, 10) == pytest.approx(0.05, abs=1e-3)
     assert stats.log_normal_cdf(-40.0) == pytest.approx(-804.608442, abs=1e-4)
+
+
+def test_kolmogorov_law_is_one():
+    """The exact law and its expansion agree where one takes over from the other."""
+    from tallyframe.functions import stats
+
+    for z in (0.3, 0.5, 0.8, 1.0, 1.3, 1.6, 1.9):
+        for n in (2_000, 9_999, 10_000, 10_001):
+            d = z / n**0.5
+            assert abs(stats._kolmogorov_exact(d, n) - stats._kolmogorov_expansion(z, n)) < 1e-7
+        tails = [stats.kolmogorov_tail(z / n**0.5, n) for n in (9_999, 10_000, 10_001)]
+        assert max(tails) - min(tails) < 1e-6
+
+
+def test_running_total_with_ties(spark, monkeypatch):
+    """A third of all rows have one order value, some are equal, and ranges are small: totals still run on."""
+    from tallyframe.functions import ranks
+
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 50)
+    rows = [(7 if k % 3 == 0 else k % 40, k % 5, 1) for k in range(600)]
+    df = spark.createDataFrame(rows, "v int, other int, w int")
+    got = ranks.running_total(df, [F.col("v").asc()], "w").collect()
+    assert sorted(int(r.running_total) for r in got) == list(range(1, 601))
+    by_value = sorted((r.v, int(r.running_total)) for r in got)
+    assert [v for v, _ in by_value] == [v for v, _ in sorted((r.v, int(r.running_total)) for r in got)]
+    last = 0
+    for v in sorted({r.v for r in got}):
+        own = [int(r.running_total) for r in got if r.v == v]
+        assert sorted(own) == list(range(last + 1, last + len(own) + 1))
+        last += len(own)
