@@ -8,12 +8,13 @@ from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.cells import q
 from tallyframe.operators.schemas import expected_schema_diff
+from tallyframe.session import materialise
 
 # Delimiters tried in order, the words read as missing, preferred record tags.
 DELIMITERS = (",", "\t", ";", "|")
@@ -22,7 +23,7 @@ MISSING_WORDS = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 RECORD_TAGS = ("record", "row", "item", "entry")
-HEAD_LINES = 200
+FEW_FILES = 100_000  # up to so many rows of one per file are broadcast
 
 
 def first_file(spark: SparkSession, path: str | Sequence[str]) -> str | None:
@@ -41,7 +42,7 @@ def _filled(line: str) -> bool:
 
 
 def sniff_header(lines: Sequence[str]) -> tuple[int, str] | None:
-    """The first line that has as many fields, at least two, as the next filled line."""
+    """The first line that has as many fields, at least two, as the next filled line; for lines at hand."""
     for delimiter in DELIMITERS:
         filled = [(i, line) for i, line in enumerate(lines) if _filled(line)]
         for (i, line), (_, below) in zip(filled, filled[1:]):
@@ -52,7 +53,7 @@ def sniff_header(lines: Sequence[str]) -> tuple[int, str] | None:
 
 
 def is_ragged(lines: Sequence[str]) -> bool:
-    """Whether some line has more comma fields than the first one."""
+    """Whether some line has more comma fields than the first one; for lines at hand."""
     filled = [line for line in lines if line.strip()]
     return bool(filled) and any(_fields(line, ",") > _fields(filled[0], ",") for line in filled)
 
@@ -85,61 +86,135 @@ def typed(df: DataFrame, keep: Sequence[str | None] = ()) -> DataFrame:
     ])
 
 
-def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str | None = None,
-                   schema: str | T.StructType | None = None, path_column: str | None = None) -> DataFrame:
-    """Delimited text with a header line; ``path_column`` keeps the file of each row.
+def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The lines of all files: their file, the start of their block and their place in it."""
+    return spark.read.text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"),
+    )
+
+
+def _field_count(delimiter: str) -> Column:
+    """Fields of a line: delimiters outside quotes, and one."""
+    bare = F.regexp_replace("value", '"(?:[^"]|"")*+"', "q")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
-    Without ``sep`` it is comma text, unless the head of the first file is ragged:
-    then delimiter and header line are sniffed and the lines above are cut.
+
+def _sniffed(ragged: DataFrame) -> DataFrame:
+    """Header of each file: the first line with as many fields, at least two, as the next filled line.
+
+    Delimiters are tried in order. Neighbours are looked up within a block, which
+    the scan bounds, and across the ends of blocks by one row for each of them.
     """
-    delimiter, header = sep or ",", None
-    if sep is None:
-        first = first_file(spark, path)
-        if first is None:
-            return spark.createDataFrame([], "value string").drop("value")
-        lines = [r["value"] for r in spark.read.text(first).limit(HEAD_LINES).collect()]
-        if lines:
-            lines[0] = lines[0].removeprefix("﻿")
-        if is_ragged(lines):
-            found = sniff_header(lines)
-            if found is None:
-                raise ValueError("no header line found")
-            header, delimiter = lines[found[0]], found[1]
-    if header is None:
-        reader = spark.read.option("header", True).option("sep", delimiter).option("mode", "FAILFAST")
-        if schema is not None:
-            return _with_path(reader.schema(schema).csv(path), path_column)
-        return typed(_with_path(reader.csv(path), path_column), (path_column,))
-    names = [n.strip() for n in next(csv.reader([header], delimiter=delimiter))]
-    cut = _below_header(spark, path, header)
-    ddl = ", ".join(f"`{n}` STRING" for n in names)
-    parsed = cut.select(F.from_csv("value", ddl, {"sep": delimiter}).alias("r"), F.col("file"))
-    table = parsed.select("r.*", *([F.col("file").alias(path_column)] if path_column else []))
+    lines = ragged.where(~F.trim("value").rlike("^-*$")).withColumn(
+        "n", F.array(*[_field_count(d) for d in DELIMITERS])
+    )
+    inside = Window.partitionBy("file", "start").orderBy("line")
+    blocks = lines.groupBy("file", "start").agg(F.min_by("n", "line").alias("first_n"))
+    following = blocks.select(
+        "file", "start", F.lead("first_n").over(Window.partitionBy("file").orderBy("start")).alias("first_of_next")
+    )
+    near = lines.withColumn("next_n", F.lead("n").over(inside)).join(following, ["file", "start"])
+    pairs = near.select(
+        "file", "start", "line", "value", F.posexplode("n").alias("d", "fields"),
+        F.coalesce("next_n", "first_of_next").alias("below"),
+    ).where((F.col("fields") >= 2) & (F.get("below", F.col("d")) == F.col("fields")))
+    return pairs.groupBy("file").agg(F.min(F.struct("d", "start", "line", "value")).alias("at")).select(
+        "file", F.element_at(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("at.d") + 1).alias("delimiter"),
+        F.col("at.value").alias("header"), F.col("at.start").alias("from_start"), F.col("at.line").alias("from_line"),
+        F.lit(True).alias("sniffed"),
+    )
+
+
+def _layouts(lines: DataFrame, sep: str | None) -> DataFrame:
+    """Delimiter and header line of every file, each from its own whole text.
+
+    A file is comma text under its first line, unless some line has more fields
+    than that; then delimiter and header are sniffed.
+    """
+    filled = lines.where(F.trim("value") != "").withColumn("n", _field_count(sep or ","))
+    files = filled.groupBy("file").agg(
+        F.min(F.struct("start", "line", "value", "n")).alias("first"), F.max("n").alias("widest")
+    )
+    plain = files if sep else files.where(F.col("widest") <= F.col("first.n"))
+    found = plain.select(
+        "file", F.lit(sep or ",").alias("delimiter"), F.col("first.value").alias("header"),
+        F.col("first.start").alias("from_start"), F.col("first.line").alias("from_line"), F.lit(False).alias("sniffed"),
+    )
+    if sep:
+        return found
+    ragged = files.where(F.col("widest") > F.col("first.n")).select("file")
+    sniffed = ragged.join(_sniffed(filled.join(ragged, "file", "left_semi").drop("n")), "file", "left")
+    return found.unionByName(sniffed)
+
+
+def _header_names(header: str, delimiter: str) -> list[str]:
+    names: list[str] = []
+    for k, name in enumerate(next(csv.reader([header], delimiter=delimiter))):
+        name = unique = name.strip() or f"_c{k}"
+        n = 1
+        while unique in names:
+            n += 1
+            unique = f"{name}_{n}"
+        names.append(unique)
+    return names
+
+
+def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str | None = None,
+                   schema: str | T.StructType | None = None, path_column: str | None = None,
+                   multi_line: bool = False) -> DataFrame:
+    """Delimited text, each file under its own header; ``path_column`` keeps the file of each row.
+
+    Without ``sep`` a file is comma text unless it is ragged: then its delimiter
+    and header line are sniffed and the lines above are cut. Files with the same
+    header are parsed together, and all are united by column name. With
+    ``multi_line`` quoted fields may hold line breaks; a file is then one task,
+    and its header is its first line.
+    """
+    lines = _numbered_lines(spark, path)
+    layouts = materialise(_layouts(lines, sep or ("," if multi_line else None)), "csv-layouts")
+    # One row for each different header.
+    shapes = layouts.groupBy("delimiter", "header", "sniffed").agg(F.count(F.lit(1)).alias("files")).collect()
+    if any(s["header"] is None for s in shapes):
+        raise ValueError("no header line found")
+    if not shapes:
+        return spark.createDataFrame([], "value string").drop("value")
+    few = sum(s["files"] for s in shapes) <= FEW_FILES
+    parts = []
+    for s in sorted(shapes, key=lambda s: (s["header"], s["delimiter"])):
+        names = _header_names(s["header"], s["delimiter"])
+        ddl = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        own = layouts.where(
+            (F.col("header") == s["header"]) & (F.col("delimiter") == s["delimiter"]) & (F.col("sniffed") == s["sniffed"])
+        ).select("file", "from_start", "from_line")
+        mode = "PERMISSIVE" if s["sniffed"] else "FAILFAST"
+        if multi_line:
+            reader = spark.read.schema(ddl).option("header", True).option("sep", s["delimiter"]).option("multiLine", True)
+            rows = reader.option("escape", '"').option("mode", mode).csv([r["file"] for r in own.select("file").collect()])
+            parts.append(_with_path(rows, path_column))
+            continue
+        below = lines.join(F.broadcast(own) if few else own, "file").where(
+            (F.col("start") > F.col("from_start")) | ((F.col("start") == F.col("from_start")) & (F.col("line") > F.col("from_line")))
+        ).where(~F.trim("value").rlike("^-*$") if s["sniffed"] else F.trim("value") != "")
+        cells = F.from_csv("value", _ddl(names), {"sep": s["delimiter"], "mode": mode})
+        rows = below.select(cells.alias("r"), "file").select("r.*", *([F.col("file").alias(path_column)] if path_column else []))
+        parts.append(rows)
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if schema is None:
         return typed(table, (path_column,))
     target = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     kept = [q(path_column)] if path_column else []
-    return table.select(*[q(f.name).cast(f.dataType) for f in target], *kept)
+    return table.select(*[
+        (q(f.name).cast(f.dataType) if f.name in table.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in target
+    ], *kept)
 
 
-def _with_path(df: DataFrame, path_column: str | None) -> DataFrame:
-    return df.select("*", F.col("_metadata.file_path").alias(path_column)) if path_column else df
+def _ddl(names: Sequence[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
 
 
-def _below_header(spark: SparkSession, path: str | Sequence[str], header: str) -> DataFrame:
-    """The filled lines after the header line of each file.
-
-    A header can only stand in the first block of its file, so one row per file
-    says where it is.
-    """
-    lines = spark.read.text(path).select(
-        F.regexp_replace("value", "^﻿", "").alias("value"),
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    heads = lines.where((F.col("start") == 0) & (F.col("value") == header)).groupBy("file").agg(F.min("line").alias("at"))
-    data = lines.join(heads, "file").where((F.col("start") > 0) | (F.col("line") > F.col("at")))
-    return data.where(~F.trim("value").rlike("^-*$"))
+def _with_path(df: DataFrame, path_column: str | None) -> DataFrame:
+    return df.select("*", F.col("_metadata.file_path").alias(path_column)) if path_column else df
 
 
 # -- Nested data -----------------------------------------------------------

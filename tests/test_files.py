@@ -53,6 +53,40 @@ def test_delimited_with_preamble(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "x", 2.5), (2, None, 3.0)]
 
 
+def test_each_file_by_its_own_header(spark, tmp_path):
+    """Column order, extra columns, preambles and delimiters may differ from file to file."""
+    put(tmp_path, "a.csv", "\ufeffid,amount\n1,300\n2,400\n")
+    put(tmp_path, "b.csv", "amount,id\n500,3\n\n600,4\n")
+    put(tmp_path, "c.csv", "id,amount,note\n5,700,\"x, y\"\n")
+    put(tmp_path, "d.csv", "Export\nof, all, days\n\nid|amount\n-----\n6|800\n")
+    put(tmp_path, "e.csv", "Title\n" + "lead\n" * 1500 + "the, lead\nid;amount\n7;900\n8;1000\n")
+    put(tmp_path, "f.csv", "id,amount\n")
+    df = R.read_files(spark, str(tmp_path), "csv", path_column="from")
+    rows = {(r.id, r.amount, r.note) for r in df.collect()}
+    assert rows == {
+        (1, 300, None), (2, 400, None), (3, 500, None), (4, 600, None), (5, 700, "x, y"), (6, 800, None),
+        (7, 900, None), (8, 1000, None)}
+    assert R.read_delimited(spark, str(tmp_path / "a.csv"), schema="amount int, id string, more date").first() == (300, "1", None)
+
+
+def test_ragged_late_and_line_breaks(spark, tmp_path):
+    """A line with too many fields fails or is sniffed wherever it stands; line breaks in quotes are an option."""
+    late = tmp_path / "late.csv"
+    put(tmp_path, "late.csv", "Report\n" + "".join(f"line {k}\n" for k in range(1200)) + "id,name\n1,x\n2,y\n")
+    got = R.read_files(spark, str(late), "csv")
+    assert got.columns == ["id", "name"] and got.count() == 2
+    lines = late.read_text().split("\n")
+    assert R.sniff_header(lines) == (1201, ",")
+    put(tmp_path, "broken.csv", 'id,note\n1,"two\nlines"\n2,one\n')
+    whole = R.read_delimited(spark, str(tmp_path / "broken.csv"), multi_line=True)
+    assert {tuple(r) for r in whole.collect()} == {(1, "two\nlines"), (2, "one")}
+    with pytest.raises(Exception):
+        R.read_delimited(spark, str(tmp_path / "broken.csv")).collect()
+    put(tmp_path, "none.csv", "x\ny,z\n")
+    with pytest.raises(ValueError):
+        R.read_delimited(spark, str(tmp_path / "none.csv"))
+
+
 def test_json_shapes(spark, tmp_path):
     cases = {
         "list": ('[{"a": 1, "b": {"c": "x"}}, {"a": 2}]', [(1, "x"), (2, None)], ["a", "b.c"]),
