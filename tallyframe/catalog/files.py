@@ -12,7 +12,9 @@ from tallyframe.catalog.reconciling import COUNTS, _counts_sql, _differences, _r
 from tallyframe.operators import pairing as P
 from tallyframe.operators import schemas as S
 from tallyframe.operators.reconcile import Comparison, CompareOptions
+from tallyframe.operators.profile import profile
 from tallyframe.operators.rules import Rule, evaluate
+from tallyframe.operators.schemas import snapshot
 from tallyframe.plans import jobs as J
 from tallyframe.session import scratch_path
 from tallyframe.sources import discovery as D
@@ -89,6 +91,30 @@ def csv_sniffed_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _customers(R.read_files(spark, path, "csv"))
 
 
+@query(
+    "csv_mixed_headers_scan",
+    f"""{_CUSTOMER_SQL.replace('FROM', ", CAST(NULL AS VARCHAR) AS note FROM")} WHERE c_custkey % 3 = 0
+UNION ALL {_CUSTOMER_SQL.replace('FROM', ", 'n' || c_custkey FROM")} WHERE c_custkey % 3 = 1
+UNION ALL {_CUSTOMER_SQL.replace('FROM', ", NULL FROM")} WHERE c_custkey % 3 = 2""",
+)
+def csv_mixed_headers_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in one scan whose column order, columns, delimiters and preambles differ."""
+    customer, third = table(spark, folder, "customer"), F.col("c_custkey") % 3
+    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    plain = K.write_table(customer.where(third == 0), scratch_path(spark, "mixed"), "csv")
+    other = customer.where(third == 1).select(
+        *reversed(names), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("note")
+    )
+    turned = K.write_table(other, scratch_path(spark, "mixed"), "csv")
+    line = F.concat_ws(";", *[F.col(c).cast("string") for c in names[1:] + names[:1]])
+    head = "Customers\nall regions, all segments, final\n" + ";".join(names[1:] + names[:1]) + "\n---\n"
+    piped = _pages(customer.where(third == 2), "c_custkey", line, head, "\n", "\n", "mixed")
+    df = R.read_files(spark, [plain, turned, piped], "csv")
+    return df.select(
+        "c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment", "note"
+    )
+
+
 @query("json_lines_scan", _CUSTOMER_SQL)
 def json_lines_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = K.write_table(table(spark, folder, "customer"), scratch_path(spark, "jsonl"), "json")
@@ -479,6 +505,27 @@ def stored_difference_export(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "appended_profiles",
+    f"""WITH {ORDERS_SQL}, p AS (
+  SELECT 'r1' AS run_id, o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders
+  UNION ALL SELECT 'r2', o_orderkey, o_totalprice, o_orderstatus FROM tgt)
+SELECT run_id, 'o_orderkey' AS column_name, count(DISTINCT k) AS distinct_count, round(avg(k), 4) AS mean_val, 'bigint' AS dtype FROM p GROUP BY 1
+UNION ALL SELECT run_id, 'o_totalprice', count(DISTINCT price), round(avg(price), 4), 'double' FROM p GROUP BY 1
+UNION ALL SELECT run_id, 'o_orderstatus', count(DISTINCT status), NULL, 'string' FROM p GROUP BY 1""",
+)
+def appended_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles and schema snapshots of two runs appended to history tables and read back together."""
+    profiles, snapshots = scratch_path(spark, "profiles"), scratch_path(spark, "snapshots")
+    for run, df in (("r1", table(spark, folder, "orders")), ("r2", orders_target(spark, folder))):
+        K.append_history(profile(df, ["o_orderkey", "o_totalprice", "o_orderstatus"]), profiles, run)
+        K.append_history(snapshot(df), snapshots, run)
+    types = spark.read.parquet(snapshots).select("run_id", F.col("name").alias("column_name"), "dtype")
+    return spark.read.parquet(profiles).join(types, ["run_id", "column_name"]).select(
+        "run_id", "column_name", "distinct_count", F.round("mean_val", 4).alias("mean_val"), "dtype"
+    )
+
+
 @query(
     "capped_export",
     f"""WITH {ORDERS_SQL}, r AS ({_records_sql()}) SELECT least(count(*), 50) AS rows, 6 AS fields FROM r""",

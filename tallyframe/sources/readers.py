@@ -81,16 +81,21 @@ def typed(df: DataFrame, keep: Sequence[str | None] = ()) -> DataFrame:
             kinds[c] = "double"
         elif not row[f"f{i}"]:
             kinds[c] = "boolean"
+    # All values fit; a plan may still ask for header lines before they are cut, so the cast must not fail.
     return folded.select(*[
-        F.trim(q(c)).cast(kinds[c]).alias(c) if c in kinds else q(c).alias(c) for c in folded.columns
+        F.trim(q(c)).try_cast(kinds[c]).alias(c) if c in kinds else q(c).alias(c) for c in folded.columns
     ])
 
 
 def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """The lines of all files: their file, the start of their block and their place in it."""
+    """The lines of all files: their file, the start of their block and their place behind it.
+
+    The low bits of the generated number count the rows of a scan's partition, so
+    they are the same wherever the scan stands in a plan.
+    """
     return spark.read.text(path).select(
         F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("line"),
     )
 
 
