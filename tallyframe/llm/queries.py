@@ -99,4 +99,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op7_chat, op8_url_filter, op9_toxicity, op10_lm_score,
 )}
 
-ORACLES: dict[str, str] = {"op5_quality": sql.quality()}
+ORACLES: dict[str, str] = {"op5_quality": sql.quality(), "op8_url_filter": sql.url_filter()}
