@@ -436,6 +436,42 @@ def multi_file_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return P.rolled_up(P.pair_results(comparison, mapping))
 
 
+@query(
+    "multi_file_broken_pair",
+    """WITH p AS (SELECT o_orderkey % 3 AS p, count(*) AS n FROM orders GROUP BY 1)
+SELECT p, CASE WHEN p = 1 THEN 'ERROR' ELSE 'PASSED' END AS status, CASE WHEN p = 1 THEN 0 ELSE n END AS matched_count FROM p
+UNION ALL SELECT -1, 'ERROR', CAST(sum(n) FILTER (WHERE p <> 1) AS BIGINT) FROM p""",
+)
+def multi_file_broken_pair(spark: SparkSession, folder: str) -> DataFrame:
+    """Three pairs of files, one of which has a line with a field too few; the last row rolls them up."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    orders = table(spark, folder, "orders").withColumn("p", (k % 3).cast("string"))
+    good = orders.select(F.concat(F.lit("s_"), "p", F.lit(".csv")).alias("name"), k.alias("id"), price.alias("price"))
+    line = F.concat_ws(",", k.cast("string"), price)
+    cut = orders.select(
+        F.concat(F.lit("t_"), "p", F.lit(".csv")).alias("name"),
+        F.when((k % 3 == 1) & (k == 1), k.cast("string")).otherwise(line).alias("id,price"),
+    )
+    source, target = _named_files(good, "name", "pairs-source"), scratch_path(spark, "pairs-target")
+    text = cut.groupBy("name").agg(F.concat(F.lit("id,price\n"), F.array_join(F.collect_list("id,price"), "\n")).alias("value"))
+    text.repartition("name").write.partitionBy("name").text(target)
+    mapping = P.with_errors(spark, P.pair_by_tokens(
+        D.discover(spark, source, "s_{p}.csv", "source"),
+        spark.read.format("binaryFile").load(f"{target}/*").select("path").select(
+            "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
+            F.create_map(F.lit("p"), F.regexp_extract("path", "name=t_([0-9])", 1)).alias("tokens"),
+        ), ["p"],
+    ), "csv")
+    found = P.compare_pairs(
+        P.pair_rows(spark, mapping, "source", "csv"), P.pair_rows(spark, mapping, "target", "csv"),
+        CompareOptions(key_columns=["id"]),
+    )
+    results = P.pair_results(found, mapping)
+    each = results.select(F.get_json_object(P.PAIR_KEY, "$.p").cast("bigint").alias("p"), "status", "matched_count")
+    whole = P.rolled_up(results).select(F.lit(-1).cast("bigint").alias("p"), "status", "matched_count")
+    return each.unionByName(whole)
+
+
 @query(
     "multi_file_records",
     f"""WITH {_PAIR_RESULTS_SQL} SELECT {_PAIR_JSON} AS pair, coalesce(sid, tid) AS id, CASE WHEN tid IS NULL THEN 'missing_in_target'

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallyframe.operators.reconcile import Comparison, CompareOptions
 from tallyframe.session import materialise
-from tallyframe.sources.readers import read_files
+from tallyframe.sources.readers import FEW_FILES, FORMATS, read_files, unreadable_files
 
 PAIR_KEY = "__pair__"
 SIGNALS = ("filename_tokens", "column_signature", "row_count_ratio")
@@ -176,13 +176,59 @@ def unmatched(files: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return files.join(pairs.select(F.col(f"{side}_path").alias("path")), "path", "left_anti")
 
 
+def _side_files(mapping: DataFrame, side: str) -> DataFrame:
+    return mapping.where("status = 'paired'").select(
+        F.col("pair").alias(PAIR_KEY), F.explode(f"{side}_files").alias("f")
+    ).select(PAIR_KEY, F.col("f.path").alias("__path"))
+
+
+def _format_of(path: Column, fmt: str | None) -> Column:
+    """The format of a file by its extension, unless one is given for all."""
+    if fmt is not None:
+        return F.lit(fmt)
+    known = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([^.]+)$", 1)))
+
+
+def with_errors(spark: SparkSession, mapping: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Add ``error``: why a pair cannot be compared, null for pairs whose files can all be read.
+
+    Files are looked into before the joint plan, all of one format at a time, so
+    one bad file spoils its own pair only.
+    """
+    files = _side_files(mapping, "source").unionByName(_side_files(mapping, "target"))
+    files = materialise(files.withColumn("fmt", _format_of(F.col("__path"), fmt)), "pair-files")
+    alone = F.coalesce(F.col("fmt"), F.lit("")).isin("", "json", "xml")  # documents keep no path, so their rows have no pair
+    problems = files.where(alone).select("__path", F.lit("format cannot be paired").alias("problem"))
+    for kind in [r["fmt"] for r in files.where(~alone).select("fmt").distinct().collect()]:
+        paths = [r["__path"] for r in files.where(F.col("fmt") == kind).select("__path").distinct().collect()]
+        found = unreadable_files(spark, paths, kind)
+        problems = problems.unionByName(found.select(F.col("file").alias("__path"), "problem"))
+    bad = files.join(problems, "__path").groupBy(F.col(PAIR_KEY).alias("pair")).agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", F.element_at(F.split("__path", "/"), -1), "problem"))), "; ")
+        .alias("error")
+    )
+    return materialise(mapping.join(bad, "pair", "left"), "pair-mapping")
+
+
 def pair_rows(spark: SparkSession, mapping: DataFrame, side: str, fmt: str | None = None) -> DataFrame:
-    """All rows of one side of the paired files in one read, each with its pair."""
-    places = mapping.where("status = 'paired'").select(F.col("pair").alias(PAIR_KEY), F.explode(f"{side}_files").alias("f")).select(
-        PAIR_KEY, F.col("f.path").alias("__path")
+    """All rows of one side of the paired files, each with its pair; one read for each format."""
+    if "error" in mapping.columns:
+        mapping = mapping.where("error is null")
+    places = materialise(
+        _side_files(mapping, side).withColumn("fmt", _format_of(F.col("__path"), fmt)), "pair-places"
     )
-    paths = [r["__path"] for r in places.select("__path").distinct().collect()]
-    return read_files(spark, paths, fmt, path_column="__path").join(places, "__path").drop("__path")
+    # One row per file: a few are broadcast, so that the rows of a large file do not meet in one task.
+    small = places.count() <= FEW_FILES
+    parts = []
+    for kind in sorted(r["fmt"] for r in places.select("fmt").distinct().collect()):
+        own = places.where(F.col("fmt") == kind).drop("fmt")
+        paths = [r["__path"] for r in own.select("__path").distinct().collect()]
+        rows = read_files(spark, paths, kind, path_column="__path")
+        parts.append(rows.join(F.broadcast(own) if small else own, "__path").drop("__path"))
+    if not parts:
+        return spark.createDataFrame([], f"{PAIR_KEY} string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def compare_pairs(source: DataFrame, target: DataFrame, options: CompareOptions) -> Comparison:
@@ -192,15 +238,17 @@ def compare_pairs(source: DataFrame, target: DataFrame, options: CompareOptions)
 
 
 def pair_results(comparison: Comparison, mapping: DataFrame) -> DataFrame:
-    """One result per pair; a pair whose files hold no rows passes."""
+    """One result per pair; a pair whose files hold no rows passes, one with an error is an ERROR."""
     names = lambda c: F.transform(c, lambda x: x["file_name"])
+    error = F.col("error") if "error" in mapping.columns else F.lit(None).cast("string")
     paired = mapping.where("status = 'paired'").select(
         F.col("pair").alias(PAIR_KEY), names(F.col("source_files")).alias("source_files"),
-        names(F.col("target_files")).alias("target_files"),
+        names(F.col("target_files")).alias("target_files"), error.isNotNull().alias("__bad"),
     )
     found = comparison.summary_by(PAIR_KEY)
     counts = [c for c in found.columns if c.endswith("_count")]
-    return paired.join(found, PAIR_KEY, "left").na.fill(0, counts).na.fill({"status": "PASSED"})
+    settled = paired.join(found, PAIR_KEY, "left").na.fill(0, counts).na.fill({"status": "PASSED"})
+    return settled.withColumn("status", F.when(F.col("__bad"), "ERROR").otherwise(F.col("status"))).drop("__bad")
 
 
 def rolled_up(results: DataFrame) -> DataFrame:

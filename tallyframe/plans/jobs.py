@@ -54,10 +54,14 @@ def compare_files(spark: SparkSession, source: str, target: str, options: Compar
 def compare_many_files(spark: SparkSession, source_root: str, source_pattern: str, target_root: str,
                        target_pattern: str, match_on: Sequence[str], options: CompareOptions,
                        fmt: str | None = None) -> tuple[DataFrame, Comparison]:
-    """Discover, pair by tokens and compare all pairs in one plan; gives the mapping and the comparison."""
+    """Discover, pair by tokens and compare all pairs in one plan; gives the mapping and the comparison.
+
+    Pairs with a file that cannot be read get an ``error`` in the mapping and stay out of the comparison.
+    """
     mapping = P.pair_by_tokens(
         discover(spark, source_root, source_pattern, "source"), discover(spark, target_root, target_pattern, "target"), match_on
     )
+    mapping = P.with_errors(spark, mapping, fmt)
     comparison = P.compare_pairs(
         P.pair_rows(spark, mapping, "source", fmt), P.pair_rows(spark, mapping, "target", fmt), options
     )

@@ -153,6 +153,35 @@ def _layouts(lines: DataFrame, sep: str | None) -> DataFrame:
     return found.unionByName(sniffed)
 
 
+def unreadable_files(spark: SparkSession, path: str | Sequence[str], fmt: str) -> DataFrame:
+    """``file, problem`` for the text files that :func:`read_files` could not read to the end.
+
+    Delimited files need a header line and no line with more fields than that;
+    JSON lines need to be objects. Each is one grouped aggregate over the lines.
+    Columnar files are not looked into.
+    """
+    if fmt == "jsonl":
+        bad = F.get_json_object("value", "$").isNull() | ~F.ltrim("value").startswith("{")
+        return _numbered_lines(spark, path).where((F.trim("value") != "") & bad).select(
+            "file", F.lit("line is no JSON object").alias("problem")
+        ).distinct()
+    if fmt not in ("csv", "tsv"):
+        return spark.createDataFrame([], "file string, problem string")
+    lines = _numbered_lines(spark, path)
+    layouts = materialise(_layouts(lines, "\t" if fmt == "tsv" else None), "csv-layouts")
+    headless = layouts.where("header is null").select("file", F.lit("no header line").alias("problem"))
+    plain = layouts.where("header is not null and not sniffed").withColumn("value", F.col("header")).select(
+        "file", "delimiter", _field_count(",").alias("commas"), _field_count("\t").alias("tabs")
+    )
+    open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    wrong = F.when(F.col("delimiter") == ",", _field_count(",") != F.col("commas")).otherwise(
+        _field_count("\t") != F.col("tabs"))
+    malformed = lines.where(F.trim("value") != "").join(plain, "file").where(wrong | open_quote).select(
+        "file", F.lit("malformed line").alias("problem")
+    ).distinct()
+    return headless.unionByName(malformed)
+
+
 def _header_names(header: str, delimiter: str) -> list[str]:
     names: list[str] = []
     for k, name in enumerate(next(csv.reader([header], delimiter=delimiter))):

@@ -199,3 +199,28 @@ def test_broken_files_do_not_validate(spark, tmp_path):
     assert row.problem == "parse_error"
     with pytest.raises(ValueError):
         R.validate_files(spark, str(tmp_path), "xlsx")
+
+
+def test_a_pair_fails_alone(spark, tmp_path):
+    """A broken file makes its own pair an ERROR; formats may differ within a job."""
+    from tallyframe.operators.reconcile import CompareOptions
+    from tallyframe.plans import jobs as J
+
+    left, right = tmp_path / "left", tmp_path / "right"
+    left.mkdir(), right.mkdir()
+    for name in ("east", "west", "north", "south"):
+        put(left, f"s_{name}.csv", "id,amount\n1,10\n2,20\n")
+    put(right, "t_east.csv", "amount,id\n10,1\n20,2\n")
+    put(right, "t_west.csv", "id,amount\n1,10\n2\n3,30\n")
+    put(right, "t_north.jsonl", '{"id": 1, "amount": 10}\n{"id": 2, "amount": 25}\n')
+    put(right, "t_south.jsonl", '{"id": 1, "amount": 10}\n{"id": 2,\n')
+    mapping, found = J.compare_many_files(
+        spark, str(left), "s_{side}.csv", str(right), "t_{side}.{ext}", ["side"], CompareOptions(key_columns=["id"])
+    )
+    results = P.pair_results(found, mapping)
+    got = {r["__pair__"]: (r.status, r.matched_count, r.value_mismatch_count) for r in results.collect()}
+    assert {k.split('"')[3]: v for k, v in got.items()} == {
+        "east": ("PASSED", 2, 0), "west": ("ERROR", 0, 0), "north": ("FAILED", 2, 1), "south": ("ERROR", 0, 0)}
+    whole = P.rolled_up(results).first()
+    assert (whole.pairs_total, whole.pairs_passed, whole.pairs_failed, whole.pairs_errored) == (4, 1, 1, 2)
+    assert whole.status == "ERROR" and mapping.where("error is not null").count() == 2
