@@ -18,9 +18,14 @@ def log_level(line: Column) -> Column:
     return found
 
 
+EVENT_LINES = 10_000
+
+
 def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, number, level, text`` per event; continuation lines belong to the event above.
 
+    An event of more than ``EVENT_LINES`` lines comes in several rows of so many.
+
     Lines are numbered per file block, which is of bounded size, and one row per
     block carries the line and event counts on to the blocks behind it.
     """
@@ -43,13 +48,19 @@ def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "file", "value", "level", "begins", (F.col("line") + F.col("lines_before")).alias("number"),
         (F.col("event") + F.col("events_before")).alias("event"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("number", "value")))
+    # A log without event starts is one event: its text is cut into rows of a bounded number of lines.
     level = F.max(F.when(F.col("begins"), F.col("level")))
-    return placed.groupBy("file", "event").agg(
-        F.min("number").alias("number"),
-        F.coalesce(F.nullif(level, F.lit("")), F.lit("TRACE")).alias("level"),
+    events = placed.groupBy("file", "event").agg(
+        F.min("number").alias("first"), F.coalesce(F.nullif(level, F.lit("")), F.lit("TRACE")).alias("event_level")
+    )
+    parts = placed.join(events, ["file", "event"]).withColumn(
+        "part", F.floor((F.col("number") - F.col("first")) / EVENT_LINES)
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("number", "value")))
+    return parts.groupBy("file", "event", "part").agg(
+        F.min("number").alias("number"), F.first("event_level").alias("level"),
         F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("text"),
-    ).drop("event")
+    ).drop("event", "part")
 
 
 def filter_log_events(

@@ -224,3 +224,13 @@ def test_a_pair_fails_alone(spark, tmp_path):
     whole = P.rolled_up(results).first()
     assert (whole.pairs_total, whole.pairs_passed, whole.pairs_failed, whole.pairs_errored) == (4, 1, 1, 2)
     assert whole.status == "ERROR" and mapping.where("error is not null").count() == 2
+
+
+def test_long_events_are_cut(spark, tmp_path, monkeypatch):
+    """A log without event starts comes in rows of bounded length that make up the whole again."""
+    monkeypatch.setattr(L, "EVENT_LINES", 3)
+    lines = [f"just text {k}" for k in range(10)]
+    put(tmp_path, "plain.log", "\n".join(lines))
+    rows = L.log_events(spark, str(tmp_path)).orderBy("number").collect()
+    assert [r.number for r in rows] == [1, 4, 7, 10] and {r.level for r in rows} == {"TRACE"}
+    assert "\n".join(r.text for r in rows).split("\n") == lines
