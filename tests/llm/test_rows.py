@@ -176,6 +176,30 @@ def test_lm_scores(spark, prose):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_token(spark, prose, monkeypatch):
+    """Over the rounds of one training, each token of each document is a target once, with its own neighbours."""
+    from types import SimpleNamespace
+
+    texts = ["red", None, "", "green blue", prose(1, 3), *[prose(("t", k), k) for k in range(1, 80)]]
+    words = lm_score.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    met = []
+    monkeypatch.setattr(lm_score.Network, "step", lambda self, around, target, memory: met.extend(
+        (*a, t) for a, t in zip(np.asarray(around).tolist(), target.tolist())))
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    shared = SimpleNamespace(value=(words, lm_score.Network.initial(words.class_counts).values()))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    trained = sum(
+        out.column("weight")[0].as_py()
+        for number in range(lm_score.ROUNDS) for out in lm_score._trainer(shared, number)(iter([batch]))
+    )
+    want = []
+    for text in texts:
+        tokens = words.classes(word_hashes(pa.array([text], pa.string()))[0])[0].tolist()
+        row = [lm_score.PAD] * 2 + tokens + [lm_score.PAD] * 2
+        want += [(row[k], row[k + 1], row[k + 3], row[k + 4], row[k + 2]) for k in range(len(tokens))]
+    assert sorted(met) == sorted(want) and trained == len(want)
+
+
 def test_network_learns():
     """Gradients by finite differences."""
     counts = np.ones(lm_score.CLASSES)
