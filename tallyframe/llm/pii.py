@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import words_of
 from tallyframe.session import materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -32,7 +31,10 @@ PATTERNS = {
 }
 _NEEDLES = {"email": "@", "phone": "+"}
 _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
-_TERM = r"\p{L}[\p{L}\p{M}'-]*+"
+# A word begins and ends with a letter (or its marks). The corpus counts and the words next to a value both use
+# this pattern; the loop is over single characters, so going back over a long tail of dashes needs no recursion.
+_TERM = r"\p{L}[\p{L}\p{M}'-]*(?<=[\p{L}\p{M}])"
+_RUN = r"[\p{L}\p{M}'-]"  # what a word may be part of
 
 
 @dataclass(frozen=True)
@@ -122,11 +124,14 @@ def _near(kind: str, options: Disclosure) -> Column:
 
     def around(s: Column) -> Column:
         begin = F.greatest(s["start"] - width, F.lit(0))
-        left = words(F.substring(F.col("t"), begin + 1, s["start"] - begin), begin)
-        right = words(F.substring(F.col("t"), s["end"] + 1, F.lit(width)), s["end"])
-        # A word that touches the rim of the window may be cut; the nearest words count.
-        whole_left = F.filter(left, lambda w: (w["start"] > begin) | (begin == 0))
-        whole_right = F.filter(right, lambda w: (w["end"] < s["end"] + width))
+        before = F.substring(F.col("t"), begin + 1, s["start"] - begin)
+        behind = F.substring(F.col("t"), s["end"] + 1, F.lit(width))
+        left, right = words(before, begin), words(behind, s["end"])
+        # A word in a run of word characters that touches the rim of the window may be cut; the nearest words count.
+        rim_left = begin + F.length(F.regexp_extract(before, rf"^{_RUN}*+", 0))
+        rim_right = s["end"] + width - F.length(F.regexp_extract(behind, rf"(?<!{_RUN}){_RUN}*+$", 0))
+        whole_left = F.filter(left, lambda w: (w["start"] >= rim_left) | (begin == 0))
+        whole_right = F.filter(right, lambda w: (w["end"] <= rim_right) | (F.length(behind) < width))
         close = F.concat(
             F.slice(F.reverse(whole_left), 1, options.reach), F.slice(whole_right, 1, options.reach)
         )
@@ -165,8 +170,8 @@ def _base(docs: DataFrame, options: Disclosure) -> DataFrame:
 
 def _term_rows(docs: DataFrame, options: Disclosure) -> DataFrame:
     """In how many rows each word of the corpus occurs, by the word's hash."""
-    bare = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}'-]+", " ")
-    words = F.array_distinct(F.transform(words_of(bare), lambda w: F.xxhash64(w)))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TERM), F.lit(0))
+    words = F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 

@@ -77,3 +77,32 @@ def test_pii_disclosure(spark):
     assert sum(r.text is None for r in clean) == 1
     assert sum("<email>" in (r.text or "") and "weather" in r.text for r in clean) == 6
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_pii_quoted_names(spark):
+    """A word in quotes or behind a dash is the same word in the corpus counts and next to a value."""
+    texts = ["mail jo@ex.org 'zorblatt' -quixville- o'hara' 'mira-lu", "'zorblatt jo@ex.org -quixville O'Hara- mira-lu'",
+             "--quixville jo@ex.org zorblatt' mira-lu \"o'hara\"", "mail of 'nobody' -- ' - x-' " + "a" + "-" * 50_000]
+    rows = [(k, texts[k] if k < 3 else texts[3]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counted = {r.term: r.n_term for r in pii._term_rows(docs, pii.Disclosure()).collect()}
+    terms = ["zorblatt", "quixville", "o'hara", "mira-lu", "nobody", "a", "x"]
+    hashes = spark.createDataFrame([(t,) for t in terms], "t string").selectExpr("t", "xxhash64(t) as h").collect()
+    assert {r.t: counted.get(r.h) for r in hashes} == {
+        "zorblatt": 3, "quixville": 3, "o'hara": 3, "mira-lu": 3, "nobody": 57, "a": 57, "x": 57}
+    for r in pii.personal_data(docs).where("doc_id < 3").collect():
+        found = {texts[r.doc_id][int(a) : int(b)].lower() for kind, a, b in (s.split(":") for s in r.spans.split(","))
+                 if kind in ("general", "removed")}
+        assert found == {"zorblatt", "quixville", "o'hara", "mira-lu"}, r.spans
+
+
+def test_pii_cut_words(spark):
+    """A word cut by the rim of the window is not read as a shorter one."""
+    pad = "9" * 100 + " " + "9" * 99
+    rows = [(k, f"o'reilly{pad[8:]} jo@ex.org") for k in range(3)] + [(k, f"jo@ex.org {pad[5:]}foo'reilly") for k in range(3, 6)]
+    rows += [(k, "nothing here") for k in range(6, 40)] + [(40, "reilly and foo")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    for r in pii.personal_data(docs).collect():
+        named = [texts[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r.spans.split(",") if s]
+        assert all(n in ("jo@ex.org", "o'reilly", "foo'reilly") for n in named), r.spans
