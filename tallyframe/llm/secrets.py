@@ -33,13 +33,19 @@ NAME_WEIGHTS = {
     "apikey": 3.0, "privatekey": 3.0, "accesskey": 3.0, "credential": 2.5, "credentials": 2.5, "auth": 1.5,
     "bearer": 2.0, "private": 1.0, "access": 0.5, "api": 1.0, "key": 1.5, "salt": 1.5, "signature": 1.0, "pin": 1.0,
 }
+STRONG_NAME = 2.5  # names from this weight on stand for secrets by themselves
 _HEX_LONG = re.compile(r"[0-9a-f]{32,}")
-# A name with an operator behind it. Names start where no name character stands before, and the quantifiers
-# are possessive, so text without assignments is passed over in one walk.
+# A name with an operator behind it. Names start where no name character stands before, or after the dashes of a
+# command-line option, -D or the dot of a field, and the quantifiers are possessive, so text without assignments
+# is passed over in one walk.
 _TARGET = re.compile(
-    r"""(?<![A-Za-z0-9_$.-])(["']?)([A-Za-z_$][A-Za-z0-9_$.-]*+)\1[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+"""
+    r"""(?<![A-Za-z0-9_$.-])(?:-D(?=[A-Za-z_$])|[.-]++)?+(["']?)([A-Za-z_$][A-Za-z0-9_$.-]*+)\1[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+"""
+)
+# Triple quotes come first: what they hold may have line breaks and single quotes.
+_TRIPLE = r"{q}{q}{q}([^{q}\\]*+(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*+)*+){q}{q}{q}"
+_STRING = re.compile(
+    r"""(?:[A-Za-z]{1,2}(?=["'`]))?(?:""" + _TRIPLE.format(q='"') + "|" + _TRIPLE.format(q="'") + r"""|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)"""
 )
-_STRING = re.compile(r"""(?:[A-Za-z]{1,2}(?=["'`]))?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)""")
 _JOIN = re.compile(r"[\x20\t]*+[+][\x20\t]*+")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+")
 _BARE = re.compile(r"[^\s\"'`,;{}()\[\]<>]++")
@@ -79,7 +85,12 @@ def pairs(text: str) -> Iterator[Pair]:
             continue
         while string is not None:  # "a" + "b" + other
             group = string.lastindex
-            yield Pair(name, string[group], string.start(group), string.end(group), False)
+            value = string[group]
+            begin = string.start(group)
+            if group <= 2:  # triple quotes: the line breaks beside the quotes are layout
+                begin += len(value) - len(value.lstrip())
+                value = value.strip()
+            yield Pair(name, value, begin, begin + len(value), False)
             plus = _JOIN.match(text, string.end())
             if plus is None:
                 break
@@ -104,11 +115,17 @@ def bits(value: str) -> float:
 
 
 def score(value: str, name_score: float) -> float:
-    """Name sensitivity plus how random the literal looks; short and plain-word literals lose."""
-    if len(value) < 6 or name_score <= 0 or " " in value:
+    """Name sensitivity plus how random the literal looks; short and plain-word literals lose.
+
+    Blanks count against a literal only where the name alone does not say that it is secret.
+    """
+    if not value or name_score <= 0:
         return 0.0
     mixed = any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(not c.isalnum() for c in value)
-    return name_score + 0.5 * (bits(value) - 2.5) + 0.4 * mixed - (1.5 if value.isalpha() else 0.0)
+    lost = 0.5 * max(0, 6 - len(value)) + (1.5 if value.isalpha() else 0.0)
+    if " " in value and name_score < STRONG_NAME:
+        lost += 2.0
+    return name_score + 0.5 * (bits(value) - 2.5) + 0.4 * mixed - lost
 
 
 def literal_spans(text: str, threshold: float = 2.5) -> list[tuple[int, int, str]]:

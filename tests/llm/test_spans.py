@@ -37,6 +37,24 @@ def test_secret_literals():
     assert secrets.literal_spans('url: http://x.y/z, "note": "plain words here"') == []
 
 
+def test_secret_options_and_phrases():
+    """Command-line settings, fields, triple quotes, passphrases with blanks and short passwords are read."""
+    def found(text):
+        return [text[a:b] for a, b, _ in secrets.literal_spans(text)]
+
+    for text in ("run --api-key=Zx81kQ92LmPo -v", "java -Dauth.key=Zx81kQ92LmPo -jar x", "x -api-key=Zx81kQ92LmPo",
+                 '"--api-key=Zx81kQ92LmPo"', "rows[0].password = 'Zx81kQ92LmPo'", 'password = """Zx81kQ92LmPo"""',
+                 "api_key: '''\n  Zx81kQ92LmPo\n'''", "--token Zx=1 --secret=Zx81kQ92LmPo"):
+        assert found(text) == ["Zx81kQ92LmPo"], text
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found('secret = """a "quoted" 1\nline"""') == ['a "quoted" 1\nline']
+    assert found('password = "x9K$"') == ["x9K$"]
+    for text in ('key = "some plain words here"', "password: null", 'password = ""', "max_token: 4096", "a --note=Zx81kQ92LmPo",
+                 'password = """', "i - key"):
+        assert found(text) == [], text
+    assert found("-" * 100_000 + "." * 100_000 + 'k="""' + '"' * 2 + "\\" * 100_000) == []
+
+
 def test_secret_empty(spark):
     assert secrets.secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
