@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, lm_score, mixing, near_dup, pii, quality, secrets, sql, toxicity, url_filter
+from tallyframe.llm import (
+    alignment, chat, decontaminate, lm_score, mixing, near_dup, packing, pii, quality, secrets, sql, toxicity, trie, url_filter,
+)
 from tallyframe.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,8 +97,46 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(table(spark, folder, "documents"))
+
+
+def with_shared_heads(turns: DataFrame, family: int = 100, longest: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Rebuilt conversations: the first h turns of conversation c - c % ``family``, then c's own turns after its first h.
+
+    ``turns`` is as from ``trie.numbered``; h is crc32 of c in decimal, modulo
+    ``longest``. Gives the turns with ``depth`` for ``place``, and all conv_ids.
+    """
+    conv_id = F.col("conv_id")
+    h = F.crc32(conv_id.cast("string").cast("binary")) % longest
+    lengths = turns.groupBy("conv_id").agg(F.max("place").alias("length"))
+    base = lengths.where(conv_id % family == 0).select(conv_id.alias("base"), F.col("length").alias("base_length"))
+    members = lengths.select("conv_id", h.alias("h"), (conv_id - conv_id % family).alias("base")).join(base, "base", "left")
+    members = members.withColumn("head", F.least("h", F.coalesce("base_length", F.lit(0))))
+    # At most longest - 1 turns of a base, and at most 2 * family - 1 conversations with one base.
+    heads = turns.where((conv_id % family == 0) & (F.col("place") < longest)).withColumnRenamed("conv_id", "base")
+    heads = heads.join(members.select("conv_id", "base", "h"), "base").where("place <= h")
+    own = turns.where(F.col("place") > h).join(members.select("conv_id", "h", "head"), "conv_id")
+    bits = ["key_a", "key_b", "points"]
+    rebuilt = heads.select("conv_id", F.col("place").alias("depth"), *bits).unionByName(
+        own.select("conv_id", (F.col("place") - F.col("h") + F.col("head")).alias("depth"), *bits)
+    )
+    return rebuilt, members.select("conv_id")
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(*with_shared_heads(trie.numbered(table(spark, folder, "conversations"))))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op7_chat, op8_url_filter, op9_toxicity, op10_lm_score,
+    op1_secrets, op2_decontaminate, op3_near_dup, op4_pii, op5_quality, op6_mixing, op7_chat, op8_url_filter, op9_toxicity,
+    op10_lm_score, op11_alignment, op12_prefix_trie, op13_packing,
 )}
 
-ORACLES: dict[str, str] = {"op5_quality": sql.quality(), "op8_url_filter": sql.url_filter()}
+ORACLES: dict[str, str] = {
+    "op5_quality": sql.quality(), "op8_url_filter": sql.url_filter(), "op12_prefix_trie": sql.prefix_trie(),
+}

