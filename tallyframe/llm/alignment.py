@@ -23,17 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import vocabulary
-from tallyframe.llm.hashing import mix, slices, spread, text_bytes
+from tallyframe.llm.hashing import mix, slices, spread
 from tallyframe.session import materialise
 
-SLICE_TOKENS = 400_000  # tokens aligned at once; a longer document is a slice of its own
+SLICE_TOKENS = 200_000  # tokens aligned at once; a longer document is a slice of its own
 HELD_PAIRS = 1_000_000  # distinct pairs a task counts before it writes them
 SHARD_KEYS = 50_000  # pairs hashed by one task
 ROUND_KEYS = 2_000_000  # pairs whose index and counts (some 40 MB) are broadcast at once; more take further rounds
 SEGMENT = 65_536  # entries of a vector summed as one row
 FAN_IN = 16  # vectors summed by one task
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _COUNTS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 _SHARD = pa.schema([
     ("shard", pa.int64()), ("n", pa.int64()), ("levels", pa.list_(pa.int32())), ("words", pa.binary()), ("keys", pa.binary()),
@@ -41,6 +41,31 @@ _SHARD = pa.schema([
 _VECTOR = pa.schema([("segment", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
 
 
+def id_type(size: int) -> np.dtype:
+    """The narrowest number that holds the ids of a vocabulary."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def _ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows one after the other, and how many each row has."""
+    kind = id_type(size)
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+    _, offsets, data = column.buffers()
+    first, last = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]]
+    raw = np.frombuffer(data, np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind).astype(np.int32), sizes
+
+
+class Decimals:
+    """Every id below ``size`` in decimal and a byte for the mark behind it."""
+
+    def __init__(self, size: int) -> None:
+        made = [b"%d," % k for k in range(size)]
+        self.sizes = np.array([len(d) for d in made], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(made), dtype=np.uint8)
+
+
 def joined(ids: np.ndarray, vocab: vocabulary.Vocabulary) -> np.ndarray:
     """The bytes of the ids one after the other."""
     return vocab.flat[spread(vocab.starts[ids], vocab.starts[ids + 1])[0]]
@@ -61,21 +86,19 @@ def _encoded(batches: Iterator[pa.RecordBatch], file_a, file_b) -> Iterator[pa.R
                         a = b = none
                 found[0].append(a)
                 found[1].append(b)
-            lists = []
-            for own in found:
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], schema=_TOKENS)
+            packed = [
+                pa.array([ids.astype(id_type(len(v.lengths))).tobytes() for ids in own], pa.binary())
+                for own, v in zip(found, (vocab_a, vocab_b))
+            ]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *packed], schema=_TOKENS)
 
 
 class Aligned:
     """Groups and links of the documents of a slice, computed together: their bytes follow one another."""
 
     def __init__(self, batch: pa.RecordBatch, lengths_a: np.ndarray, lengths_b: np.ndarray) -> None:
-        self.a, self.b = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("a", "b"))
-        self.n_a, self.n_b = (
-            pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b")
-        )
+        self.a, self.n_a = _ids(batch.column("a"), len(lengths_a))
+        self.b, self.n_b = _ids(batch.column("b"), len(lengths_b))
         ends_a, ends_b = np.cumsum(lengths_a[self.a]), np.cumsum(lengths_b[self.b])
         size = int(ends_a[-1]) if len(ends_a) else 0
         at_a, at_b = np.zeros(size + 1, dtype=bool), np.zeros(size + 1, dtype=bool)
@@ -106,7 +129,7 @@ class Aligned:
         total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[self.link_stops]
         return np.diff(total, prepend=0)
 
-    def texts(self, vocab_a: vocabulary.Vocabulary, vocab_b: vocabulary.Vocabulary) -> list[bytes]:
+    def texts(self, words_a: Decimals, words_b: Decimals) -> list[bytes]:
         """The groups of every document: ids of one side, ``|``, ids of the other, ``;`` between groups."""
         groups = int(self.group_stops[-1]) if len(self.group_stops) else 0
         in_a, in_b = np.bincount(self.group_a, minlength=groups), np.bincount(self.group_b, minlength=groups)
@@ -115,9 +138,9 @@ class Aligned:
         place_b = np.arange(len(self.b)) + np.cumsum(in_a)[self.group_b]
         count = len(self.a) + len(self.b)
         starts, sizes = np.empty(count, np.int64), np.empty(count, np.int64)
-        starts[place_a], starts[place_b] = vocab_a.decimal_starts[self.a], vocab_b.decimal_starts[self.b] + len(vocab_a.decimals)
-        sizes[place_a], sizes[place_b] = vocab_a.decimal_lengths[self.a], vocab_b.decimal_lengths[self.b]
-        out = np.concatenate((vocab_a.decimals, vocab_b.decimals))[spread(starts, starts + sizes)[0]]
+        starts[place_a], starts[place_b] = words_a.starts[self.a], words_b.starts[self.b] + len(words_a.flat)
+        sizes[place_a], sizes[place_b] = words_a.sizes[self.a], words_b.sizes[self.b]
+        out = np.concatenate((words_a.flat, words_b.flat))[spread(starts, starts + sizes)[0]]
         stops = np.cumsum(sizes)
         last_a = np.cumsum(in_a) + np.cumsum(in_b) - in_b - 1
         out[stops[last_a] - 1] = ord("|")
@@ -131,12 +154,12 @@ class Aligned:
 
 
 def _token_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.add(pc.list_value_length(batch.column("a")), pc.list_value_length(batch.column("b")))
+    sizes = pc.add(pc.binary_length(batch.column("a")), pc.binary_length(batch.column("b")))
     ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + 2 * SLICE_TOKENS, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -270,8 +293,11 @@ def _tree_sum(partial: DataFrame, index) -> DataFrame:
     return materialise(vectors, "align-counts")
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch], index, lengths, files, with_groups: bool) -> Iterator[pa.RecordBatch]:
+def _looked_up(
+    batches: Iterator[pa.RecordBatch], index, lengths, with_texts: bool, with_groups: bool
+) -> Iterator[pa.RecordBatch]:
     own = index.value
+    words = [Decimals(len(x)) for x in lengths.value] if with_texts else []
     for batch in batches:
         for part in _token_slices(batch):
             found = Aligned(part, *lengths.value)
@@ -284,8 +310,8 @@ def _looked_up(batches: Iterator[pa.RecordBatch], index, lengths, files, with_gr
                 "n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_groups(), "n_links": found.n_links(),
                 "n_best": found.per_document(best), "count_sum": found.per_document(counts),
             }
-            if files:
-                texts = found.texts(*(vocabulary.loaded(f.value) for f in files))
+            if words:
+                texts = found.texts(*words)
                 columns["groups_sha256"] = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
                 if with_groups:
                     columns["groups"] = [t.decode() for t in texts]
@@ -301,14 +327,14 @@ def _encode(docs: DataFrame, path_a: str | None, path_b: str | None):
     vocabs = [vocabulary.loaded(f.value) for f in files]
     lengths = spark.sparkContext.broadcast(tuple(v.lengths for v in vocabs))
     tokens = docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _encoded(batches, *files), "doc_id bigint, a array<int>, b array<int>"
+        lambda batches: _encoded(batches, *files), "doc_id bigint, a binary, b binary"
     )
     tokens = materialise(tokens.withColumn("row", F.monotonically_increasing_id()), "align-tokens")
     partial = materialise(
         tokens.select("a", "b").mapInArrow(lambda batches: _pair_counts(batches, lengths), "pair bigint, n bigint"),
         "align-pairs",
     )
-    return files, vocabs, lengths, tokens, partial
+    return vocabs, lengths, tokens, partial
 
 
 def _shards(partial: DataFrame) -> tuple[DataFrame, Column, int]:
@@ -370,7 +396,7 @@ def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
 
     The plain sum of the first pass; no link is left out.
     """
-    _, vocabs, _, _, partial = _encode(docs, path_a, path_b)
+    vocabs, _, _, partial = _encode(docs, path_a, path_b)
     names = [
         docs.sparkSession.createDataFrame([(k, t) for k, t in enumerate(v.tokens)], f"{s}_id bigint, {s}_bytes binary")
         for v, s in zip(vocabs, "ab")
@@ -394,7 +420,7 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
     rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    files, vocabs, lengths, tokens, partial = _encode(docs, path_a, path_b)
+    vocabs, lengths, tokens, partial = _encode(docs, path_a, path_b)
     counts = _Counts(partial)
     highest = np.zeros(len(vocabs[1].lengths), np.int64)
     for index in counts.load():
@@ -409,10 +435,10 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
     for index in counts.load():
         index.best = index.counts == highest[index.keys & 0xFFFFFFFF]
         shared = spark.sparkContext.broadcast(index)
-        own = files if out is None else ()
+        with_texts = out is None
         found = tokens.mapInArrow(
-            lambda batches, shared=shared, own=own: _looked_up(batches, shared, lengths, own, with_groups),
-            sums + (text if own else ""),
+            lambda batches, shared=shared, with_texts=with_texts: _looked_up(batches, shared, lengths, with_texts, with_groups),
+            sums + (text if with_texts else ""),
         )
         if len(counts.rounds) == 1:
             return found.select(*names)

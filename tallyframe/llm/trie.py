@@ -245,9 +245,13 @@ def _split(state: DataFrame, totals: DataFrame, prefixes: DataFrame) -> DataFram
 def _rollup(nodes: DataFrame, prefixes: DataFrame, in_task: int) -> DataFrame:
     """k1, k2, leaves, saved: subtree sums of ``leaf`` and ``own`` over ``nodes``, one tree from the root (0, 0)."""
     zero = F.lit(0).cast("bigint")
-    state = nodes.select(
-        *KEY, F.coalesce("p1", zero).alias("p1"), F.coalesce("p2", zero).alias("p2"), zero.alias("c1"), zero.alias("c2"),
-        "conv_id", "depth", "weight", "leaf", "own", zero.alias("leaves"), zero.alias("saved"), F.lit(False).alias("out"),
+    # Written, so that the joins below see columns and not constants.
+    state = materialise(
+        nodes.select(
+            *KEY, F.coalesce("p1", zero).alias("p1"), F.coalesce("p2", zero).alias("p2"), zero.alias("c1"), zero.alias("c2"),
+            "conv_id", "depth", "weight", "leaf", "own", zero.alias("leaves"), zero.alias("saved"), F.lit(False).alias("out"),
+        ),
+        "trie-state",
     )
     comp, done = ["c1", "c2"], []
     while True:

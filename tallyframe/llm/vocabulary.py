@@ -58,10 +58,6 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
         self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        decimals = [b"%d," % k for k in range(len(tokens))]
-        self.decimal_lengths = np.array([len(d) for d in decimals], dtype=np.int64)
-        self.decimal_starts = np.concatenate(([0], np.cumsum(self.decimal_lengths)))
-        self.decimals = np.frombuffer(b"".join(decimals), dtype=np.uint8)
         self.tokens = tokens
 
     def encode(self, text: str) -> np.ndarray:
