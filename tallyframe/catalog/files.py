@@ -44,6 +44,17 @@ def _named_files(df: DataFrame, name: str, label: str) -> str:
     df.withColumnRenamed(name, "__file").repartition("__file").sortWithinPartitions("__file").write.partitionBy("__file").option(
         "header", True
     ).csv(f"{path}-parts")
+    return _renamed(spark, path)
+
+
+def _named_texts(texts: DataFrame, label: str) -> str:
+    """One file for each row of (name, value)."""
+    path = scratch_path(texts.sparkSession, label)
+    texts.select(F.col("name").alias("__file"), "value").repartition("__file").write.partitionBy("__file").text(f"{path}-parts")
+    return _renamed(texts.sparkSession, path)
+
+
+def _renamed(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(f"{path}-parts")
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -180,6 +191,65 @@ def xml_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+HEADER = 10_000
+
+
+@query(
+    "xml_mixed_scan",
+    f"""SELECT 'h' AS kind, CAST(event_id AS VARCHAR) AS id, event_type AS note FROM events
+UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), o_orderstatus || ' > ' || o_orderpriority FROM orders
+  WHERE o_orderkey <= (SELECT max(event_id) FROM events) // {HEADER} * {HEADER} + {HEADER - 1}
+UNION ALL SELECT 'entry', CAST(c_custkey AS VARCHAR), c_name FROM customer""",
+)
+def xml_mixed_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of two shapes: some with 10,000 header elements before records of another tag, some with deep wrappers."""
+    text = lambda c: F.col(c).cast("string")
+    heads = table(spark, folder, "events").select(F.col("event_id").alias("k"), F.lit(0).alias("part"), F.concat(
+        F.lit('<h kind="h"><id>'), text("event_id"), F.lit("</id><note><![CDATA["), text("event_type"), F.lit("]]></note></h>")
+    ).alias("v"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("part"), F.concat(
+        F.lit('<order kind="order" mark="a > b"><!-- <h> --><note><![CDATA['), text("o_orderstatus"), F.lit(" > "),
+        text("o_orderpriority"), F.lit("]]></note><id>"), text("o_orderkey"), F.lit("</id></order>"),
+    ).alias("v"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "k", "v"))), lambda x: x["v"])
+    pages = heads.unionByName(orders).groupBy(F.floor(F.col("k") / HEADER).alias("page")).agg(
+        F.max((F.col("part") == 0).cast("int")).alias("headed"),
+        F.concat(F.lit("<export>"), F.array_join(parts, "\n"), F.lit("</export>")).alias("value"),
+    ).where("headed = 1")
+    path = scratch_path(spark, "xml-mixed")
+    pages.select("page", "value").repartition("page").write.partitionBy("page").text(path)
+    entry = F.concat(
+        F.lit("<e:ENTRY kind='entry'><id>"), text("c_custkey"), F.lit("</id><note>"), text("c_name"), F.lit("</note></e:ENTRY>")
+    )
+    wrapped = _pages(
+        table(spark, folder, "customer"), "c_custkey", entry, "<e:x xmlns:e='urn:e'><top>1</top>" + "<w>" * 12, "</w>" * 12 + "</e:x>",
+        "", "xml-wrapped",
+    )
+    return R.read_files(spark, [f"{path}/*", wrapped], "xml").select("kind", "id", "note")
+
+
+@query(
+    "json_mixed_lists_scan",
+    """SELECT o_orderkey AS id, o_orderstatus AS status, NULL::VARCHAR AS segment FROM orders
+UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier""",
+)
+def json_mixed_lists_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in one scan whose lists of records lie under different keys, before or behind others, or alone."""
+    def line(key: str, **others: str) -> Column:
+        return F.to_json(F.struct(F.col(key).alias("id"), *[F.col(c).alias(n) for n, c in others.items()]))
+
+    orders = _pages(
+        table(spark, folder, "orders"), "o_orderkey", line("o_orderkey", status="o_orderstatus"),
+        '{"count": 1, "orders": [', '], "items": [{"id": -1}]}', ",\n", "json-orders",
+    )
+    customers = _pages(
+        table(spark, folder, "customer"), "c_custkey", line("c_custkey", segment="c_mktsegment"),
+        '{"z": {"text": "[{}]", "a": {"items": [', ']}},\n "orders": [{"id": -2}]}', ", ", "json-customers",
+    )
+    suppliers = _pages(table(spark, folder, "supplier"), "s_suppkey", line("s_suppkey", segment="s_name"), "[", "]", ",", "json-suppliers")
+    return R.read_files(spark, [orders, customers, suppliers], "json").select("id", "status", "segment")
+
+
 @query(
     "union_scan",
     """SELECT c_nationkey AS nation, c_acctbal AS acctbal, c_mktsegment AS segment, NULL AS supplier FROM customer
@@ -472,6 +542,59 @@ def multi_file_broken_pair(spark: SparkSession, folder: str) -> DataFrame:
     return each.unionByName(whole)
 
 
+@query(
+    "multi_file_documents",
+    f"""WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'xml' ELSE 'json' END AS kind, o_orderkey // {PAGE} AS page
+  FROM orders WHERE o_orderkey % 4 < 2)
+SELECT kind, page, count(*) AS source_row_count, count(*) FILTER (WHERE kind = 'xml' OR k % 7 <> 0) AS matched_count,
+  count(*) FILTER (WHERE kind = 'json' AND k % 7 = 0) AS missing_in_target_count,
+  count(*) FILTER (WHERE kind = 'xml' AND k % 10 = 0) AS value_mismatch_count FROM o GROUP BY ALL""",
+)
+def multi_file_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of files of different formats: XML against CSV, JSON against Parquet."""
+    k = F.col("o_orderkey")
+    page = F.floor(k / PAGE).cast("string")
+    orders = table(spark, folder, "orders").select(k.alias("id"), F.col("o_totalprice").alias("amount"), page.alias("page"), (k % 4).alias("p"))
+
+    def joined(v: Column, glue: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", v.alias("v")))), lambda x: x["v"]), glue)
+
+    element = F.concat(F.lit("<o id='"), F.col("id").cast("string"), F.lit("'><amount>"), F.col("amount").cast("string"), F.lit("</amount></o>"))
+    in_xml, in_json = orders.where("p = 0"), orders.where("p = 1")
+    xml = in_xml.groupBy("page").agg(F.concat(F.lit("<all><list>"), joined(element, "\n"), F.lit("</list></all>")).alias("value"))
+    documents = in_json.groupBy("page").agg(
+        F.concat(F.lit('{"n": 0, "rows": ['), joined(F.to_json(F.struct("id", "amount")), ","), F.lit("]}")).alias("value")
+    )
+    source = _named_texts(
+        xml.select(F.concat(F.lit("xml_"), "page", F.lit(".xml")).alias("name"), "value").unionByName(
+            documents.select(F.concat(F.lit("json_"), "page", F.lit(".json")).alias("name"), "value")
+        ), "documents",
+    )
+    drifted = F.when(F.col("id") % 10 == 0, F.col("amount") + 5).otherwise(F.col("amount")).alias("amount")
+    csv = _named_files(in_xml.select("id", drifted, F.concat(F.lit("xml_"), "page", F.lit(".csv")).alias("name")), "name", "documents-csv")
+    parquet = scratch_path(spark, "documents-parquet")
+    in_json.where("id % 7 <> 0").select("id", "amount", "page").repartition("page").write.partitionBy("page").parquet(parquet)
+    found = D.discover(spark, csv, "{kind}_{page}.csv", "target").select("path", "file_name", "tokens").unionByName(
+        spark.read.format("binaryFile").load(f"{parquet}/*/*.parquet").select(
+            "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
+            F.create_map(F.lit("kind"), F.lit("json"), F.lit("page"), F.regexp_extract("path", "page=([0-9]+)", 1)).alias("tokens"),
+        )
+    )
+    mapping = P.with_errors(spark, P.pair_by_tokens(
+        D.discover(spark, source, "{kind}_{page}.{rest}", "source").select(
+            "path", "file_name", F.map_filter("tokens", lambda name, _: name != "rest").alias("tokens")
+        ), found, ["kind", "page"],
+    ))
+    results = P.pair_results(
+        P.compare_pairs(P.pair_rows(spark, mapping, "source"), P.pair_rows(spark, mapping, "target"), CompareOptions(key_columns=["id"])),
+        mapping,
+    )
+    return results.select(
+        F.get_json_object(P.PAIR_KEY, "$.kind").alias("kind"), F.get_json_object(P.PAIR_KEY, "$.page").cast("bigint").alias("page"),
+        "source_row_count", "matched_count", "missing_in_target_count", "value_mismatch_count",
+    )
+
+
 @query(
     "multi_file_records",
     f"""WITH {_PAIR_RESULTS_SQL} SELECT {_PAIR_JSON} AS pair, coalesce(sid, tid) AS id, CASE WHEN tid IS NULL THEN 'missing_in_target'

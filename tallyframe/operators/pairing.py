@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallyframe.operators.reconcile import Comparison, CompareOptions
 from tallyframe.session import materialise
-from tallyframe.sources.readers import FEW_FILES, FORMATS, read_files, unreadable_files
+from tallyframe.sources.readers import FEW_FILES, FORMATS, read_files, typed, unreadable_files
 
 PAIR_KEY = "__pair__"
 SIGNALS = ("filename_tokens", "column_signature", "row_count_ratio")
@@ -198,9 +198,9 @@ def with_errors(spark: SparkSession, mapping: DataFrame, fmt: str | None = None)
     """
     files = _side_files(mapping, "source").unionByName(_side_files(mapping, "target"))
     files = materialise(files.withColumn("fmt", _format_of(F.col("__path"), fmt)), "pair-files")
-    alone = F.coalesce(F.col("fmt"), F.lit("")).isin("", "json", "xml")  # documents keep no path, so their rows have no pair
-    problems = files.where(alone).select("__path", F.lit("format cannot be paired").alias("problem"))
-    for kind in [r["fmt"] for r in files.where(~alone).select("fmt").distinct().collect()]:
+    unknown = F.col("fmt").isNull()
+    problems = files.where(unknown).select("__path", F.lit("format cannot be paired").alias("problem"))
+    for kind in [r["fmt"] for r in files.where(~unknown).select("fmt").distinct().collect()]:
         paths = [r["__path"] for r in files.where(F.col("fmt") == kind).select("__path").distinct().collect()]
         found = unreadable_files(spark, paths, kind)
         problems = problems.unionByName(found.select(F.col("file").alias("__path"), "problem"))
@@ -225,6 +225,8 @@ def pair_rows(spark: SparkSession, mapping: DataFrame, side: str, fmt: str | Non
         own = places.where(F.col("fmt") == kind).drop("fmt")
         paths = [r["__path"] for r in own.select("__path").distinct().collect()]
         rows = read_files(spark, paths, kind, path_column="__path")
+        if kind == "xml":  # text like that of delimited files
+            rows = typed(rows, ("__path",))
         parts.append(rows.join(F.broadcast(own) if small else own, "__path").drop("__path"))
     if not parts:
         return spark.createDataFrame([], f"{PAIR_KEY} string")

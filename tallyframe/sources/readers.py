@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
-from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,23 +13,17 @@ from pyspark.sql import types as T
 from tallyframe.functions.cells import q
 from tallyframe.operators.schemas import expected_schema_diff
 from tallyframe.session import materialise
+from tallyframe.sources.documents import FILE, json_records, scan_json, scan_xml, xml_records
 
-# Delimiters tried in order, the words read as missing, preferred record tags.
+# Delimiters tried in order, the words read as missing.
 DELIMITERS = (",", "\t", ";", "|")
 MISSING_WORDS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-RECORD_TAGS = ("record", "row", "item", "entry")
 FEW_FILES = 100_000  # up to so many rows of one per file are broadcast
 
 
-def first_file(spark: SparkSession, path: str | Sequence[str]) -> str | None:
-    """The first file by name; only names are listed."""
-    row = spark.read.format("binaryFile").load(path).select("path").orderBy("path").first()
-    return row["path"] if row else None
-
-
 def _fields(line: str, delimiter: str) -> int:
     return len(next(csv.reader([line], delimiter=delimiter)))
 
@@ -157,7 +149,7 @@ def unreadable_files(spark: SparkSession, path: str | Sequence[str], fmt: str) -
     """``file, problem`` for the text files that :func:`read_files` could not read to the end.
 
     Delimited files need a header line and no line with more fields than that;
-    JSON lines need to be objects. Each is one grouped aggregate over the lines.
+    JSON lines need to be objects, JSON and XML documents to be whole. Each is a scan and a grouped aggregate.
     Columnar files are not looked into.
     """
     if fmt == "jsonl":
@@ -165,6 +157,10 @@ def unreadable_files(spark: SparkSession, path: str | Sequence[str], fmt: str) -
         return _numbered_lines(spark, path).where((F.trim("value") != "") & bad).select(
             "file", F.lit("line is no JSON object").alias("problem")
         ).distinct()
+    if fmt == "json":
+        return scan_json(spark, path).where("kind = 'bad'").select("file", F.lit("not JSON").alias("problem"))
+    if fmt == "xml":
+        return scan_xml(spark, path).where("problem is not null").select("file", "problem").distinct()
     if fmt not in ("csv", "tsv"):
         return spark.createDataFrame([], "file string, problem string")
     lines = _numbered_lines(spark, path)
@@ -279,40 +275,28 @@ def flattened(df: DataFrame, mark: str = "") -> DataFrame:
     return df.select(*out)
 
 
-def record_list_path(schema: T.StructType, order: Sequence[str] = ()) -> list[str] | None:
-    """The first array of objects, depth first."""
-    fields = sorted(schema, key=lambda f: order.index(f.name) if f.name in order else len(order))
-    for f in fields:
-        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            return [f.name]
-        if isinstance(f.dataType, T.StructType):
-            inner = record_list_path(f.dataType, order)
-            if inner is not None:
-                return [f.name, *inner]
-    return None
-
-
 def read_json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return flattened(spark.read.json(path))
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """A list of records, the first list of records inside an object, or one object."""
-    raw = spark.read.json(path, multiLine=True)
-    if raw.columns == ["_corrupt_record"]:
-        whole = spark.read.text(path, wholetext=True)
-        values = whole.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
-        if values.isEmpty():
-            raise ValueError("not JSON, or a JSON value that is no list and no object")
-        return typed(values)
-    place = record_list_path(raw.schema)
-    if place is None:
-        return flattened(raw)
-    # Inference sorts field names; the document's own order decides which list is first.
-    keys = spark.read.text(first_file(spark, path), wholetext=True).select(F.json_object_keys("value").alias("k")).first()
-    if keys is not None and keys["k"]:
-        place = record_list_path(raw.schema, keys["k"])
-    return _records_at(raw, place)
+def read_json(spark: SparkSession, path: str | Sequence[str], path_column: str | None = None) -> DataFrame:
+    """Documents as records, each file by its own structure, united by column name.
+
+    A list gives a row for each element, an object its first list of records or
+    itself. ``path_column`` keeps the file of each row.
+    """
+    documents = scan_json(spark, path)
+    bad = documents.where("kind = 'bad'").select("file").first()
+    if bad is not None:
+        raise ValueError(f"not JSON: {bad['file']}")
+    raw = spark.read.schema("f string").json(folder := json_records(spark, documents))
+    if raw.isEmpty():
+        return spark.createDataFrame([], f"{path_column} string" if path_column else "value string")
+    raw = spark.read.json(folder)
+    place = [F.col("f").alias(path_column)] if path_column else []
+    if isinstance(raw.schema["r"].dataType, T.StructType):
+        return flattened(raw.select("r.*", *place))
+    return typed(raw.select(F.col("r").alias("value"), *place), (path_column,))
 
 
 def _records_at(raw: DataFrame, place: Sequence[str]) -> DataFrame:
@@ -343,85 +327,26 @@ def read_pages(spark: SparkSession, path: str, root: str = "", fmt: str = "json"
 # -- XML -------------------------------------------------------------------
 
 
-def record_tag(pieces: Sequence[str]) -> str:
-    """The element that stands for a row, judged by the tags at the head of a file.
+def read_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = None,
+             path_column: str | None = None) -> DataFrame:
+    """XML records as flat text columns; attributes and nested elements become dotted names.
 
-    ``pieces`` is the text cut behind every ``>``. An element that repeats below
-    the root is a row; a single one is looked into for rows of its own. Of all
-    that is found a preferred name wins, then one that repeats.
+    The records of each file are found by its own whole structure, or are all
+    elements named ``tag``; ``path_column`` keeps the file of each row.
     """
-    paths = _element_paths(pieces)
-    if not paths:
-        raise ValueError("no XML elements found")
-    root = paths[0]
-    below = Counter(_children(paths, root))
-    found: Counter[str] = Counter()
-    for name, n in below.items():
-        inner = _row_group(paths, (*root, name)) if n == 1 else None
-        found.update({inner[0]: inner[1]} if inner else {name: n})
-    for name in RECORD_TAGS:
-        for tag in found:
-            if tag.lower() == name:
-                return tag
-    repeated = [tag for tag, n in found.items() if n > 1]
-    if repeated:
-        return repeated[0]
-    whole = _row_group(paths, root)
-    return whole[0] if whole else root[-1]
-
-
-def _element_paths(pieces: Sequence[str]) -> list[tuple[str, ...]]:
-    """The path from the root of every element that starts within the pieces."""
-    paths: list[tuple[str, ...]] = []
-    stack: list[str] = []
-    for piece in pieces:
-        tag = piece[piece.rfind("<") + 1:] if "<" in piece else ""
-        if not tag or tag[0] in "?!":
-            continue
-        if tag.startswith("/"):
-            if stack:
-                stack.pop()
-            continue
-        name = re.split(r"[\s/]", tag, maxsplit=1)[0].split(":")[-1]
-        paths.append((*stack, name))
-        if not tag.endswith("/"):
-            stack.append(name)
-    return paths
-
-
-def _children(paths: Sequence[tuple[str, ...]], at: tuple[str, ...]) -> list[str]:
-    return [p[-1] for p in paths if len(p) == len(at) + 1 and p[: len(at)] == at]
-
-
-def _row_group(paths: Sequence[tuple[str, ...]], at: tuple[str, ...], levels: int = 8) -> tuple[str, int] | None:
-    """The preferred or repeated children of an element, found through single wrappers."""
-    children = Counter(_children(paths, at))
-    for name in RECORD_TAGS:
-        for tag, n in children.items():
-            if tag.lower() == name:
-                return tag, n
-    for tag, n in children.items():
-        if n > 1:
-            return tag, n
-    wrappers = [tag for tag in children if _children(paths, (*at, tag))]
-    if len(wrappers) == 1 and levels > 1:
-        return _row_group(paths, (*at, wrappers[0]), levels - 1)
-    return None
-
-
-def read_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = None) -> DataFrame:
-    """XML records as flat text columns; attributes and nested elements become dotted names."""
-    first = first_file(spark, path)
-    if first is None:
-        raise ValueError(f"no files at {path}")
-    pieces = [r["value"] for r in spark.read.option("lineSep", ">").text(first).limit(5000).collect()]
-    if any("<!doctype" in p.lower() or "<!entity" in p.lower() for p in pieces[:20]):
-        raise ValueError("XML files with DTD or entity declarations are not supported")
+    places = scan_xml(spark, path, tag)
+    bad = places.where("problem is not null").select("file", "problem").first()
+    if bad is not None:
+        raise ValueError(f"{bad['problem']}: {bad['file']}")
     raw = (
-        spark.read.format("xml").option("rowTag", tag or record_tag(pieces)).option("ignoreNamespace", True)
-        .option("attributePrefix", "@").option("valueTag", "@_VALUE").option("inferSchema", False).load(path)
+        spark.read.format("xml").option("rowTag", "__record").option("ignoreNamespace", True)
+        .option("attributePrefix", "@").option("valueTag", "@_VALUE").option("inferSchema", False)
+        .load(xml_records(spark, path, places))
     )
-    return flattened(_spread(raw), mark="@")
+    if f"@{FILE}" not in raw.columns:  # no records at all
+        return spark.createDataFrame([], f"{path_column} string" if path_column else "value string")
+    rows = flattened(_spread(raw), mark="@")
+    return rows.withColumnRenamed(FILE, path_column) if path_column else rows.drop(FILE)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -492,7 +417,7 @@ def read_files(spark: SparkSession, path: str | Sequence[str], fmt: str | None =
                path_column: str | None = None) -> DataFrame:
     """Files of one format as one table, by format name or file extension.
 
-    ``path_column`` keeps the file of each row, for all formats that split by line or block.
+    ``path_column`` keeps the file of each row.
     """
     if fmt is None:
         name = path if isinstance(path, str) else path[0]
@@ -500,13 +425,11 @@ def read_files(spark: SparkSession, path: str | Sequence[str], fmt: str | None =
     readers = {
         "csv": lambda: read_delimited(spark, path, path_column=path_column),
         "tsv": lambda: read_delimited(spark, path, "\t", path_column=path_column),
-        "json": lambda: read_json(spark, path), "xml": lambda: read_xml(spark, path),
+        "json": lambda: read_json(spark, path, path_column), "xml": lambda: read_xml(spark, path, path_column=path_column),
         "jsonl": lambda: flattened(_with_path(spark.read.json(path), path_column)),
         "parquet": lambda: _with_path(spark.read.format("parquet").load(path), path_column),
         "orc": lambda: _with_path(spark.read.format("orc").load(path), path_column),
     }
-    if path_column and fmt in ("json", "xml"):
-        raise ValueError(f"{fmt} documents keep no path column")
     if fmt not in readers:
         raise ValueError(f"unsupported file format: {fmt}")
     return readers[fmt]()

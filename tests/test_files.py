@@ -103,19 +103,6 @@ def test_json_shapes(spark, tmp_path):
         assert sorted(tuple(r) for r in df.collect()) == rows, name
 
 
-def test_xml_records(spark, tmp_path):
-    def tag(text):
-        return R.record_tag([p for p in text.split(">")])
-
-    assert tag("<a><row/><row/></a>") == "row"
-    assert tag("<a><meta><x>1</x></meta><list><order><n>1</n></order><order/></list></a>") == "order"
-    assert tag("<env><body><list><item><n>1</n></item></list></body></env>") == "item"
-    assert tag("<order><n>1</n><m>2</m></order>") == "order"
-    put(tmp_path, "b.xml", '<?xml version="1.0"?><!DOCTYPE a><a><row><n>1</n></row></a>')
-    with pytest.raises(ValueError):
-        R.read_xml(spark, str(tmp_path))
-
-
 def test_log_blocks(spark, tmp_path):
     rng = random.Random(4)
     lines = []
