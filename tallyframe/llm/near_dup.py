@@ -8,8 +8,9 @@ as rows of pairs, others, up to a bounded number of documents and shingles, with
 their full sets in one task. A larger node is compared with two pivots and
 branches again; documents that links have joined already need no comparison, so
 large groups of copies vanish after a level and what is left thins out from
-level to level. Links are confirmed on full sets, and components are contracted
-by min labels.
+level to level. The first two trees go before the others, so that these find most
+copies joined. Links are confirmed on full sets, which move only for documents
+whose tokens show a partner, and components are contracted by min labels.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tallyframe.session import materialise
 
 TOKENS = 64
 TREES = 16
+WAVES = (2, TREES)  # trees up to these are branched one after the other: what the first join, the rest need not compare
 PER_ROW = 8  # a node with at most so many open pairs for each document is compared by rows of pairs
 NODE_DOCS, NODE_SHINGLES = 4_096, 2_000_000  # a node up to both sizes (16 MB) is compared in one task
 ALIKE = 32  # of 64 tokens; a pair of similarity 0.75 has fewer with probability 1e-5
@@ -130,6 +132,22 @@ def _node_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _partners(table: pa.Table) -> pa.Table:
+    """The documents of one node that tokens show alike to one of another component; only their sets are looked at."""
+    docs, comp = table.column("doc").to_numpy(), table.column("comp").to_numpy()
+    flat = table.column("tokens").combine_chunks().flatten().to_numpy()
+    tokens = np.ascontiguousarray(flat.reshape(-1, TOKENS).T)
+    found = np.zeros(len(docs), dtype=bool)
+    for x in range(len(docs)):
+        equal = np.zeros(len(docs) - x, dtype=np.uint8)
+        for row in tokens:
+            equal += row[x:] == row[x]
+        alike = np.flatnonzero((equal >= ALIKE) & (comp[x:] != comp[x])) + x
+        found[alike] = True
+        found[x] |= len(alike) > 0
+    return table.select(["node", "doc", "comp"]).filter(pa.array(found))
+
+
 def contracted(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for the nodes of an edge list; the root is the smallest node of its component.
 
@@ -169,16 +187,26 @@ def contracted(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots
 
 
-def _first_level() -> Column:
-    """The nodes of the first level of all trees as an array."""
+def _first_level(first: int, last: int) -> Column:
+    """The nodes of the first level of some trees as an array."""
     pick = random.Random(7)
     nodes = []
     for tree in range(TREES):
         for k in pick.sample(range(TOKENS), 1 + (tree % 3 == 0)):
-            nodes.append(F.xxhash64(F.lit(tree), F.lit(k), F.get("tokens", F.lit(k))))
+            if first <= tree < last:
+                nodes.append(F.xxhash64(F.lit(tree), F.lit(k), F.get("tokens", F.lit(k))))
     return F.array(*nodes)
 
 
+def _first_rows(heads: DataFrame, first: int, last: int) -> DataFrame:
+    rows = heads.select(
+        F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.explode(_first_level(first, last)).alias("node")
+    )
+    # Most nodes of the first level hold one document.
+    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    return rows.join(shared, "node", "left_semi").select("doc", "size", "node")
+
+
 def _children() -> Column:
     """The children of a row's node: one position of the tokens, for a third of the nodes two."""
     def child(salt: int) -> Column:
@@ -235,7 +263,7 @@ def _pairs(placed: DataFrame) -> DataFrame:
 def _links(placed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between the components of open nodes, all confirmed on full sets.
 
-    For rows of pairs, sketches of the tokens first sort out what is far from alike.
+    Tokens first sort out what is far from alike, so few full sets move.
     """
     def sketch(side: str) -> DataFrame:
         return signed.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"tokens_{side}"))
@@ -247,7 +275,12 @@ def _links(placed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
         _pairs(placed).join(sketch("a"), "a").join(sketch("b"), "b").where(equal >= ALIKE).select("a", "b"),
         "dedup-alike",
     )
-    in_task = placed.where("kind = 'task'").select("node", "doc", "comp")
+    near = placed.where("kind = 'task'").select("node", "doc", "comp").join(
+        signed.select(F.col("doc_id").alias("doc"), "tokens"), "doc"
+    )
+    in_task = materialise(
+        near.groupBy("node").applyInArrow(_partners, "node bigint, doc bigint, comp bigint"), "dedup-partners"
+    )
     ids = materialise(
         alike.select(F.col("a").alias("doc_id")).unionByName(alike.select(F.col("b").alias("doc_id")))
         .unionByName(in_task.select(F.col("doc").alias("doc_id"))).distinct(),
@@ -298,14 +331,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     heads = signed.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
     heads = materialise(heads, "dedup-heads")
-    rows = heads.select(
-        F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.explode(_first_level()).alias("node")
-    )
-    # Most nodes of the first level hold one document.
-    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    rows = materialise(rows.join(shared, "node", "left_semi"), "dedup-rows")
+    waves = list(zip((0, *WAVES), WAVES))
+    rows = materialise(_first_rows(heads, *waves.pop(0)), "dedup-rows")
     roots: DataFrame | None = None
-    while rows.limit(1).count():
+    while waves or rows.limit(1).count():
         if roots is None:
             labelled = rows.withColumn("comp", F.col("doc"))
         else:
@@ -320,11 +349,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = contracted(links.unionByName(known))
         tokens = heads.select(F.col("doc_id").alias("doc"), "tokens")
-        rows = materialise(
-            placed.where("kind = 'large'").select("node", "doc", "size").join(tokens, "doc")
-            .select("doc", "size", F.explode(_children()).alias("node")).distinct(),
-            "dedup-rows",
-        )
+        rows = placed.where("kind = 'large'").select("node", "doc", "size").join(tokens, "doc").select(
+            "doc", "size", F.explode(_children()).alias("node")
+        ).distinct()
+        if waves:
+            rows = rows.unionByName(_first_rows(heads, *waves.pop(0)))
+        rows = materialise(rows, "dedup-rows")
     result = members.withColumn("component_id", F.coalesce("class_id", "doc_id"))
     if roots is not None:
         result = members.join(
