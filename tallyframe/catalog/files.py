@@ -685,6 +685,24 @@ def appended_profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "history_retried",
+    """SELECT 'r1' AS run_id, o_orderstatus AS job_name, count(*) AS rows, sum(o_custkey) AS keys FROM orders GROUP BY 2
+UNION ALL SELECT 'r2', o_orderstatus, count(*), sum(o_custkey) FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 2""",
+)
+def history_retried(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs stored job by job; all jobs of the first are stored again, as by a retry, after a partial first try."""
+    orders, store = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), scratch_path(spark, "history")
+    half = orders.where("o_orderkey % 2 = 0")
+    statuses = ("F", "O", "P")
+    for run, rows in (("r1", half), ("r2", half), ("r1", orders), ("r1", orders)):
+        for status in statuses:
+            K.append_history(rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), store, run, status)
+    return spark.read.parquet(store).groupBy("run_id", "job_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("o_custkey").alias("keys")
+    )
+
+
 @query(
     "capped_export",
     f"""WITH {ORDERS_SQL}, r AS ({_records_sql()}) SELECT least(count(*), 50) AS rows, 6 AS fields FROM r""",

@@ -68,9 +68,20 @@ def export_results(results: DataFrame, path: str) -> str:
     return write_table(rows.select(*RESULT_FIELDS), path, "csv")
 
 
-def append_history(df: DataFrame, path: str, run_id: str) -> str:
-    """Append results, records, profiles or snapshots of a run to a history table."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+def append_history(df: DataFrame, path: str, run_id: str, job_name: str | None = None) -> str:
+    """Store the results, records, profiles or snapshots of a run in a history table, once however often it is tried.
+
+    A call holds all rows of a run, or with ``job_name`` all of one of its jobs,
+    and replaces what an earlier try of the same has stored; the rows of other
+    runs are not touched. Files are staged and put in place when the job ends, so
+    a writer that fails on its way leaves the table as it was. A table takes
+    either form, not both; a try without rows replaces nothing.
+    """
+    places = ["run_id"] + (["job_name"] if job_name is not None else [])
+    rows = df.withColumn("run_id", F.lit(run_id))
+    if job_name is not None:
+        rows = rows.withColumn("job_name", F.lit(job_name))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*places).parquet(path)
     return path
 
 

@@ -112,3 +112,29 @@ def test_missing_target_is_skipped():
 def test_freshness(spark, rows, status):
     df = spark.createDataFrame(rows, "at string")
     assert H.freshness(df, "at", 24, "2024-01-03 00:00:00").first().status == status
+
+
+def test_history_is_stored_once(spark, tmp_path):
+    """A retry replaces its own run, and a writer that fails half-way leaves the table as it was."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from tallyframe.sources import sinks
+
+    store = str(tmp_path / "history")
+    first, second = spark.range(10), spark.range(100, 103)
+    for run, rows in (("r1", first), ("r2", second), ("r1", first), ("r1", first)):
+        sinks.append_history(rows, store, run)
+    stored = lambda: sorted((r.run_id, r.id) for r in spark.read.parquet(store).collect())
+    want = sorted([("r1", k) for k in range(10)] + [("r2", k) for k in range(100, 103)])
+    assert stored() == want
+    failing = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") < 700, F.col("id")).otherwise(F.raise_error("gone").cast("bigint")).alias("id"))
+    with pytest.raises(PySparkException):
+        sinks.append_history(failing, store, "r2")
+    assert stored() == want
+    sinks.append_history(spark.range(5), store, "r2")
+    assert [k for run, k in stored() if run == "r2"] == list(range(5))
+    jobs = str(tmp_path / "jobs")
+    for job in ("a", "b", "a"):
+        sinks.append_history(first, jobs, "r1", job)
+    assert spark.read.parquet(jobs).count() == 20
