@@ -10,6 +10,7 @@ joined on (conversation, identifier) and never gathered in one place.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.session import materialise
 
+DEPTH = 1_000  # an object nested deeper is plain text, in a message and in a string of arguments alike
+
 _TYPES = {
     "string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict,
     "null": type(None),
@@ -70,8 +73,17 @@ def _resolved(value, refs: list[str]):
     return sorted(set(refs))
 
 
+def _depth(text: str) -> int:
+    """How deep the brackets of a JSON text are nested."""
+    most = now = 0
+    for bracket in re.findall(r"[\[\]{}]", re.sub(r'"(?:[^"\\]|\\.)*"', "", text, flags=re.S)):
+        now += 1 if bracket in "[{" else -1
+        most = max(most, now)
+    return most
+
+
 def _object(text: str):
-    if not text.lstrip()[:1] == "{":
+    if not text.lstrip()[:1] == "{" or _depth(text) > DEPTH:
         return None
     try:
         value = json.loads(text, parse_constant=lambda name: name)

@@ -310,3 +310,19 @@ def test_retrieval_is_whole(prose):
                     want[r, k] = max(want.get((r, k), 0), s)
     got = {(r, k): s for r, k, s in decontaminate.retrieve(hashes, offsets, index)}
     assert got.keys() == want.keys() and want and all(math.isclose(got[x], want[x]) for x in want)
+
+
+@pytest.mark.parametrize("around", [chat.DEPTH, 5_000, 10_000])
+def test_chat_depth(around):
+    """Depth never ends a job: beyond the limit an object is plain text, as a message and as a string of arguments."""
+    for depth in range(around - 4, around + 5):
+        deep = '{"a":' + "[" * (depth - 1) + "]" * (depth - 1) + "}"
+        for arguments in (json.dumps(deep), deep):
+            text = '{"tool_calls": [{"id": "c", "name": "f", "arguments": ' + arguments + "}]}"
+            kind, _, content, calls = chat.parse("assistant", text, {"f": {"type": "object"}})
+            assert json.dumps(text)[:9] and chat.canonical(content)
+            if arguments == deep:  # three levels around the arguments
+                assert kind == ("call" if depth + 3 <= chat.DEPTH else "message")
+            else:
+                assert (calls[0]["error"] is None) == (depth <= chat.DEPTH)
+    assert chat._object('{"a": "[[[[{{{{ \\\\ \\" [["}') == {"a": '[[[[{{{{ \\ " [['}
