@@ -383,6 +383,30 @@ def log_search(spark: SparkSession, folder: str) -> DataFrame:
     return L.filter_log_events(paged, "RUN-7", "Caused By", "warn", 25).select("level", "text")
 
 
+@query(
+    "log_long_events",
+    """SELECT event_id // 2000 AS page, 1 AS event, 'ERROR' AS level, CAST(1 + 6 * count(*) AS BIGINT) AS lines, '2024-01-01 00:00:00 | ERROR | batch' AS head,
+  bool_or(user_id % 500 = 7) AND bool_or(user_id % 500 = 11) AND bool_or(event_id % 7001 = 0) AS found
+FROM events GROUP BY ALL""",
+)
+def log_long_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of 12,000 lines: counted once, and searched for words that stand far apart."""
+    line = F.concat(
+        F.lit("  user "), (F.col("user_id") % 500).cast("string"), F.lit(";\n  checked "), (F.col("event_id") % 7001).cast("string"),
+        F.lit(";\n  one\n  two\n  three\n  four"),
+    )
+    path = _pages(table(spark, folder, "events"), "event_id", line, "2024-01-01 00:00:00 | ERROR | batch\n", "", "\n", "long-logs")
+    events = L.log_events(spark, path)
+    heads = L.event_heads(events)
+    users = L.filter_log_events(events, "user 7;", "USER 11;", "error", None).select("file", "event").distinct()
+    both = L.filter_log_events(events.join(users, ["file", "event"], "left_semi"), "checked 0;", limit=None)
+    marked = heads.join(both.select("file", "event", F.lit(True).alias("hit")).distinct(), ["file", "event"], "left")
+    return marked.select(
+        F.regexp_extract("file", r"page=(\d+)", 1).cast("bigint").alias("page"), F.col("event").cast("int").alias("event"), "level",
+        "lines", "head", F.coalesce("hit", F.lit(False)).alias("found"),
+    )
+
+
 @query(
     "artifact_results",
     """WITH r AS (SELECT 'test.shop.check_' || s_suppkey AS unique_id, CASE WHEN s_suppkey % 4 = 0 THEN 'Named ' || s_name ELSE 'check_' || s_suppkey END AS name,

@@ -15,12 +15,6 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-def log_normal_cdf(z: float) -> float:
-    if z < -37.0:
-        return -0.5 * z * z - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-1 / z**2 + 3 / z**4)
-    return math.log(normal_tail(-z))
-
-
 def anderson_critical(n: int, alpha: float) -> float:
     base = ANDERSON_NORMAL.get(alpha, ANDERSON_NORMAL[0.05])
     return round(base / (1.0 + 4.0 / n - 25.0 / n / n), 3)

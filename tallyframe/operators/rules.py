@@ -14,12 +14,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import cells, stats
+from tallyframe.functions.normal import log_normal_cdf, normal_cdf
 from tallyframe.functions.ranks import exact_percentiles, in_blocks, running_total
 
 
@@ -491,12 +491,11 @@ class RuleSet:
         if n <= 1 or not std:
             return None
         z = (F.col("v") - m["mean"]) / std
-        both = log_cdf_pair(z)
         w, before = F.col("w"), F.col("upto") - F.col("w")
         low_weight = (w * (2 * before + w)).cast("double")
         high_weight = 2.0 * n * w - low_weight
-        total = self._ranked_values(r.column).withColumn("g", both).agg(
-            F.sum(low_weight * F.col("g.lower") + high_weight * F.col("g.upper")).alias("s")
+        total = self._ranked_values(r.column).agg(
+            F.sum(low_weight * log_normal_cdf(z) + high_weight * log_normal_cdf(-z)).alias("s")
         ).first()["s"]
         statistic = -n - total / n
         critical = stats.anderson_critical(n, 0.05 if r.alpha is None else r.alpha)
@@ -537,18 +536,6 @@ def _outside(what: str, value: float | None, low: float, high: float):
     return value, f"{what} is {value}, not in [{low}, {high}]"
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: stats.normal_tail(-v))
-
-
-@F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
-def log_cdf_pair(z: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({
-        "lower": z.map(stats.log_normal_cdf), "upper": (-z).map(stats.log_normal_cdf),
-    })
-
-
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int, int]]:
     """Exact distinct counts of several columns from one grouped pass."""
     if not columns:

@@ -22,9 +22,11 @@ EVENT_LINES = 10_000
 
 
 def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, number, level, text`` per event; continuation lines belong to the event above.
+    """``file, event, part, number, level, text``; continuation lines belong to the event above.
 
-    An event of more than ``EVENT_LINES`` lines comes in several rows of so many.
+    ``event`` is the number of an event's first line in its file, the same in whatever blocks the file is
+    read. An event of more than ``EVENT_LINES`` lines comes in parts of so many, all with its level;
+    ``number`` is the first line of the part. ``event_heads`` has one row per event.
 
     Lines are numbered per file block, which is of bounded size, and one row per
     block carries the line and event counts on to the blocks behind it.
@@ -57,10 +59,27 @@ def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "part", F.floor((F.col("number") - F.col("first")) / EVENT_LINES)
     )
     ordered = F.array_sort(F.collect_list(F.struct("number", "value")))
-    return parts.groupBy("file", "event", "part").agg(
+    return parts.groupBy("file", F.col("first").alias("event"), "part").agg(
         F.min("number").alias("number"), F.first("event_level").alias("level"),
         F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("text"),
-    ).drop("event", "part")
+    )
+
+
+def event_heads(events: DataFrame) -> DataFrame:
+    """``file, event, level, lines, head`` per event: its length in lines and its first line."""
+    lines = F.size(F.split("text", "\n"))
+    return events.groupBy("file", "event").agg(
+        F.first("level").alias("level"), F.sum(lines).cast("bigint").alias("lines"),
+        F.min_by(F.substring_index("text", "\n", 1), F.col("part")).alias("head"),
+    )
+
+
+def _with_next_lines(events: DataFrame, count: int) -> DataFrame:
+    """``body``: the text of a part with the first lines of the next one, for texts that lie across both."""
+    if not count:
+        return events.withColumn("body", F.col("text"))
+    following = F.lead(F.substring_index("text", "\n", count)).over(Window.partitionBy("file", "event").orderBy("part"))
+    return events.withColumn("body", F.concat_ws("\n", "text", following))
 
 
 def filter_log_events(
@@ -68,19 +87,38 @@ def filter_log_events(
 ) -> DataFrame:
     """The last ``limit`` events that hold all given texts; WARN also finds WARNING.
 
-    A limit above ``most`` is refused, None means all events.
+    An event is found by all its parts together: each text may stand in a part of its own, or lie across
+    two, and every part of a found event is returned. A limit above ``most`` is refused, None means all events.
     """
     if limit is not None and not 1 <= limit <= most:
         raise ValueError(f"a search shows 1 to {most} events")
-    out, body = events, F.lower("text")
-    for needle in (run_id.lower().strip(), query.lower().strip()):
-        if needle:
-            out = out.where(body.contains(F.lit(needle)))
+    needles = [n for n in (run_id.lower().strip(), query.lower().strip()) if n]
+    breaks = max((n.count("\n") for n in needles), default=0)
+    if breaks >= EVENT_LINES:
+        raise ValueError(f"a text to search for has less than {EVENT_LINES} line breaks")
+    out = events
     wanted = level.upper().strip()
     if wanted:
         out = out.where(F.col("level").isin([wanted, "WARNING"] if wanted == "WARN" else [wanted]))
-    last = out.orderBy(F.col("file").desc(), F.col("number").desc())
-    return last if limit is None else last.limit(limit)
+    newest = [F.col("file").desc(), F.col("event").desc()]
+    if needles:
+        body = F.lower("body")
+        hits = {f"has_{k}": body.contains(F.lit(n)) for k, n in enumerate(needles)}
+        marked = _with_next_lines(out, breaks).select("file", "event", *[c.alias(k) for k, c in hits.items()])
+        some = F.lit(False)
+        for k in hits:
+            some = some | F.col(k)
+        found = marked.where(some).groupBy("file", "event").agg(*[F.max(k).alias(k) for k in hits])
+        for k in hits:
+            found = found.where(F.col(k))
+        found = found.select("file", "event")
+    elif limit is None:
+        return out.orderBy(*newest, F.col("part").desc())
+    else:
+        found = out.where("part = 0").select("file", "event")
+    if limit is not None:
+        found = found.orderBy(*newest).limit(limit)
+    return out.join(found, ["file", "event"], "left_semi").orderBy(*newest, F.col("part").desc())
 
 
 def artifact_results(spark: SparkSession, run_results: str, manifest: str | None = None) -> DataFrame:

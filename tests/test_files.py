@@ -221,3 +221,31 @@ def test_long_events_are_cut(spark, tmp_path, monkeypatch):
     rows = L.log_events(spark, str(tmp_path)).orderBy("number").collect()
     assert [r.number for r in rows] == [1, 4, 7, 10] and {r.level for r in rows} == {"TRACE"}
     assert "\n".join(r.text for r in rows).split("\n") == lines
+    assert {r.event for r in rows} == {1} and [r.part for r in rows] == [0, 1, 2, 3]
+
+
+def test_a_long_event_is_one_event(spark, tmp_path):
+    """25,000 lines: one event in counts, and found by words of different parts or across two of them."""
+    lines = ["INFO begin"] + [f"  step {k}" for k in range(1, 25_000)] + ["ERROR other", "  step 3"]
+    lines[2] += " Apple"
+    lines[24_990] += " pear"
+    put(tmp_path, "a.log", "\n".join(lines) + "\n")
+    put(tmp_path, "b.log", "DEBUG apple and pear\nWARN only apple\n")
+    events = L.log_events(spark, str(tmp_path)).cache()
+    heads = {(r.file[-5:], r.event): (r.level, r.lines, r.head) for r in L.event_heads(events).collect()}
+    assert heads == {
+        ("a.log", 1): ("INFO", 25_000, "INFO begin"), ("a.log", 25_001): ("ERROR", 2, "ERROR other"),
+        ("b.log", 1): ("DEBUG", 1, "DEBUG apple and pear"), ("b.log", 2): ("WARN", 1, "WARN only apple"),
+    }
+
+    def found(**options):
+        return [(r.file[-5:], r.event, r.part) for r in L.filter_log_events(events, **options).collect()]
+
+    long = [("a.log", 1, 2), ("a.log", 1, 1), ("a.log", 1, 0)]
+    assert found(run_id="apple", query="pear") == [("b.log", 1, 0), *long]
+    assert found(run_id="apple", query="pear", limit=1) == [("b.log", 1, 0)]
+    assert found(run_id="apple", query="pear", level="info") == long
+    assert found(query="step 9999\n  step 10000\n  step 10001") == long
+    assert found(query="step 9999\n  step 10001") == []
+    assert found(limit=3) == [("b.log", 2, 0), ("b.log", 1, 0), ("a.log", 25_001, 0)]
+    assert len(found(limit=None)) == 6

@@ -1,10 +1,11 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.functions import ranks, stats
+from tallyframe.functions import normal, ranks, stats
 from tallyframe.operators.rules import rolling_zscore
 
 
@@ -85,7 +86,6 @@ def test_tail_probabilities():
     assert 1 - stats.kolmogorov_tail(0.274, 10) == pytest.approx(0.6284796154565, abs=1e-7)
     assert stats.kolmogorov_tail(1.358 / 1000, 1_000_000) == pytest.approx(0.05, abs=5e-4)
     assert stats.kolmogorov_tail(0.409, 10) == pytest.approx(0.05, abs=1e-3)
-    assert stats.log_normal_cdf(-40.0) == pytest.approx(-804.608442, abs=1e-4)
 
 
 def test_kolmogorov_law_is_one():
@@ -116,3 +116,25 @@ def test_running_total_with_ties(spark, monkeypatch):
         own = [int(r.running_total) for r in got if r.v == v]
         assert sorted(own) == list(range(last + 1, last + len(own) + 1))
         last += len(own)
+
+
+def test_normal_law(spark):
+    """Columns against the standard library: both ends, every border of the three ranges, and no Python in the plan."""
+    edges = [s * e * math.sqrt(2) for e in (normal.NEAR, normal.FAR) for s in (1, -1)]
+    values = [k / 40 for k in range(-1440, 1441)] + edges + [math.nextafter(e, 0) for e in edges] + [0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "z double")
+    found = df.select("z", normal.normal_cdf(F.col("z")).alias("p"), normal.log_normal_cdf(F.col("z")).alias("l"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for row in found.collect():
+        if row.z is None:
+            assert row.p is None and row.l is None
+            continue
+        lower, upper = 0.5 * math.erfc(-row.z / math.sqrt(2)), 0.5 * math.erfc(row.z / math.sqrt(2))
+        assert row.p == pytest.approx(lower, rel=1e-12)
+        assert row.l == pytest.approx(math.log(lower) if row.z < 1 else math.log1p(-upper), rel=1e-12)
+    ends = spark.createDataFrame([(-1e6,), (-60.0,), (60.0,), (float("inf"),)], "z double").select(
+        normal.normal_cdf(F.col("z")), normal.log_normal_cdf(F.col("z"))
+    ).collect()
+    assert [r[0] for r in ends] == [0.0, 0.0, 1.0, 1.0] and [r[1] for r in ends[2:]] == [0.0, 0.0]
+    assert ends[0][1] == pytest.approx(-5e11 - math.log(1e6) - 0.5 * math.log(2 * math.pi), rel=1e-14)
+    assert ends[1][1] == pytest.approx(-1800 - math.log(60) - 0.5 * math.log(2 * math.pi) - 1 / 3600, rel=1e-9)
