@@ -39,8 +39,16 @@ _HEX_LONG = re.compile(r"[0-9a-f]{32,}")
 # command-line option, -D or the dot of a field, and the quantifiers are possessive, so text without assignments
 # is passed over in one walk.
 _TARGET = re.compile(
-    r"""(?<![A-Za-z0-9_$.-])(?:-D(?=[A-Za-z_$])|[.-]++)?+(["']?)([A-Za-z_$][A-Za-z0-9_$.-]*+)\1[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+"""
+    r"""(?<![A-Za-z0-9_$.-])(?:-D(?=[A-Za-z_$])|[.-]++)?+(["'])?([A-Za-z_$][A-Za-z0-9_$.-]*+)(?(1)\1\]?+)[\x20\t]*+"""
+    r"""(:=|=>|\?\?=|\|\|=|=(?!=)|:(?![:/]))[\x20\t]*+"""
 )
+# A type between the colon and the literal of a declaration, ``name: type = literal``.
+_TYPE = re.compile(
+    r"""([A-Za-z_$][A-Za-z0-9_$.]*+)(?:[\[<][^\[\]<>\n"'=]*+[\]>])?(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_$][A-Za-z0-9_$.]*+)*+[\x20\t]*+=(?![=>])[\x20\t]*+"""
+)
+# Values without an operator: XML elements, and the settings of container files.
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:\s[^<>]*+)?>\s*+([^<>\s](?:[^<>]*[^<>\s])?)\s*+</\1\s*>")
+_SETTING = re.compile(r"""^[\x20\t]*+(?:ENV|setenv)[\x20\t]++([A-Za-z_][A-Za-z0-9_]*+)[\x20\t]++["']?+([^\s"'=][^\s"']*+)""", re.M)
 # Triple quotes come first: what they hold may have line breaks and single quotes.
 _TRIPLE = r"{q}{q}{q}([^{q}\\]*+(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*+)*+){q}{q}{q}"
 _STRING = re.compile(
@@ -48,16 +56,15 @@ _STRING = re.compile(
 )
 _JOIN = re.compile(r"[\x20\t]*+[+][\x20\t]*+")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+")
-_BARE = re.compile(r"[^\s\"'`,;{}()\[\]<>]++")
+_BARE = re.compile(r"[^\s\"'`,;&|{}()\[\]<>]++")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 @dataclass(frozen=True)
 class Pair:
-    """A target name with the literal or the name at its right side, and where that stands."""
+    """A target name, and where the literal or the name at its right side stands."""
 
     name: str
-    value: str
     start: int
     end: int
     is_name: bool
@@ -72,32 +79,61 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def pairs(text: str) -> Iterator[Pair]:
-    for m in _TARGET.finditer(text):
-        at = m.end()
-        name = m[2]
+def _strings(text: str, name: str, string: re.Match) -> Iterator[Pair]:
+    """Strings and names joined by plus signs: "a" + "b" + other."""
+    while string is not None:
+        group = string.lastindex
+        begin, end = string.span(group)
+        if group <= 2:  # triple quotes: the line breaks beside the quotes are layout
+            value = string[group]
+            begin += len(value) - len(value.lstrip())
+            end = begin + len(value.strip())
+        yield Pair(name, begin, end, False)
+        plus = _JOIN.match(text, string.end())
+        if plus is None:
+            return
+        string = _STRING.match(text, plus.end())
+        other = _NAME.match(text, plus.end()) if string is None else None
+        if other:
+            yield Pair(name, other.start(), other.end(), True)
+
+
+def pairs(text: str) -> list[Pair]:
+    """All name-literal and name-name pairs. The type of a declaration is no value that names share."""
+    found, declared, types = [], [], set()
+    first = run = stop = 0  # the run of bare characters read last, and where it ends without its last dots
+
+    def values(name: str, at: int) -> list[Pair]:
+        nonlocal first, run, stop
         string = _STRING.match(text, at)
-        if string is None:
+        if string:
+            return list(_strings(text, name, string))
+        if not first <= at < run:
             bare = _BARE.match(text, at)
-            if bare:
-                value = bare[0].rstrip(".")
-                yield Pair(name, value, at, at + len(value), bool(_NAME.fullmatch(value)))
+            if not bare:
+                return []
+            first, run = bare.span()
+            stop = run
+            while stop > at and text[stop - 1] == ".":
+                stop -= 1
+        end = max(at, stop)
+        word = _NAME.match(text, at, end)
+        return [Pair(name, at, end, bool(word) and word.end() == end)]
+
+    for m in _TARGET.finditer(text):
+        here = values(m[2], m.end())
+        if m[3] != ":":
+            found += here
             continue
-        while string is not None:  # "a" + "b" + other
-            group = string.lastindex
-            value = string[group]
-            begin = string.start(group)
-            if group <= 2:  # triple quotes: the line breaks beside the quotes are layout
-                begin += len(value) - len(value.lstrip())
-                value = value.strip()
-            yield Pair(name, value, begin, begin + len(value), False)
-            plus = _JOIN.match(text, string.end())
-            if plus is None:
-                break
-            string = _STRING.match(text, plus.end())
-            other = _NAME.match(text, plus.end()) if string is None else None
-            if other:
-                yield Pair(name, other[0], other.start(), other.end(), True)
+        declared += here
+        kind = _TYPE.match(text, m.end())
+        if kind:
+            types.add(kind[1])
+            found += values(m[2], kind.end())
+    found += [p for p in declared if not (p.is_name and text[p.start : p.end] in types)]
+    for pattern in (_ELEMENT, _SETTING):
+        found += [Pair(m[1], *m.span(2), False) for m in pattern.finditer(text)]
+    return found
 
 
 def sensitivity(name: str) -> float:
@@ -130,32 +166,30 @@ def score(value: str, name_score: float) -> float:
 
 def literal_spans(text: str, threshold: float = 2.5) -> list[tuple[int, int, str]]:
     """Literals whose best-scoring target, after constants are propagated, reaches the threshold."""
-    found = list(pairs(text))
+    found = pairs(text)
     if not found:
         return []
-    # A literal given to a name also belongs to every name that this name is given to.
-    uses: dict[str, set[str]] = {}
+    # A literal given to a name also belongs to every name that this name is given to. From the most
+    # sensitive name on, each name settles those that lead to it, so every name is visited once.
+    givers: dict[str, list[str]] = {}
+    weights: dict[str, float] = {}
     for p in found:
         if p.is_name:
-            uses.setdefault(p.value, set()).add(p.name)
+            givers.setdefault(p.name, []).append(text[p.start : p.end])
+        if p.name not in weights:
+            weights[p.name] = sensitivity(p.name)
     best: dict[str, float] = {}
-
-    def reach(name: str) -> float:
-        if name not in best:
-            seen, todo, top = {name}, [name], 0.0
-            while todo:
-                here = todo.pop()
-                top = max(top, sensitivity(here))
-                for target in uses.get(here, ()):
-                    if target not in seen:
-                        seen.add(target)
-                        todo.append(target)
-            best[name] = top
-        return best[name]
-
-    targets = {p.name for p in found}
-    literals = (p for p in found if not p.is_name or p.value not in targets)
-    return sorted({(p.start, p.end, "literal") for p in literals if score(p.value, reach(p.name)) >= threshold})
+    for name in sorted(weights, key=weights.__getitem__, reverse=True):
+        todo = [name]
+        while todo:
+            here = todo.pop()
+            if here not in best:
+                best[here] = weights[name]
+                todo += givers.get(here, ())
+    literals = (p for p in found if best[p.name] > 0 and not (p.is_name and text[p.start : p.end] in weights))
+    return sorted(
+        {(p.start, p.end, "literal") for p in literals if score(text[p.start : p.end], best[p.name]) >= threshold}
+    )
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

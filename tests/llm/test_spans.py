@@ -55,6 +55,34 @@ def test_secret_options_and_phrases():
     assert found("-" * 100_000 + "." * 100_000 + 'k="""' + '"' * 2 + "\\" * 100_000) == []
 
 
+def test_secret_declarations_and_subscripts():
+    """Types are no values; quoted subscripts, default assignments, elements and container settings are pairs."""
+    def found(text):
+        return [text[a:b] for a, b, _ in secrets.literal_spans(text)]
+
+    for text in ('cfg["password"] = "Zx81kQ92LmPo"', "os.environ['API_KEY'] = 'Zx81kQ92LmPo'", 'password ??= "Zx81kQ92LmPo"',
+                 "secret ||= 'Zx81kQ92LmPo'", "<password>Zx81kQ92LmPo</password>", '<a><token id="1"> Zx81kQ92LmPo\n</token></a>',
+                 "FROM x\nENV API_KEY Zx81kQ92LmPo\n", 'password: str = "Zx81kQ92LmPo"', "token: Optional[str] = 'Zx81kQ92LmPo'",
+                 "password: Dict[a:b] = Zx81kQ92LmPo", "x?b=1&token=Zx81kQ92LmPo&c=2", 'const secret: string | null = "Zx81kQ92LmPo"', 'note: api_key = "Zx81kQ92LmPo"'):
+        assert found(text) == ["Zx81kQ92LmPo"], text
+    for text in ('def f(password: str, title: str = "DefaultName42")', "f(secret: string, title: string = 'DefaultName42')",
+                 "<note>Zx81kQ92LmPo</note>", "<password>Zx81kQ92LmPo</passwd>", 'x["note"] = "Zx81kQ92LmPo"', "ENV NOTE Zx81kQ92LmPo"):
+        assert found(text) == [], text
+
+
+def test_secret_long_chains():
+    """Chains, cycles and stars of names in megabytes of text end soon, and give what each name reaches."""
+    n = 30_000
+    chain = "\n".join(f'a{k + 1} = a{k}\na{k} = "Zx81kQ92LmP{k}"' for k in range(n))
+    assert secrets.literal_spans(chain) == []
+    assert len(secrets.literal_spans(chain + f"\npassword = a{n // 2}")) == n // 2 + 1
+    assert len(secrets.literal_spans(chain + f"\na0 = a{n}\npassword = a{n // 2}")) == n
+    star = 'v = "Zx81kQ92LmPo"\n' + "\n".join(f"b{k} = v" for k in range(n)) + "\ntoken = b7"
+    assert len(secrets.literal_spans(star)) == 1
+    for text in ("a:b[" * 50_000, "a:b|" * 50_000, "<a>" * 50_000, "<a b" * 50_000, "<a>b " * 50_000, "ENV A " * 50_000, "['a']" * 50_000):
+        assert secrets.literal_spans(text) == []
+
+
 def test_secret_empty(spark):
     assert secrets.secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
