@@ -27,6 +27,7 @@ PART_WORDS = 64
 PASSAGE_WORDS = 128  # passages begin every PART_WORDS words, so each run of PART_WORDS words lies in one whole
 SCORE = 0.6
 COVERED = 0.75  # share of an item's words that lie in five-word windows found in the document
+VERIFIED = 0.5  # share that question and answer must each have, where the item has both
 WINDOW = 5
 K1, B = 1.2, 0.75
 SHARD_PARTS = 4_096  # parts in one index shard
@@ -182,6 +183,12 @@ def overlaps(words: np.ndarray, item: Item) -> tuple[float, float, float]:
     return share[0], share[1], share[2]
 
 
+def holds(shares: tuple[float, float, float], item: Item, covered: float, verified: float) -> bool:
+    """Whether the shares of ``overlaps`` say that the document holds the item: the whole, and question and answer."""
+    both = 0 < item.n_question < len(item.words)
+    return shares[2] >= covered and (not both or min(shares[:2]) >= verified)
+
+
 def _shards(benchmark: DataFrame) -> Iterator[list[Shard]]:
     """Groups of index shards. Document frequencies and the mean length are those of all items."""
     items = benchmark.select("item_id", "text").where("item_id is not null and trim(text) <> ''")
@@ -215,11 +222,14 @@ def _shards(benchmark: DataFrame) -> Iterator[list[Shard]]:
         yield group
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, covered: float = COVERED) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, score: float = SCORE, covered: float = COVERED, verified: float = VERIFIED
+) -> DataFrame:
     """Pairs of documents and test items that they hold: ``docs`` (doc_id, text), ``benchmark`` (item_id, text).
 
     Result: doc_id, item_id, score (of the best passage), question_overlap,
-    answer_overlap, overlap; only pairs whose words are covered to ``covered``.
+    answer_overlap, overlap; only pairs whose words are covered to ``covered``
+    and, where the item has a question and an answer, each of them to ``verified``.
     A repeated item_id counts with its greatest text; items without id or words
     match nothing, and neither do null or empty texts. Rows that repeat a doc_id
     give their own pairs; a null doc_id comes back as null. Other columns are
@@ -240,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, co
                     for shard in index.value:
                         for row, item, value in retrieve(hashes, offsets, shard, score):
                             shares = overlaps(hashes[offsets[row] : offsets[row + 1]], shard.items[item])
-                            if shares[2] >= covered:
+                            if holds(shares, shard.items[item], covered, verified):
                                 out.append((ids[row].as_py(), item, round(value, 6), *shares))
                     if out:
                         columns = list(zip(*out))

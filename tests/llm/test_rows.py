@@ -276,6 +276,20 @@ def test_decontaminate(spark, prose, monkeypatch, parts):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_question_without_answer(spark, prose):
+    """A question that stands without its answer, or with another one, is no leak; nor is the answer alone."""
+    question, answer, other = prose(("q", 1), 40), prose(("a", 1), 8), prose(("a", 2), 8)
+    docs = spark.createDataFrame([
+        (1, f"{prose(1, 30)} {question}. {answer}"), (2, f"{question}. {other}"), (3, f"{question} {prose(3, 90)}"),
+        (4, f"{answer} {prose(4, 90)}"), (5, f"{question}. {answer} {question}. {other}"),
+    ], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, f"{question}. {answer}"), (8, prose("other", 30))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(1, 7), (5, 7)}
+    loose = decontaminate.contaminated(docs, benchmark, verified=0.0).where("item_id = 7").collect()
+    assert {r.doc_id for r in loose} == {1, 2, 3, 5}
+
+
 def test_retrieval_is_whole(prose):
     """Every passage and part above the score, as by scoring all against all."""
     from collections import Counter
