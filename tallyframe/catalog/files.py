@@ -126,6 +126,20 @@ def csv_mixed_headers_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "csv_line_breaks_scan",
+    """SELECT c_custkey, c_name || chr(10) || chr(10) || '"' || c_mktsegment || '", ' || c_nationkey AS note, c_acctbal,
+  CASE WHEN c_custkey % 5 = 0 THEN c_custkey || '" wide' END AS size FROM customer""",
+)
+def csv_line_breaks_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields with line breaks, blank lines, doubled quotes and commas; others with a quote that opens nothing."""
+    note = F.concat(F.lit('"'), F.col("c_name"), F.lit('\n\n""'), F.col("c_mktsegment"), F.lit('"", '), F.col("c_nationkey"), F.lit('"'))
+    size = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit('" wide'))).otherwise(F.lit(""))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), note, F.col("c_acctbal").cast("string"), size)
+    path = _pages(table(spark, folder, "customer"), "c_custkey", line, "c_custkey,note,c_acctbal,size\n", "\n", "\n", "breaks")
+    return R.read_files(spark, path, "csv")
+
+
 @query("json_lines_scan", _CUSTOMER_SQL)
 def json_lines_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = K.write_table(table(spark, folder, "customer"), scratch_path(spark, "jsonl"), "json")

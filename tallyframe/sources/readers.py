@@ -14,6 +14,7 @@ from tallyframe.functions.cells import q
 from tallyframe.operators.schemas import expected_schema_diff
 from tallyframe.session import materialise
 from tallyframe.sources.documents import FILE, json_records, scan_json, scan_xml, xml_records
+from tallyframe.sources.quoted import field_count, joined_lines, opens
 
 # Delimiters tried in order, the words read as missing.
 DELIMITERS = (",", "\t", ";", "|")
@@ -92,9 +93,7 @@ def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 def _field_count(delimiter: str) -> Column:
-    """Fields of a line: delimiters outside quotes, and one."""
-    bare = F.regexp_replace("value", '"(?:[^"]|"")*+"', "q")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    return field_count(F.col("value"), delimiter)
 
 
 def _sniffed(ragged: DataFrame) -> DataFrame:
@@ -123,26 +122,44 @@ def _sniffed(ragged: DataFrame) -> DataFrame:
     )
 
 
-def _layouts(lines: DataFrame, sep: str | None) -> DataFrame:
-    """Delimiter and header line of every file, each from its own whole text.
-
-    A file is comma text under its first line, unless some line has more fields
-    than that; then delimiter and header are sniffed.
-    """
+def _first_look(lines: DataFrame, sep: str | None, multi_line: bool = False) -> DataFrame:
+    """Per file its first filled line, the most fields of any, and whether some line ends inside quotes."""
+    open_end = opens(F.col("value"), sep or "".join(DELIMITERS)) if multi_line else F.lit(False)
     filled = lines.where(F.trim("value") != "").withColumn("n", _field_count(sep or ","))
-    files = filled.groupBy("file").agg(
-        F.min(F.struct("start", "line", "value", "n")).alias("first"), F.max("n").alias("widest")
+    return filled.groupBy("file").agg(
+        F.min(F.struct("start", "line", "value", "n")).alias("first"), F.max("n").alias("widest"),
+        F.max(open_end).alias("broken"),
     )
+
+
+def _records_and_layouts(spark: SparkSession, path: str | Sequence[str], sep: str | None,
+                         multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The records of all files, and delimiter and header record of every file, each from its own whole text.
+
+    A file is comma text under its first record, unless some record has more
+    fields than that; then delimiter and header are sniffed. Only files in which
+    a line ends inside quotes have their lines joined.
+    """
+    lines = _numbered_lines(spark, path)
+    files = materialise(_first_look(lines, sep, multi_line), "csv-files")
+    broken = files.where("broken").select("file")
+    if multi_line and not broken.isEmpty():
+        whole = materialise(
+            joined_lines(lines.join(broken, "file", "left_semi"), sep or "".join(DELIMITERS)), "csv-joined"
+        )
+        files = files.join(broken, "file", "left_anti").unionByName(_first_look(whole, sep))
+        lines = lines.join(broken, "file", "left_anti").unionByName(whole)
     plain = files if sep else files.where(F.col("widest") <= F.col("first.n"))
     found = plain.select(
         "file", F.lit(sep or ",").alias("delimiter"), F.col("first.value").alias("header"),
         F.col("first.start").alias("from_start"), F.col("first.line").alias("from_line"), F.lit(False).alias("sniffed"),
     )
-    if sep:
-        return found
-    ragged = files.where(F.col("widest") > F.col("first.n")).select("file")
-    sniffed = ragged.join(_sniffed(filled.join(ragged, "file", "left_semi").drop("n")), "file", "left")
-    return found.unionByName(sniffed)
+    if not sep:
+        ragged = files.where(F.col("widest") > F.col("first.n")).select("file")
+        filled = lines.where(F.trim("value") != "")
+        sniffed = ragged.join(_sniffed(filled.join(ragged, "file", "left_semi")), "file", "left")
+        found = found.unionByName(sniffed)
+    return lines, materialise(found, "csv-layouts")
 
 
 def unreadable_files(spark: SparkSession, path: str | Sequence[str], fmt: str) -> DataFrame:
@@ -163,16 +180,15 @@ def unreadable_files(spark: SparkSession, path: str | Sequence[str], fmt: str) -
         return scan_xml(spark, path).where("problem is not null").select("file", "problem").distinct()
     if fmt not in ("csv", "tsv"):
         return spark.createDataFrame([], "file string, problem string")
-    lines = _numbered_lines(spark, path)
-    layouts = materialise(_layouts(lines, "\t" if fmt == "tsv" else None), "csv-layouts")
+    lines, layouts = _records_and_layouts(spark, path, "\t" if fmt == "tsv" else None)
     headless = layouts.where("header is null").select("file", F.lit("no header line").alias("problem"))
     plain = layouts.where("header is not null and not sniffed").withColumn("value", F.col("header")).select(
         "file", "delimiter", _field_count(",").alias("commas"), _field_count("\t").alias("tabs")
     )
-    open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    wrong = F.when(F.col("delimiter") == ",", _field_count(",") != F.col("commas")).otherwise(
-        _field_count("\t") != F.col("tabs"))
-    malformed = lines.where(F.trim("value") != "").join(plain, "file").where(wrong | open_quote).select(
+    comma = F.col("delimiter") == ","
+    wrong = F.when(comma, _field_count(",") != F.col("commas")).otherwise(_field_count("\t") != F.col("tabs"))
+    cut_off = F.when(comma, opens(F.col("value"), ",")).otherwise(opens(F.col("value"), "\t"))
+    malformed = lines.where(F.trim("value") != "").join(plain, "file").where(wrong | cut_off).select(
         "file", F.lit("malformed line").alias("problem")
     ).distinct()
     return headless.unionByName(malformed)
@@ -192,17 +208,16 @@ def _header_names(header: str, delimiter: str) -> list[str]:
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str | None = None,
                    schema: str | T.StructType | None = None, path_column: str | None = None,
-                   multi_line: bool = False) -> DataFrame:
+                   multi_line: bool = True) -> DataFrame:
     """Delimited text, each file under its own header; ``path_column`` keeps the file of each row.
 
     Without ``sep`` a file is comma text unless it is ragged: then its delimiter
-    and header line are sniffed and the lines above are cut. Files with the same
-    header are parsed together, and all are united by column name. With
-    ``multi_line`` quoted fields may hold line breaks; a file is then one task,
-    and its header is its first line.
+    and header line are sniffed and the lines above are cut. All files are parsed
+    in one scan, whatever the number of headers, and united by column name.
+    Quoted fields may hold line breaks, which become line feeds; without
+    ``multi_line`` each line is a record.
     """
-    lines = _numbered_lines(spark, path)
-    layouts = materialise(_layouts(lines, sep or ("," if multi_line else None)), "csv-layouts")
+    records, layouts = _records_and_layouts(spark, path, sep, multi_line)
     # One row for each different header.
     shapes = layouts.groupBy("delimiter", "header", "sniffed").agg(F.count(F.lit(1)).alias("files")).collect()
     if any(s["header"] is None for s in shapes):
@@ -210,26 +225,36 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str | No
     if not shapes:
         return spark.createDataFrame([], "value string").drop("value")
     few = sum(s["files"] for s in shapes) <= FEW_FILES
-    parts = []
-    for s in sorted(shapes, key=lambda s: (s["header"], s["delimiter"])):
-        names = _header_names(s["header"], s["delimiter"])
-        ddl = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        own = layouts.where(
-            (F.col("header") == s["header"]) & (F.col("delimiter") == s["delimiter"]) & (F.col("sniffed") == s["sniffed"])
-        ).select("file", "from_start", "from_line")
-        mode = "PERMISSIVE" if s["sniffed"] else "FAILFAST"
-        if multi_line:
-            reader = spark.read.schema(ddl).option("header", True).option("sep", s["delimiter"]).option("multiLine", True)
-            rows = reader.option("escape", '"').option("mode", mode).csv([r["file"] for r in own.select("file").collect()])
-            parts.append(_with_path(rows, path_column))
-            continue
-        below = lines.join(F.broadcast(own) if few else own, "file").where(
-            (F.col("start") > F.col("from_start")) | ((F.col("start") == F.col("from_start")) & (F.col("line") > F.col("from_line")))
-        ).where(~F.trim("value").rlike("^-*$") if s["sniffed"] else F.trim("value") != "")
-        cells = F.from_csv("value", _ddl(names), {"sep": s["delimiter"], "mode": mode})
-        rows = below.select(cells.alias("r"), "file").select("r.*", *([F.col("file").alias(path_column)] if path_column else []))
-        parts.append(rows)
-    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    shapes.sort(key=lambda s: (s["header"], s["delimiter"]))
+    headers = [_header_names(s["header"], s["delimiter"]) for s in shapes]
+    known = spark.createDataFrame(
+        [(s["delimiter"], s["header"], s["sniffed"], len(names), {n: k for k, n in enumerate(names)})
+         for s, names in zip(shapes, headers)],
+        "delimiter string, header string, sniffed boolean, width int, places map<string,int>",
+    )
+    own = layouts.join(F.broadcast(known), ["delimiter", "header", "sniffed"]).drop("header")
+    below = records.join(F.broadcast(own) if few else own, "file").where(
+        (F.col("start") > F.col("from_start")) | ((F.col("start") == F.col("from_start")) & (F.col("line") > F.col("from_line")))
+    ).where(F.when(F.col("sniffed"), ~F.trim("value").rlike("^-*$")).otherwise(F.trim("value") != ""))
+    cells = F.lit(None)
+    for d in sorted({s["delimiter"] for s in shapes}, reverse=True):
+        widest = max(len(names) for s, names in zip(shapes, headers) if s["delimiter"] == d)
+        wrong = ~F.col("sniffed") & (_field_count(d) != F.col("width"))
+        line = F.when(wrong, F.raise_error(F.concat(F.lit("malformed line in "), "file"))).otherwise(F.col("value"))
+        numbered = [f"c{k}" for k in range(widest)]
+        parsed = F.from_csv(line, _ddl(numbered), {
+            "sep": d, "mode": "PERMISSIVE", "escape": '"', "maxColumns": str(max(20480, widest + 1))})
+        if len(shapes) > 1:
+            parsed = F.transform(F.array(parsed), lambda r: F.array(*[r[c] for c in numbered]))[0]
+        cells = parsed if len(shapes) == 1 else F.when(F.col("delimiter") == d, parsed).otherwise(cells)
+    kept = [F.col("file").alias(path_column)] if path_column else []
+    read = below.select(cells.alias("cells"), "file", "places")
+    if len(shapes) == 1:
+        table = read.select(*[F.col(f"cells.c{k}").alias(n) for k, n in enumerate(headers[0])], *kept)
+    else:
+        table = read.select(*[
+            F.get("cells", F.element_at("places", F.lit(n))).alias(n) for n in dict.fromkeys(n for names in headers for n in names)
+        ], *kept)
     if schema is None:
         return typed(table, (path_column,))
     target = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

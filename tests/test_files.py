@@ -1,4 +1,6 @@
+import csv
 import difflib
+import io
 import itertools
 import os
 import random
@@ -70,7 +72,7 @@ def test_each_file_by_its_own_header(spark, tmp_path):
 
 
 def test_ragged_late_and_line_breaks(spark, tmp_path):
-    """A line with too many fields fails or is sniffed wherever it stands; line breaks in quotes are an option."""
+    """A line with too many fields fails or is sniffed wherever it stands; line breaks in quotes belong to the field."""
     late = tmp_path / "late.csv"
     put(tmp_path, "late.csv", "Report\n" + "".join(f"line {k}\n" for k in range(1200)) + "id,name\n1,x\n2,y\n")
     got = R.read_files(spark, str(late), "csv")
@@ -78,15 +80,53 @@ def test_ragged_late_and_line_breaks(spark, tmp_path):
     lines = late.read_text().split("\n")
     assert R.sniff_header(lines) == (1201, ",")
     put(tmp_path, "broken.csv", 'id,note\n1,"two\nlines"\n2,one\n')
-    whole = R.read_delimited(spark, str(tmp_path / "broken.csv"), multi_line=True)
+    whole = R.read_delimited(spark, str(tmp_path / "broken.csv"))
     assert {tuple(r) for r in whole.collect()} == {(1, "two\nlines"), (2, "one")}
     with pytest.raises(Exception):
-        R.read_delimited(spark, str(tmp_path / "broken.csv")).collect()
+        R.read_delimited(spark, str(tmp_path / "broken.csv"), multi_line=False).collect()
     put(tmp_path, "none.csv", "x\ny,z\n")
     with pytest.raises(ValueError):
         R.read_delimited(spark, str(tmp_path / "none.csv"))
 
 
+def test_quoted_line_breaks_across_blocks(spark, tmp_path):
+    """Blocks that begin inside quotes, doubled quotes, inches, blank lines and delimiters in fields; csv as the measure."""
+    rng = random.Random(5)
+    parts = ['a, b', 'say ""yes""', "line\nbreak", "\n\n", ";", "|x", "plain", '""', "-", "\n-----\n", "word " * 9, '"",""\n']
+    rows = [(str(k), "".join(rng.choice(parts) for _ in range(rng.randrange(5))), f'{k}" wide') for k in range(400)]
+    text = "id,note,size\n" + "".join(f'{k},"{note}",{size}\n' for k, note, size in rows)
+    put(tmp_path, "a.csv", text)
+    put(tmp_path, "b.csv", 'id,"size\nin inch"\n900,4\n')
+    expected = {(int(r["id"]), r["note"] or None, r["size"]) for r in csv.DictReader(io.StringIO(text))}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "701b", "97b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            df = R.read_files(spark, str(tmp_path), "csv")
+            got = df.collect()
+            assert {(r.id, r.note, r.size) for r in got if r.id != 900} == expected and len(got) == 401
+            assert [r["size\nin inch"] for r in got if r.id == 900] == [4]
+            assert R.unreadable_files(spark, str(tmp_path), "csv").count() == 0
+        lines = R._numbered_lines(spark, str(tmp_path / "a.csv"))
+        assert lines.rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    cut = put(tmp_path / "..", "cut.csv", 'id,note\n1,"open\n2,x\n')
+    assert [r.problem for r in R.unreadable_files(spark, cut, "csv").collect()] == ["malformed line"]
+    assert R.read_delimited(spark, cut).count() == 2
+
+
+def test_many_headers_one_scan(spark, tmp_path):
+    for k in range(30):
+        put(tmp_path, f"f{k}.csv", f"id,c{k},{'x;y' if k % 3 else 'z'}\n{k},v{k},1\n")
+    df = R.read_files(spark, str(tmp_path), "csv")
+    assert {(r.id, r[f"c{r.id}"]) for r in df.collect()} == {(k, f"v{k}") for k in range(30)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text") <= 2 and "Union" not in plan
+
+
 def test_json_shapes(spark, tmp_path):
     cases = {
         "list": ('[{"a": 1, "b": {"c": "x"}}, {"a": 2}]', [(1, "x"), (2, None)], ["a", "b.c"]),
