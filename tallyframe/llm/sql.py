@@ -75,20 +75,27 @@ def url_filter() -> str:
     fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.host}{r.path}'" for f, r in zip(fits, rules)) + " END"
     bad = "CASE " + " ".join(f"WHEN {f} THEN {int(r.action == 'block')}" for f, r in zip(fits, rules)) + " END"
-    segments = [f"coalesce(parts[{k}], '') AS s{k}" for k in range(1, o.levels)]
-    segments.append(f"coalesce(array_to_string(parts[{o.levels}:], '/'), '') AS s{o.levels}")
-    levels = []
-    for k in range(1, o.levels + 1):
-        branch = ", ".join(["host", *[f"t{j}" for j in range(1, k)]])
-        same = " AND ".join(f"l.{c} = lit{k}.{c}" for c in [*branch.split(", "), f"s{k}"])
+    # The paths of the tables have few segments; SQL unrolls more levels than they reach.
+    levels, ends = [], []
+    for k in range(1, 9):
+        ends.append(f"SELECT page_id, host, path, rule, bad, purity FROM a{k} WHERE seg = '/' OR below < {o.min_rows}")
         levels.append(f"""
-c{k} AS (SELECT {branch}, s{k}, count(*) AS n FROM l{k - 1} GROUP BY ALL),
-lit{k} AS (SELECT {branch}, s{k} FROM c{k} JOIN (SELECT {branch}, sum(n) AS total FROM c{k} GROUP BY ALL) USING ({branch})
-  WHERE n >= {o.min_rows} AND s{k} <> '' AND n >= {o.min_share}::DOUBLE * total),
-l{k} AS (SELECT l.*, CASE WHEN l.s{k} = '' THEN '' WHEN lit{k}.s{k} IS NOT NULL THEN l.s{k} ELSE '*' END AS t{k}
-  FROM l{k - 1} l LEFT JOIN lit{k} ON {same})""")
-    path = [f"t{k}" for k in range(1, o.levels + 1)]
-    parent, leaf = ", ".join(["host", *path[:-1]]), ", ".join(["host", *path])
+s{k} AS MATERIALIZED (SELECT page_id, host, path, rule, bad, parts, branch, coalesce(parts[{k}], '/') AS seg
+  FROM a{k - 1} WHERE seg <> '/' AND below >= {o.min_rows}),
+c{k} AS MATERIALIZED (SELECT branch, seg, count(*) AS m, count(bad) AS n, sum(coalesce(bad, 0)) AS k FROM s{k} GROUP BY ALL),
+t{k} AS MATERIALIZED (SELECT *, CASE WHEN seg = '/' THEN '/'
+    WHEN m >= {o.min_rows} AND m >= {o.min_share}::DOUBLE * sum(m) OVER (PARTITION BY branch) THEN seg ELSE '*' END AS t FROM c{k}),
+v{k} AS MATERIALIZED (SELECT branch, t, sum(m) AS m, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k FROM t{k} GROUP BY ALL),
+b{k} AS MATERIALIZED (SELECT *, lag(n) OVER w AS n0, lag(k) OVER w AS k0 FROM v{k}
+  WINDOW w AS (PARTITION BY branch ORDER BY (k + 1) / (n + 2), t)),
+p{k} AS MATERIALIZED (SELECT *, (k + k0 + 1) / (n + n0 + 2) AS p FROM b{k}),
+f{k} AS MATERIALIZED (SELECT *, coalesce(abs((k + 1) / (n + 2) - (k0 + 1) / (n0 + 2)) > {o.z}::DOUBLE * sqrt(p * (1 - p) * (1 / (n + 2) + 1 / (n0 + 2))), TRUE)::INT AS far
+  FROM p{k}),
+r{k} AS MATERIALIZED (SELECT *, sum(far) OVER (PARTITION BY branch ORDER BY (k + 1) / (n + 2), t ROWS UNBOUNDED PRECEDING) AS run FROM f{k}),
+m{k} AS MATERIALIZED (SELECT branch, t, run, sum(m) OVER r AS below, (sum(k) OVER r + 1) / (sum(n) OVER r + 2) AS purity
+  FROM r{k} WINDOW r AS (PARTITION BY branch, run)),
+a{k} AS MATERIALIZED (SELECT page_id, host, path, rule, bad, parts, branch || '/' || run AS branch, seg, below, purity
+  FROM s{k} JOIN t{k} USING (branch, seg) JOIN m{k} USING (branch, t))""")
     return f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -97,19 +104,12 @@ placed AS (
   SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
     translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM rest
 ),
-cut AS (SELECT *, {rule} AS rule, {bad} AS bad, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM placed),
-l0 AS (SELECT page_id, host, path, rule, bad, {', '.join(segments)} FROM cut),{','.join(levels)},
-leaves AS (SELECT {leaf}, count(bad)::DOUBLE AS n, sum(coalesce(bad, 0))::DOUBLE AS k FROM l{o.levels} GROUP BY ALL),
-beside AS (SELECT *, lag(n) OVER w AS n0, lag(k) OVER w AS k0 FROM leaves
-  WINDOW w AS (PARTITION BY {parent} ORDER BY (k + 1) / (n + 2), {path[-1]})),
-pooled AS (SELECT *, (k + k0 + 1) / (n + n0 + 2) AS p FROM beside),
-marked AS (SELECT *, coalesce(abs((k + 1) / (n + 2) - (k0 + 1) / (n0 + 2)) > {o.z}::DOUBLE * sqrt(p * (1 - p) * (1 / (n + 2) + 1 / (n0 + 2))), TRUE)::INT AS far
-  FROM pooled),
-runs AS (SELECT *, sum(far) OVER (PARTITION BY {parent} ORDER BY (k + 1) / (n + 2), {path[-1]} ROWS UNBOUNDED PRECEDING) AS run FROM marked),
-judged AS (SELECT {leaf}, (sum(k) OVER r + 1) / (sum(n) OVER r + 2) AS purity FROM runs WINDOW r AS (PARTITION BY {parent}, run))
+bare AS (SELECT *, {rule} AS rule, {bad} AS bad, regexp_replace(path, '^/|/+$', '', 'g') AS bare FROM placed),
+a0 AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN [] ELSE string_split(bare, '/') END AS parts, host AS branch, '' AS seg, {o.min_rows} AS below
+  FROM bare),{','.join(levels)}
 SELECT page_id, host, path, rule,
   CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow' WHEN purity >= {o.bad_share}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict
-FROM l{o.levels} LEFT JOIN judged USING ({leaf})
+FROM ({' UNION ALL '.join(ends)})
 """
 
 

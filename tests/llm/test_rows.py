@@ -3,7 +3,9 @@
 import json
 import math
 import random
+import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -63,6 +65,84 @@ def test_url_templates(spark):
     assert {r.template for r in got} == {"h.org/spam/*", "h.org/news/*"}
 
 
+def plain_templates(rows, o=url_filter.TreeOptions()):
+    """page_id -> (template, purity) by recursion, from (page_id, host, segments, bad)."""
+    out = {}
+
+    def split(rows, template, level):
+        groups, n = {}, Counter(r[2][level] if level < len(r[2]) else "/" for r in rows)
+        for r in rows:
+            seg = r[2][level] if level < len(r[2]) else "/"
+            literal = seg == "/" or n[seg] >= o.min_rows and n[seg] >= o.min_share * len(rows)
+            groups.setdefault(seg if literal else "*", []).append(r)
+        facts = []
+        for name, members in groups.items():
+            known = [r[3] for r in members if r[3] is not None]
+            facts.append(((sum(known) + 1) / (len(known) + 2), name, len(known), sum(known)))
+        runs = []
+        for share, name, n_known, n_bad in sorted(facts):
+            if runs:
+                last_share, _, n0, k0 = runs[-1][-1]
+                p = (n_bad + k0 + 1) / (n_known + n0 + 2)
+                near = abs(share - last_share) <= o.z * math.sqrt(p * (1 - p) * (1 / (n_known + 2) + 1 / (n0 + 2)))
+                if near:
+                    runs[-1].append((share, name, n_known, n_bad))
+                    continue
+            runs.append([(share, name, n_known, n_bad)])
+        for run in runs:
+            names = sorted(f[1] for f in run)
+            members = [r for name in names for r in groups[name]]
+            purity = (sum(f[3] for f in run) + 1) / (sum(f[2] for f in run) + 2)
+            shown = [name.replace("/", "") for name in names]
+            here = template + ("/{" + "|".join(shown) + "}" if len(names) > 1 else "/" + shown[0] if shown[0] else "")
+            going = []
+            for r in members:
+                if level >= len(r[2]) or len(members) < o.min_rows:
+                    out[r[0]] = (here, purity)
+                else:
+                    going.append(r)
+            if going:
+                split(going, here, level + 1)
+
+    for host in {r[1] for r in rows}:
+        split([r for r in rows if r[1] == host], host, 0)
+    return out
+
+
+def test_url_tree_at_every_depth(spark):
+    """Branches merge at each level and urls that differ in their sixth segment are told apart, as by plain recursion."""
+    rng = random.Random(8)
+    rows, labels = [], []
+
+    def add(host, path, bad):
+        rows.append((len(rows), f"http://{host}{path}"))
+        if bad is not None:
+            labels.append((len(rows) - 1, bad))
+
+    for k in range(60):
+        for branch in ("ads", "promo"):  # alike in all labels: one branch, so what one lacks the other gives
+            add("a.org", f"/{branch}/x/{k}", 1 if branch == "ads" or k < 20 else None)
+        add("a.org", f"/news/x/{k}/", 0)
+        add("a.org", f"/b/c/d/e/{k}/{'spam' if k % 2 else 'ok'}", k % 2 if k < 40 else None)
+    for k in range(300):
+        path = "/".join(rng.choice(["p", "q", "r", "", str(rng.randrange(50))]) for _ in range(rng.randrange(8)))
+        add(rng.choice(["b.org", "c.org"]), "/" + path, rng.choice([0, 1, 1, None]))
+    pages = spark.createDataFrame(rows + rows[:5], "page_id bigint, url string")
+    got = url_filter.url_filter(pages, spark.createDataFrame(labels, "page_id bigint, bad int"), rules=()).collect()
+    known = dict(labels)
+    listed = [
+        (i, url.split("/")[2], path.split("/") if (path := re.sub("^/|/+$", "", url.split(".org")[1])) else [], known.get(i))
+        for i, url in rows + rows[:5]
+    ]
+    want = plain_templates(listed)
+    assert len(got) == len(rows) + 5
+    assert {(r.page_id, r.template) for r in got} == {(i, t) for i, (t, _) in want.items()}
+    assert all(abs(r.purity - want[r.page_id][1]) < 1e-12 for r in got)
+    assert {r.template for r in got if "/promo/" in r.path} == {"a.org/{ads|promo}/x/*"}
+    deep = {(r.path.endswith("spam"), r.verdict) for r in got if r.path.startswith("/b/c/d") and r.host == "a.org"}
+    assert deep == {(True, "block"), (False, "allow")}
+
+
 def plain_targets(sizes, weights=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[k % 3] for k, s in enumerate(names)}
