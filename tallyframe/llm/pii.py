@@ -2,16 +2,20 @@
 
 The corpus tells how strongly a word reveals a protected value: with n(t), n(e)
 and n(t, e) the rows that hold the word, the value, and the word next to the
-value, the word reveals ``log(N n(t, e) / n(t) n(e))`` of the ``log(N / n(e))``
-that the value itself is worth. Words above one share are generalised, above
-another removed. All of it is DataFrame functions and grouped counts.
+value, the word tells the value with the smoothed probability
+``p = n(t, e) / (n(t) + s)`` and so reveals ``log(N p / n(e))`` of the
+``log(N / n(e))`` that the value itself is worth. Words above one share are
+generalised, above another removed, wherever they stand in a row that holds them
+next to the value. All of it is DataFrame functions and grouped counts; values
+and words are rows, placed by running totals, so many of them in one text cost
+one sort.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import materialise
@@ -34,14 +38,13 @@ _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 # A word begins and ends with a letter (or its marks). The corpus counts and the words next to a value both use
 # this pattern; the loop is over single characters, so going back over a long tail of dashes needs no recursion.
 _TERM = r"\p{L}[\p{L}\p{M}'-]*(?<=[\p{L}\p{M}])"
-_RUN = r"[\p{L}\p{M}'-]"  # what a word may be part of
 
 
 @dataclass(frozen=True)
 class Disclosure:
     reach: int = 5  # words at either side of a value that count as next to it
     window: int = 200  # code points in which these words are looked for
-    support: int = 3  # rows that must hold a word next to a value before it is judged
+    smoothing: float = 1.0  # rows with the word, but not the value, that are added to those seen
     generalise: float = 0.6
     remove: float = 0.9
     letters: int = 3  # shorter words are not judged
@@ -73,99 +76,84 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their places in code points, from the pieces between them."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")
-    )
+def _entity(kind: str, value: Column) -> Column:
+    plain = F.lower(value) if kind in ("email", "ip") else _digits(value)
+    return F.xxhash64(F.lit(kind), plain)
 
-    def step(acc: Column, pair: Column) -> Column:
-        first = acc["at"] + F.length(pair["piece"])
-        last = first + F.length(pair["value"])
-        row = F.struct(first.alias("start"), last.alias("end"), pair["value"].alias("value"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    pairs = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(found)), found,
-        lambda p, v: F.struct(p.alias("piece"), v.alias("value")),
-    )
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+_MARK = "array<struct<gap:int,len:int,id:bigint,ok:boolean>>"
+WORD = "word"
 
 
-def _spans(kind: str) -> Column:
-    """Valid spans of a kind in column ``t``; the pattern's costly half runs on texts that match it only."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    likely = F.col("t").contains(_NEEDLES[kind]) if kind in _NEEDLES else F.lit(True)
-    found = F.filter(_placed(F.col("t"), PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
-    return F.when(likely & F.col("t").rlike(PATTERNS[kind]), found).otherwise(none)
+def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
+    """What stands before each match of a pattern, and the matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found
 
 
-def _entity(kind: str, value: Column) -> Column:
-    plain = F.lower(value) if kind in ("email", "ip") else _digits(value)
-    return F.xxhash64(F.lit(kind), plain)
+def _marks(text: Column, pattern: str, mark, valid) -> Column:
+    """For each match the length of the text before it, its own, its identity and whether it holds."""
+    pieces, found = _pieces(text, pattern)
+    return F.zip_with(pieces, found, lambda p, v: F.struct(
+        F.length(p).alias("gap"), F.length(v).alias("len"), mark(v).alias("id"), valid(v).alias("ok")
+    )).cast(_MARK)
 
 
-def _entities(kind: str) -> Column:
-    return F.transform(F.col(kind), lambda s: _entity(kind, s["value"]))
-
-
-def _near(kind: str, options: Disclosure) -> Column:
-    """(entity, term, start, end) for the words around the spans of a kind."""
-    width = options.window
-
-    def words(part: Column, offset: Column) -> Column:
-        return F.transform(
-            _placed(part, _TERM),
-            lambda w: F.struct(
-                (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(w["value"]).alias("term")
-            ),
-        )
-
-    def around(s: Column) -> Column:
-        begin = F.greatest(s["start"] - width, F.lit(0))
-        before = F.substring(F.col("t"), begin + 1, s["start"] - begin)
-        behind = F.substring(F.col("t"), s["end"] + 1, F.lit(width))
-        left, right = words(before, begin), words(behind, s["end"])
-        # A word in a run of word characters that touches the rim of the window may be cut; the nearest words count.
-        rim_left = begin + F.length(F.regexp_extract(before, rf"^{_RUN}*+", 0))
-        rim_right = s["end"] + width - F.length(F.regexp_extract(behind, rf"(?<!{_RUN}){_RUN}*+$", 0))
-        whole_left = F.filter(left, lambda w: (w["start"] >= rim_left) | (begin == 0))
-        whole_right = F.filter(right, lambda w: (w["end"] <= rim_right) | (F.length(behind) < width))
-        close = F.concat(
-            F.slice(F.reverse(whole_left), 1, options.reach), F.slice(whole_right, 1, options.reach)
-        )
-        return F.transform(
-            F.filter(close, lambda w: F.length(w["term"]) >= options.letters),
-            lambda w: F.struct(
-                _entity(kind, s["value"]).alias("entity"), F.xxhash64(w["term"]).alias("term"),
-                w["start"].alias("start"), w["end"].alias("end"),
-            ),
-        )
-
-    return F.flatten(F.transform(F.col(kind), around))
+def _without_mails(text: Column) -> Column:
+    """The text with blanks for the letters of its addresses, as long as before; other values have no letters."""
+    pieces, found = _pieces(text, PATTERNS["email"])
+    ends = F.element_at(F.split(text, PATTERNS["email"], -1), -1)
+    blank = F.zip_with(pieces, found, lambda p, v: F.concat(p, F.repeat(F.lit(" "), F.length(v))))
+    return F.when(text.contains("@"), F.concat(F.array_join(blank, ""), ends)).otherwise(text)
 
 
 def _base(docs: DataFrame, options: Disclosure) -> DataFrame:
-    """One row for each row of docs with its base spans and the words around them; no text."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    found = rows.select("doc_id", "t", *[_spans(kind).alias(kind) for kind in BASE_KINDS])
-    none = F.array().cast("array<struct<entity:bigint,term:bigint,start:int,end:int>>")
-    some = F.greatest(*[F.size(k) for k in BASE_KINDS]) > 0
-    # Words of one value that lie inside another are no words.
-    inside = F.concat(*[F.col(k) for k in BASE_KINDS])
-    near = F.filter(
-        F.concat(*[_near(k, options) for k in BASE_KINDS]),
-        lambda w: ~F.exists(inside, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])),
+    """One row for each row of docs, with its own number; those that may hold values carry marks for values and words."""
+    t = F.col("t")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.monotonically_increasing_id().alias("rid"))
+    none = F.array().cast(_MARK)
+
+    def values(kind: str) -> Column:
+        likely = t.contains(_NEEDLES[kind]) if kind in _NEEDLES else F.lit(True)
+        marks = _marks(t, PATTERNS[kind], lambda v: _entity(kind, v), lambda v: _valid(kind, v))
+        # The costly half runs on texts that match the pattern only.
+        return F.when(likely & t.rlike(PATTERNS[kind]), marks).otherwise(none)
+
+    found = rows.select("rid", "doc_id", "t", *[values(k).alias(k) for k in BASE_KINDS])
+    words = _marks(
+        _without_mails(t), _TERM, lambda v: F.xxhash64(F.lower(v)), lambda v: F.length(F.lower(v)) >= options.letters
     )
-    entities = F.concat(*[_entities(k) for k in BASE_KINDS])
+    some = F.greatest(*[F.size(F.filter(k, lambda m: m["ok"])) for k in BASE_KINDS]) > 0
     return found.select(
-        "doc_id", F.xxhash64("t").alias("h"),
-        *[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
-          for k in BASE_KINDS],
-        F.array_distinct(entities).alias("entities"),
-        F.when(some, near).otherwise(none).alias("near"),
+        "rid", "doc_id", F.xxhash64("t").alias("h"), *BASE_KINDS, F.when(some, words).otherwise(none).alias(WORD)
+    )
+
+
+def _places(base: DataFrame) -> DataFrame:
+    """Values and words as rows: rid, kind, i (number among its kind), start, end, id, ok."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("marks")) for k in (*BASE_KINDS, WORD)]))
+    holds = F.greatest(*[F.size(k) for k in BASE_KINDS]) > 0
+    rows = base.where(holds).select("rid", kinds.alias("k")).select("rid", "k.kind", F.posexplode("k.marks").alias("i", "m"))
+    before = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.len")).over(before).cast("int")).select(
+        "rid", "kind", "i", (F.col("end") - F.col("m.len")).alias("start"), "end", "m.id", "m.ok"
+    )
+
+
+def _near(places: DataFrame, options: Disclosure) -> DataFrame:
+    """Distinct (rid, entity, term) of the words around each value: the nearest ones, within the window."""
+    words = places.where(F.col("kind") == WORD)
+    values = places.where((F.col("kind") != WORD) & F.col("ok"))
+    # Words and values in one order say how many words stand before a value.
+    order = Window.partitionBy("rid").orderBy("start", (F.col("kind") == WORD)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = words.unionByName(values).withColumn("c", F.count_if(F.col("kind") == WORD).over(order).cast("int"))
+    around = ranked.where(F.col("kind") != WORD).select(
+        "rid", F.col("id").alias("entity"), F.col("start").alias("from"), F.col("end").alias("to"),
+        F.explode(F.sequence(F.col("c") - options.reach, F.col("c") + options.reach - 1)).alias("i"),
     )
+    inside = (F.col("start") >= F.col("from") - options.window) & (F.col("end") <= F.col("to") + options.window)
+    return around.join(words.where("ok").select("rid", "i", "start", "end", F.col("id").alias("term")), ["rid", "i"]).where(
+        inside).select("rid", "entity", "term").distinct()
 
 
 def _term_rows(docs: DataFrame, options: Disclosure) -> DataFrame:
@@ -175,23 +163,16 @@ def _term_rows(docs: DataFrame, options: Disclosure) -> DataFrame:
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
-def _revealing(base: DataFrame, docs: DataFrame, options: Disclosure) -> DataFrame:
+def _revealing(pairs: DataFrame, places: DataFrame, docs: DataFrame, total: int, options: Disclosure) -> DataFrame:
     """(entity, term, kind) of the words that reveal too much."""
-    seen = base.select(
-        F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"], w["term"])))).alias("p")
-    ).select(F.col("p.entity").alias("entity"), F.col("p.term").alias("term"))
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(
-        F.col("n_both") >= options.support
-    )
-    values = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity")
-    )
-    total = base.count()
-    told = F.log(F.lit(float(total)) * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    values = places.where((F.col("kind") != WORD) & F.col("ok")).select("rid", F.col("id").alias("entity")).distinct().groupBy(
+        "entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    told = F.log(F.lit(float(total)) * F.col("n_both") / F.col("n_entity") / (F.col("n_term") + options.smoothing))
     worth = F.log(F.lit(float(total)) / F.col("n_entity"))
     share = F.when(worth > 0, told / worth)
     return (
-        pairs.join(values, "entity").join(_term_rows(docs, options), "term")
+        both.join(values, "entity").join(_term_rows(docs, options), "term")
         .withColumn("share", share).where(F.col("share") >= options.generalise)
         .select("entity", "term", "share",
                 F.when(F.col("share") >= options.remove, "removed").otherwise("general").alias("kind"))
@@ -201,21 +182,19 @@ def _revealing(base: DataFrame, docs: DataFrame, options: Disclosure) -> DataFra
 def spans(docs: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
     """doc_id, h (hash of the text) and an array of spans per kind for every row of ``docs``."""
     base = materialise(_base(docs, options), "pii-base")
-    revealing = _revealing(base, docs, options)
-    near = base.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("w")).select(
-        "doc_id", "h", "w.*"
-    ).distinct()
-    span = F.struct("start", "end")
-    found = near.join(revealing, ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(
-        F.max("kind").alias("kind")
-    ).groupBy("doc_id", "h").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, span))).alias(k) for k in ("general", "removed")]
-    )
-    found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "general", "removed")
-    joined = base.join(found, base.doc_id.eqNullSafe(found.d) & (base.h == found.g), "left")
+    places = materialise(_places(base), "pii-places")
+    pairs = materialise(_near(places, options), "pii-near")
+    revealing = _revealing(pairs, places, docs, base.count(), options)
+    told = pairs.join(revealing, ["entity", "term"]).groupBy("rid", "term").agg(F.max("kind").alias("kind"))
+    words = places.where(F.col("kind") == WORD).select("rid", "start", "end", F.col("id").alias("term"))
+    found = words.join(told, ["rid", "term"]).select("rid", "kind", "start", "end").unionByName(
+        places.where((F.col("kind") != WORD) & F.col("ok")).select("rid", "kind", "start", "end")
+    ).groupBy("rid").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end")))).alias(k) for k in KINDS
+    ])
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return joined.select(
-        "doc_id", "h", *BASE_KINDS, *[F.coalesce(k, none).alias(k) for k in ("general", "removed")]
+    return base.select("rid", "doc_id", "h").join(found, "rid", "left").select(
+        "doc_id", "h", *[F.coalesce(k, none).alias(k) for k in KINDS]
     )
 
 
@@ -232,8 +211,8 @@ def personal_data(docs: DataFrame, options: Disclosure = Disclosure()) -> DataFr
     and ``removed`` are the words to be generalised and removed. A null text is
     empty and has no spans; rows with a null or repeated doc_id are results of
     their own, and equal rows have equal results; a row counts as often as it is
-    there. Other columns are not read; no rows give no rows. With fewer rows
-    than ``support`` no word is judged.
+    there. Other columns are not read; no rows give no rows. In a corpus of a
+    few rows a word next to a value tells too little to be judged.
     """
     found = spans(docs, options)
     return found.select(

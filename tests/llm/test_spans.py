@@ -1,9 +1,13 @@
 """Secrets and personal data against plain patterns, and what their methods add."""
 
+import math
 import random
 import sys
+from collections import Counter
 from pathlib import Path
 
+import regex
+
 sys.path.insert(0, str(Path(__file__).parent))
 import plain
 
@@ -125,6 +129,72 @@ def test_pii_disclosure(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def plain_disclosure(rows, o=pii.Disclosure()):
+    """Spans of the revealing words of each row, by counting over all rows; values without letters are not in the texts."""
+    word = regex.compile(pii._TERM)
+    held, beside, words = Counter(), Counter(), Counter()
+    near = []
+    for _, text in rows:
+        values = [(text[a:b].lower(), a, b) for kind, a, b in plain.pii(text) if kind == "email"]
+        blank = text
+        for _, a, b in values:
+            blank = blank[:a] + " " * (b - a) + blank[b:]
+        at = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(blank)]
+        words.update({w for _, _, w in at})
+        held.update({v for v, _, _ in values})
+        pairs = set()
+        for v, a, b in values:
+            left, right = [w for w in at if w[0] < a][-o.reach:], [w for w in at if w[0] >= a][: o.reach]
+            pairs |= {(v, w) for s, e, w in left + right if len(w) >= o.letters and s >= a - o.window and e <= b + o.window}
+        beside.update(pairs)
+        near.append((pairs, at))
+    out = []
+    for pairs, at in near:
+        kinds = {}
+        for v, w in pairs:
+            n = len(rows)
+            worth = math.log(n / held[v])
+            share = math.log(n * beside[v, w] / held[v] / (words[w] + o.smoothing)) / worth if worth > 0 else 0
+            if share >= o.generalise:
+                kinds[w] = max(kinds.get(w, ""), "removed" if share >= o.remove else "general")
+        out.append(sorted(f"{kinds[w]}:{s}:{e}" for s, e, w in at if w in kinds))
+    return out
+
+
+def test_pii_disclosure_by_counts(spark):
+    """A name beside an address in one row only is masked all over that row; plain counting gives the same words."""
+    rng = random.Random(6)
+    common = "the of and to mail from about weather report today street number".split()
+    names = [f"name{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"]
+    rows = []
+    for k in range(400):
+        words = [rng.choice(common) for _ in range(rng.randrange(5, 60))]
+        if k % 4 == 0:
+            name = rng.choice(names)
+            at = rng.randrange(len(words))
+            words[at:at] = [name.title(), f"{rng.choice(names)[:5]}@ex.org", "x" * rng.randrange(150, 260), "-ab"]
+            words += ["far"] * 12 + [name]
+        rows.append((k, " ".join(words)))
+    rows += [(400, "Zorblatt wrote zo@q.org " + "and " * 300 + "then ZORBLATT left"), (7, rows[8][1]), (None, rows[8][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, tuple(sorted(s for s in r.spans.split(",") if s.split(":")[0] in ("general", "removed"))))
+                  for r in pii.personal_data(docs).collect())
+    want = [tuple(s) for s in plain_disclosure(rows)]
+    assert got == Counter((i, s) for (i, _), s in zip(rows, want))
+    assert sum(map(len, want)) > 100
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "zorblatt" not in clean[400].lower() and "then" in clean[400]
+
+
+def test_pii_many_values(spark):
+    """A text of 50,000 addresses is placed by one sort."""
+    text = " ".join(f"word{k % 10} a{k}@ex.org" for k in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert rows[1].n_email == 50_000 and rows[2].n_email == 0
+    assert rows[1].base_sha256 == plain.digest(plain.pii(text))
+
+
 def test_pii_quoted_names(spark):
     """A word in quotes or behind a dash is the same word in the corpus counts and next to a value."""
     texts = ["mail jo@ex.org 'zorblatt' -quixville- o'hara' 'mira-lu", "'zorblatt jo@ex.org -quixville O'Hara- mira-lu'",
