@@ -68,7 +68,8 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "__row__")
 
     Equal rows are counted first and spread out again afterwards in blocks, so
     neither the sort nor the expansion meets a hot group. Columns outside
-    ``order`` are not kept.
+    ``order`` are not kept. Spark takes the expanded rows to be as few as the
+    groups they come from, so a hint keeps joins from broadcasting them.
     """
     keys = [F.col(f"`{c}`") for c in order]
     counted = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
@@ -78,12 +79,13 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "__row__")
     start = F.col("__end") - F.col("__n")
     first_block = F.floor(start / F.lit(ROWS_PER_BLOCK)).cast("bigint")
     last_block = F.floor((F.col("__end") - 1) / F.lit(ROWS_PER_BLOCK)).cast("bigint")
+    # A given number of tasks, as few groups would else be expanded in one.
     blocks = ends.withColumn("__start", start).withColumn(
         "__block", F.explode(F.sequence(first_block, last_block))
-    )
+    ).repartition(df.sparkSession.sparkContext.defaultParallelism, "__block")
     low = F.greatest(F.col("__start"), F.col("__block") * ROWS_PER_BLOCK)
     high = F.least(F.col("__end"), (F.col("__block") + 1) * ROWS_PER_BLOCK) - 1
-    return blocks.select(F.explode(F.sequence(low + 1, high + 1)).alias(name), *keys)
+    return blocks.select(F.explode(F.sequence(low + 1, high + 1)).alias(name), *keys).hint("merge")
 
 
 def in_blocks(df: DataFrame, order: Sequence[str], before: int) -> DataFrame:

@@ -20,6 +20,17 @@ def test_row_number_blocks(spark, monkeypatch):
     assert sorted(numbers) == list(range(1, 104))
 
 
+def test_row_numbers_are_never_broadcast(spark):
+    """Few groups stand for many rows; a join by number must not take them for a small table."""
+    from tallyframe.operators.reconcile import Comparison
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("x"), (F.col("id") % 2).alias("y"))
+    found = Comparison(df, df.where("x > 0 or y > 0"))
+    assert "SortMergeJoin [sk0" in found.column_counts._jdf.queryExecution().executedPlan().toString()
+    row = found.summary().first()
+    assert (row.source_row_count, row.matched_count, row.missing_in_target_count) == (3000, 2500, 500)
+
+
 def test_running_total(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), (F.col("id") % 5).alias("w"))
     got = {r.v: int(r.running_total) for r in ranks.running_total(df, [F.col("v").asc()], "w").collect()}
