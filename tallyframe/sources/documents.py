@@ -1,6 +1,7 @@
 """XML and JSON documents as records, each file by its own structure.
 
-XML is cut behind every ``>`` and read block by block. A block does not know what
+XML is cut behind every ``>`` and read block by block, many pieces at once by one
+expression, and those it does not take one by one. A block does not know what
 is open where it begins, so it gives a summary that holds whatever comes before:
 for every lexical state at its start the state at its end, the elements it closes
 beyond its own, those it leaves open, and how often each path starts in it. The
@@ -15,8 +16,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,18 +38,20 @@ Path = tuple[str, ...]
 TEXT, COMMENT, CDATA, INSTRUCTION, DOUBLE, SINGLE = STATES = "t", "c", "d", "p", '"', "'"
 _CLOSERS = {COMMENT: "--", CDATA: "]]", INSTRUCTION: "?"}
 _NAMESPACE = re.compile(r"""\s+xmlns(:[^\s=]*)?\s*=\s*("[^"]*"|'[^']*')""")
+_OPEN_QUOTE = re.compile(r"""[^"']*+(?:(?:"[^"]*+"|'[^']*+')[^"']*+)*+(["'])?""")
+_INSIDE = r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+"""  # of a tag, with quoted values
+_TAG_END = re.compile(f"{_INSIDE}>")
+# What begins with "<" and is whole: an end tag (1), a tag (2) with its inside (3), a comment, a section or an
+# instruction. Anything else matches with all the text behind it (4) and is left to ``step``.
+_TOKEN = re.compile(
+    rf"""(?s)<(?:/([^\s/<>]++)[^<>]*+>|([^\s/<>!?"'][^\s/<>"']*+)(?=[\s/>])({_INSIDE})>"""
+    r"|!--.*?-->|!\[CDATA\[.*?\]\]>|\?.*?\?>|(.*))"
+)
 
 
 def _open_quote(tag: str) -> str:
     """The quote that is open at the end of a tag's text, or TEXT."""
-    at = 0
-    while found := re.search("[\"']", tag[at:]):
-        quote, start = found[0], at + found.end()
-        end = tag.find(quote, start)
-        if end < 0:
-            return quote
-        at = end + 1
-    return TEXT
+    return _OPEN_QUOTE.match(tag)[1] or TEXT
 
 
 def local_name(tag: str) -> str:
@@ -83,6 +88,36 @@ def step(state: str, piece: str) -> tuple[str, str, str]:
     return after, ("empty" if after == TEXT and tag.endswith("/") else "open"), local_name(tag)
 
 
+def leave(state: str, text: str, at: int) -> tuple[str, int]:
+    """Where whole pieces leave a state that is not TEXT, or their end and the state there."""
+    if state in _CLOSERS:
+        closer = _CLOSERS[state] + ">"
+        end = text.find(closer, at)
+        return (TEXT, end + len(closer)) if end >= 0 else (state, len(text))
+    end = text.find(state, at)
+    if end < 0:
+        return state, len(text)
+    if found := _TAG_END.match(text, end + 1):
+        return TEXT, found.end()
+    return _open_quote(text[end + 1:]), len(text)
+
+
+def state_after(state: str, text: str) -> str:
+    """The state behind whole pieces."""
+    at = 0
+    while at < len(text):
+        if state != TEXT:
+            state, at = leave(state, text, at)
+            continue
+        found = _TOKEN.findall(text, at)
+        if not found or not found[-1][3]:
+            return TEXT
+        at = len(text) - len(found[-1][3]) - 1
+        end = text.find(">", at)
+        state, at = step(TEXT, text[at:end])[0], end + 1
+    return state
+
+
 class Summary:
     """What a block does, for one state at its start and any elements open there."""
 
@@ -98,6 +133,36 @@ class Summary:
         reached = {s: step(s, piece)[0] for s in set(self.ends.values())}
         self.ends = {s: reached[now] for s, now in self.ends.items()}
         self.state, happened, name = step(self.state, piece)
+        self._note(happened, name)
+
+    def read_text(self, text: str) -> None:
+        """Whole pieces at once, each with its ``>``."""
+        reached = {s: state_after(s, text) for s in set(self.ends.values())}
+        self.ends = {s: reached[now] for s, now in self.ends.items()}
+        at = 0
+        while at < len(text):
+            if self.state != TEXT:
+                was = self.state
+                self.state, at = leave(was, text, at)
+                if self.state == TEXT and was not in _CLOSERS and text[at - 2] == "/":
+                    self._note("shut", "")
+                continue
+            found = _TOKEN.findall(text, at)
+            rest = found.pop()[3] if found and found[-1][3] else ""
+            for end_tag, tag, inside, _ in found:
+                if end_tag:
+                    self._note("close", end_tag.rpartition(":")[2])
+                elif tag:
+                    self._note("empty" if inside.endswith("/") else "open", tag.rpartition(":")[2])
+            if not rest:
+                return
+            at = len(text) - len(rest) - 1
+            end = text.find(">", at)
+            self.state, happened, name = step(TEXT, text[at:end])
+            self._note(happened, name)
+            at = end + 1
+
+    def _note(self, happened: str, name: str) -> None:
         if happened in ("open", "empty"):
             self.paths[len(self.closed), (*self.open, name)] += 1
         if happened == "open":
@@ -122,6 +187,21 @@ _BLOCK_DDL = (
 )
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, str]]:
+    """File and start of each block in a batch, its first row there and its text there, whole pieces."""
+    n = batch.num_rows
+    if not n:
+        return
+    file, start = batch.column("file"), batch.column("start")
+    other = pc.or_(
+        pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(start.slice(1), start.slice(0, n - 1))
+    ).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(other) + 1).tolist(), n]
+    for a, b in zip(edges, edges[1:]):
+        pieces = batch.column("value").slice(a, b - a).to_pylist()
+        yield (file[a].as_py(), start[a].as_py()), a, ">".join([*pieces, ""])
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each block; a block's pieces come one after the other."""
     at, first, own = None, 0, Summary(TEXT)
@@ -135,12 +215,13 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist([made], schema=_BLOCK)
 
     for batch in batches:
-        for file, start, line, piece, state in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "line", "value", "state"))):
-            if (file, start) != at:
+        for block, row_at, text in _runs(batch):
+            if block != at:
                 if at:
                     yield row()
-                at, first, own = (file, start), line, Summary(state)
-            own.read(piece)
+                at, first = block, batch.column("line")[row_at].as_py()
+                own = Summary(batch.column("state")[row_at].as_py())
+            own.read_text(text)
     if at:
         yield row()
 
@@ -304,24 +385,78 @@ class Cutter:
                 self.depth, self.text = 0, []
             self.open.pop()
 
+    def read_text(self, text: str) -> Iterator[tuple[str, str]]:
+        """Whole pieces at once, each with its ``>``."""
+        at = begin = 0  # where to go on, and where the text of an open record that is not yet kept begins
+        while at < len(text):
+            if self.state != TEXT:
+                was = self.state
+                self.state, at = leave(was, text, at)
+                if self.state == TEXT and was not in _CLOSERS and text[at - 2] == "/":
+                    if len(self.open) == self.depth:
+                        yield self.kind, "".join([*self.text, text[begin:at - 2], ">"])
+                        self.depth, self.text = 0, []
+                    self.open.pop()
+                continue
+            rest = None
+            for found in _TOKEN.finditer(text, at):
+                which = found.lastindex
+                if which == 1:
+                    if len(self.open) == self.depth:
+                        yield self.kind, "".join([*self.text, text[begin:found.start()]])
+                        self.depth, self.text = 0, []
+                    self.open.pop()
+                elif which == 3:
+                    empty = text[found.end() - 2] == "/"
+                    if self.depth:
+                        if not empty:
+                            self.open.append("")  # below a record, names say nothing
+                        continue
+                    self.open.append(found[2].rpartition(":")[2])
+                    if tuple(self.open) in self.records:
+                        if empty:
+                            yield WHOLE, found[3][:-1] + ">"
+                        else:
+                            begin, self.text, self.depth, self.kind = found.start(3), [], len(self.open), WHOLE
+                    if empty:
+                        self.open.pop()
+                elif which == 4:
+                    rest = found.start()
+            if rest is None:
+                break
+            if self.depth:
+                self.text.append(text[begin:rest])
+            end = text.find(">", rest)
+            yield from self.read(text[rest:end])
+            at = begin = end + 1
+        if self.depth:
+            self.text.append(text[begin:])
+
     def rest(self) -> Iterator[tuple[str, str]]:
         if self.depth:
             yield (MIDDLE if self.kind == TAIL else HEAD), "".join(self.text)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, own, rows = None, None, []
+    at, own = None, None
+
+    def rows(block: tuple[str, int], found: list[tuple[str, str]]) -> pa.RecordBatch:
+        n = len(found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block[0]] * n), pa.array([block[1]] * n, pa.int64()), pa.array([k for k, _ in found]), pa.array([b for _, b in found])],
+            schema=_PART,
+        )
+
     for batch in batches:
-        for file, start, piece, place in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "value", "place"))):
-            if (file, start) != at:
-                if own:
-                    rows += [(*at, *found) for found in own.rest()]
-                at, own = (file, start), Cutter(place)
-            rows += [(*at, *found) for found in own.read(piece)]
-        yield pa.RecordBatch.from_pylist([dict(zip(_PART.names, r)) for r in rows], schema=_PART)
-        rows = []
-    if own:
-        yield pa.RecordBatch.from_pylist([dict(zip(_PART.names, (*at, *found))) for found in own.rest()], schema=_PART)
+        for block, row_at, text in _runs(batch):
+            if block != at:
+                if own and (found := list(own.rest())):
+                    yield rows(at, found)
+                at, own = block, Cutter(json.loads(batch.column("place")[row_at].as_py()))
+            if found := list(own.read_text(text)):
+                yield rows(block, found)
+    if own and (found := list(own.rest())):
+        yield rows(at, found)
 
 
 def _without_namespaces(body: Column) -> Column:
@@ -348,10 +483,11 @@ def xml_records(spark: SparkSession, path: str | Sequence[str], places: DataFram
     A record that reaches over blocks is put together from one part of each.
     """
     known = places.where("problem is null and size(records) > 0").select(
-        "file", "start", "first", F.struct("state", "open", "records").alias("place")
+        "file", "start", "first", F.to_json(F.struct("state", "open", "records")).alias("place")
     )
     pieces = _at_blocks(_pieces(spark, path), known)
-    # Only a block's first piece carries what is known of it.
+    # Only a block's first piece carries what is known of it, as text: a nested column, null in almost every row, is
+    # many times slower on its way to Python.
     parts = materialise(
         pieces.withColumn("place", F.when(F.col("line") == F.col("first"), F.col("place")))
         .select("file", "start", "value", "place").mapInArrow(_cut, "file string, start bigint, kind string, body string"),

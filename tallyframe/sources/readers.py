@@ -370,6 +370,8 @@ def read_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = N
     )
     if f"@{FILE}" not in raw.columns:  # no records at all
         return spark.createDataFrame([], f"{path_column} string" if path_column else "value string")
+    if _holds_array(raw.schema):  # looked through before it is spread
+        raw = materialise(raw, "xml-rows")
     rows = flattened(_spread(raw), mark="@")
     return rows.withColumnRenamed(FILE, path_column) if path_column else rows.drop(FILE)
 

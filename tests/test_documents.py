@@ -114,6 +114,56 @@ def test_blocks_compose(seed):
     assert found == expected
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_many_pieces_are_read_as_one_by_one(seed):
+    """Whole texts by one expression give what their pieces give, wherever they are cut; also in texts that are no XML."""
+    rng = random.Random(seed)
+    text = random_xml(rng, 12)
+    if seed % 3 == 2:
+        parts = ["<", ">", "</", "/>", '"', "'", "a", " ", "b:c", "<!--", "-->", "<![CDATA[", "]]>", "<?", "?>", "<!X", "<a k='", "</a", "<a"]
+        text = "".join(rng.choice(parts) for _ in range(200)) + ">"
+    n = text.count(">")
+    blocks = in_blocks(text, rng.sample(range(n), rng.randrange(0, min(n, 9))))
+    for pieces in blocks:
+        for start in D.STATES:
+            own, other = D.Summary(start), D.Summary(start)
+            for piece in pieces:
+                own.read(piece)
+            cuts = [0, *sorted(rng.sample(range(len(pieces)), min(2, len(pieces)))), len(pieces)]
+            for a, b in zip(cuts, cuts[1:]):
+                other.read_text("".join(p + ">" for p in pieces[a:b]))
+            assert vars(own) == vars(other)
+    if seed % 3 == 2:
+        return
+    records = [list(p) for p in D.record_paths(dict(counted(text)))]
+    for cut in range(0, n, max(1, n // 9)):
+        pieces = text.split(">")[:n]
+        before = D.Summary(D.TEXT)
+        for piece in pieces[:cut]:
+            before.read(piece)
+        place = {"state": before.state, "open": before.open, "records": records}
+        one, many = D.Cutter(place), D.Cutter(place)
+        found = [x for piece in pieces[cut:] for x in one.read(piece)] + list(one.rest())
+        middle = rng.randrange(cut, n)
+        read = [x for a, b in ((cut, middle), (middle, n)) for x in many.read_text("".join(p + ">" for p in pieces[a:b]))]
+        assert read + list(many.rest()) == found
+
+
+def test_plain_pieces_take_no_steps(monkeypatch):
+    """Elements, comments and sections of a block are read at once, in both scans."""
+    monkeypatch.setattr(D, "step", lambda *_: pytest.fail("read piece by piece"))
+    text = "<x:a>" + "<r k='1>2'><!-- > --><n><![CDATA[ > ]]></n><e/></r>\n" * 100 + "</x:a>"
+    pieces = text.split(">")[:-1]
+    columns = {"file": ["f"] * len(pieces), "start": [0] * len(pieces), "line": list(range(len(pieces))), "value": pieces}
+    rows = [b.to_pylist()[0] for b in D._summaries(iter([pa.RecordBatch.from_pydict({**columns, "state": ["t"] * len(pieces)})]))]
+    placed = D._placed(None)(pa.Table.from_pylist(rows, schema=D._BLOCK)).to_pylist()
+    assert placed[0]["records"] == [["a", "r"]] and placed[0]["problem"] is None
+    batch = pa.RecordBatch.from_pydict({**columns, "place": [json.dumps(placed[0]), *[None] * (len(pieces) - 1)]})
+    found = [r for b in D._cut(iter([batch])) for r in b.to_pylist()]
+    assert [(r["kind"], r["body"]) for r in found] == [
+        (D.WHOLE, " k='1>2'><!-- > --><n><![CDATA[ > ]]></n><e/>")] * 100
+
+
 def test_record_paths():
     def paths(text, tag=None):
         return ["/".join(p) for p in D.record_paths(dict(counted(text)), tag)]
