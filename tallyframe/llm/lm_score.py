@@ -3,8 +3,10 @@
 Words are in classes: the most frequent have one of their own, all others share
 hashed ones. A network with one hidden layer predicts the class of each token
 from the two tokens at either side; counts over the whole corpus split a class
-into its words. A document's score is the sum of the log-probabilities of all
-its tokens, each given what stands around it.
+into its words, each by its own count. Those of frequent words go to every task,
+those of all others meet the documents' words in a join. A document's score is
+the sum of the log-probabilities of all its tokens, each given what stands
+around it.
 
 The network is trained where the documents lie: every task walks its own texts
 with gradient steps, and the tasks' networks are averaged, by their number of
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.hashing import slices, word_hashes
@@ -31,7 +33,7 @@ OWN_CLASSES = 192
 SHARED_CLASSES = 64
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 PAD = CLASSES  # stands for what lies before and behind a document
-BIN_BITS = 18  # words of the shared classes are counted in so many hashed bins
+KNOWN = 1 << 16  # words with at least one of so many tokens, so at most as many words, are known to every task
 SIDE = 2
 WIDTH, HIDDEN = 12, 16
 ROUNDS = 2  # a round trains on every ROUNDS-th position of each document, and the next one on the positions behind them
@@ -47,25 +49,33 @@ _SHAPES = (
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Sorted hashes of the words with classes of their own, and the bins of the others."""
+    """Sorted hashes of the frequent words with their classes and shares, the rows of all others, and the classes' counts."""
 
-    own: np.ndarray
-    own_class: np.ndarray
-    log_in_class: np.ndarray  # by bin: log-share of the bin in its class
+    known: np.ndarray
+    known_class: np.ndarray
+    log_in_class: np.ndarray  # by known word: log-share of the word in its class
     class_counts: np.ndarray
+    others: DataFrame  # word, inside: log-share of every word that is not known
+
+    def __getstate__(self) -> dict:  # tasks get what they look up; the others are for joins
+        return {**self.__dict__, "others": None}
 
     def classes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log-probability within the class of every word."""
-        bins = (hashes & np.uint64((1 << BIN_BITS) - 1)).astype(np.int64)
-        out = OWN_CLASSES + bins % SHARED_CLASSES
-        inside = self.log_in_class[bins]
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-            known = self.own[at] == hashes
-            out = np.where(known, self.own_class[at], out)
-            inside = np.where(known, 0.0, inside)
+        """Class and log-probability within the class of every word; the latter is NaN for words that are not known."""
+        out = OWN_CLASSES + (hashes & np.uint64(SHARED_CLASSES - 1)).astype(np.int64)
+        inside = np.full(len(hashes), np.nan)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            hit = self.known[at] == hashes
+            out = np.where(hit, self.known_class[at], out)
+            inside = np.where(hit, self.log_in_class[at], inside)
         return out, inside
 
+    def unseen(self, word: Column) -> Column:
+        """The log-share of a word that was never seen: it is worth half a count."""
+        counts = F.array(*[F.lit(float(c)) for c in self.class_counts[OWN_CLASSES:]])
+        return -F.log(2 * F.get(counts, word.bitwiseAND(SHARED_CLASSES - 1).cast("int")))
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -77,26 +87,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts of all words of all documents, grouped in Spark; the driver gets classes and bins of fixed number."""
+    """Counts of all words of all documents, grouped in Spark; the driver gets the counts of at most ``KNOWN`` words and of the classes."""
     counts = docs.select("text").mapInArrow(_counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-words")
     top = counts.orderBy(F.col("n").desc(), "word").limit(OWN_CLASSES).collect()
-    own = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(own)
-    rest = counts
-    if top:
-        rest = counts.where(~F.col("word").isin([r["word"] for r in top]))
-    bins = rest.groupBy(F.col("word").bitwiseAND((1 << BIN_BITS) - 1).alias("bin")).agg(
-        F.sum("n").alias("n")
-    ).toPandas()
-    in_bin = np.full(1 << BIN_BITS, 0.5)  # a word that was never seen is worth half a count
-    in_bin[bins["bin"].to_numpy(np.int64)] += bins["n"].to_numpy(np.float64)
-    shared = in_bin.reshape(-1, SHARED_CLASSES).sum(axis=0)
-    log_in_class = np.log(in_bin) - np.log(np.tile(shared, (1 << BIN_BITS) // SHARED_CLASSES))
-    class_counts = np.full(CLASSES, 0.5)
+    own = [r["word"] for r in top]
+    rest = counts.where(~F.col("word").isin(own)) if own else counts
+    place = F.col("word").bitwiseAND(SHARED_CLASSES - 1).cast("int")
+    class_counts = np.full(CLASSES, 0.5)  # words that were never seen are worth half a count in each class
     class_counts[: len(top)] += [r["n"] for r in top]
-    class_counts[OWN_CLASSES:] = shared
-    return Vocabulary(own[order], np.arange(len(top))[order], log_in_class.astype(np.float32), class_counts)
+    for r in rest.groupBy(place.alias("c")).agg(F.sum("n").alias("n")).collect():
+        class_counts[OWN_CLASSES + r["c"]] += r["n"]
+    least = -(-(counts.agg(F.sum("n")).first()[0] or 0) // KNOWN)
+    frequent = rest.where(F.col("n") >= least).toPandas()
+    words = np.concatenate([np.array(own, np.int64), frequent["word"].to_numpy(np.int64)])
+    classes = np.concatenate([np.arange(len(own)), OWN_CLASSES + (frequent["word"].to_numpy(np.int64) & (SHARED_CLASSES - 1))])
+    inside = np.concatenate([
+        np.zeros(len(own)), np.log(frequent["n"].to_numpy(np.float64)) - np.log(class_counts[classes[len(own):]])
+    ])
+    order = np.argsort(words.view(np.uint64))
+    totals = F.array(*[F.lit(float(c)) for c in class_counts[OWN_CLASSES:]])
+    others = rest.where(F.col("n") < least).select("word", F.log(F.col("n") / F.get(totals, place)).alias("inside"))
+    return Vocabulary(words.view(np.uint64)[order], classes[order], inside[order], class_counts, others)
 
 
 class Network:
@@ -228,17 +240,23 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
     return network
 
 
-def score_texts(texts: pa.Array, words: Vocabulary, network: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed log-probabilities of whole texts."""
+def score_texts(
+    texts: pa.Array, words: Vocabulary, network: Network
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and summed log-probabilities of whole texts, without the shares of the words that are not known.
+
+    Those words come with the number of their text, one for each occurrence.
+    """
     hashes, offsets = word_hashes(texts)
     tokens, inside = words.classes(hashes)
     around = _around(tokens, offsets)
     value = np.empty(len(tokens))
     for at in range(0, len(tokens), BLOCK):
         value[at : at + BLOCK] = network.log_probability(around[at : at + BLOCK], tokens[at : at + BLOCK])
-    value += inside
+    other = np.isnan(inside)
+    value += np.where(other, 0.0, inside)
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    return np.diff(offsets), np.bincount(row, value, len(texts))
+    return np.diff(offsets), np.bincount(row, value, len(texts)), hashes[other], row[other]
 
 
 def scored(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
@@ -249,13 +267,24 @@ def scored(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
         model = Network(values)
         for batch in batches:
             for part in slices(batch, "text"):
-                counts, sums = score_texts(part.column("text"), known, model)
+                counts, sums, others, row = score_texts(part.column("text"), known, model)
+                ends = np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(sums)],
-                    names=["doc_id", "n_tokens", "log_probability"],
+                    [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(sums),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(others.view(np.int64)))],
+                    names=["doc_id", "n_tokens", "log_probability", "others"],
                 )
 
-    rows = docs.select("doc_id", "text").mapInArrow(score, "doc_id bigint, n_tokens bigint, log_probability double")
+    schema = "doc_id bigint, n_tokens bigint, log_probability double, others array<bigint>"
+    found = materialise(
+        docs.select("doc_id", "text").mapInArrow(score, schema).withColumn("rid", F.monotonically_increasing_id()), "lm-scores"
+    )
+    # A word that is not known to the tasks is less than one of KNOWN tokens, so none of these keys is hot.
+    told = found.select("rid", F.explode("others").alias("word")).join(words.others, "word", "left")
+    shares = told.groupBy("rid").agg(F.sum(F.coalesce("inside", words.unseen(F.col("word")))).alias("shares"))
+    rows = found.join(shares, "rid", "left").select(
+        "doc_id", "n_tokens", (F.col("log_probability") + F.coalesce("shares", F.lit(0.0))).alias("log_probability")
+    )
     return rows.withColumn(
         "per_token", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens"))
     )

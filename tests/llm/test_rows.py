@@ -256,6 +256,32 @@ def test_lm_scores(spark, prose):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_counts_every_word_by_itself(spark, monkeypatch):
+    """Words that are not known to every task are scored by their own counts, and one that was never seen by half a count."""
+    texts = [" ".join(f"w{k}" for k in range(j, 700, j + 1)) for j in range(5)] + [None, "w1 w1 w699"]
+    docs = spark.createDataFrame([(k % 6, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    counts = Counter(w for t in texts if t for w in t.split(" "))
+    few = lm_score.vocabulary(docs)
+    monkeypatch.setattr(lm_score, "KNOWN", 300)
+    cut = lm_score.vocabulary(docs)
+    network = lm_score.Network.initial(few.class_counts)
+    others = {r.word: r.inside for r in cut.others.collect()}
+    assert len(others) > 100 and few.others.count() == 0 and (few.class_counts == cut.class_counts).all()
+    for word, n in counts.items():
+        hashes = word_hashes(pa.array([word]))[0]
+        (place,), (inside,) = few.classes(hashes)
+        assert (place,) == tuple(cut.classes(hashes)[0])
+        want = math.log(n / few.class_counts[place]) if place >= lm_score.OWN_CLASSES else 0.0
+        found = others[int(hashes.view(np.int64)[0])] if n * 300 < sum(counts.values()) and place >= lm_score.OWN_CLASSES else inside
+        assert math.isclose(inside, want, abs_tol=1e-12) and math.isclose(found, want, abs_tol=1e-12)
+    more = docs.unionByName(spark.createDataFrame([(9, "never-seen")], "doc_id bigint, text string"))
+    whole, parted = (
+        sorted((str(r.doc_id), r.n_tokens, round(r.log_probability, 6)) for r in lm_score.scored(more, w, network).collect())
+        for w in (few, cut)
+    )
+    assert whole == parted and len(whole) == len(texts) + 1
+
+
 def test_lm_trains_on_every_token(spark, prose, monkeypatch):
     """Over the rounds of one training, each token of each document is a target once, with its own neighbours."""
     from types import SimpleNamespace
