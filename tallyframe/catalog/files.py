@@ -23,17 +23,18 @@ from tallyframe.sources import readers as R
 from tallyframe.sources import sinks as K
 
 PAGE = 2000
+PAGES_PER_TASK = 64
 
 
 def _pages(df: DataFrame, key: str, line: Column, head: str, tail: str, glue: str, label: str) -> str:
     """Text files of at most ``PAGE`` rows each, in key order, with a head and a tail."""
-    page = F.floor(F.col(key) / PAGE)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("v")))), lambda x: x["v"])
-    text = df.groupBy(page.alias("page")).agg(
-        F.concat(F.lit(head), F.array_join(lines, glue), F.lit(tail)).alias("value")
-    )
+    # As many tasks as the rows ask for, each with some files.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // (PAGES_PER_TASK * PAGE)))
+    rows = df.select(F.floor(F.col(key) / PAGE).alias("page"), F.col(key).alias("k"), line.alias("v")).repartition(tasks, "page")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])
+    text = rows.groupBy("page").agg(F.concat(F.lit(head), F.array_join(lines, glue), F.lit(tail)).alias("value"))
     path = scratch_path(df.sparkSession, label)
-    text.repartition("page").write.partitionBy("page").text(path)
+    text.write.partitionBy("page").text(path)
     return f"{path}/*"
 
 

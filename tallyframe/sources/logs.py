@@ -19,6 +19,7 @@ def log_level(line: Column) -> Column:
 
 
 EVENT_LINES = 10_000
+TASKS_PER_READ = 8  # tasks that sort the lines which one task reads, 128 MB of text at most
 
 
 def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -29,12 +30,16 @@ def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ``number`` is the first line of the part. ``event_heads`` has one row per event.
 
     Lines are numbered per file block, which is of bounded size, and one row per
-    block carries the line and event counts on to the blocks behind it.
+    block carries the line and event counts on to the blocks behind it. Lines are
+    dealt over as many tasks as their text asks for, so that none sorts more of
+    them where there are more in all.
     """
-    lines = spark.read.text(path).select(
+    raw = spark.read.text(path)
+    tasks = TASKS_PER_READ * raw.rdd.getNumPartitions()
+    lines = raw.select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
-    ).withColumn("level", log_level(F.col("value")))
+    ).repartition(tasks, "file", "start").withColumn("level", log_level(F.col("value")))
     begins = (F.col("level") != "") | F.col("value").rlike(TIMESTAMP_START)
     inside = Window.partitionBy("file", "start").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     local = lines.withColumn("begins", begins).withColumn("line", F.row_number().over(
@@ -49,7 +54,7 @@ def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     placed = local.join(carried, ["file", "start"]).select(
         "file", "value", "level", "begins", (F.col("line") + F.col("lines_before")).alias("number"),
         (F.col("event") + F.col("events_before")).alias("event"),
-    )
+    ).repartition(tasks, "file", "event")
     # A log without event starts is one event: its text is cut into rows of a bounded number of lines.
     level = F.max(F.when(F.col("begins"), F.col("level")))
     events = placed.groupBy("file", "event").agg(
@@ -59,7 +64,7 @@ def log_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "part", F.floor((F.col("number") - F.col("first")) / EVENT_LINES)
     )
     ordered = F.array_sort(F.collect_list(F.struct("number", "value")))
-    return parts.groupBy("file", F.col("first").alias("event"), "part").agg(
+    return parts.repartition(tasks, "file", "first", "part").groupBy("file", F.col("first").alias("event"), "part").agg(
         F.min("number").alias("number"), F.first("event_level").alias("level"),
         F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("text"),
     )

@@ -289,3 +289,14 @@ def test_a_long_event_is_one_event(spark, tmp_path):
     assert found(query="step 9999\n  step 10001") == []
     assert found(limit=3) == [("b.log", 2, 0), ("b.log", 1, 0), ("a.log", 25_001, 0)]
     assert len(found(limit=None)) == 6
+
+
+def test_log_lines_are_dealt_by_their_text(spark, tmp_path, monkeypatch):
+    """As many tasks sort lines as the text read asks for, whatever the session's number of shuffle partitions."""
+    from tallyframe.sources import logs
+
+    (tmp_path / "a.log").write_text("2024-01-01 00:00:00 | INFO | a\n  more\n2024-01-01 00:00:01 | ERROR | b\n")
+    monkeypatch.setattr(logs, "TASKS_PER_READ", 7)
+    events = logs.log_events(spark, str(tmp_path))
+    assert events.rdd.getNumPartitions() == 7 * spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    assert [(r.number, r.level) for r in events.orderBy("number").collect()] == [(1, "INFO"), (3, "ERROR")]
