@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,15 @@ WIDTH, HIDDEN = 12, 16
 ROUNDS = 2  # a round trains on every ROUNDS-th position of each document, and the next one on the positions behind them
 BATCH = 256
 RATE = 0.15
-BLOCK = 2048
+BLOCK = 1024
 FAN_IN = 64  # networks averaged by one group
+PREFIX = 18  # known words are looked up by the first so many bits of their hash
 
 _SHAPES = (
     (CLASSES + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,),
 )
+_CELLS = np.arange((CLASSES + 1) * WIDTH).reshape(CLASSES + 1, WIDTH)
+_ONES = np.ones(CLASSES, np.float32)
 
 
 @dataclass(frozen=True)
@@ -65,12 +69,23 @@ class Vocabulary:
         out = OWN_CLASSES + (hashes & np.uint64(SHARED_CLASSES - 1)).astype(np.int64)
         inside = np.full(len(hashes), np.nan)
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            hit = self.known[at] == hashes
-            out = np.where(hit, self.known_class[at], out)
-            inside = np.where(hit, self.log_in_class[at], inside)
+            first = (hashes >> np.uint64(64 - PREFIX)).astype(np.int64)
+            at, end = self._firsts.take(first), self._firsts.take(first + 1)
+            left = np.flatnonzero(at < end)
+            at, end = at[left], end[left]
+            while len(left):  # as often as the fullest prefix has words
+                hit = self.known.take(at) == hashes[left]
+                out[left[hit]], inside[left[hit]] = self.known_class.take(at[hit]), self.log_in_class.take(at[hit])
+                go = ~hit & (at + 1 < end)
+                left, at, end = left[go], at[go] + 1, end[go]
         return out, inside
 
+    @cached_property
+    def _firsts(self) -> np.ndarray:
+        """The place of the first known word of each prefix, and the end."""
+        counts = np.bincount((self.known >> np.uint64(64 - PREFIX)).astype(np.int64), minlength=1 << PREFIX)
+        return np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+
     def unseen(self, word: Column) -> Column:
         """The log-share of a word that was never seen: it is worth half a count."""
         counts = F.array(*[F.lit(float(c)) for c in self.class_counts[OWN_CLASSES:]])
@@ -115,11 +130,14 @@ class Network:
     """Embedding, one hidden layer and a softmax over the classes, in 32-bit floats."""
 
     def __init__(self, values: np.ndarray) -> None:
+        flat = values.astype(np.float32)
         self.parts, at = [], 0
         for shape in _SHAPES:
             size = int(np.prod(shape))
-            self.parts.append(values[at : at + size].reshape(shape).astype(np.float32))
+            self.parts.append(flat[at : at + size].reshape(shape))
             at += size
+        self.top = flat[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES)  # the outer weights and, below them, their bias
+        self.room = np.empty((0, CLASSES), np.float32)  # for the logits of one call
 
     @staticmethod
     def initial(class_counts: np.ndarray) -> "Network":
@@ -132,13 +150,18 @@ class Network:
         return np.concatenate([p.ravel() for p in self.parts])
 
     def _forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        table, inner, inner_bias, outer, outer_bias = self.parts
-        seen = table.take(around, axis=0).reshape(len(around), -1)
-        hidden = np.tanh(seen @ inner + inner_bias)
-        logits = hidden @ outer
-        logits += outer_bias
-        # No hidden value is above 1, so most networks cannot overflow; the others are shifted.
-        if (np.abs(outer).sum(axis=0) + np.abs(outer_bias)).max() > 80:
+        """What is seen, the hidden values with a one behind them, and the logits, which the next call overwrites."""
+        table, inner, inner_bias, _, _ = self.parts
+        n = len(around)
+        if len(self.room) < n:
+            self.room = np.empty((n, CLASSES), np.float32)
+        seen = table.take(around, axis=0).reshape(n, -1)
+        hidden = np.ones((n, HIDDEN + 1), np.float32)
+        np.tanh(seen @ inner + inner_bias, out=hidden[:, :-1])
+        logits = np.matmul(hidden, self.top, out=self.room[:n])
+        # No hidden value is above 1, so most networks cannot overflow, also not in sums of weighted classes; the
+        # others are shifted.
+        if np.abs(self.top).sum(axis=0).max() > 40:
             logits -= logits.max(axis=1, keepdims=True)
         return seen, hidden, logits
 
@@ -146,21 +169,23 @@ class Network:
         _, _, logits = self._forward(around)
         hit = logits[np.arange(len(target)), target]
         np.exp(logits, out=logits)
-        return hit - np.log(logits.sum(axis=1))
+        return hit - np.log(logits @ _ONES)
 
     def step(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float = RATE) -> None:
         """One gradient step with rates that shrink by each weight's past gradients."""
         table, inner, _, outer, _ = self.parts
         seen, hidden, logits = self._forward(around)
-        slope = np.exp(logits)
-        slope /= slope.sum(axis=1, keepdims=True)
-        slope[np.arange(len(target)), target] -= 1
-        slope /= len(target)
-        back = (slope @ outer.T) * (1 - hidden**2)
-        cells = around.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+        # The slope of each row, not yet divided by the row's total: that is done where the rows are short.
+        slope = np.exp(logits, out=logits)
+        totals = slope @ _ONES
+        slope[np.arange(len(target)), target] -= totals
+        scale = (1 / (len(target) * totals))[:, None]
+        back = (slope @ outer.T) * scale * (1 - hidden[:, :-1] ** 2)
+        in_top = (hidden * scale).T @ slope
+        cells = _CELLS.take(around.ravel(), axis=0)
         in_table = np.bincount(cells.ravel(), (back @ inner.T).ravel(), table.size).reshape(table.shape)
         for part, past, change in zip(
-            self.parts, memory, (in_table, seen.T @ back, back.sum(axis=0), hidden.T @ slope, slope.sum(axis=0))
+            self.parts, memory, (in_table, seen.T @ back, back.sum(axis=0), in_top[:-1], in_top[-1])
         ):
             past += change**2
             part -= rate * change / (np.sqrt(past) + 1e-6)

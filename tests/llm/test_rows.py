@@ -318,6 +318,46 @@ def test_network_learns():
     assert net.log_probability(around, target).sum() > before + 5
 
 
+
+@pytest.mark.parametrize("size", [0.1, 3.0])
+def test_network_step_is_the_softmax_gradient(size):
+    """One step against the gradient in 64 bits, for weights below and above the limit of sums of exponentials."""
+    rng = np.random.default_rng(5)
+    start = rng.normal(0, size, sum(int(np.prod(s)) for s in lm_score._SHAPES))
+    net = lm_score.Network(start)
+    assert (np.abs(net.top).sum(axis=0).max() > 40) == (size > 1) and np.shares_memory(net.top, net.parts[3])
+    around, target = rng.integers(0, lm_score.CLASSES + 1, (40, 4)), rng.integers(0, lm_score.CLASSES, 40)
+    table, inner, inner_bias, outer, outer_bias = (p.astype(np.float64) for p in net.parts)
+    seen = table[around].reshape(40, -1)
+    hidden = np.tanh(seen @ inner + inner_bias)
+    logits = hidden @ outer + outer_bias
+    slope = np.exp(logits - logits.max(axis=1, keepdims=True))
+    slope /= slope.sum(axis=1, keepdims=True)
+    slope[np.arange(40), target] -= 1
+    slope /= 40
+    back = (slope @ outer.T) * (1 - hidden**2)
+    in_table = np.zeros_like(table)
+    np.add.at(in_table, around, (back @ inner.T).reshape(40, 4, -1))
+    memory = [np.full(s, 1e-4, np.float32) for s in lm_score._SHAPES]
+    net.step(around, target, memory)
+    for past, want in zip(memory, (in_table, seen.T @ back, back.sum(axis=0), hidden.T @ slope, slope.sum(axis=0))):
+        assert np.allclose(past, 1e-4 + want**2, rtol=1e-3, atol=1e-7)
+
+
+def test_lm_known_words_of_one_prefix():
+    """Words whose hashes begin alike are told apart, the last prefix and its end included."""
+    top = (1 << 64) - 1
+    known = np.array([1, 2, 5, 1 << 63, (1 << 63) + 7, top - 1, top], np.uint64)
+    words = lm_score.Vocabulary(known, np.arange(7), -np.arange(7.0), np.ones(lm_score.CLASSES), None)
+    asked = np.array([5, 2, 1, 0, 3, (1 << 63) + 7, 1 << 63, top, top - 1, top - 2, 5], np.uint64)
+    classes, inside = words.classes(asked)
+    for word, c, share in zip(asked.tolist(), classes, inside):
+        at = known.tolist().index(word) if word in known.tolist() else None
+        assert c == (lm_score.OWN_CLASSES + word % lm_score.SHARED_CLASSES if at is None else at)
+        assert np.isnan(share) if at is None else share == -at
+    assert len(words.classes(asked[:0])[0]) == 0
+
+
 TOOLS = {"add": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {}}, "required": ["x"],
                  "additionalProperties": False}}
 
