@@ -129,30 +129,43 @@ def _base(docs: DataFrame, options: Disclosure) -> DataFrame:
     )
 
 
-def _places(base: DataFrame) -> DataFrame:
-    """Values and words as rows: rid, kind, i (number among its kind), start, end, id, ok."""
+def _places(base: DataFrame, options: Disclosure) -> DataFrame:
+    """Values, and the words that may tell one, as rows: rid, kind, i, start, end, id, near.
+
+    ``i`` numbers the words of a row; for a value it is the word behind it. A word is ``near`` when it is among those
+    next to a value; words that are near nowhere in their row go. One shuffle of the unopened marks serves all windows.
+    """
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("marks")) for k in (*BASE_KINDS, WORD)]))
     holds = F.greatest(*[F.size(k) for k in BASE_KINDS]) > 0
-    rows = base.where(holds).select("rid", kinds.alias("k")).select("rid", "k.kind", F.posexplode("k.marks").alias("i", "m"))
-    before = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.len")).over(before).cast("int")).select(
+    rows = base.where(holds).select("rid", *BASE_KINDS, WORD).repartition("rid").select("rid", kinds.alias("k")).select(
+        "rid", "k.kind", F.posexplode("k.marks").alias("i", "m"))
+    running = (Window.unboundedPreceding, 0)
+    before = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(*running)
+    word, value = F.col("kind") == WORD, (F.col("kind") != WORD) & F.col("ok")
+    placed = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.len")).over(before).cast("int")).select(
         "rid", "kind", "i", (F.col("end") - F.col("m.len")).alias("start"), "end", "m.id", "m.ok"
     )
+    # Words and values in one order say how many words stand before a value, and which values are next to a word.
+    along = Window.partitionBy("rid").orderBy("start", word).rowsBetween(*running)
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), word.desc()).rowsBetween(*running)
+    counted = placed.withColumn("i", F.when(word, F.col("i")).otherwise(F.count_if(word).over(along).cast("int")))
+    last = F.last(F.when(value, F.col("i")), True)
+    near = word & F.col("ok") & (
+        F.coalesce(last.over(along) > F.col("i") - options.reach, F.lit(False))
+        | F.coalesce(last.over(back) <= F.col("i") + options.reach, F.lit(False))
+    )
+    met = F.max("near").over(Window.partitionBy("rid", "kind", "id"))
+    return counted.withColumn("near", near).withColumn("met", met).where(value | (word & F.col("met"))).drop("ok", "met")
 
 
 def _near(places: DataFrame, options: Disclosure) -> DataFrame:
     """Distinct (rid, entity, term) of the words around each value: the nearest ones, within the window."""
-    words = places.where(F.col("kind") == WORD)
-    values = places.where((F.col("kind") != WORD) & F.col("ok"))
-    # Words and values in one order say how many words stand before a value.
-    order = Window.partitionBy("rid").orderBy("start", (F.col("kind") == WORD)).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = words.unionByName(values).withColumn("c", F.count_if(F.col("kind") == WORD).over(order).cast("int"))
-    around = ranked.where(F.col("kind") != WORD).select(
+    around = places.where(F.col("kind") != WORD).select(
         "rid", F.col("id").alias("entity"), F.col("start").alias("from"), F.col("end").alias("to"),
-        F.explode(F.sequence(F.col("c") - options.reach, F.col("c") + options.reach - 1)).alias("i"),
+        F.explode(F.sequence(F.col("i") - options.reach, F.col("i") + options.reach - 1)).alias("i"),
     )
     inside = (F.col("start") >= F.col("from") - options.window) & (F.col("end") <= F.col("to") + options.window)
-    return around.join(words.where("ok").select("rid", "i", "start", "end", F.col("id").alias("term")), ["rid", "i"]).where(
+    return around.join(places.where("near").select("rid", "i", "start", "end", F.col("id").alias("term")), ["rid", "i"]).where(
         inside).select("rid", "entity", "term").distinct()
 
 
@@ -166,7 +179,7 @@ def _term_rows(docs: DataFrame, options: Disclosure) -> DataFrame:
 def _revealing(pairs: DataFrame, places: DataFrame, docs: DataFrame, total: int, options: Disclosure) -> DataFrame:
     """(entity, term, kind) of the words that reveal too much."""
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    values = places.where((F.col("kind") != WORD) & F.col("ok")).select("rid", F.col("id").alias("entity")).distinct().groupBy(
+    values = places.where(F.col("kind") != WORD).select("rid", F.col("id").alias("entity")).distinct().groupBy(
         "entity").agg(F.count(F.lit(1)).alias("n_entity"))
     told = F.log(F.lit(float(total)) * F.col("n_both") / F.col("n_entity") / (F.col("n_term") + options.smoothing))
     worth = F.log(F.lit(float(total)) / F.col("n_entity"))
@@ -182,13 +195,13 @@ def _revealing(pairs: DataFrame, places: DataFrame, docs: DataFrame, total: int,
 def spans(docs: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
     """doc_id, h (hash of the text) and an array of spans per kind for every row of ``docs``."""
     base = materialise(_base(docs, options), "pii-base")
-    places = materialise(_places(base), "pii-places")
+    places = materialise(_places(base, options), "pii-places")
     pairs = materialise(_near(places, options), "pii-near")
     revealing = _revealing(pairs, places, docs, base.count(), options)
     told = pairs.join(revealing, ["entity", "term"]).groupBy("rid", "term").agg(F.max("kind").alias("kind"))
     words = places.where(F.col("kind") == WORD).select("rid", "start", "end", F.col("id").alias("term"))
     found = words.join(told, ["rid", "term"]).select("rid", "kind", "start", "end").unionByName(
-        places.where((F.col("kind") != WORD) & F.col("ok")).select("rid", "kind", "start", "end")
+        places.where(F.col("kind") != WORD).select("rid", "kind", "start", "end")
     ).groupBy("rid").agg(*[
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end")))).alias(k) for k in KINDS
     ])
