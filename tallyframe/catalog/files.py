@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,15 @@ from tallyframe.operators.profile import profile
 from tallyframe.operators.rules import Rule, evaluate
 from tallyframe.operators.schemas import snapshot
 from tallyframe.plans import jobs as J
-from tallyframe.session import scratch_path
+from tallyframe.session import few_listing_tasks, scratch_path
 from tallyframe.sources import discovery as D
 from tallyframe.sources import logs as L
 from tallyframe.sources import readers as R
 from tallyframe.sources import sinks as K
 
 PAGE = 2000
+# Tasks move their own files when they are done, instead of the driver all of them at the end.
+COMMIT = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
 PAGES_PER_TASK = 64
 
 
@@ -44,14 +48,15 @@ def _named_files(df: DataFrame, name: str, label: str) -> str:
     path = scratch_path(spark, label)
     df.withColumnRenamed(name, "__file").repartition("__file").sortWithinPartitions("__file").write.partitionBy("__file").option(
         "header", True
-    ).csv(f"{path}-parts")
+    ).option(*COMMIT).csv(f"{path}-parts")
     return _renamed(spark, path)
 
 
 def _named_texts(texts: DataFrame, label: str) -> str:
     """One file for each row of (name, value)."""
     path = scratch_path(texts.sparkSession, label)
-    texts.select(F.col("name").alias("__file"), "value").repartition("__file").write.partitionBy("__file").text(f"{path}-parts")
+    texts.select(F.col("name").alias("__file"), "value").repartition("__file").write.partitionBy("__file").option(*COMMIT).text(
+        f"{path}-parts")
     return _renamed(texts.sparkSession, path)
 
 
@@ -61,13 +66,17 @@ def _renamed(spark: SparkSession, path: str) -> str:
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = jvm.org.apache.hadoop.fs.Path(path)
     fs.mkdirs(out)
-    for folder in fs.listStatus(root):
+
+    def rename(folder) -> None:
         part = folder.getPath().getName()
         if not part.startswith("__file="):
-            continue
+            return
         for f in fs.listStatus(folder.getPath()):
             if f.getPath().getName().startswith("part-"):
                 fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(out, part[len("__file="):]))
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(rename, fs.listStatus(root)))
     return path
 
 
@@ -612,9 +621,11 @@ def multi_file_documents(spark: SparkSession, folder: str) -> DataFrame:
     drifted = F.when(F.col("id") % 10 == 0, F.col("amount") + 5).otherwise(F.col("amount")).alias("amount")
     csv = _named_files(in_xml.select("id", drifted, F.concat(F.lit("xml_"), "page", F.lit(".csv")).alias("name")), "name", "documents-csv")
     parquet = scratch_path(spark, "documents-parquet")
-    in_json.where("id % 7 <> 0").select("id", "amount", "page").repartition("page").write.partitionBy("page").parquet(parquet)
+    in_json.where("id % 7 <> 0").select("id", "amount", "page").repartition("page").write.partitionBy("page").option(*COMMIT).parquet(parquet)
+    with few_listing_tasks(spark):
+        listed = spark.read.format("binaryFile").load(f"{parquet}/*/*.parquet")
     found = D.discover(spark, csv, "{kind}_{page}.csv", "target").select("path", "file_name", "tokens").unionByName(
-        spark.read.format("binaryFile").load(f"{parquet}/*/*.parquet").select(
+        listed.select(
             "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
             F.create_map(F.lit("kind"), F.lit("json"), F.lit("page"), F.regexp_extract("path", "page=([0-9]+)", 1)).alias("tokens"),
         )

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.session import materialise, scratch_path
+from tallyframe.session import few_listing_tasks, materialise, scratch_path
 
 # Fixed value: element names that stand for rows, the first of them first.
 RECORD_TAGS = ("record", "row", "item", "entry")
@@ -228,7 +228,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pieces(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """The text cut behind every ``>``, with its file, block and place; the low bits of the number count a scan's rows."""
-    return spark.read.option("lineSep", ">").text(path).select(
+    with few_listing_tasks(spark):
+        read = spark.read.option("lineSep", ">").text(path)
+    return read.select(
         F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("line"),
     )
@@ -547,7 +549,9 @@ def _places(texts: pd.Series) -> pd.DataFrame:
 
 def scan_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row for each document: file, value (its text), kind, keys."""
-    whole = spark.read.text(path, wholetext=True).select(
+    with few_listing_tasks(spark):
+        read = spark.read.text(path, wholetext=True)
+    whole = read.select(
         F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_path").alias("file")
     )
     found = whole.withColumn("place", _places("value")).select("file", "value", "place.kind", "place.keys")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.cells import q
 from tallyframe.operators.schemas import expected_schema_diff
-from tallyframe.session import materialise
+from tallyframe.session import few_listing_tasks, materialise
 from tallyframe.sources.documents import FILE, json_records, scan_json, scan_xml, xml_records
 from tallyframe.sources.quoted import field_count, joined_lines, opens
 
@@ -86,7 +86,9 @@ def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     The low bits of the generated number count the rows of a scan's partition, so
     they are the same wherever the scan stands in a plan.
     """
-    return spark.read.text(path).select(
+    with few_listing_tasks(spark):
+        read = spark.read.text(path)
+    return read.select(
         F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("line"),
     )
@@ -459,7 +461,8 @@ def read_files(spark: SparkSession, path: str | Sequence[str], fmt: str | None =
     }
     if fmt not in readers:
         raise ValueError(f"unsupported file format: {fmt}")
-    return readers[fmt]()
+    with few_listing_tasks(spark):
+        return readers[fmt]()
 
 
 def validate_files(spark: SparkSession, path: str | Sequence[str], fmt: str,

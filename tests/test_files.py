@@ -300,3 +300,22 @@ def test_log_lines_are_dealt_by_their_text(spark, tmp_path, monkeypatch):
     events = logs.log_events(spark, str(tmp_path))
     assert events.rdd.getNumPartitions() == 7 * spark.read.text(str(tmp_path)).rdd.getNumPartitions()
     assert [(r.number, r.level) for r in events.orderBy("number").collect()] == [(1, "INFO"), (3, "ERROR")]
+
+
+def test_many_paths_are_listed_in_few_tasks(spark, tmp_path):
+    paths = []
+    for k in range(200):
+        (tmp_path / f"f{k}.csv").write_text(f"id,name\n{k},n{k}\n")
+        paths.append(str(tmp_path / f"f{k}.csv"))
+    key, context = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(key)
+    context.setJobGroup("listing", "listing")
+    lines = R._numbered_lines(spark, paths)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(tasks) <= 4 * context.defaultParallelism < 200 and spark.conf.get(key) == before
+    assert lines.where("value <> 'id,name'").count() == 200
+    with pytest.raises(Exception):
+        R.read_files(spark, str(tmp_path / "none.parquet"))
+    assert spark.conf.get(key) == before
