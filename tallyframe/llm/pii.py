@@ -14,6 +14,8 @@ one sort.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,6 +78,11 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _matches(kind: str, text: Column) -> Column:
+    match = text.rlike(PATTERNS[kind])
+    return text.contains(_NEEDLES[kind]) & match if kind in _NEEDLES else match
+
+
 def _entity(kind: str, value: Column) -> Column:
     plain = F.lower(value) if kind in ("email", "ip") else _digits(value)
     return F.xxhash64(F.lit(kind), plain)
@@ -114,10 +121,9 @@ def _base(docs: DataFrame, options: Disclosure) -> DataFrame:
     none = F.array().cast(_MARK)
 
     def values(kind: str) -> Column:
-        likely = t.contains(_NEEDLES[kind]) if kind in _NEEDLES else F.lit(True)
         marks = _marks(t, PATTERNS[kind], lambda v: _entity(kind, v), lambda v: _valid(kind, v))
         # The costly half runs on texts that match the pattern only.
-        return F.when(likely & t.rlike(PATTERNS[kind]), marks).otherwise(none)
+        return F.when(_matches(kind, t), marks).otherwise(none)
 
     found = rows.select("rid", "doc_id", "t", *[values(k).alias(k) for k in BASE_KINDS])
     words = _marks(
@@ -266,12 +272,13 @@ def sanitised(docs: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
         F.size("all") > 0
     ).dropDuplicates(["d", "g"])
     marked = materialise(marked, "pii-spans")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), F.col("text").alias("t"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"),
-    )
-    joined = rows.join(marked, rows.i.eqNullSafe(marked.d) & (rows.h == marked.g), "left")
-    text = F.when(F.col("all").isNull(), F.col("t")).otherwise(_masked(F.col("t"), F.col("all")))
-    return joined.select(*[
-        text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns
+    # Every span needs a value in its row: texts that match no pattern stay as they are and where they are.
+    text = F.coalesce("text", F.lit(""))
+    likely = reduce(or_, [_matches(k, text) for k in BASE_KINDS])
+    rows = docs.where(likely).select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("h"))
+    joined = rows.join(marked, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    masked = F.when(F.col("all").isNull(), F.col("row.text")).otherwise(_masked(F.col("row.text"), F.col("all")))
+    changed = joined.select(*[
+        masked.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns
     ])
+    return docs.where(~likely).union(changed)

@@ -243,3 +243,34 @@ def test_pii_places_keep_words_near_values_only(spark):
     # The plan before it runs; a plan that ran says itself again.
     plan = places._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange") == 1
+
+
+def exchanges(plan):
+    """Rows that each shuffle of a plan has written."""
+    below = [n for k in range(plan.children().size()) for n in exchanges(plan.children().apply(k))]
+    if not plan.nodeName().startswith("Exchange"):
+        return below
+    return [*below, plan.metrics().apply("shuffleRecordsWritten").value()]
+
+
+def test_pii_texts_without_values_are_not_moved(spark):
+    """Only rows that match a pattern meet their spans in a shuffle; the others stay where they are."""
+    held = ["by jo@ex.org no", "at 1.2.3.4 or 300.1.1.1", "4111 1111 1111 1111", "on +1 (171) 555-2028"]
+    bare = ["no value here", None, "", "1 + 1 @ 2.3", "line\nof two"]
+    rows = [(k, held[k % 4], k) for k in range(12)] + [(k, bare[k % 5], k) for k in range(12, 100)]
+    rows += [(3, held[3], 3), (20, bare[0], 20), (None, held[0], 0), (None, held[1], 1), (None, bare[0], 2), (8, "ip 300.1.1.1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, h int")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        clean = pii.sanitised(docs)
+        got = Counter(tuple(r) for r in clean.collect())
+        moved = exchanges(clean._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    masks = {held[0]: "by <email> no", held[1]: "at <ip> or 300.1.1.1", held[2]: "<card>", held[3]: "on <phone>"}
+    assert clean.columns == docs.columns
+    assert got == Counter((d, masks.get(t, t), h) for d, t, h in rows)
+    assert sorted(moved) == [14, 16]  # distinct rows with spans, and rows that match a pattern
