@@ -7,6 +7,8 @@ for every lexical state at its start the state at its end, the elements it close
 beyond its own, those it leaves open, and how often each path starts in it. The
 summaries of a file, taken in order, say where every block begins; the path
 counts then say which elements are records, and a second scan cuts these out.
+A file that is no larger than a block is one row instead, and one pass over its
+text both counts the paths and keeps where their elements lie.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.session import few_listing_tasks, materialise, scratch_path
+from tallyframe.session import few_listing_tasks, materialise, scratch_path, small_batches
 
 # Fixed value: element names that stand for rows, the first of them first.
 RECORD_TAGS = ("record", "row", "item", "entry")
 FEW_BLOCKS = 100_000  # up to so many rows of one per block or file are broadcast
+WHOLE_FILE = 8 << 20  # bytes of a file that is read as one row, at most
+MANY_SHAPES = 10_000  # a task keeps so many shapes of records in mind
 FILE = "__file"  # the attribute, and then the column, that holds a record's file
 
 Path = tuple[str, ...]
@@ -37,7 +41,7 @@ Path = tuple[str, ...]
 
 TEXT, COMMENT, CDATA, INSTRUCTION, DOUBLE, SINGLE = STATES = "t", "c", "d", "p", '"', "'"
 _CLOSERS = {COMMENT: "--", CDATA: "]]", INSTRUCTION: "?"}
-_NAMESPACE = re.compile(r"""\s+xmlns(:[^\s=]*)?\s*=\s*("[^"]*"|'[^']*')""")
+_NAMESPACE = re.compile(r"""\s+xmlns(:[^\s=]*)?\s*=\s*("[^"]*"|'[^']*')""", re.ASCII)
 _OPEN_QUOTE = re.compile(r"""[^"']*+(?:(?:"[^"]*+"|'[^']*+')[^"']*+)*+(["'])?""")
 _INSIDE = r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+"""  # of a tag, with quoted values
 _TAG_END = re.compile(f"{_INSIDE}>")
@@ -137,8 +141,13 @@ class Summary:
 
     def read_text(self, text: str) -> None:
         """Whole pieces at once, each with its ``>``."""
-        reached = {s: state_after(s, text) for s in set(self.ends.values())}
+        reached = {s: state_after(s, text) for s in set(self.ends.values()) - {self.state}}
+        began = self.state
+        self._read_text(text)
+        reached[began] = self.state
         self.ends = {s: reached[now] for s, now in self.ends.items()}
+
+    def _read_text(self, text: str) -> None:
         at = 0
         while at < len(text):
             if self.state != TEXT:
@@ -162,6 +171,13 @@ class Summary:
             self._note(happened, name)
             at = end + 1
 
+    def row(self, file: str, start: int, first: int) -> dict:
+        return {
+            "file": file, "start": start, "first": first, "state": self.start, "ends": "".join(self.ends[s] for s in STATES),
+            "closed": self.closed, "open": self.open, "problem": self.problem,
+            "paths": [{"closed": c, "path": list(p), "n": n} for (c, p), n in self.paths.items()],
+        }
+
     def _note(self, happened: str, name: str) -> None:
         if happened in ("open", "empty"):
             self.paths[len(self.closed), (*self.open, name)] += 1
@@ -207,12 +223,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, first, own = None, 0, Summary(TEXT)
 
     def row() -> pa.RecordBatch:
-        made = {
-            "file": at[0], "start": at[1], "first": first, "state": own.start, "ends": "".join(own.ends[s] for s in STATES),
-            "closed": own.closed, "open": own.open, "problem": own.problem,
-            "paths": [{"closed": c, "path": list(p), "n": n} for (c, p), n in own.paths.items()],
-        }
-        return pa.RecordBatch.from_pylist([made], schema=_BLOCK)
+        return pa.RecordBatch.from_pylist([own.row(*at, first)], schema=_BLOCK)
 
     for batch in batches:
         for block, row_at, text in _runs(batch):
@@ -226,11 +237,20 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _is_whole(spark: SparkSession) -> Column:
+    """Whether a file is read as one row: no larger than a block, and of a size that its name does not hide."""
+    block = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    packed = F.col("_metadata.file_name").rlike(r"(?i)\.(gz|gzip|bz2|zst|zstd|lz4|snappy|deflate|lzo|xz)$")
+    return (F.col("_metadata.file_size") <= min(block, WHOLE_FILE)) & ~packed
+
+
 def _pieces(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """The text cut behind every ``>``, with its file, block and place; the low bits of the number count a scan's rows."""
+    """The text of larger files cut behind every ``>``, with its file, block and place; the low bits of the number count
+    a scan's rows."""
     with few_listing_tasks(spark):
         read = spark.read.option("lineSep", ">").text(path)
-    return read.select(
+    return read.where(~_is_whole(spark)).select(
         F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("line"),
     )
@@ -334,9 +354,17 @@ def _placed(tag: str | None):
     return placed
 
 
+def _no_rows(spark: SparkSession, ddl: str) -> DataFrame:
+    """An empty table that plans leave out."""
+    return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl)])
+
+
 def scan_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = None) -> DataFrame:
-    """Blocks of all files: file, start, first, state, open elements, record paths, and the file's problem if it has one."""
+    """Blocks of the files that are not read whole: file, start, first, state, open elements, record paths, and the file's
+    problem if it has one."""
     pieces = _pieces(spark, path)
+    if pieces.isEmpty():
+        return _no_rows(spark, _PLACED_DDL)
     found = materialise(
         pieces.withColumn("state", F.lit(TEXT)).mapInArrow(_summaries, _BLOCK_DDL), "xml-blocks"
     )
@@ -354,7 +382,9 @@ def scan_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = N
 # -- Cutting records out ---------------------------------------------------
 
 WHOLE, HEAD, MIDDLE, TAIL = "w", "h", "m", "t"
-_PART = pa.schema([("file", pa.string()), ("start", pa.int64()), ("kind", pa.string()), ("body", pa.string())])
+_PART = pa.schema([
+    ("file", pa.string()), ("start", pa.int64()), ("kind", pa.string()), ("body", pa.string()), ("new", pa.bool_())
+])
 
 
 class Cutter:
@@ -439,13 +469,177 @@ class Cutter:
             yield (MIDDLE if self.kind == TAIL else HEAD), "".join(self.text)
 
 
+_ODD = r"\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff"  # not allowed in XML
+
+
+def _plain(end: str) -> str:
+    """Any characters up to one of ``end``, with the entities that every document knows."""
+    return rf"[^&{end}{_ODD}]*+(?:&(?:amp|lt|gt|quot|apos);[^&{end}{_ODD}]*+)*+"
+
+
+# What a record's structure does not depend on, by the character before it: values, comments, sections and texts that are
+# plain and, but for comments, not blank.
+_PLAIN = {
+    '"': rf"""(?![ \t\r\n]*+"){_plain('"<')}(?=")""",
+    "'": rf"""(?![ \t\r\n]*+'){_plain("'<")}(?=')""",
+    "-": rf"[^\-{_ODD}]*+(?:-(?!-)[^\-{_ODD}]*+)*+(?=-->)",
+    "[": rf"(?![ \t\r\n]*+\]\]>)[^\]{_ODD}]*+(?:\](?!\]>)[^\]{_ODD}]*+)*+(?=\]\]>)",
+    ">": rf"(?=[ \t\r\n]*+[^< \t\r\n]){_plain(r'<\]')}(?=<|\Z)",
+}
+# What stands before a plain part (1), which follows, or any other part whole (2), so that nothing in it is taken for more.
+_PART_OF_RECORD = re.compile(
+    rf"""(?s)([^=<>]*+(?:=[ \t\r\n]*+["']|<!--|<!\[CDATA\[|>))(?:{'|'.join(f'(?<={re.escape(k)}){v}' for k, v in _PLAIN.items())})"""
+    r"""|([^=<>]*+(?:=[ \t\r\n]*+(?:"[^"<]*+"|'[^'<]*+')|<!--.*?--(?=>)|<!\[CDATA\[.*?\]\](?=>)|<\?.*?\?(?=>)|>[^<]*+|[=<]))"""
+)
+
+
+def record_shape(body: str) -> str:
+    """A record with marks in place of its plain parts; records of one shape have the same structure, but for what
+    ``_without_namespaces`` leaves of them."""
+    return _PART_OF_RECORD.sub(r"\1\0\2", body)
+
+
+def _of_one_shape(body: str) -> re.Pattern:
+    """Matches the records of a record's shape, in less time than it takes to find that."""
+    out, at = ["(?s)"], 0
+    for found in _PART_OF_RECORD.finditer(body):
+        out += [re.escape(found[1]), _PLAIN[found[1][-1]]] if found[1] else [re.escape(found[2])]
+        at = found.end()
+    return re.compile("".join([*out, re.escape(body[at:])]))
+
+
+class Shapes:
+    """Tells the first record of each structure; after many structures some are told again."""
+
+    def __init__(self) -> None:
+        self.seen: Counter[str] = Counter()
+        self.common: list[re.Pattern] = []
+
+    def is_new(self, body: str) -> bool:
+        if "xmlns" in body:  # as _without_namespaces has it
+            end = body.find(">") + 1
+            body = _NAMESPACE.sub("", body[:end]) + body[end:]
+        for known in self.common:
+            if known.fullmatch(body):
+                return False
+        shape = record_shape(body)
+        if len(self.seen) >= MANY_SHAPES and shape not in self.seen:
+            self.seen.clear()
+        self.seen[shape] += 1
+        if self.seen[shape] == 100 and len(self.common) < 8:
+            self.common.append(_of_one_shape(body))
+        return self.seen[shape] == 1
+
+
+# As above, but an element without elements in it is one match with its content (4), and the rest comes as (5).
+_ELEMENT = re.compile(
+    rf"""(?s)<(?:/([^\s/<>]++)[^<>]*+>|([^\s/<>!?"'][^\s/<>"']*+)(?=[\s/>])({_INSIDE})>"""
+    r"(?:(?<!/>)((?:[^<]++|<!\[CDATA\[.*?\]\]>|<!--.*?-->)*+)</\2\s*+>)?+"
+    r"|!--.*?-->|!\[CDATA\[.*?\]\]>|\?.*?\?>|(.*))"
+)
+
+
+class Element:
+    """A path of a file: the elements below it by name, and where its own elements begin and end."""
+
+    __slots__ = ("path", "below", "begins", "ends")
+
+    def __init__(self, path: Path) -> None:
+        self.path, self.below, self.begins, self.ends = path, {}, [], []
+
+
+def _elements(text: str) -> list[Element] | None:
+    """All paths of a text in the order in which they first occur, or nothing if it needs to be read in steps.
+
+    An element begins behind its name. An empty one ends at its slash, given as a negative number.
+    """
+    at, outer, all_of = Element(()), [], []
+    for found in _ELEMENT.finditer(text):
+        which = found.lastindex
+        if which == 3 or which == 4:
+            inner = at.below.get(found[2])
+            if inner is None:
+                name = found[2].rpartition(":")[2]
+                inner = at.below.get(name)
+                if inner is None:
+                    inner = at.below[name] = Element((*at.path, name))
+                    all_of.append(inner)
+                at.below[found[2]] = inner  # with its prefix
+            inner.begins.append(found.start(3))
+            if which == 4:
+                inner.ends.append(found.end(4))
+            elif text[found.end() - 2] == "/":
+                inner.ends.append(2 - found.end())
+            else:
+                outer.append(at)
+                at = inner
+        elif which == 1:
+            if not outer or at.path[-1] != found[1].rpartition(":")[2]:
+                return None
+            at.ends.append(found.start())
+            at = outer.pop()
+        elif which == 5:
+            return None
+    return None if outer else all_of
+
+
+def read_whole(text: str, tag: str | None = None) -> tuple[str | None, list[str]]:
+    """A file's problem, or its records."""
+    text = text if text.endswith(">") else text + ">"
+    if elements := _elements(text):
+        by_path = {e.path: e for e in elements}
+        chosen = [by_path[p] for p in record_paths({p: len(e.begins) for p, e in by_path.items()}, tag)]
+        spans = sorted((a, b) for e in chosen for a, b in zip(e.begins, e.ends))
+        return None, [text[a:b] if b > 0 else text[a:-b] + ">" for a, b in spans]
+    own = Summary(TEXT)
+    own.read_text(text)
+    place = _placed(tag)(pa.Table.from_pylist([own.row("", 0, 0)], schema=_BLOCK)).to_pylist()[0]
+    return place["problem"], [] if place["problem"] else [b for _, b in Cutter(place).read_text(text)]
+
+
+_WHOLE = pa.schema([("file", pa.string()), ("problem", pa.string()), ("body", pa.string()), ("new", pa.bool_())])
+
+
+def _read_whole(tag: str | None, problems_only: bool):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
+        for batch in batches:
+            for file, value in zip(batch.column("file"), batch.column("value")):
+                problem, found = read_whole(value.as_py(), tag)
+                if problem:
+                    yield pa.RecordBatch.from_pylist([{"file": file.as_py(), "problem": problem}], schema=_WHOLE)
+                elif found and not problems_only:
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([file.as_py()] * n), pa.nulls(n, pa.string()), pa.array(found), pa.array(map(shapes.is_new, found))
+                    ], schema=_WHOLE)
+
+    return read
+
+
+def whole_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = None, problems_only: bool = False) -> DataFrame:
+    """Files that are read whole: file, and either its problem or one of its records, which may be the first of its structure."""
+    with few_listing_tasks(spark):
+        read = spark.read.text(path, wholetext=True)
+    # A mark of the byte order goes where it went when pieces were read: at the start of any of them.
+    texts = read.where((F.col("_metadata.file_size") > 0) & _is_whole(spark)).select(
+        F.regexp_replace("value", "\ufeff(?<=(?:^|>)\ufeff)", "").alias("value"), F.col("_metadata.file_path").alias("file")
+    )
+    with small_batches(spark):
+        return materialise(
+            texts.mapInArrow(_read_whole(tag, problems_only), "file string, problem string, body string, new boolean"),
+            "xml-whole", compression="none",
+        )
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, own = None, None
+    at, own, shapes = None, None, Shapes()
 
     def rows(block: tuple[str, int], found: list[tuple[str, str]]) -> pa.RecordBatch:
         n = len(found)
         return pa.RecordBatch.from_arrays(
-            [pa.array([block[0]] * n), pa.array([block[1]] * n, pa.int64()), pa.array([k for k, _ in found]), pa.array([b for _, b in found])],
+            [pa.array([block[0]] * n), pa.array([block[1]] * n, pa.int64()), pa.array([k for k, _ in found]), pa.array([b for _, b in found]),
+             pa.array([k != WHOLE or shapes.is_new(b) for k, b in found])],
             schema=_PART,
         )
 
@@ -463,50 +657,53 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _without_namespaces(body: Column) -> Column:
     end = F.locate(">", body)
-    return F.concat(F.regexp_replace(F.substring(body, F.lit(1), end), _NAMESPACE.pattern, ""), F.substring(body, end + 1, F.length(body)))
+    bare = F.concat(F.regexp_replace(F.substring(body, F.lit(1), end), _NAMESPACE.pattern, ""), F.substring(body, end + 1, F.length(body)))
+    return F.when(F.contains(body, F.lit("xmlns")), bare).otherwise(body)
 
 
-def _escaped(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+def as_element(body: Column) -> Column:
+    """A record as an element of one name, with an attribute for its file."""
+    return F.concat(F.lit(f'<__record {FILE}="-"'), _without_namespaces(body), F.lit("</__record>"))
 
 
-def _as_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition becomes a file, and a file needs one root."""
-    for text in ("<__records>", None, "</__records>"):
-        if text:
-            yield pa.RecordBatch.from_pydict({"value": [text]})
-        else:
-            yield from batches
+def xml_shapes(spark: SparkSession, records: DataFrame) -> str | None:
+    """Write records of all structures that occur, each in a line; gives the folder, or nothing without records."""
+    new = records.where("new").select(F.regexp_replace(as_element(F.col("body")), r"[\r\n]+", " ").alias("value"))
+    if new.isEmpty():
+        return None
+    out = scratch_path(spark, "xml-shapes")
+    new.hint("rebalance").write.text(out)
+    return out
 
 
-def xml_records(spark: SparkSession, path: str | Sequence[str], places: DataFrame) -> str:
-    """Write all records of the files without problem as elements of one name; gives the folder.
+def xml_records(spark: SparkSession, path: str | Sequence[str], places: DataFrame) -> DataFrame:
+    """All records of the files without problem: file, body, and whether it may be the first of its structure.
 
     A record that reaches over blocks is put together from one part of each.
     """
     known = places.where("problem is null and size(records) > 0").select(
         "file", "start", "first", F.to_json(F.struct("state", "open", "records")).alias("place")
     )
+    if known.isEmpty():
+        return _no_rows(spark, "file string, body string, new boolean")
     pieces = _at_blocks(_pieces(spark, path), known)
     # Only a block's first piece carries what is known of it, as text: a nested column, null in almost every row, is
     # many times slower on its way to Python.
     parts = materialise(
         pieces.withColumn("place", F.when(F.col("line") == F.col("first"), F.col("place")))
-        .select("file", "start", "value", "place").mapInArrow(_cut, "file string, start bigint, kind string, body string"),
-        "xml-parts",
+        .select("file", "start", "value", "place")
+        .mapInArrow(_cut, "file string, start bigint, kind string, body string, new boolean"),
+        "xml-parts", compression="none",
     )
     # At most two rows for each block: the end of a record from before it, and the start of one that goes on behind it.
     crossing = parts.where(F.col("kind") != WHOLE).withColumn("is_head", F.col("kind") == HEAD)
     order = Window.partitionBy("file").orderBy("start", "is_head").rowsBetween(Window.unboundedPreceding, 0)
     crossing = crossing.withColumn("from", F.last(F.when(F.col("is_head"), F.col("start")), True).over(order))
     pieces_of = F.array_sort(F.collect_list(F.struct("start", "is_head", "body")))
-    joined = crossing.groupBy("file", "from").agg(F.array_join(F.transform(pieces_of, lambda p: p["body"]), "").alias("body"))
-    records = parts.where(F.col("kind") == WHOLE).select("file", "body").unionByName(joined.select("file", "body"))
-    out = scratch_path(spark, "xml-records")
-    records.select(F.concat(
-        F.lit(f'<__record {FILE}="'), _escaped(F.col("file")), F.lit('"'), _without_namespaces(F.col("body")), F.lit("</__record>")
-    ).alias("value")).mapInArrow(_as_document, "value string").write.text(out)
-    return out
+    joined = materialise(
+        crossing.groupBy("file", "from").agg(F.array_join(F.transform(pieces_of, lambda p: p["body"]), "").alias("body"))
+        .select("file", "body", F.lit(True).alias("new")), "xml-joined")
+    return parts.where(F.col("kind") == WHOLE).select("file", "body", "new").unionByName(joined)
 
 
 # -- JSON documents --------------------------------------------------------

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from tallyframe.functions.cells import q
 from tallyframe.operators.schemas import expected_schema_diff
 from tallyframe.session import few_listing_tasks, materialise
-from tallyframe.sources.documents import FILE, json_records, scan_json, scan_xml, xml_records
+from tallyframe.sources.documents import (
+    FILE, as_element, json_records, scan_json, scan_xml, whole_xml, xml_records, xml_shapes,
+)
 from tallyframe.sources.quoted import field_count, joined_lines, opens
 
 # Delimiters tried in order, the words read as missing.
@@ -179,7 +181,8 @@ def unreadable_files(spark: SparkSession, path: str | Sequence[str], fmt: str) -
     if fmt == "json":
         return scan_json(spark, path).where("kind = 'bad'").select("file", F.lit("not JSON").alias("problem"))
     if fmt == "xml":
-        return scan_xml(spark, path).where("problem is not null").select("file", "problem").distinct()
+        return whole_xml(spark, path, problems_only=True).select("file", "problem").unionByName(
+            scan_xml(spark, path).select("file", "problem")).where("problem is not null").distinct()
     if fmt not in ("csv", "tsv"):
         return spark.createDataFrame([], "file string, problem string")
     lines, layouts = _records_and_layouts(spark, path, "\t" if fmt == "tsv" else None)
@@ -361,17 +364,22 @@ def read_xml(spark: SparkSession, path: str | Sequence[str], tag: str | None = N
     The records of each file are found by its own whole structure, or are all
     elements named ``tag``; ``path_column`` keeps the file of each row.
     """
-    places = scan_xml(spark, path, tag)
-    bad = places.where("problem is not null").select("file", "problem").first()
+    whole, places = whole_xml(spark, path, tag), scan_xml(spark, path, tag)
+    bad = whole.select("file", "problem").unionByName(places.select("file", "problem")).where("problem is not null").first()
     if bad is not None:
         raise ValueError(f"{bad['problem']}: {bad['file']}")
-    raw = (
-        spark.read.format("xml").option("rowTag", "__record").option("ignoreNamespace", True)
-        .option("attributePrefix", "@").option("valueTag", "@_VALUE").option("inferSchema", False)
-        .load(xml_records(spark, path, places))
-    )
-    if f"@{FILE}" not in raw.columns:  # no records at all
+    records = whole.select("file", "body", "new").unionByName(xml_records(spark, path, places))
+    shapes = xml_shapes(spark, records)
+    if shapes is None:  # no records at all
         return spark.createDataFrame([], f"{path_column} string" if path_column else "value string")
+    options = {"rowTag": "__record", "ignoreNamespace": "true", "attributePrefix": "@", "valueTag": "@_VALUE", "inferSchema": "false"}
+    # The columns follow from one record of each structure; each record is parsed once, where it lies.
+    schema = spark.read.format("xml").options(**options, multiLine="false").load(shapes).schema
+    # from_xml takes the column of what is no XML for the last one.
+    corrupt = spark.conf.get("spark.sql.columnNameOfCorruptRecord")
+    parsed = T.StructType(sorted(schema, key=lambda f: f.name == corrupt))
+    raw = records.select(F.from_xml(as_element(F.col("body")), parsed, options).alias("r"), "file")
+    raw = raw.select(*[F.col("file").alias(f.name) if f.name == f"@{FILE}" else F.col("r").getField(f.name).alias(f.name) for f in schema])
     if _holds_array(raw.schema):  # looked through before it is spread
         raw = materialise(raw, "xml-rows")
     rows = flattened(_spread(raw), mark="@")

@@ -164,6 +164,60 @@ def test_plain_pieces_take_no_steps(monkeypatch):
         (D.WHOLE, " k='1>2'><!-- > --><n><![CDATA[ > ]]></n><e/>")] * 100
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_whole_files_are_read_as_their_pieces(seed):
+    """One pass over a whole text gives the records and problems of a summary and a cut by pieces; also where it is no XML."""
+    rng = random.Random(seed)
+    parts = ["<", ">", "</", '"', "'", "a", " ", "<!--", "-->", "<![CDATA[", "]]>", "<?", "?>", "<!X", "<a k='", "<a", "<a>", "</a>", "<x:b/>", "<b>t</b >"]
+    texts = [random_xml(rng, 8), "<r>" + "".join(rng.choice(parts) for _ in range(9)) + "</r>\n", "<r><a>1</a><a/><x:a k='>'>2</x:a></r>"]
+    for text, tag in [(t, tag) for t in texts for tag in (None, "a")]:
+        pieces = text.split(">") if not text.endswith(">") else text.split(">")[:-1]
+        own = D.Summary(D.TEXT)
+        for piece in pieces:
+            own.read(piece)
+        place = D._placed(tag)(pa.Table.from_pylist([own.row("f", 0, 0)], schema=D._BLOCK)).to_pylist()[0]
+        cutter = D.Cutter(place)
+        found = [] if place["problem"] else [b for piece in pieces for _, b in cutter.read(piece)]
+        assert D.read_whole(text, tag) == (place["problem"], found)
+
+
+def test_shapes():
+    """Records of one shape differ in plain values, texts, comments and sections only."""
+    alike = [
+        [" k='1'><n>2</n>", " k='a > b'><n>say x=\"5\" &amp; go</n>"], ["><!-- <h> -->t", "><!---->u v"],
+        ["><![CDATA[ <b> ]]>", "><![CDATA[x]]>"], [">t<b/>", ">  u\n<b/>"],
+        [" k='=\"' m='1'><n>2</n>", " k='2' m='=\"'><n>3</n>"],
+    ]
+    apart = [
+        " k='1'><n></n>", " k='1'><n> </n>", " k=''><n>2</n>", " k='1'><m>2</m>", " k='1'><n>2</n><n>2</n>",
+        "><![CDATA[ ]]>", "><![CDATA[]]>", ">", "><b/>", " k='&none;'><n>2</n>", "><n x=\"5\"> </n>", "><n>x=\"5\" </n>",
+    ]
+    for a, b in alike:
+        assert D.record_shape(a) == D.record_shape(b) and D._of_one_shape(a).fullmatch(b) and D._of_one_shape(b).fullmatch(a)
+    kinds = [a for a, _ in alike] + apart
+    assert len({D.record_shape(k) for k in kinds}) == len(kinds)
+    for a in kinds:
+        assert [k for k in kinds if D._of_one_shape(a).fullmatch(k)] == [a]
+    shapes = D.Shapes()
+    assert [shapes.is_new(f" k='{k}'><n>{k}</n>") or shapes.is_new(f"><n>{k}</n>") for k in range(250)] == [True] * 2 + [False] * 248
+
+
+def test_small_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Files of one block need no second scan, and columns follow from one record of each structure."""
+    monkeypatch.setattr(D, "_at_blocks", lambda *_: pytest.fail("scanned again"))
+    for name in "ab":
+        put(tmp_path / "in", f"{name}.xml", "<e>" + "".join(f"<r k='{k}'><n>{name} &lt; {k}</n></r>" for k in range(300)) + "<s><n>0</n><n>1</n></s><s/></e>")
+    rows = R.read_xml(spark, str(tmp_path / "in"), path_column="place").collect()
+    assert Counter(r.place[-5:] for r in rows) == {"a.xml": 302, "b.xml": 302}
+    assert {(r.k, r.n, r.n_2) for r in rows if r.place.endswith("b.xml")} == {
+        *[(str(k), f"b < {k}", None) for k in range(300)], (None, "0", "1"), (None, None, None)}
+    put(tmp_path / "odd", "a.xml", "<e><r><n>1</n></r><r><n>&none;</n></r><r><m>2</m></r></e>")
+    odd = R.read_xml(spark, str(tmp_path / "odd")).collect()
+    assert {(r.n, r.m) for r in odd} == {("1", None), (None, "2"), (None, None)}  # a record that is no XML stands alone
+    whole = D.whole_xml(spark, str(tmp_path / "in"))
+    assert whole.count() == 604 and 3 <= whole.where("new").count() <= 6
+
+
 def test_record_paths():
     def paths(text, tag=None):
         return ["/".join(p) for p in D.record_paths(dict(counted(text)), tag)]
